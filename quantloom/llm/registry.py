@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .minhash_dedup import op2_minhash_near_dedup
+from .secret_scan import op8_secret_scans
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op8_secret_scans": op8_secret_scans,
+}
 ORACLES: dict[str, str] = {}
