@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .minhash_dedup import op2_minhash_near_dedup
+from .packing import op5_best_fit_packing
 from .quality import op3_quality_classifier
 from .secret_scan import op8_secret_scans
 from .toxicity import op10_toxicity
@@ -10,6 +11,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
     "op10_toxicity": op10_toxicity,
 }
