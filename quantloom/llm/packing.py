@@ -19,6 +19,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -124,15 +125,15 @@ class Encoder:
         distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > _CACHE:
             self.known.clear()
-        known, encode = self.known, self.words.encode_ordinary
+        known, encode = self.known, self.words._core_bpe.encode_ordinary
         ids = []
         for key, a, b in zip(distinct.tolist(), start[where].tolist(), end[where].tolist(), strict=True):
             found = known.get(key)
             if found is None:
                 known[key] = found = encode(text[a:b])
             ids.append(found)
-        size = np.array([len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         first = np.concatenate([[0], np.cumsum(size)])[which]
         count = size[which]
         total = np.concatenate([[0], np.cumsum(count)])
@@ -147,7 +148,7 @@ def _pieces(capacity: int, end: int):
         mark = np.array([end], np.uint32)
         for batch in batches:
             out: dict[str, list[int]] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "deal")}
-            for a, b, _, _ in text_chunks(batch):
+            for a, b, _, _ in text_chunks(batch, limit=1 << 22):
                 texts = ["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()]
                 names = batch.column(0).slice(a, b - a).to_pylist()
                 for name, ids in zip(names, encoder.encode(texts), strict=True):
