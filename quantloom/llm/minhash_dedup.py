@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 4
 BINS, BITS = 8192, 4096
 #: A pair is confirmed on full sets if its sketches put it at most this far below the threshold (about five standard deviations).
 MARGIN = 0.03
-BLOCK = 2048
+BLOCK = 512
 
 _SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, occupied int, bands array<long>, odd array<long>"
 
