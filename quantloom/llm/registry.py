@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op6_document_fingerprints
 from .minhash_dedup import op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .quality import op3_quality_classifier
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op8_secret_scans": op8_secret_scans,
     "op10_toxicity": op10_toxicity,
 }
