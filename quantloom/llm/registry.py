@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_benchmark_decontamination
 from .fingerprints import op6_document_fingerprints
 from .minhash_dedup import op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
@@ -10,6 +11,7 @@ from .secret_scan import op8_secret_scans
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
