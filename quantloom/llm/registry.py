@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_benchmark_decontamination
 from .fingerprints import op6_document_fingerprints
+from .html_text import op9_html_extraction
 from .minhash_dedup import op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .quality import op3_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
