@@ -7,6 +7,7 @@ from .fingerprints import op6_document_fingerprints
 from .html_text import op9_html_extraction
 from .minhash_dedup import op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
+from .pitman_yor import op4_lm_scoring
 from .quality import op3_quality_classifier
 from .secret_scan import op8_secret_scans
 from .toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_secret_scans": op8_secret_scans,
