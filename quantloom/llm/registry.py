@@ -7,6 +7,7 @@ from .fingerprints import op6_document_fingerprints
 from .html_text import op9_html_extraction
 from .minhash_dedup import op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
+from .paragraph_dedup import op7_substring_dedup
 from .pitman_yor import op4_lm_scoring
 from .quality import op3_quality_classifier
 from .secret_scan import op8_secret_scans
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
