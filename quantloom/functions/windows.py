@@ -62,11 +62,12 @@ def ewm(values: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
 
 def per_ticker(df: DataFrame, compute: Callable[[pd.DataFrame], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
     """Double columns that need a sequential pass over a ticker's dates; one ticker's history is a group."""
+    order = [*df.columns, *names]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [f"{n} double" for n in names])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date", kind="stable").reset_index(drop=True)
-        return rows.assign(**compute(rows))[[*df.columns, *names]]
+        return rows.assign(**compute(rows))[order]
 
     return df.groupBy("ticker").applyInPandas(run, schema)
 

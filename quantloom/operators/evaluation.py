@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.windows import average_rank
 
 EULER = 0.5772156649015329
-_ONE = Window.orderBy("date")
+
+
+def _line():
+    """The rows of a series of one row a date, in order; such a series is small, so one partition is enough."""
+    return Window.orderBy("date")
 
 
 def daily_ic(rows: DataFrame, score: str, target: str, keys: tuple[str, ...] = ("date",), method: str = "spearman", least: int = 5) -> DataFrame:
@@ -105,12 +109,12 @@ def monthly_table(returns: DataFrame, r: str = "net") -> DataFrame:
 
 
 def rolling_sharpe(returns: DataFrame, r: str = "net", window: int = 252, year: int = 252) -> DataFrame:
-    w = _ONE.rowsBetween(-(window - 1), 0)
+    w = _line().rowsBetween(-(window - 1), 0)
     return returns.withColumn("rolling_sharpe", F.when(F.count(r).over(w) == window, F.avg(r).over(w) / F.nullif(F.stddev_samp(r).over(w), F.lit(0.0)) * math.sqrt(year)))
 
 
 def rolling_ic(ic: DataFrame, window: int = 63) -> DataFrame:
-    w = _ONE.rowsBetween(-(window - 1), 0)
+    w = _line().rowsBetween(-(window - 1), 0)
     return ic.withColumn("rolling_ic", F.when(F.count("ic").over(w) == window, F.avg("ic").over(w)))
 
 
@@ -124,7 +128,7 @@ def newey_west(series: DataFrame, x: str, lags: int | None = None) -> DataFrame:
     k = max(0, min(k, n - 1))
     mean = live.agg(F.avg("x").alias("_m"))
     d = live.crossJoin(F.broadcast(mean)).withColumn("d", F.col("x") - F.col("_m"))
-    d = d.withColumns({f"l{j}": F.lag("d", j).over(_ONE) for j in range(1, k + 1)})
+    d = d.withColumns({f"l{j}": F.lag("d", j).over(_line()) for j in range(1, k + 1)})
     var = F.sum(F.col("d") * F.col("d")) / n
     for j in range(1, k + 1):
         var = var + 2 * (1 - j / (k + 1)) * F.coalesce(F.sum(F.col("d") * F.col(f"l{j}")), F.lit(0.0)) / n
@@ -151,7 +155,7 @@ def deflated_sharpe(returns: DataFrame, r: str, trials: int, variance: float) ->
 
 def overfit_probability(returns: DataFrame, r: str = "net", blocks: int = 8) -> DataFrame:
     """pbo and n_splits by combinatorial cross-validation: block moments of each model, then every choice of half the blocks."""
-    dates = returns.select("date").distinct().withColumn("_k", F.row_number().over(_ONE) - 1)
+    dates = returns.select("date").distinct().withColumn("_k", F.row_number().over(_line()) - 1)
     n = dates.count()
     long, extra = divmod(n, blocks)
     edge = long + 1
@@ -231,7 +235,7 @@ def factor_regression(returns: DataFrame, factors: DataFrame, names: list[str],
     b = np.linalg.solve(xx, np.array([s[f"y{i}"] for i in range(k)]))
     e = F.col("_y") - sum((F.col(c) * float(v) for c, v in zip(cols, b, strict=True)), F.lit(0.0))
     g = rows.withColumns({f"g{i}": F.col(c) * e for i, c in enumerate(cols)})
-    g = g.withColumns({f"g{i}_{j}": F.lag(f"g{i}", j).over(_ONE) for i in range(k) for j in range(1, lags + 1)})
+    g = g.withColumns({f"g{i}_{j}": F.lag(f"g{i}", j).over(_line()) for i in range(k) for j in range(1, lags + 1)})
     m = g.agg(*[F.sum(F.col(f"g{a}") * F.col(f"g{c}" + (f"_{j}" if j else ""))).alias(f"m{a}_{c}_{j}") for a in range(k) for c in range(k) for j in range(lags + 1)]).first()
     meat = np.zeros((k, k))
     for j in range(lags + 1):
@@ -244,7 +248,7 @@ def factor_regression(returns: DataFrame, factors: DataFrame, names: list[str],
 
 def rolling_exposure(returns: DataFrame, factors: DataFrame, names: list[str], r: str = "net", window: int = 252, step: int = 21) -> DataFrame:
     """Coefficients on the last ``window`` rows at every ``step``-th row; windows are spread over tasks."""
-    rows = returns.select("date", r).join(factors.select("date", *names), "date").na.drop().withColumn("k", F.row_number().over(_ONE) - 1)
+    rows = returns.select("date", r).join(factors.select("date", *names), "date").na.drop().withColumn("k", F.row_number().over(_line()) - 1)
     ends = rows.where((F.col("k") >= window - 1) & ((F.col("k") - window + 1) % step == 0)).select(F.col("date").alias("end"), F.col("k").alias("e"))
     spans = rows.join(F.broadcast(ends), (F.col("k") <= F.col("e")) & (F.col("k") > F.col("e") - window))
 

@@ -1,10 +1,571 @@
-"""The registered panel queries and their oracle SQL."""
+"""The registered panel queries and, formulated on their own, DuckDB SQL for them.
+
+Computed values are rounded on both sides, since sums of doubles depend on their order.  The panel is
+the weekly supplier panel; windows count weeks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.windows import percent_rank
+from ..operators import backtest, evaluation, factors, grid, labels, models, portfolio, quality, serving, splits, volatility, xsec
+from ..sources import panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+W = factors.WEEKLY
+
+# SQL that the oracles share: bars, the dense grid, log returns, the market.
+_BARS = """line AS (SELECT l_suppkey AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_quantity AS q, l_extendedprice AS x, l_extendedprice / l_quantity AS price, l_shipdate, l_orderkey, l_linenumber FROM lineitem),
+bars AS (SELECT ticker, date, r_name AS sector, first(price ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS open, max(price) AS high, min(price) AS low, sum(x) / sum(q) AS close, sum(q) AS volume, sum(x) / sum(q) * sum(q) AS dollar_volume
+ FROM line JOIN supplier ON ticker = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ticker, date, r_name)"""
+_DENSE = _BARS + """,
+dense AS (SELECT t.ticker, d.date, t.sector, b.open, b.high, b.low, b.close, b.volume, b.dollar_volume FROM (SELECT DISTINCT ticker, sector FROM bars) t CROSS JOIN (SELECT DISTINCT date FROM bars) d LEFT JOIN bars b ON b.ticker = t.ticker AND b.date = d.date)"""
+_LR = _DENSE + """,
+lr0 AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS lr FROM dense),
+lr AS (SELECT *, CASE WHEN lr IS NOT NULL THEN sum(lr) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) END AS cum FROM lr0)"""
+_MARKET = _LR + """,
+filled AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense),
+simple AS (SELECT ticker, date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM filled),
+market AS (SELECT date, avg(r) AS mkt_return FROM simple GROUP BY date)"""
+
+
+def _win(n: int) -> str:
+    return f"(PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def register(name: str, sql: str | None = None):
+    def add(query):
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.dense(panel.bars(spark, sf_dir))
+
+
+def returns_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.log_returns(dense_bars(spark, sf_dir))
+
+
+def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dense_bars(spark, sf_dir)
+    return factors.log_returns(rows.join(F.broadcast(panel.market_returns(rows).select("date", "mkt_return", F.log1p("mkt_return").alias("mkt_lr"))), "date", "left"))
+
+
+#: Prices are quotients by small whole numbers and often halfway between two roundings; this settles which.
+NUDGE = 3.1e-8
+
+
+def rounded(rows: DataFrame, columns: list[str], digits: int = 6, keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
+    return rows.select(*keys, *[(F.round(c, digits) + 0.0).alias(c) for c in columns])
+
+
+def _r(expr: str, name: str, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) + 0.0::DOUBLE AS {name}"
+
+
+def _least(agg: str, x: str, n: int, least: int) -> str:
+    return f"CASE WHEN count({x}) OVER {_win(n)} >= {least} THEN {agg} OVER {_win(n)} END"
+
+
+# --- sources, cleaning, alignment -------------------------------------------------------------
+
+
+@register("bars", f"WITH {_BARS} SELECT ticker, date, sector, {', '.join(_r(f'{c} + {NUDGE}', c) for c in ('open', 'high', 'low', 'close'))}, volume FROM bars")
+def bars(spark, sf_dir):
+    prices = [F.round(F.col(c) + NUDGE, 6).alias(c) for c in ("open", "high", "low", "close")]
+    return panel.bars(spark, sf_dir).select("ticker", "date", "sector", *prices, "volume")
+
+
+@register("daily_brand", f"SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, {_r(f'sum(l_extendedprice) / sum(l_quantity) + {NUDGE}', 'close')}, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def daily_brand(spark, sf_dir):
+    return panel.daily_brand(spark, sf_dir).select("ticker", "date", F.round(F.col("close") + NUDGE, 6).alias("close"), "volume")
+
+
+@register("panel_summary", f"WITH {_BARS} SELECT count(*) AS n_rows, count(DISTINCT ticker) AS tickers, min(date) AS first, max(date) AS last, count(DISTINCT date) AS days, count(DISTINCT sector) AS sectors FROM bars")
+def panel_summary(spark, sf_dir):
+    return quality.panel_summary(panel.bars(spark, sf_dir))
+
+
+_QUALITY = f"""WITH {_BARS}, ch AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars WHERE close > 0),
+facts AS (SELECT ticker, count(*) FILTER (abs(r) > 0.3) AS jumps, median(close) AS price, count(*) AS days, median(close * volume) AS dv FROM ch GROUP BY ticker),
+why AS (SELECT *, CASE WHEN jumps >= 12 THEN 'jumps' WHEN price < 1 THEN 'price' WHEN days < 250 THEN 'history' ELSE 'kept' END AS r0 FROM facts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r0 ORDER BY dv DESC, ticker) AS place FROM why)
+SELECT CASE WHEN r0 = 'kept' AND place > 30 THEN 'rank' ELSE r0 END AS reason, count(*) AS tickers FROM ranked GROUP BY 1"""
+
+
+@register("quality_counts", _QUALITY)
+def quality_counts(spark, sf_dir):
+    return quality.quality_filter(panel.bars(spark, sf_dir), quality.QualityRules(0.3, 12, 1.0, 250, 30))[1]
+
+
+@register("thin_dates", f"WITH {_BARS} SELECT ticker, date FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM bars) WHERE n >= 80")
+def thin_dates(spark, sf_dir):
+    return quality.thin_dates(panel.bars(spark, sf_dir), 80).select("ticker", "date")
+
+
+@register("calendar", f"WITH {_BARS} SELECT DISTINCT date FROM bars")
+def calendar(spark, sf_dir):
+    return quality.calendar(panel.bars(spark, sf_dir))
+
+
+@register("tail_dates", f"WITH {_BARS} SELECT ticker, date, volume FROM bars WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 10)")
+def tail_dates(spark, sf_dir):
+    return panel.tail_dates(panel.bars(spark, sf_dir), 10).select("ticker", "date", "volume")
+
+
+@register("densify_ffill", f"WITH {_DENSE} SELECT ticker, date, {_r(f'last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) + {NUDGE}', 'close_ffill')}, close IS NULL AS missing FROM dense")
+def densify_ffill(spark, sf_dir):
+    rows = grid.fill_by_ticker(dense_bars(spark, sf_dir), ["close"])
+    return rows.select("ticker", "date", F.round(F.col("close_ffill") + NUDGE, 6).alias("close_ffill"), F.col("close").isNull().alias("missing"))
+
+
+@register("market_return", f"WITH {_MARKET} SELECT date, {_r('mkt_return', 'mkt_return', 9)} FROM market")
+def market_return(spark, sf_dir):
+    return panel.market_returns(dense_bars(spark, sf_dir)).select("date", F.round("mkt_return", 9).alias("mkt_return"))
+
+
+@register("as_of_market", f"WITH {_MARKET}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events UNION SELECT date FROM market) SELECT d.date, {_r('coalesce((SELECT max_by(m.mkt_return, m.date) FROM market m WHERE m.date <= d.date AND m.mkt_return IS NOT NULL), 0)', 'mkt_return', 9)} FROM days d")
+def as_of_market(spark, sf_dir):
+    market = panel.market_returns(dense_bars(spark, sf_dir))
+    days = panel.table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).union(market.select("date"))
+    return grid.as_of_calendar(days, market, "mkt_return").select("date", F.round("mkt_return", 9).alias("mkt_return"))
+
+
+# --- rolling factors ---------------------------------------------------------------------------
+
+_RET = ", ".join(_r(f"cum - lag(cum, {n}) OVER (PARTITION BY ticker ORDER BY date)", f"ret_{n}") for n in W.returns)
+
+
+@register("ret_w", f"WITH {_LR} SELECT ticker, date, {_RET} FROM lr")
+def ret_w(spark, sf_dir):
+    return rounded(factors.momentum(returns_panel(spark, sf_dir), W), [f"ret_{n}" for n in W.returns])
+
+
+@register("mom_skip", f"WITH {_LR} SELECT ticker, date, {_r(f'lag(cum, {W.skip}) OVER w - lag(cum, {W.year}) OVER w', 'mom_12_1')}, {_r(f'lag(cum, {W.skip}) OVER w - lag(cum, {W.half}) OVER w', 'mom_6_1')} FROM lr WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+def mom_skip(spark, sf_dir):
+    return rounded(factors.momentum(returns_panel(spark, sf_dir), W), ["mom_12_1", "mom_6_1"])
+
+
+_VOL = ", ".join(_r(_least("stddev_samp(lr)", "lr", n, max(3, n // 2)), f"vol_{n}") for n in W.vols)
+_DOWN = _least("stddev_samp(CASE WHEN lr < 0 THEN lr END)", "CASE WHEN lr < 0 THEN lr END", W.long, W.least)
+_PARK = f"sqrt({_least('avg(pow(ln(high / low), 2))', 'high', W.long, W.least)} / (4 * ln(2)))"
+
+
+@register("rolling_vol", f"WITH {_LR} SELECT ticker, date, {_VOL}, {_r(_DOWN, 'downside_vol')}, {_r(_PARK, 'parkinson_vol')} FROM lr")
+def rolling_vol(spark, sf_dir):
+    return rounded(factors.volatility(returns_panel(spark, sf_dir), W), [f"vol_{n}" for n in W.vols] + ["downside_vol", "parkinson_vol"])
+
+
+_SK = f"CASE WHEN count(lr) OVER {_win(W.long)} >= {W.least} THEN skewness(lr) OVER {_win(W.long)} END"
+_KU = f"CASE WHEN count(lr) OVER {_win(W.long)} >= {W.least} THEN kurtosis(lr) OVER {_win(W.long)} END"
+
+
+@register("rolling_skew_kurt", f"WITH {_LR} SELECT ticker, date, {_r(_SK, 'ret_skew', 4)}, {_r(_KU, 'ret_kurt', 4)} FROM lr")
+def rolling_skew_kurt(spark, sf_dir):
+    return rounded(factors.volatility(returns_panel(spark, sf_dir), W), ["ret_skew", "ret_kurt"], 4)
+
+
+_MA = {n: _least("avg(close)", "close", n, max(3, n // 2)) for n in W.means}
+_TREND = ", ".join([_r(f"close / ({_MA[n]}) - 1", f"px_to_ma_{n}") for n in W.means] + [_r(f"({_MA[W.means[0]]}) / ({_MA[W.means[-1]]}) - 1", "ma_cross"), _r(f"close / ({_least('max(close)', 'close', W.year, W.year_least)}) - 1", "dist_52w_high"), _r(f"close / ({_least('min(close)', 'close', W.year, W.year_least)}) - 1", "dist_52w_low"), _r(f"(close - ({_least('avg(close)', 'close', W.band, max(3, W.band // 2))})) / nullif({_least('stddev_samp(close)', 'close', W.band, max(3, W.band // 2))}, 0)", "bollinger_z")])
+
+
+@register("trend", f"WITH {_DENSE} SELECT ticker, date, {_TREND} FROM dense")
+def trend(spark, sf_dir):
+    return rounded(factors.trend(dense_bars(spark, sf_dir), W), [f"px_to_ma_{n}" for n in W.means] + ["ma_cross", "dist_52w_high", "dist_52w_low", "bollinger_z"])
+
+
+_ILLIQ = "abs(lr) / nullif(dollar_volume, 0) * 1e9"
+_LIQ = f"{_r('ln(1 + dollar_volume)', 'log_dollar_volume')}, {_r('(' + _least('avg(ln(1 + dollar_volume))', 'dollar_volume', W.short, 3) + ') - (' + _least('avg(ln(1 + dollar_volume))', 'dollar_volume', W.long, W.least) + ')', 'dv_trend')}, {_r('volume / (' + _least('avg(volume)', 'volume', W.long, W.least) + ')', 'volume_ratio')}, {_r('ln(1 + (' + _least(f'avg({_ILLIQ})', _ILLIQ, W.long, W.least) + '))', 'amihud_illiq')}"
+
+
+@register("liquidity", f"WITH {_LR} SELECT ticker, date, {_LIQ} FROM lr")
+def liquidity(spark, sf_dir):
+    return rounded(factors.liquidity(returns_panel(spark, sf_dir), W), ["log_dollar_volume", "dv_trend", "volume_ratio", "amihud_illiq"])
+
+
+_B_LEAST = max(W.long // 2, min(20, W.long))
+_JOINT = "CASE WHEN m.mkt_return IS NOT NULL THEN lr END"
+_BETA = _MARKET + f""",
+mk AS (SELECT lr.*, ln(1 + m.mkt_return) AS ml FROM lr LEFT JOIN market m USING (date)),
+mo AS (SELECT *, {_least('covar_samp(lr, ml)', 'CASE WHEN ml IS NOT NULL THEN lr END', W.long, _B_LEAST)} AS cov, {_least('var_samp(ml)', 'ml', W.long, _B_LEAST)} AS var, {_least('stddev_samp(lr)', 'lr', W.long, _B_LEAST)} AS sd, {_least('avg(lr)', 'lr', W.long, _B_LEAST)} AS mi, {_least('avg(ml)', 'ml', W.long, _B_LEAST)} AS mm FROM mk),
+be AS (SELECT *, cov / nullif(var, 0) AS beta, mi - cov / nullif(var, 0) * mm AS alpha, cov / nullif(sd * sqrt(var), 0) AS corr FROM mo),
+re AS (SELECT *, lr - beta * ml - alpha AS e FROM be)"""
+
+
+@register("beta_alpha_corr", f"WITH {_BETA} SELECT ticker, date, {_r('beta', 'beta_26', 5)}, {_r('alpha', 'alpha_26', 6)}, {_r('corr', 'corr_mkt_26', 5)}, {_r(_least('stddev_samp(e)', 'e', W.long, _B_LEAST), 'idio_vol_26', 6)} FROM re")
+def beta_alpha_corr(spark, sf_dir):
+    rows = factors.market_relative(market_panel(spark, sf_dir), W)
+    return rows.select("ticker", "date", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("beta_26", 5), ("alpha_26", 6), ("corr_mkt_26", 5), ("idio_vol_26", 6))])
+
+
+@register("oscillators")
+def oscillators(spark, sf_dir):
+    return rounded(factors.oscillators(dense_bars(spark, sf_dir), W), ["rsi_14", "macd_norm", "macd_hist"])
+
+
+@register("feature_table")
+def feature_table(spark, sf_dir):
+    """All factors, normalised per date, with labels: the table that models are fitted on."""
+    rows = dense_bars(spark, sf_dir)
+    names = factors.factor_names(W)
+    rows = factors.factor_table(rows, panel.market_returns(rows), W)
+    rows = rows.withColumns({"beta_raw": F.col(f"beta_{W.long}"), "vol_raw": F.col(f"vol_{W.vols[-1]}")})
+    rows = labels.build_labels(rows, horizon=4, min_names=5)
+    rows = quality.feature_mask(xsec.normalise(rows, names), names)
+    return quality.thin_dates(rows, 5).select("date", "ticker", "sector", "target", "fwd_return", "close", "dollar_volume", "beta_raw", "vol_raw", *names)
+
+
+# --- cross sections and labels ------------------------------------------------------------------
+
+_MOM = _LR + ", mom AS (SELECT ticker, date, sector, cum - lag(cum, 13) OVER (PARTITION BY ticker ORDER BY date) AS m FROM lr)"
+
+
+def momentum_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = returns_panel(spark, sf_dir)
+    return rows.select("ticker", "date", "sector", "close", "lr", (F.col("cum") - F.lag("cum", 13).over(Window.partitionBy("ticker").orderBy("date"))).alias("m"))
+
+
+@register("winsor_z", f"WITH {_MOM}, q AS (SELECT date, quantile_cont(m, 0.01) AS lo, quantile_cont(m, 0.99) AS hi FROM mom GROUP BY date), c AS (SELECT ticker, date, greatest(least(m, hi), lo) AS m FROM mom JOIN q USING (date) WHERE m IS NOT NULL), s AS (SELECT date, avg(m) AS a, stddev_samp(m) AS sd FROM c GROUP BY date) SELECT ticker, date, {_r('greatest(least((m - a) / nullif(sd, 0), 5), -5)', 'z')} FROM c JOIN s USING (date)")
+def winsor_z(spark, sf_dir):
+    return xsec.normalise(momentum_panel(spark, sf_dir), ["m"]).where("m is not null").select("ticker", "date", (F.round("m", 6) + 0.0).alias("z"))
+
+
+@register("pct_rank", f"WITH {_MOM}, v AS (SELECT ticker, date, round(m, 10) AS m FROM mom WHERE m IS NOT NULL) SELECT a.ticker, a.date, {_r('(count(*) FILTER (b.m < a.m) + (count(*) FILTER (b.m = a.m) + 1) / 2.0::DOUBLE) / count(*) - 0.5::DOUBLE', 'pr')} FROM v a JOIN v b ON a.date = b.date GROUP BY a.ticker, a.date, a.m")
+def pct_rank(spark, sf_dir):
+    rows = momentum_panel(spark, sf_dir).withColumn("m", F.round("m", 10))
+    return rows.withColumn("pr", percent_rank("m", ["date"])).where("m is not null").select("ticker", "date", (F.round("pr", 6) + 0.0).alias("pr"))
+
+
+@register("sector_neutral", f"WITH {_MOM} SELECT ticker, date, {_r('m - avg(m) OVER (PARTITION BY date, sector)', 'm')} FROM mom")
+def sector_neutral(spark, sf_dir):
+    return rounded(xsec.neutralise(momentum_panel(spark, sf_dir), ["m"]), ["m"])
+
+
+_FWD = _DENSE + ", fwd AS (SELECT ticker, date, sector, close, lead(close, 5) OVER w / lead(close, 1) OVER w - 1 AS f FROM dense WINDOW w AS (PARTITION BY ticker ORDER BY date))"
+
+
+@register("fwd_return", f"WITH {_FWD} SELECT ticker, date, {_r('f', 'fwd')}, {_r('CASE WHEN count(f) OVER (PARTITION BY date) >= 5 THEN f - avg(f) OVER (PARTITION BY date) END', 'excess')} FROM fwd")
+def fwd_return(spark, sf_dir):
+    rows = dense_bars(spark, sf_dir).withColumn("fwd", labels.forward_return(4)).withColumn("excess", labels.demean("fwd", 5))
+    return rounded(rows, ["fwd", "excess"])
+
+
+@register("fwd_market", f"WITH {_MARKET} SELECT date, {_r('CASE WHEN count(mkt_return) OVER w = 4 THEN product(1 + mkt_return) OVER w - 1 END', 'fwd_mkt', 8)} FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)")
+def fwd_market(spark, sf_dir):
+    return rounded(labels.forward_market(panel.market_returns(dense_bars(spark, sf_dir)), 4), ["fwd_mkt"], 8, ("date",))
+
+
+@register("vol_scaled_label", f"WITH {_LR}, v AS (SELECT ticker, date, {_least('stddev_samp(lr)', 'lr', 13, 6)} AS v, lead(close, 5) OVER w / lead(close, 1) OVER w - 1 AS f FROM lr WINDOW w AS (PARTITION BY ticker ORDER BY date)) SELECT ticker, date, {_r('CASE WHEN nullif(v, 0) IS NOT NULL THEN f / greatest(v, 0.0001::DOUBLE) END', 'scaled', 5)} FROM v")
+def vol_scaled_label(spark, sf_dir):
+    rows = factors.volatility(returns_panel(spark, sf_dir), W).withColumn("fwd", labels.forward_return(4))
+    return rounded(rows.withColumn("scaled", labels.vol_scaled("fwd", "vol_13")), ["scaled"], 5)
+
+
+_TB = f"""WITH {_LR}, s AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, close, {_least('stddev_samp(lr)', 'lr', 13, 6)} AS v FROM lr),
+e AS (SELECT s.ticker, s.date, s.k, n.close AS entry, n.close * exp(2 * s.v * sqrt(10)) AS hi, n.close * exp(-2 * s.v * sqrt(10)) AS lo FROM s LEFT JOIN s n ON n.ticker = s.ticker AND n.k = s.k + 1),
+p AS (SELECT e.ticker, e.date, min(e.entry) AS entry, min(x.k) FILTER (x.close >= e.hi) AS up, min(x.k) FILTER (x.close <= e.lo) AS down FROM e LEFT JOIN s x ON x.ticker = e.ticker AND x.k BETWEEN e.k + 1 AND e.k + 10 GROUP BY e.ticker, e.date)
+SELECT ticker, date, CASE WHEN entry IS NOT NULL THEN CASE WHEN coalesce(up, 1000000) < coalesce(down, 1000000) THEN 1.0::DOUBLE WHEN coalesce(down, 1000000) < coalesce(up, 1000000) THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END END AS label FROM p"""
+
+
+@register("triple_barrier", _TB)
+def triple_barrier(spark, sf_dir):
+    rows = factors.volatility(returns_panel(spark, sf_dir), W)
+    return rows.select("ticker", "date", labels.triple_barrier("vol_13", hold=10).alias("label"))
+
+
+# --- splits and models ---------------------------------------------------------------------------
+
+_FOLDS = "folds AS (SELECT k AS fold, n - (2 - k) * 40 - 1 - 39 AS test_lo, n - (2 - k) * 40 - 1 AS test_hi FROM (SELECT count(DISTINCT date) AS n FROM bars), (SELECT unnest([0, 1, 2]) AS k)), pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM bars))"
+
+
+@register("walk_forward_folds", f"WITH {_BARS}, {_FOLDS} SELECT date, CAST(pos AS INTEGER) AS pos, CAST(fold AS INTEGER) AS fold, CASE WHEN pos >= test_lo THEN 'test' ELSE 'train' END AS role FROM pos, folds WHERE pos BETWEEN test_lo AND test_hi OR pos BETWEEN test_lo - 6 - 119 AND test_lo - 6")
+def walk_forward_folds(spark, sf_dir):
+    rows = panel.bars(spark, sf_dir)
+    n = rows.select("date").distinct().count()
+    return splits.fold_roles(rows, splits.walk_forward(n, 3, 40, 120, 4)).select("date", "pos", "fold", "role")
+
+
+@register("purged_kfold", f"WITH {_BARS}, n AS (SELECT count(DISTINCT date) AS n FROM bars), b AS (SELECT CAST(k AS INTEGER) AS fold, CAST(round_even(n * k / 4.0, 0) AS BIGINT) AS lo, CAST(round_even(n * (k + 1) / 4.0, 0) AS BIGINT) - 1 AS hi FROM n, (SELECT unnest([0, 1, 2, 3]) AS k)), pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM bars)) SELECT fold, count(*) FILTER (pos BETWEEN lo AND hi) AS n_test, count(*) FILTER (pos < lo - 5 OR pos > hi + 5 + 2) AS n_train FROM pos, b GROUP BY fold")
+def purged_kfold(spark, sf_dir):
+    rows = panel.bars(spark, sf_dir)
+    roles = splits.fold_roles(rows, splits.purged_kfold(rows.select("date").distinct().count(), 4, 4, 2))
+    return roles.groupBy("fold").agg(F.count_if(F.col("role") == "test").alias("n_test"), F.count_if(F.col("role") == "train").alias("n_train"))
+
+
+def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum (rounded, so that ranks don't hang on summation order), short reversal, volatility and forward returns."""
+    rows = returns_panel(spark, sf_dir)
+    own = Window.partitionBy("ticker").orderBy("date")
+    rows = rows.withColumns({"mom": F.round(F.col("cum") - F.lag("cum", 13).over(own), 9), "rev": F.round(F.col("cum") - F.lag("cum", 4).over(own), 9)})
+    rows = factors.volatility(rows, W).withColumn("fwd", F.round(labels.forward_return(4), 9))
+    return rows.select("ticker", "date", "sector", "close", "mom", "rev", F.round("vol_13", 9).alias("vol"), "fwd", "lr")
+
+
+_SCORED = _LR + f", scored AS (SELECT ticker, date, sector, close, lr, round(cum - lag(cum, 13) OVER w, 9) AS mom, round(cum - lag(cum, 4) OVER w, 9) AS rev, round({_least('stddev_samp(lr)', 'lr', 13, 6)}, 9) AS vol, round(lead(close, 5) OVER w / lead(close, 1) OVER w - 1, 9) AS fwd FROM lr WINDOW w AS (PARTITION BY ticker ORDER BY date))"
+
+
+@register("composite_score", f"WITH {_SCORED} SELECT ticker, date, {_r('(coalesce(mom, 0) - coalesce(rev, 0) - coalesce(vol, 0)) / 3', 'score', 12)} FROM scored")
+def composite_score(spark, sf_dir):
+    model = models.Composite(["mom", "rev", "vol"], {"mom": 1.0, "rev": -1.0, "vol": -1.0})
+    return rounded(model.predict(scored_panel(spark, sf_dir), "score"), ["score"], 12)
+
+
+_RANKED = _SCORED + ", ens AS (SELECT ticker, date, CASE WHEN mom IS NOT NULL THEN (rank() OVER (PARTITION BY date, mom IS NULL ORDER BY mom) + (count(*) OVER (PARTITION BY date, mom) - 1) / 2.0::DOUBLE) / count(mom) OVER (PARTITION BY date) - 0.5::DOUBLE END AS a, CASE WHEN rev IS NOT NULL THEN (rank() OVER (PARTITION BY date, rev IS NULL ORDER BY rev) + (count(*) OVER (PARTITION BY date, rev) - 1) / 2.0::DOUBLE) / count(rev) OVER (PARTITION BY date) - 0.5::DOUBLE END AS b FROM scored)"
+
+
+@register("rank_ensemble", f"WITH {_RANKED} SELECT ticker, date, {_r('(a + b) / 2', 'ensemble')} FROM ens")
+def rank_ensemble(spark, sf_dir):
+    return rounded(models.rank_average(scored_panel(spark, sf_dir), ["mom", "rev"], "ensemble"), ["ensemble"])
+
+
+@register("ridge_walk_forward")
+def ridge_walk_forward(spark, sf_dir):
+    rows = scored_panel(spark, sf_dir).where("fwd is not null")
+    n = rows.select("date").distinct().count()
+    folds = splits.walk_forward(n, 3, 40, 120, 4)
+    names = ["mom", "rev", "vol"]
+    out = models.walk_forward_predict(rows, {"ridge": models.Ridge(names), "composite": models.Composite(names, {"mom": 1.0, "rev": -1.0, "vol": -1.0})}, folds, "fwd")
+    return models.rank_average(out, ["pred_ridge", "pred_composite"]).select("ticker", "date", "fold", "fwd", "pred_ridge", "pred_composite", "pred_ensemble")
+
+
+_GRAM_RIDGE = f"""WITH {_SCORED}, g AS (SELECT count(*) AS n, avg(mom) AS mx, avg(fwd) AS my, sum(mom * mom) AS xx, sum(mom * fwd) AS xy FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL)
+SELECT {_r('(xy - n * mx * my) / (xx - n * mx * mx + 10)', 'coef', 8)}, {_r('my - mx * (xy - n * mx * my) / (xx - n * mx * mx + 10)', 'intercept', 8)} FROM g"""
+
+
+@register("ridge_one", _GRAM_RIDGE)
+def ridge_one(spark, sf_dir):
+    fitted = models.Ridge(["mom"]).fit(scored_panel(spark, sf_dir).where("mom is not null"), "fwd")
+    return spark.createDataFrame([(round(fitted.coef["mom"], 8), round(fitted.intercept, 8))], "coef double, intercept double")
+
+
+# --- portfolios -----------------------------------------------------------------------------------
+
+_LS = _SCORED + """, live AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY mom DESC, ticker) AS top, row_number() OVER (PARTITION BY date ORDER BY mom ASC, ticker DESC) AS low FROM scored WHERE mom IS NOT NULL),
+sized AS (SELECT *, CASE WHEN n < 20 THEN greatest(n // 4, 1) ELSE 10 END AS k FROM live),
+ls AS (SELECT ticker, date, sector, vol, mom, CASE WHEN n < 4 THEN 0.0::DOUBLE WHEN top <= k THEN 0.5::DOUBLE / k WHEN low <= k THEN -0.5::DOUBLE / k ELSE 0.0::DOUBLE END AS w FROM sized)"""
+
+
+def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.rank_long_short(scored_panel(spark, sf_dir), "mom", 10, 10)
+
+
+@register("rank_ls_weights", f"WITH {_LS} SELECT ticker, date, {_r('w', 'weight')} FROM ls")
+def rank_ls_weights(spark, sf_dir):
+    return rounded(long_short(spark, sf_dir), ["weight"])
+
+
+@register("score_weights", f"WITH {_SCORED}, z AS (SELECT ticker, date, coalesce((mom - avg(mom) OVER (PARTITION BY date)) / nullif(stddev_pop(mom) OVER (PARTITION BY date), 0), 0) AS z FROM scored) SELECT ticker, date, {_r('least(greatest(coalesce(z / nullif(sum(abs(z)) OVER (PARTITION BY date), 0), 0), -0.05::DOUBLE), 0.05::DOUBLE)', 'weight')} FROM z")
+def score_weights(spark, sf_dir):
+    return rounded(portfolio.score_weighted(scored_panel(spark, sf_dir), "mom", 1.0, 0.05), ["weight"])
+
+
+@register("inverse_vol_weights", f"WITH {_LS}, v AS (SELECT ticker, date, w, w / nullif(vol, 0) AS raw FROM ls) SELECT ticker, date, {_r('CASE WHEN w = 0 THEN 0 ELSE coalesce(raw / nullif(sum(abs(raw)) OVER (PARTITION BY date, sign(w)), 0) / 2, 0) END', 'weight')} FROM v")
+def inverse_vol_weights(spark, sf_dir):
+    return rounded(portfolio.inverse_vol(long_short(spark, sf_dir), "vol"), ["weight"])
+
+
+@register("beta_neutral_weights", f"WITH {_LS}, b AS (SELECT ticker, date, w, coalesce(vol, 1) AS b FROM ls), s AS (SELECT date, sum(b * w) FILTER (w <> 0) / nullif(sum(b * b) FILTER (w <> 0), 0) AS k, count(*) FILTER (w <> 0) AS n FROM b GROUP BY date) SELECT ticker, b.date, {_r('CASE WHEN w <> 0 AND n >= 4 THEN w - coalesce(k, 0) * b ELSE w END', 'weight')} FROM b JOIN s ON b.date = s.date")
+def beta_neutral_weights(spark, sf_dir):
+    return rounded(portfolio.beta_neutral(long_short(spark, sf_dir), "vol"), ["weight"])
+
+
+@register("sector_neutral_weights", f"WITH {_LS} SELECT ticker, date, {_r('w - avg(w) OVER (PARTITION BY date, sector)', 'weight')} FROM ls")
+def sector_neutral_weights(spark, sf_dir):
+    return rounded(portfolio.sector_neutral(long_short(spark, sf_dir)), ["weight"])
+
+
+@register("joint_neutral_weights", f"WITH {_LS}, h AS (SELECT ticker, date, w, CASE WHEN w <> 0 THEN coalesce(vol, 1) END AS b FROM ls), m AS (SELECT date, avg(b) AS mb, avg(w) FILTER (w <> 0) AS mw, covar_pop(b, CASE WHEN w <> 0 THEN w END) AS c, var_pop(b) AS v FROM h GROUP BY date) SELECT ticker, h.date, {_r('CASE WHEN w <> 0 THEN w - mw - CASE WHEN v > 1e-12 THEN c / v ELSE 0 END * (b - mb) ELSE 0 END', 'weight')} FROM h JOIN m ON h.date = m.date")
+def joint_neutral_weights(spark, sf_dir):
+    return rounded(portfolio.dollar_beta_neutral(long_short(spark, sf_dir), "vol"), ["weight"])
+
+
+# --- backtests ------------------------------------------------------------------------------------
+
+
+def strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, net, turnover of weekly rebalanced momentum weights that earn the next week's return.
+
+    The synthetic prices jump by multiples, so the book takes a fiftieth of its capital and can lose 99 % at most.
+    """
+    rows = long_short(spark, sf_dir).select("ticker", "date", "weight")
+    own = Window.partitionBy("ticker").orderBy("date")
+    ahead = dense_bars(spark, sf_dir).select("ticker", "date", (F.try_divide(F.lead("close").over(own), F.col("close")) - 1).alias("ret"))
+    return backtest.simple_pnl(rows, ahead).join(backtest.turnover(rows), "date").select("date", F.greatest(F.round(F.col("gross") * 0.02, 12), F.lit(-0.99)).alias("net"), F.round("turnover", 9).alias("turnover"))
+
+
+_STRAT = _LS + """, ahead AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS ret FROM dense),
+pnl AS (SELECT date, greatest(round(sum(w * coalesce(ret, 0)) * 0.02::DOUBLE, 12), -0.99::DOUBLE) AS net FROM ls JOIN ahead USING (ticker, date) GROUP BY date),
+steps AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM ls)),
+held AS (SELECT k, ticker, w FROM ls JOIN steps USING (date) WHERE w <> 0),
+moves AS (SELECT coalesce(a.k, b.k + 1) AS k, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS turnover FROM held a FULL JOIN held b ON a.ticker = b.ticker AND a.k = b.k + 1 GROUP BY 1),
+strat AS (SELECT date, net, round(turnover, 9) AS turnover FROM pnl JOIN steps USING (date) JOIN moves USING (k))"""
+
+
+@register("strategy_pnl", f"WITH {_STRAT} SELECT date, {_r('net', 'net', 9)}, {_r('turnover', 'turnover')} FROM strat")
+def strategy_pnl(spark, sf_dir):
+    return strategy(spark, sf_dir).select("date", (F.round("net", 9) + 0.0).alias("net"), F.round("turnover", 6).alias("turnover"))
+
+
+_CURVE = _STRAT + ", eq AS (SELECT date, net, exp(sum(ln(1 + net)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM strat), dd AS (SELECT date, equity, equity / max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"
+
+
+@register("equity_curve", f"WITH {_CURVE} SELECT date, {_r('equity', 'equity')}, {_r('drawdown', 'drawdown')} FROM dd")
+def equity_curve(spark, sf_dir):
+    return rounded(evaluation.equity(strategy(spark, sf_dir)), ["equity", "drawdown"], 6, ("date",))
+
+
+@register("longest_drawdown", f"WITH {_CURVE}, g AS (SELECT round(drawdown, 9) < 0 AS u, count(*) FILTER (round(drawdown, 9) >= 0) OVER (ORDER BY date) AS island FROM dd) SELECT max(n) AS longest FROM (SELECT island, count(*) AS n FROM g WHERE u GROUP BY island)")
+def longest_drawdown(spark, sf_dir):
+    return evaluation.longest_drawdown(evaluation.equity(strategy(spark, sf_dir)))
+
+
+@register("monthly_returns", f"WITH {_STRAT} SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, {_r('exp(sum(ln(1 + net))) - 1', 'ret')} FROM strat GROUP BY 1, 2")
+def monthly_returns(spark, sf_dir):
+    return rounded(evaluation.monthly(strategy(spark, sf_dir)), ["ret"], 6, ("year", "month"))
+
+
+_PERF = f"""WITH {_STRAT}, q AS (SELECT quantile_cont(net, 0.05) AS v FROM strat), s AS (SELECT count(*) AS n, exp(sum(ln(1 + net)) * 52 / count(*)) - 1 AS ar, stddev_samp(net) * sqrt(52) AS av, avg(net) / stddev_samp(net) * sqrt(52) AS sh, avg(net) / stddev_samp(net) FILTER (net < 0) * sqrt(52) AS so, avg(net) FILTER (net <= v) AS cv, any_value(v) AS v, max(net) AS best, min(net) AS worst, count(*) FILTER (net > 0) / count(*) AS hit FROM strat, q)
+SELECT n, {_r('ar', 'ann_return')}, {_r('av', 'ann_vol')}, {_r('sh', 'sharpe')}, {_r('so', 'sortino')}, {_r('v', 'var5')}, {_r('cv', 'cvar5')}, {_r('best', 'best')}, {_r('worst', 'worst')}, {_r('hit', 'hit_rate')} FROM s"""
+
+
+@register("perf_stats", _PERF)
+def perf_stats(spark, sf_dir):
+    return rounded(evaluation.performance(strategy(spark, sf_dir), year=52), ["ann_return", "ann_vol", "sharpe", "sortino", "var5", "cvar5", "best", "worst", "hit_rate"], 6, ("n",))
+
+
+@register("benchmark_stats", f"WITH {_STRAT}, mk AS (WITH f AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense), s AS (SELECT date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM f) SELECT date, avg(r) AS m FROM s GROUP BY date), j AS (SELECT net, m FROM strat JOIN mk USING (date) WHERE m IS NOT NULL) SELECT {_r('covar_samp(net, m) / var_pop(m)', 'beta')}, {_r('corr(net, m)', 'corr')}, {_r('avg(net - m) / stddev_samp(net - m) * sqrt(52)', 'info_ratio')} FROM j")
+def benchmark_stats(spark, sf_dir):
+    market = panel.market_returns(dense_bars(spark, sf_dir))
+    return rounded(evaluation.against_benchmark(strategy(spark, sf_dir), market, year=52), ["beta", "corr", "info_ratio"], 6, ())
+
+
+_NW = f"""WITH {_STRAT}, d AS (SELECT row_number() OVER (ORDER BY date) AS k, net - avg(net) OVER () AS d FROM strat), n AS (SELECT count(*) AS n FROM d), g AS (SELECT b.k - a.k AS lag, sum(a.d * b.d) AS c FROM d a JOIN d b ON b.k - a.k BETWEEN 0 AND 4 GROUP BY 1)
+SELECT {_r('(SELECT avg(net) FROM strat)', 'mean', 9)}, {_r('(SELECT avg(net) FROM strat) / sqrt((SELECT sum(CASE WHEN lag = 0 THEN c ELSE 2 * (1 - lag / 5.0::DOUBLE) * c END) FROM g) / n / n)', 't')}, n FROM n"""
+
+
+@register("newey_west", _NW)
+def newey_west(spark, sf_dir):
+    return evaluation.newey_west(strategy(spark, sf_dir), "net", 4).select((F.round("mean", 9) + 0.0).alias("mean"), (F.round("t", 6) + 0.0).alias("t"), "n")
+
+
+@register("capacity_grid", f"WITH {_STRAT}, g AS (SELECT unnest([0, 2, 5, 10, 20, 50])::DOUBLE AS cost_bps) SELECT cost_bps, {_r('avg(net - turnover * cost_bps / 1e4) * 52', 'ann_return')}, {_r('avg(net - turnover * cost_bps / 1e4) / stddev_samp(net - turnover * cost_bps / 1e4) * sqrt(52)', 'sharpe')} FROM strat, g GROUP BY cost_bps")
+def capacity_grid(spark, sf_dir):
+    return rounded(evaluation.capacity(strategy(spark, sf_dir), [0, 2, 5, 10, 20, 50], year=52), ["ann_return", "sharpe"], 6, ("cost_bps",))
+
+
+@register("rolling_sharpe", f"WITH {_STRAT} SELECT date, {_r('CASE WHEN count(net) OVER w = 52 THEN avg(net) OVER w / nullif(stddev_samp(net) OVER w, 0) * sqrt(52) END', 'rolling_sharpe', 5)} FROM strat WINDOW w AS (ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)")
+def rolling_sharpe(spark, sf_dir):
+    return rounded(evaluation.rolling_sharpe(strategy(spark, sf_dir), window=52, year=52), ["rolling_sharpe"], 5, ("date",))
+
+
+@register("backtest_book")
+def backtest_book(spark, sf_dir):
+    rows = scored_panel(spark, sf_dir)
+    dates = backtest.rebalance_dates(rows.where("mom is not null"), 4)
+    targets = None
+    for name in ("mom", "rev"):
+        own = portfolio.rank_long_short(rows.join(F.broadcast(dates), "date", "left_semi"), name, 10, 10).select(F.lit(name).alias("model"), "date", "ticker", "weight")
+        targets = own if targets is None else targets.union(own)
+    gaps = Window.partitionBy("ticker").orderBy("date")
+    filled = grid.fill_by_ticker(dense_bars(spark, sf_dir), ["close"])
+    rets = filled.select("date", "ticker", (F.try_divide("close_ffill", F.lag("close_ffill").over(gaps)) - 1).alias("ret"))
+    return backtest.book(targets, rets, backtest.Rules(horizon=4, turnover_cap=0.4, vol_target=0.1))
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+_IC = _SCORED + """, j AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY mom) + (count(*) OVER (PARTITION BY date, mom) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0::DOUBLE AS t FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL),
+ic AS (SELECT date, count(*) AS names, corr(p, t) AS ic FROM j GROUP BY date HAVING count(*) >= 5 AND stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12)"""
+
+
+def momentum_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.daily_ic(scored_panel(spark, sf_dir), "mom", "fwd")
+
+
+@register("daily_ic", f"WITH {_IC} SELECT date, names, {_r('ic', 'ic', 8)} FROM ic")
+def daily_ic(spark, sf_dir):
+    return momentum_ic(spark, sf_dir).select("date", "names", (F.round("ic", 8) + 0.0).alias("ic"))
+
+
+@register("ic_momentum", f"WITH {_IC} SELECT {_r('avg(ic)', 'mean_ic', 8)}, {_r('stddev_samp(ic)', 'std_ic', 8)}, {_r('avg(ic) / stddev_samp(ic) * sqrt(252)', 'icir')}, {_r('count(*) FILTER (round(ic, 12) > 0) / count(*)', 'hit_rate')}, count(*) AS n_dates FROM ic")
+def ic_momentum(spark, sf_dir):
+    """The flagship: mean weekly rank IC of 13-week momentum against the 4-week forward return (which demeaning per date does not change)."""
+    out = evaluation.ic_summary(momentum_ic(spark, sf_dir))
+    return out.select((F.round("mean_ic", 8) + 0.0).alias("mean_ic"), (F.round("std_ic", 8) + 0.0).alias("std_ic"), (F.round("icir", 6) + 0.0).alias("icir"), (F.round("hit_rate", 6) + 0.0).alias("hit_rate"), "n_dates")
+
+
+@register("rolling_ic", f"WITH {_IC} SELECT date, {_r('CASE WHEN count(ic) OVER w = 13 THEN avg(ic) OVER w END', 'rolling_ic', 8)} FROM ic WINDOW w AS (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)")
+def rolling_ic(spark, sf_dir):
+    return rounded(evaluation.rolling_ic(momentum_ic(spark, sf_dir), 13), ["rolling_ic"], 8, ("date",))
+
+
+@register("quantile_spread", f"WITH {_SCORED}, k AS (SELECT date, fwd, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY mom, ticker) AS k FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL) SELECT CAST(greatest(ceil((k - 1) * 5 / (n - 1)), 1) AS INTEGER) AS bucket, {_r('avg(fwd)', 'mean_fwd', 8)}, {_r('stddev_samp(fwd)', 'std_fwd', 8)}, count(*) AS n FROM k WHERE n >= 10 GROUP BY 1")
+def quantile_spread(spark, sf_dir):
+    return evaluation.quantile_ladder(scored_panel(spark, sf_dir), "mom", "fwd").select("bucket", (F.round("mean_fwd", 8) + 0.0).alias("mean_fwd"), (F.round("std_fwd", 8) + 0.0).alias("std_fwd"), "n")
+
+
+@register("prediction_error", f"WITH {_SCORED} SELECT {_r('sqrt(avg((fwd - mom) * (fwd - mom)))', 'rmse')}, {_r('1 - sum((fwd - mom) * (fwd - mom)) / sum(fwd * fwd)', 'oos_r2')}, count(*) AS n FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL")
+def prediction_error(spark, sf_dir):
+    return evaluation.prediction_error(scored_panel(spark, sf_dir), "mom", "fwd").select((F.round("rmse", 6) + 0.0).alias("rmse"), (F.round("oos_r2", 6) + 0.0).alias("oos_r2"), "n")
+
+
+_SWEEP = f"""WITH {_SCORED}, u AS (SELECT date, 'mom' AS feature, mom AS v, fwd FROM scored UNION ALL SELECT date, 'rev', rev, fwd FROM scored UNION ALL SELECT date, 'vol', vol, fwd FROM scored),
+j AS (SELECT feature, date, rank() OVER (PARTITION BY feature, date ORDER BY v) + (count(*) OVER (PARTITION BY feature, date, v) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY feature, date ORDER BY fwd) + (count(*) OVER (PARTITION BY feature, date, fwd) - 1) / 2.0::DOUBLE AS t FROM u WHERE v IS NOT NULL AND fwd IS NOT NULL),
+i AS (SELECT feature, date, corr(p, t) AS ic FROM j GROUP BY feature, date HAVING count(*) >= 5 AND stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12)
+SELECT 'fwd' AS target, feature, {_r('avg(ic)', 'mean_ic', 8)}, {_r('avg(ic) / stddev_samp(ic) * sqrt(count(*))', 't')}, count(*) AS dates FROM i GROUP BY feature"""
+
+
+@register("factor_sweep", _SWEEP)
+def factor_sweep(spark, sf_dir):
+    return evaluation.factor_sweep(scored_panel(spark, sf_dir), ["mom", "rev", "vol"], ["fwd"]).select("target", "feature", (F.round("mean_ic", 8) + 0.0).alias("mean_ic"), (F.round("t", 6) + 0.0).alias("t"), "dates")
+
+
+@register("screen_topk", f"WITH {_SCORED}, d AS (SELECT * FROM scored WHERE date = (SELECT max(date) FROM scored) AND vol IS NOT NULL) SELECT date, ticker, {_r('vol', 'score')}, 'long' AS side FROM (SELECT * FROM d ORDER BY vol DESC, ticker LIMIT 10) UNION ALL SELECT date, ticker, {_r('vol', 'score')}, 'short' FROM (SELECT * FROM d ORDER BY vol, ticker LIMIT 10)")
+def screen_topk(spark, sf_dir):
+    return serving.screen(scored_panel(spark, sf_dir), "vol").select("date", "ticker", F.round("score", 6).alias("score"), "side")
+
+
+@register("bootstrap_sharpe")
+def bootstrap_sharpe(spark, sf_dir):
+    return evaluation.bootstrap_sharpe(strategy(spark, sf_dir), n_boot=1000, year=52)
+
+
+@register("randomisation_test")
+def randomisation_test(spark, sf_dir):
+    return evaluation.randomisation(scored_panel(spark, sf_dir), "mom", "fwd", 50)
+
+
+@register("overfit_probability")
+def overfit_probability(spark, sf_dir):
+    rows, own = scored_panel(spark, sf_dir), Window.partitionBy("ticker").orderBy("date")
+    ahead = dense_bars(spark, sf_dir).select("ticker", "date", (F.try_divide(F.lead("close").over(own), F.col("close")) - 1).alias("ret"))
+    out = None
+    for name in ("mom", "rev", "vol"):
+        one = backtest.simple_pnl(portfolio.rank_long_short(rows, name, 10, 10).select("ticker", "date", "weight"), ahead).select(F.lit(name).alias("model"), "date", F.col("gross").alias("net"))
+        out = one if out is None else out.union(one)
+    return evaluation.overfit_probability(out)
+
+
+@register("variance_losses")
+def variance_losses(spark, sf_dir):
+    rows = returns_panel(spark, sf_dir).select("ticker", "date", "lr")
+    found = volatility.forecasts(rows, "lr", ("ewma", "har"), har={"least": 60})
+    return volatility.losses(found, "ewma").withColumn("model", F.lit("ewma")).union(volatility.losses(found, "har").withColumn("model", F.lit("har")))
+
+
+@register("qlike_ewma", f"""WITH RECURSIVE {_LR}, x AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, lr * lr AS v FROM lr WHERE lr IS NOT NULL),
+e AS (SELECT ticker, k, v, v AS s, CAST(NULL AS DOUBLE) AS f FROM x WHERE k = 1 UNION ALL SELECT x.ticker, x.k, x.v, 0.94::DOUBLE * e.s + 0.06::DOUBLE * x.v, e.s FROM e JOIN x ON x.ticker = e.ticker AND x.k = e.k + 1)
+SELECT ticker, {_r('avg(v / f - ln(greatest(v, 1e-16) / f) - 1)', 'qlike', 4)}, count(*) AS n FROM e WHERE f IS NOT NULL AND f > 0 GROUP BY ticker""")
+def qlike_ewma(spark, sf_dir):
+    rows = returns_panel(spark, sf_dir).select("ticker", "date", "lr")
+    return volatility.losses(volatility.forecasts(rows, "lr", ("ewma",)), "ewma", ("ticker",)).select("ticker", F.round("qlike", 4).alias("qlike"), "n")
