@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import percent_rank
 from ..operators import backtest, evaluation, factors, grid, labels, models, portfolio, quality, serving, splits, volatility, xsec
+from ..session import cut
 from ..sources import panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +221,7 @@ def feature_table(spark, sf_dir):
     names = factors.factor_names(W)
     rows = factors.factor_table(rows, panel.market_returns(rows), W)
     rows = rows.withColumns({"beta_raw": F.col(f"beta_{W.long}"), "vol_raw": F.col(f"vol_{W.vols[-1]}")})
-    rows = labels.build_labels(rows, horizon=4, min_names=5)
+    rows = cut(labels.build_labels(rows, horizon=4, min_names=5))
     rows = quality.feature_mask(xsec.normalise(rows, names), names)
     return quality.thin_dates(rows, 5).select("date", "ticker", "sector", "target", "fwd_return", "close", "dollar_volume", "beta_raw", "vol_raw", *names)
 
