@@ -148,7 +148,7 @@ def set_digest(ordered: np.ndarray) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def minhash_family(k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    base = mix64(np.arange(1, 2 * k + 1, dtype=np.uint64) + np.uint64(seed) * _GOLD)
+    base = mix64(np.arange(1, 2 * k + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     return base[:k], base[k:] | np.uint64(1)
 
 
