@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_benchmark_decontamination
 from .fingerprints import op6_document_fingerprints
 from .html_text import op9_html_extraction
-from .minhash_dedup import op2_minhash_near_dedup
+from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .paragraph_dedup import op7_substring_dedup
 from .pitman_yor import op4_lm_scoring
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_minhash_near_dedup": OP2_SQL}
