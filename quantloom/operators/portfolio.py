@@ -118,6 +118,19 @@ def mean_variance(scores: np.ndarray, returns: np.ndarray, gross: float = 1.0, c
     return np.clip(w, -cap, cap) if cap else w
 
 
+def mean_variance_by_date(scores: DataFrame, history: DataFrame, score: str, gross: float = 1.0, cap: float | None = None, keys: tuple[str, ...] = DATE) -> DataFrame:
+    """Weights per date from scores and ``history`` (the date's keys, ticker, returns: an array of the trailing returns, of equal lengths): one dense solve a date, whose names are a bounded cross-section."""
+    rows = scores.where(F.col(score).isNotNull()).join(history, [*keys, "ticker"])
+    schema = ", ".join([*(f"{k} {dict(scores.dtypes)[k]}" for k in keys), f"ticker {dict(scores.dtypes)['ticker']}", "weight double"])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ticker")
+        w = mean_variance(g[score].to_numpy(float), np.column_stack([np.asarray(r, float) for r in g["returns"]]), gross, cap)
+        return g[[*keys, "ticker"]].assign(weight=w)
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
 def volatility_scalar(returns: np.ndarray, target: float, lookback: int, cap: float) -> float:
     recent = np.asarray(returns)[-lookback:]
     if len(recent) < lookback // 2 or len(recent) < 2 or recent.std(ddof=1) == 0:
