@@ -126,7 +126,7 @@ def test_weights(spark):
     joint = portfolio.joint_neutral(portfolio.rank_long_short(df, "s", 10, 10), "beta").toPandas()
     assert abs((joint.weight * joint.beta).sum()) < 1e-10 and joint.groupby("sector").weight.sum().abs().max() < 1e-10
     assert portfolio.rank_long_short(df.limit(3), "s", 10, 10).agg(F.sum(F.abs("weight"))).first()[0] == 0
-    history = df.select("date", "ticker").withColumn("returns", F.transform(F.sequence(F.lit(1), F.lit(80)), lambda k: F.sin(k * F.hash("ticker"))))
+    history = spark.createDataFrame([("d", f"T{i:02d}", rng.normal(size=80).tolist()) for i in range(60)], "date string, ticker string, returns array<double>")
     solved = portfolio.mean_variance_by_date(df, history, "s").toPandas()
     assert len(solved) == 60 and abs(solved.weight.sum()) < 1e-9 and abs(solved.weight.abs().sum() - 1) < 1e-9
     cov = portfolio.shrunk_covariance(rng.normal(size=(50, 20)))
