@@ -9,9 +9,11 @@ only, so a passage that is copied into other text is cut alike there.
    documents repeats, so a class that fills the corpus sends two rows a chunk.
 2. ``BANDS`` MinHash minima of each class with at least three shingles are banded (one row a band, so that
    pairs at the threshold are found with a chance of 98 %).  In a bucket every class is paired with the
-   smallest, a number of pairs linear in the rows; Jaccard similarity is confirmed on the full sets, which
-   a second pass fetches for the candidates only (through a bitmap of fixed size).
-3. Confirmed pairs are clustered by connected components.  Of each cluster the first occurrence, by
+   smallest, its hub, a number of pairs linear in the rows; Jaccard similarity is confirmed on the full sets,
+   which a second pass fetches for the candidates only (through a bitmap of fixed size).
+3. Members of a hub's buckets that are then still in different components are compared with each other, on
+   the full sets, in pairs of blocks of bounded size.  So no link is lost to the hub shortcut.
+4. Confirmed pairs are clustered by connected components.  Of each cluster the first occurrence, by
    doc_id and place, is kept; the others are removals.
 
 Runs of neighbouring repeated paragraphs of under ``LEAST_WORDS`` words are not reported.
@@ -37,6 +39,8 @@ LEAST_WORDS = 16
 BITMAP_BITS = 1 << 23
 #: Text bytes that a part stands for, about.
 PART_BYTES = 16 << 20
+#: Classes, and bytes of their sets, in a block of a bucket, about.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MEMBERS = "digest long, doc_id long, start long, n_words long, other long"
 
@@ -203,6 +207,73 @@ def _confirm(percent: int):
     return run
 
 
+class _Index:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray], at: np.ndarray) -> None:
+        flat = np.concatenate([sets[k] for k in at.tolist()]) if len(at) else np.zeros(0, np.uint64)
+        owner = np.repeat(at, [len(sets[k]) for k in at.tolist()])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.n = flat[order], owner[order], len(sets)
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """How many shingles each set has in common with ``x``."""
+        low, high = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        reps = high - low
+        at = np.repeat(low - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def _across(percent: int):
+    """For block pairs of hubs' members, sorted by them: confirmed pairs in different components, of a class one with each component."""
+
+    def compare(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        ids, comp, block = (rows.column(c).to_numpy() for c in ("node", "component", "block"))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        right = np.flatnonzero(block == j)
+        left = np.flatnonzero(block == i)
+        if not len(right) or not len(left):
+            return
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows.column("shingles")]
+        size = np.array([len(s) for s in sets])
+        kinds, n = np.unique(comp[right], return_counts=True)
+        largest = kinds[n.argmax()]
+        outside = right[comp[right] != largest]
+        every, others = None, _Index(sets, outside)
+        for x in left.tolist():
+            if comp[x] != largest and every is None:
+                every = _Index(sets, right)
+            both = (others if comp[x] == largest else every).shared(sets[x])
+            good = np.flatnonzero((both > 0) & (comp != comp[x]) & (100 * both >= percent * (size + size[x] - both)))
+            for y in good[np.unique(comp[good], return_index=True)[1]].tolist():
+                yield min(ids[x], ids[y]), max(ids[x], ids[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, ["hub", "i", "j"]):
+            if out := list(compare(rows)):
+                a, b = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes by confirmed pairs: first of hubs (a) with their members (b), then between members still apart."""
+    side = lambda n: sets.select(F.col("digest").alias(n), F.col("shingles").alias(f"{n}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    edges = cut(both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"))
+    labels = connected_components(edges)
+    rest = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = rest.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    rest = cut(rest.join(split, "hub").join(sets.withColumnRenamed("digest", "node"), "node"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
+    rest = rest.join(rest.groupBy("hub").agg(blocks.alias("blocks")), "hub")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block", "shingles")
+    more = cut(rest.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct())
+    return labels if more.isEmpty() else connected_components(edges.union(more))
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = 0.75, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start and end word, cluster_id and kept of every paragraph that other documents repeat."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
@@ -217,9 +288,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.75, least_words:
     wanted = pairs.select("digest").union(pairs.select("other")).distinct()
     near = cut(near.join(wanted, "digest", "left_semi"))
     sets = near.groupBy("digest").agg(F.min_by("shingles", F.struct("doc_id", "start")).alias("shingles"))
-    side = lambda n: sets.select(F.col("digest").alias(n), F.col("shingles").alias(f"{n}_set"))
-    both = pairs.select(F.col("digest").alias("a"), F.col("other").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    labels = connected_components(both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(round(100 * similarity)), "a long, b long"))
+    labels = _joined(pairs.select(F.col("digest").alias("a"), F.col("other").alias("b")), sets, round(100 * similarity))
     labels = cut(labels.select(F.col("node").alias("digest"), F.col("component").alias("cluster")))
 
     linked = near.join(labels, "digest").select("digest", "doc_id", "start", "n_words", "cluster")

@@ -70,3 +70,25 @@ def test_near_paragraphs_join_one_cluster(spark):
     docs = [(i, base + " ".join(["tail", *(words[i * 3 + k] for k in range(1))])) for i in range(3)]
     assert repeated_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert isinstance(repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).count(), int)
+
+
+def test_paragraph_clusters_equal_brute_force(spark):
+    rnd = random.Random(5)
+    words = vocabulary(rnd, 3000)
+    texts = []
+    for _ in range(6):
+        base = sentence(rnd, words, 13).split(" ")  # too short for a content-defined cut
+        for _ in range(40):
+            a, b = rnd.randint(0, 2), rnd.randint(0, 2)
+            texts.append(" ".join([*(rnd.choice(words[:4]) for _ in range(a)), *base[a : 13 - b], *(rnd.choice(words[:4]) for _ in range(b))]))
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(len(texts), links)
+    got = repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), least_words=1).collect()
+    clusters = {}
+    for r in got:
+        clusters.setdefault(r["cluster_id"], set()).add(r["doc_id"])
+    groups = {}
+    for i, c in enumerate(want):
+        groups.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, clusters.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
