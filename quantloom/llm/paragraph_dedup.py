@@ -1,22 +1,25 @@
 """Repeated passages across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line or, of a long line, a content-defined piece: a line is cut before each word whose
-hashed three words are lowest within ``REACH`` words to either side.  Such cuts depend on nearby words
-only, so a passage that is copied into other text is cut alike there.
+A paragraph is a line as a whole and, of a long line, also each content-defined piece: a line is cut before
+each word whose hashed three words are lowest within ``REACH`` words to either side.  Such cuts depend on
+nearby words only, so a passage that is copied into other text is cut alike there.
 
 1. A paragraph's set is its distinct five-word shingles.  Paragraphs with equal sets form a class;
    classes that at least two documents hold are duplicates.  A task first combines what its chunk of
    documents repeats, so a class that fills the corpus sends two rows a chunk.
 2. ``BANDS`` MinHash minima of each class with at least three shingles are banded (one row a band, so that
-   pairs at the threshold are found with a chance of 98 %).  In a bucket every class is paired with the
+   pairs at the threshold are found with a chance of 98 %).  Classes that no other of their bucket can reach
+   by set size and by a parity bitmap of 64 bits are left out first: two sets differ in at least as many
+   shingles as their bitmaps in bits, so no link is lost.  In a bucket every class is paired with the
    smallest, its hub, a number of pairs linear in the rows; Jaccard similarity is confirmed on the full sets,
    which a second pass fetches for the candidates only (through a bitmap of fixed size).
 3. Members of a hub's buckets that are then still in different components are compared with each other, on
    the full sets, in pairs of blocks of bounded size.  So no link is lost to the hub shortcut.
 4. Confirmed pairs are clustered by connected components.  Of each cluster the first occurrence, by
-   doc_id and place, is kept; the others are removals.
+   doc_id and place, is kept; the others are removals.  Pieces of a line that is itself a removal are not
+   reported again and are no first occurrence; pieces of other reported lines are, so rows may overlap.
 
-Runs of neighbouring repeated paragraphs of under ``LEAST_WORDS`` words are not reported.
+Runs of neighbouring repeated paragraphs of under ``LEAST_WORDS`` words are not reported, whether they are lines or pieces.
 
 Defined results: null and wordless texts have no paragraphs; rows with a null doc_id are left out; rows that
 repeat a doc_id count as one document.
@@ -41,16 +44,18 @@ BITMAP_BITS = 1 << 23
 PART_BYTES = 16 << 20
 #: Classes, and bytes of their sets, in a block of a bucket, about.
 BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: In larger groups all classes count as reachable.
+PAIRED = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_MEMBERS = "digest long, doc_id long, start long, n_words long, other long"
+_MEMBERS = "digest long, doc_id long, start long, length long, other long"
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each paragraph and the end, first word of each text and the end)."""
+def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each piece and the end, first word of each line and the end, first word of each text and the end)."""
     hashes, start, _, bounds = words(data, offsets)
     n = len(hashes)
     if not n:
-        return hashes, np.zeros(1, np.int64), bounds
+        return hashes, np.zeros(1, np.int64), np.zeros(1, np.int64), bounds
     lines = np.flatnonzero(data == 10)
     new = np.zeros(n + 1, bool)
     new[bounds] = True
@@ -68,20 +73,28 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     to_next = edge[np.searchsorted(edge, np.arange(n), "right")] - np.arange(n)
     since = np.arange(n) - edge[np.searchsorted(edge, np.arange(n), "right") - 1]
     new[:n] |= lowest & (to_next > REACH + 2) & (since > REACH)
-    return hashes, np.flatnonzero(new), bounds
+    return hashes, np.flatnonzero(new), edge, bounds
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    """(text, start, words, digest, set size) arrays of the paragraphs and their sets as one array with bounds."""
-    hashes, cuts, bounds = paragraphs(data, offsets)
+    """(text, start, length, digest, set size) arrays of the pieces and of the lines of several pieces, and their sets as one array with bounds.
+
+    A length is twice the number of words, plus one for a line of several pieces.
+    """
+    hashes, cuts, lines, bounds = paragraphs(data, offsets)
+    pieces = np.diff(np.searchsorted(cuts, lines))
+    long = np.flatnonzero(pieces > 1)
     sets = [distinct(s) for s in shingles(hashes, cuts)] if len(hashes) else []
+    sets += [distinct(s) for s, n in zip(shingles(hashes, lines), pieces.tolist(), strict=True) if n > 1] if len(long) else []
+    first = np.concatenate([cuts[:-1], lines[long]])
+    length = np.concatenate([np.diff(cuts) * 2, np.diff(lines)[long] * 2 + 1])
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     edge = np.concatenate([[0], np.cumsum(size)])
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(flat ^ _GOLD))]) if len(flat) else np.zeros(1, np.uint64)
     digest = mix64((total[edge[1:]] - total[edge[:-1]]) ^ (size.astype(np.uint64) * _GOLD))
-    text = np.searchsorted(bounds, cuts[:-1], "right") - 1
-    return text, cuts[:-1] - bounds[text], np.diff(cuts), digest, size, flat, edge
+    text = np.searchsorted(bounds, first, "right") - 1
+    return text, first - bounds[text], length, digest, size, flat, edge
 
 
 def _deal(parts: int):
@@ -110,11 +123,12 @@ def _deal(parts: int):
                     rows += _packed(kind, place.astype(np.int64), digest[pick], doc[pick], start[pick].astype(np.int32), count[pick].astype(np.int32))
                 near = order[first][size[order[first]] >= 3]
                 if len(near):
+                    parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), edge[:-1])
                     for band in range(BANDS):
                         hashed = mix64((flat ^ add[band]) * mult[band])
                         low = mix64(np.minimum.reduceat(hashed, edge[:-1])[near] + np.uint64(band))
                         place = (low >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                        rows += _packed(2, place.astype(np.int64), low, digest[near].view(np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+                        rows += _packed(2, place.astype(np.int64), low, digest[near].view(np.int64), size[near].astype(np.int32), parity[near])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "kind", "x", "y", "start", "count"])
 
     return run
@@ -127,36 +141,58 @@ def _packed(kind: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
 
 
 def _members(digest, doc, start, count, other) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64)) for c in (digest.view(np.int64), doc, start, count, other)], names=["digest", "doc_id", "start", "n_words", "other"])
-
-
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of classes in several documents (n_words > 0), and candidate pairs of classes (digest, other; n_words 0)."""
-    for rows in sorted_groups(batches, ["part", "kind"]):
-        kind = rows.column("kind")[0].as_py()
-        get = lambda c, t, rows=rows: np.concatenate([np.frombuffer(v.as_py(), t) for v in rows.column(c)])
-        x, y = get("x", np.uint64), get("y", np.int64)
-        if kind == 2:
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            new = np.concatenate([[True], x[1:] != x[:-1]])
-            hub = y[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            apart = hub != y
-            if apart.any():
-                pairs = np.unique(np.stack([hub[apart], y[apart]]), axis=1)
-                zero = np.zeros(pairs.shape[1], np.int64)
-                yield _members(pairs[0], zero, zero, zero, pairs[1])
-            continue
-        start, count = get("start", np.int32), get("count", np.int32)
-        if kind == 0:
-            order = np.lexsort((start, y, x))
-            x, y, start, count = x[order], y[order], start[order], count[order]
-            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            sizes = np.diff(np.append(first, len(x)))
-            several = np.repeat(y[first] != y[first + sizes - 1], sizes)
-            x, y, start, count = (c[several] for c in (x, y, start, count))
-        if len(x):
-            yield _members(x, y, start, count, np.zeros(len(x)))
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(np.int64)) for c in (digest.view(np.int64), doc, start, count, other)], names=["digest", "doc_id", "start", "length", "other"])
+
+
+def _reachable(key: np.ndarray, digest: np.ndarray, size: np.ndarray, parity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its group, digest), sorted, of the classes that may have a partner: groups are buckets, split where no set size of one side allows any of the other."""
+    order = np.lexsort((digest, size, key))
+    key, digest, size, parity = key[order], digest[order], size[order], parity[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
+    key, digest, size, parity = key[once], digest[once], size[once], parity[once]
+    group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (100 * size[:-1] < percent * size[1:])]))
+    n = np.bincount(group)
+    may = n[group] > PAIRED
+    for step in range(1, PAIRED):
+        a = np.flatnonzero((group[step:] == group[:-step]) & (n[group[step:]] <= PAIRED))
+        if not len(a):
+            break
+        b = a + step
+        good = (100 * size[a] >= percent * size[b]) & ((100 + percent) * np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64) <= (100 - percent) * (size[a] + size[b]))
+        may[a[good]] = may[b[good]] = True
+    group, digest = group[may], digest[may]
+    order = np.lexsort((digest, group))
+    return np.unique(group[order], return_inverse=True)[1], digest[order]
+
+
+def _group(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of classes in several documents (length > 0), and candidate pairs of classes (digest, other; length 0)."""
+        for rows in sorted_groups(batches, ["part", "kind"]):
+            kind = rows.column("kind")[0].as_py()
+            get = lambda c, t, rows=rows: np.concatenate([np.frombuffer(v.as_py(), t) for v in rows.column(c)])
+            x, y = get("x", np.uint64), get("y", np.int64)
+            if kind == 2:
+                x, y = _reachable(x, y, get("start", np.int32).astype(np.int64), get("count", np.uint64), percent)
+                hub = y[np.flatnonzero(np.diff(x, prepend=-1))[x]] if len(x) else y
+                apart = hub != y
+                if apart.any():
+                    pairs = np.unique(np.stack([hub[apart], y[apart]]), axis=1)
+                    zero = np.zeros(pairs.shape[1], np.int64)
+                    yield _members(pairs[0], zero, zero, zero, pairs[1])
+                continue
+            start, count = get("start", np.int32), get("count", np.int32)
+            if kind == 0:
+                order = np.lexsort((start, y, x))
+                x, y, start, count = x[order], y[order], start[order], count[order]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                sizes = np.diff(np.append(first, len(x)))
+                several = np.repeat(y[first] != y[first + sizes - 1], sizes)
+                x, y, start, count = (c[several] for c in (x, y, start, count))
+            if len(x):
+                yield _members(x, y, start, count, np.zeros(len(x)))
+
+    return run
 
 
 def _slots(digest: np.ndarray) -> np.ndarray:
@@ -190,7 +226,7 @@ def _fetch(bitmap: np.ndarray):
                 at = np.flatnonzero(bitmap[_slots(digest)]) if len(digest) else []
                 if len(at):
                     sets = pa.array([flat[edge[i] : edge[i + 1]].tobytes() for i in at.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[at].view(np.int64)), pa.array(ids[a:b].astype(np.int64)[text[at]]), pa.array(start[at]), pa.array(count[at]), sets], names=["digest", "doc_id", "start", "n_words", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[at].view(np.int64)), pa.array(ids[a:b].astype(np.int64)[text[at]]), pa.array(start[at]), pa.array(count[at]), sets], names=["digest", "doc_id", "start", "length", "shingles"])
 
     return run
 
@@ -280,32 +316,40 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.75, least_words:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     dealt = docs.mapInArrow(_deal(parts), "part int, kind int, x binary, y binary, start binary, count binary")
-    found = cut(dealt.repartition(min(parts * 3, 4096), "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_group, _MEMBERS))
-    exact = found.where("n_words > 0").select("digest", "doc_id", "start", "n_words")
+    found = cut(dealt.repartition(min(parts * 3, 4096), "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_group(round(100 * similarity)), _MEMBERS))
+    exact = found.where("length > 0").select("digest", "doc_id", "start", "length")
 
-    pairs = found.where("n_words = 0").select("digest", "other").distinct()
-    near = docs.mapInArrow(_fetch(_bitmap(pairs)), "digest long, doc_id long, start long, n_words long, shingles binary")
+    pairs = found.where("length = 0").select("digest", "other").distinct()
+    near = docs.mapInArrow(_fetch(_bitmap(pairs)), "digest long, doc_id long, start long, length long, shingles binary")
     wanted = pairs.select("digest").union(pairs.select("other")).distinct()
     near = cut(near.join(wanted, "digest", "left_semi"))
     sets = near.groupBy("digest").agg(F.min_by("shingles", F.struct("doc_id", "start")).alias("shingles"))
     labels = _joined(pairs.select(F.col("digest").alias("a"), F.col("other").alias("b")), sets, round(100 * similarity))
     labels = cut(labels.select(F.col("node").alias("digest"), F.col("component").alias("cluster")))
 
-    linked = near.join(labels, "digest").select("digest", "doc_id", "start", "n_words", "cluster")
-    alone = exact.join(labels, "digest", "left").select("digest", "doc_id", "start", "n_words", F.coalesce("cluster", "digest").alias("cluster"))
-    members = linked.union(alone).dropDuplicates(["doc_id", "start"])
-    spread = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
+    linked = near.join(labels, "digest").select("digest", "doc_id", "start", "length", "cluster")
+    alone = exact.join(labels, "digest", "left").select("digest", "doc_id", "start", "length", F.coalesce("cluster", "digest").alias("cluster"))
+    members = linked.union(alone).dropDuplicates(["doc_id", "start", "length"])
+    # Of occurrences at one word the longest is first.
+    place = F.struct("doc_id", "start", -F.col("length"))
+    spread = members.groupBy("cluster").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
     members = members.join(spread, "cluster").where(F.col("first.doc_id") < F.col("last"))
-    order = Window.partitionBy("doc_id").orderBy("start")
-    joins = F.coalesce(F.lag(F.col("start") + F.col("n_words")).over(order) == F.col("start"), F.lit(False))
-    runs = members.withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order))
-    runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    members = members.withColumns({"line": F.col("length") % 2 == 1, "end": F.col("start") + F.shiftright("length", 1), "removed": F.col("first") < place})
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("line") & F.col("removed"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    members = cut(members.withColumn("covered", covered).where("not covered").select("doc_id", "start", "length", "end", "cluster"))
+    firsts = members.groupBy("cluster").agg(F.min(place).alias("first"))
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("length"))
+    joins = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), F.lit(False))
+    runs = members.join(firsts, "cluster").withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc_id", "run")
+    runs = runs.withColumn("run_words", F.max("end").over(run) - F.min("start").over(run))
     return runs.where(F.col("run_words") >= least_words).select(
         "doc_id",
         F.col("start").alias("start_word"),
-        (F.col("start") + F.col("n_words")).alias("end_word"),
+        F.col("end").alias("end_word"),
         F.col("cluster").alias("cluster_id"),
-        F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start")), F.lit(False)).alias("kept"),
+        (F.col("first") == place).alias("kept"),
     )
 
 

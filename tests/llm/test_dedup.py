@@ -92,3 +92,18 @@ def test_paragraph_clusters_equal_brute_force(spark):
     for i, c in enumerate(want):
         groups.setdefault(c, set()).add(i)
     assert sorted(map(sorted, clusters.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_near_duplicate_lines_are_found_as_a_whole(spark):
+    rnd = random.Random(6)
+    words = vocabulary(rnd, 4000)
+    docs = []
+    for i in range(60):
+        base = sentence(rnd, words, 44).split(" ")
+        other = list(base)
+        other[rnd.randint(8, 35)] = "edited"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, f"{sentence(rnd, words, 9)}\n{' '.join(other)}")]
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["kept"]) for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    whole = [i for i in range(60) if (2 * i, 0, 44, True) in got and (2 * i + 1, 9, 53, False) in got]
+    assert len(whole) >= 57  # three bands find a pair at the threshold with a chance of 98 %
+    assert not any(d % 2 and (a, b) != (9, 53) for d, a, b, _ in got if d // 2 in whole)
