@@ -36,8 +36,8 @@ from .textkernel import distinct, jaccard, minhash, mix64, set_digest, shingles,
 
 BANDS, ROWS = 24, 4
 BINS, BITS = 8192, 4096
-#: A pair is confirmed on full sets if its sketches put it at most this far below the threshold (about five standard deviations).
-MARGIN = 0.03
+#: A pair is confirmed on full sets if its sketches put it at most this many standard deviations below the threshold.
+DEVIATIONS = 5
 BLOCK = 512
 
 _SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, occupied int, bands array<long>, odd array<long>"
@@ -96,10 +96,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNATURE)
 
 
-def _expected(n1, n2, similarity: float):
-    """How many sample ranges the union of two sets of these sizes fills if they are this similar."""
-    union = (n1 + n2) / (1 + similarity)
-    return BINS * (1 - np.exp(-union / BINS))
+def _least_same(total, similarity: float, exp, sqrt):
+    """The least estimate of equal samples of two sets with ``total`` shingles together that are at least this similar.
+
+    Ranges that the union fills hold equal samples with a chance of the similarity, so their number varies
+    binomially.  With ``apart`` samples in the odd bitmap its share of ones is (1 - e) / 2, e = exp(-2 apart / bits);
+    the estimate of ``apart`` varies by bits (1 - e^2) / (4 e^2), besides the variance (at most) of ``apart`` itself, and
+    the estimate of equal samples by a quarter of that.
+    """
+    union = total / (1 + similarity)
+    filled = BINS * (1 - exp(-union / BINS))
+    apart = 2 * (1 - similarity) * filled
+    e2 = exp(-4 * apart / BITS)
+    spread = sqrt(filled * similarity * (1 - similarity) + (BITS * (1 - e2) / (4 * e2)) / 4)
+    return similarity * filled - DEVIATIONS * spread - 2
 
 
 def _filtered(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -111,8 +121,7 @@ def _filtered(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     both = both.withColumn("ones", ones)
     apart = F.when(F.col("ones") * 2 < BITS - 8, -BITS / 2 * F.log(1 - 2.0 * F.col("ones") / BITS)).otherwise(F.lit(4.0 * BITS))
     same = (F.col("a_occupied") + F.col("b_occupied") - apart) / 2
-    union = (F.col("a_n_shingles") + F.col("b_n_shingles")) / (1 + similarity - MARGIN)
-    return both.where(same >= (similarity - MARGIN) * BINS * (1 - F.exp(-union / BINS)) - 2).select("a", "b")
+    return both.where(same >= _least_same(F.col("a_n_shingles") + F.col("b_n_shingles"), similarity, F.exp, F.sqrt)).select("a", "b")
 
 
 def _confirm(percent: int):
@@ -154,7 +163,7 @@ def _across(similarity: float, best: bool):
                 continue
             ones = np.bitwise_count(odd[at] ^ odd[x]).sum(axis=1, dtype=np.int64)
             apart = np.where(ones * 2 < BITS - 8, -BITS / 2 * np.log(np.maximum(1 - 2.0 * ones / BITS, 1e-9)), 4.0 * BITS)
-            ok = (occ[at] + occ[x] - apart) / 2 >= (similarity - MARGIN) * _expected(n[at], n[x], similarity - MARGIN) - 2
+            ok = (occ[at] + occ[x] - apart) / 2 >= _least_same(n[at] + n[x], similarity, np.exp, np.sqrt)
             at = at[ok]
             if best and len(at) > 1:
                 at = at[np.argsort(ones[ok], kind="stable")]

@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quantloom.llm.cluster import connected_components
-from quantloom.llm.minhash_dedup import near_duplicates
+from quantloom.llm.minhash_dedup import _across, near_duplicates, odd_sketch
 from quantloom.llm.paragraph_dedup import repeated_paragraphs
 
 from .corpus import components, near_copies, sentence, shingles, tokens, vocabulary
@@ -107,3 +109,14 @@ def test_near_duplicate_lines_are_found_as_a_whole(spark):
     whole = [i for i in range(60) if (2 * i, 0, 44, True) in got and (2 * i + 1, 9, 53, False) in got]
     assert len(whole) >= 57  # three bands find a pair at the threshold with a chance of 98 %
     assert not any(d % 2 and (a, b) != (9, 53) for d, a, b, _ in got if d // 2 in whole)
+
+
+def test_sketches_of_long_texts_let_similar_pairs_pass():
+    rng = np.random.default_rng(4)
+    for union in (500, 40_000):
+        for _ in range(150):
+            every = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            pair = [np.sort(every[: union - union // 8]), np.sort(np.concatenate([every[: union - union // 4], every[union - union // 8 :]]))]  # similarity 0.75
+            (n, a), (m, b) = map(odd_sketch, pair)
+            columns = {"doc_id": [1, 2], "component": [1, 2], "n_shingles": [len(pair[0]), len(pair[1])], "occupied": [n, m], "block": [0, 0], "odd": [a.tolist(), b.tolist()], "key": [0, 0], "i": [0, 0], "j": [0, 0]}
+            assert sum(r.num_rows for r in _across(0.75, False)(iter([pa.RecordBatch.from_pydict(columns)]))) == 1
