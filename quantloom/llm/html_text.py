@@ -3,7 +3,9 @@
 1. Every page is parsed (tolerantly) to a tree of containers and text blocks.  Navigation, page headers,
    footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role,
    class or id and count for nothing.  A container's score is the text of the blocks in it that isn't link
-   text, less for each level that a block lies deeper.
+   text, less for each level that a block lies deeper.  From the container of highest score the best one is
+   found by climbing: within an article (else main) to it, else to the outermost ancestor up to the body
+   that adds text of which most isn't links.
 2. A page votes for the generalised path (tags with classes, digits left out) of its best container;
    Spark sums the votes per host, and the path with most votes wins (ties: the greatest path).
 3. Every page is extracted again from the containers at its host's path; a page that has none, or no
@@ -46,10 +48,12 @@ _DECAY = 0.8
 
 
 class _Node:
-    __slots__ = ("parent", "path", "score", "skipped", "tag")
+    __slots__ = ("linked", "parent", "path", "plain", "score", "skipped", "tag")
 
     def __init__(self, tag: str, path: str, parent: _Node | None, skipped: bool) -> None:
         self.tag, self.path, self.parent, self.skipped, self.score = tag, path, parent, skipped, 0.0
+        #: Characters outside and in links, in all unskipped blocks within.
+        self.plain = self.linked = 0
 
 
 def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
@@ -92,8 +96,11 @@ class Page:
                     self.blocks.append((node, text))
                     worth = max(0, len(text) - links)
                     up: _Node | None = node
-                    while up is not None and worth >= 1e-3:
+                    plain, linked = worth, len(text) - worth
+                    while up is not None:
                         up.score += worth
+                        up.plain += plain
+                        up.linked += linked
                         worth *= _DECAY
                         up = up.parent
                 parts.clear()
@@ -144,9 +151,25 @@ class Page:
         close()
 
     def best(self) -> _Node | None:
-        """The container of most worth; of equal ones the outermost, first in the page."""
+        """The container of most worth (of equal ones the outermost, first in the page), or what it is a part of."""
         found = max(self.nodes, key=lambda n: n.score)
-        return found if found.score > 0 else (self.nodes[0] if self.blocks else None)
+        if found.score <= 0:
+            return self.nodes[0] if self.blocks else None
+        above, up = [], found.parent
+        while up is not None and up.tag not in ("", "html"):
+            above.append(up)
+            up = up.parent
+        for tag in ("article", "main"):
+            whole = [n for n in [found, *above] if n.tag == tag]
+            if whole:
+                above = above[: above.index(whole[-1]) + 1] if whole[-1] is not found else []
+                break
+        best = found
+        for n in above:
+            plain, linked = n.plain - best.plain, n.linked - best.linked
+            if plain > linked:
+                best = n
+        return best
 
     def text(self, chosen: set[int]) -> str:
         """The blocks within these containers."""

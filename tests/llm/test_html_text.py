@@ -21,3 +21,14 @@ def test_path_and_empty_pages():
     assert Page("").extract(None) == ""
     assert Page("plain text &lt;b&gt;").extract("/html/body") == "plain text <b>"
     assert Page("<p>unclosed <b>and").extract(None) == "unclosed and"
+
+
+def test_article_with_a_lead_and_one_long_container():
+    for tag in ("section", "ul", "table", "blockquote"):
+        long = f"<{tag}>{'<p>' + 'words of the body ' * 60 + '</p>'}</{tag}>"
+        source = f"<body><nav><a href=/>home</a></nav><div class=page><article><h1>T</h1><p>{'a lead ' * 14}</p>{long}</article><div class=more><a href=/1>another story</a></div></div></body>"
+        page = Page(source)
+        assert page.best().tag == "article"
+        assert page.extract(None).split("\n")[:2] == ["T", ("a lead " * 14).strip()] and "another" not in page.extract(None)
+        page = Page(source.replace("article>", "div>"))
+        assert page.extract(page.best().path).startswith("T\na lead")
