@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Every distinct word n-gram of the benchmark items is counted, by documents, over the whole corpus.
-2. An item's seeds are its n-grams that at most ``COMMON`` documents in a million hold (and always
-   its rarest ones, ``LEAST`` of them, so that no item is without seeds).
-3. A document that holds seeds is aligned with each item they belong to, around the seeds'
-   diagonals: local alignment of lower-case words (match 2, mismatch -1, gap -1).  The score is divided by that
-   of the whole item; from ``THRESHOLD`` a document counts as contaminated by the item.
-
-The benchmark is handled in blocks of at most ``BLOCK_BYTES`` of text, each in passes of its own over
-the documents, so what is sent to the executors is bounded whatever the benchmark's size.  Items with
-fewer words than an n-gram are one n-gram as a whole.  A null or wordless item or document matches
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. All word n-grams of an item are its seeds, however frequent they are; of an item of under ``SHORT`` words
+   each word is one, so that no alignment with it is missed.
+2. Around the seeds' diagonals in a document, the words that it has in common with the item, wherever they
+   are, bound the alignment's score from above.  Where the bound allows the threshold the document is aligned
+   with the item: local alignment of lower-case words (match 2, mismatch -1, gap -1).  The score is divided by
+   that of the whole item; from ``THRESHOLD`` a document counts as contaminated by the item.
+
+A copy of a longer item is found if it has ``GRAM`` words in a row unchanged.  The benchmark is handled in
+blocks of at most ``BLOCK_BYTES`` of text, each in a pass of its own over the documents, so what is sent to
+the executors is bounded whatever the benchmark's size.  A null or wordless item or document matches
 nothing; rows that repeat an item_id or doc_id are compared each.
 """
 
@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import distinct, mix64, text_chunks, words
+from .textkernel import mix64, text_chunks, words
 
 GRAM = 3
-COMMON, LEAST = 20, 8
+SHORT = 8
+#: Seed hits that are listed at once, about.
+HITS = 1 << 20
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
 _FOUND = "doc_id long, item_id long, score double, first_word long, last_word long"
@@ -56,11 +58,18 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out
 
 
+def _single(hashes: np.ndarray) -> np.ndarray:
+    """The key of each word as a seed by itself."""
+    return mix64(hashes + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int
     words: np.ndarray
-    grams: np.ndarray
+    #: Keys and places of its seeds.
+    seeds: np.ndarray
+    places: np.ndarray
 
 
 def _items(rows: list) -> list[Item]:
@@ -70,7 +79,9 @@ def _items(rows: list) -> list[Item]:
         _, _, data, offsets = next(text_chunks(lowered(batch)))
         hashes, _, _, bounds = words(data, offsets)
         if len(hashes):
-            found.append(Item(item_id, hashes, grams(hashes, bounds)))
+            keys = _single(hashes) if len(hashes) < SHORT else grams(hashes, bounds)
+            places = np.flatnonzero(keys)
+            found.append(Item(item_id, hashes, keys[places], places))
     return found
 
 
@@ -105,26 +116,6 @@ def align(document: np.ndarray, item: np.ndarray, match: int = 2, miss: int = -1
     return best, begin, end - 1
 
 
-def _count(known: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(lowered(batch)):
-                hashes, _, _, bounds = words(data, offsets)
-                keys = grams(hashes, bounds)
-                at = np.searchsorted(known, keys)
-                at[at == len(known)] = 0
-                hit = np.flatnonzero(known[at] == keys)
-                row = np.searchsorted(bounds, hit, "right") - 1
-                pairs = np.unique(row * np.int64(len(known)) + at[hit])
-                seen += np.bincount(pairs % len(known), minlength=len(known))
-        some = np.flatnonzero(seen)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["gram", "n"])
-
-    return run
-
-
 def _windows(hits: np.ndarray, places: np.ndarray, length: int, n: int) -> Iterator[tuple[int, int]]:
     """Word ranges of a document around seeds at ``hits``, which are at ``places`` of an item of this length."""
     low = np.maximum(hits - places - length // 2 - 4, 0)
@@ -142,37 +133,64 @@ def _windows(hits: np.ndarray, places: np.ndarray, length: int, n: int) -> Itera
         yield a, b
 
 
+def _in_common(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
+    """How many words a text and an item, given by its distinct words and their counts, have in common, repeats included."""
+    at = np.searchsorted(kinds, part)
+    at[at == len(kinds)] = 0
+    return int(np.minimum(np.bincount(at[kinds[at] == part], minlength=len(kinds)), counts).sum())
+
+
 def _search(items: list[Item], seeds: np.ndarray, owner: np.ndarray, place: np.ndarray, threshold: float):
     """``seeds`` is sorted, with repeats; owner and place say which item has each and where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        short = any(len(i.words) < SHORT for i in items)
         for batch in batches:
             out: list[tuple] = []
             for first, _, data, offsets in text_chunks(lowered(batch)):
                 hashes, _, _, bounds = words(data, offsets)
-                keys = grams(hashes, bounds)
-                low, high = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
-                hit = np.flatnonzero(high > low)
-                if not len(hit):
-                    continue
-                reps = high[hit] - low[hit]
-                at = np.repeat(hit, reps)
-                seed = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(len(at))
-                row = np.searchsorted(bounds, at, "right") - 1
-                pair = row * np.int64(len(items)) + owner[seed]
-                order = np.argsort(pair, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0, [True]]))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    own = order[a:b]
-                    r, item = int(row[own[0]]), items[int(owner[seed[own[0]]])]
-                    text = hashes[bounds[r] : bounds[r + 1]]
-                    best = (0, 0, 0)
-                    for x, y in _windows(at[own] - bounds[r], place[seed[own]], len(item.words), len(text)):
-                        score, one, two = align(text[x:y], item.words)
-                        best = max(best, (score, one + x, two + x), key=lambda v: v[0])
-                    share = best[0] / (2 * len(item.words))
-                    if share >= threshold:
-                        out.append((batch.column(0)[first + r].as_py(), item.item_id, share, best[1], best[2]))
+                hit, low, high = [], [], []
+                for keys in (grams(hashes, bounds), *([_single(hashes)] if short else [])):
+                    a, b = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
+                    hit.append(np.flatnonzero(b > a))
+                    low.append(a[hit[-1]])
+                    high.append(b[hit[-1]])
+                hit, low, high = map(np.concatenate, (hit, low, high))
+                order = np.argsort(hit, kind="stable")
+                hit, low, reps = hit[order], low[order], (high - low)[order]
+                # Whole documents at a time, so that the pairs listed at once are few.
+                total = np.concatenate([[0], np.cumsum(reps)])
+                ends = np.searchsorted(hit, bounds)
+                row_a = 0
+                while row_a < len(bounds) - 1:
+                    row_b = max(row_a + 1, int(np.searchsorted(total[ends], total[ends[row_a]] + HITS, "right")) - 1)
+                    x, y = ends[row_a], ends[row_b]
+                    row_a = row_b
+                    if x == y:
+                        continue
+                    at = np.repeat(hit[x:y], reps[x:y])
+                    seed = np.repeat(low[x:y] - (total[x:y] - total[x]), reps[x:y]) + np.arange(len(at))
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    pair = row * np.int64(len(items)) + owner[seed]
+                    order = np.argsort(pair, kind="stable")
+                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0, [True]]))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        own = order[a:b]
+                        r, k = int(row[own[0]]), int(owner[seed[own[0]]])
+                        item = items[k]
+                        if k not in bags:
+                            bags[k] = np.unique(item.words, return_counts=True)
+                        text = hashes[bounds[r] : bounds[r + 1]]
+                        best = (0, 0, 0)
+                        for u, v in _windows(at[own] - bounds[r], place[seed[own]], len(item.words), len(text)):
+                            if _in_common(text[u:v], *bags[k]) < threshold * len(item.words):
+                                continue
+                            score, one, two = align(text[u:v], item.words)
+                            best = max(best, (score, one + u, two + u), key=lambda w: w[0])
+                        share = best[0] / (2 * len(item.words))
+                        if share >= threshold:
+                            out.append((batch.column(0)[first + r].as_py(), item.item_id, share, best[1], best[2]))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -193,28 +211,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row for each document and benchmark item of which it holds a copy: score (1: word for word) and the words it spans."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], _FOUND)
-    limit = None
     for rows in _blocks(benchmark):
         items = _items(rows)
         if not items:
             continue
-        known = distinct(np.concatenate([i.grams[i.grams > 0] for i in items]))
-        if not len(known):
-            continue
-        counts = np.zeros(len(known), np.int64)
-        for r in docs.select("doc_id", "text").mapInArrow(_count(known), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["gram"]] = r["n"]
-        if limit is None:
-            limit = max(COMMON, docs.count() * COMMON // 1_000_000)
-        seeds, owner, place = [], [], []
-        for k, item in enumerate(items):
-            at = np.flatnonzero(item.grams)
-            often = counts[np.searchsorted(known, item.grams[at])]
-            rare = at[(often <= limit) | (often <= np.sort(often)[min(LEAST, len(often)) - 1])]
-            seeds.append(item.grams[rare])
-            owner.append(np.full(len(rare), k))
-            place.append(rare)
-        seeds, owner, place = np.concatenate(seeds), np.concatenate(owner), np.concatenate(place)
+        seeds = np.concatenate([i.seeds for i in items])
+        owner = np.repeat(np.arange(len(items)), [len(i.seeds) for i in items])
+        place = np.concatenate([i.places for i in items])
         order = np.argsort(seeds, kind="stable")
         found = found.union(docs.mapInArrow(_search(items, seeds[order], owner[order], place[order], threshold), _FOUND))
     return found

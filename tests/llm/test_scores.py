@@ -10,7 +10,7 @@ from quantloom.llm.decontamination import align, contaminated
 from quantloom.llm.fingerprints import Fingerprint, _edit, fingerprints, with_next
 from quantloom.llm.pitman_yor import score_texts
 
-from .corpus import edited, sentence, shingles, tokens, vocabulary
+from .corpus import LOWER, edited, sentence, shingles, tokens, vocabulary
 
 
 def test_decontamination_finds_copies_and_edits_only(spark):
@@ -32,6 +32,17 @@ def test_decontamination_finds_copies_and_edits_only(spark):
     assert contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_often_copied_and_short_items(spark):
+    rnd = random.Random(8)
+    words = vocabulary(rnd, 5000)
+    items = [(0, sentence(rnd, words, 40)), (1, "zzq yyk"), (2, "xxj wwv uub ttf")]
+    docs = [(i, f"{sentence(rnd, words, 20)} {edited(rnd, items[0][1], 14, words)} {sentence(rnd, words, 20)}") for i in range(600)]
+    want = {(i, 0) for i, t in docs if 2 * plain_alignment(tokens(t), items[0][1].translate(LOWER).split()) >= 2 * 40}
+    docs += [(1000, sentence(rnd, words, 9) + " zzq yyk " + sentence(rnd, words, 9)), (1001, sentence(rnd, words, 9) + " wwv uub " + sentence(rnd, words, 9))]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(1000, 1), (1001, 2)} and len(want) > 500
+
+
 def plain_alignment(a, b):
     best, row = 0, [0] * (len(a) + 1)
     for y in b:
