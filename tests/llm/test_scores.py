@@ -3,12 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quantloom.llm import quality, toxicity
 from quantloom.llm.decontamination import align, contaminated
 from quantloom.llm.fingerprints import Fingerprint, _edit, fingerprints, with_next
-from quantloom.llm.pitman_yor import score_texts
+from quantloom.llm.pitman_yor import _frequent, score_texts
 
 from .corpus import LOWER, edited, sentence, shingles, tokens, vocabulary
 
@@ -169,3 +170,17 @@ def test_language_model(spark):
     none = score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).first()
     assert none["base_score"] == 0 and abs(none["score"]) < 1e-9 and none["train_tokens"] == 0
     assert score_texts(spark.createDataFrame([], "doc_id long, text string"), held).count() == 0
+
+
+def test_frequent_words_are_counted_over_all_text():
+    rnd = random.Random(12)
+    words = vocabulary(rnd, 20000)
+    texts = [sentence(rnd, words, 9000), "burst " * 3, " ".join(words[:3000])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts, "train": [True, True, True]})
+    got = {}
+    for rows in (batch, batch.slice(1)):
+        for r in _frequent(iter([rows])):
+            for word, n in zip(r.column("word").to_pylist(), r.column("n").to_pylist(), strict=True):
+                got[word] = got.get(word, 0) + n
+    every = [w for t in (*texts, *texts[1:]) for w in tokens(t)]
+    assert sum(got.values()) == len(every) + 5 and len(got) == len(set(every)) + 2  # ends of texts, the row of totals
