@@ -17,11 +17,22 @@ def session(app: str = "quantloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: the one the cluster names in spark.checkpoint.dir; a new local one only where the master is local (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder: a plan of many windows is planned in parts, and survives the loss of executors."""
+    """The same rows, computed once and kept in the shared checkpoint folder, where they survive the loss of any executor; a plan of many steps is planned in parts."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(spark)
+    # The constraints of what is cut off are of no use later, and inferring them takes time that doubles with every join.
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
