@@ -2,58 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that reliable checkpoints have a folder: the one the cluster names, or a new one where none is named (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, where they survive the loss of any executor."""
-    shared_folder(df.sparkSession)
-    # The constraints of what is cut off are of no use later, and inferring them takes time that doubles with every join.
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key, "true")
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys of a sorted stream of batches, each as one batch; memory holds one input batch and one run."""
+    run: list[pa.RecordBatch] = []
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def same(one: pa.RecordBatch, two: pa.RecordBatch) -> bool:
+        return all(one.column(k)[one.num_rows - 1].as_py() == two.column(k)[0].as_py() for k in keys)
 
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(run).combine_chunks().to_batches()[0]
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The runs of equal keys of a sorted stream of batches, each as one batch; memory holds one input batch and one run."""
-    left: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
-        new = np.zeros(rows.num_rows, bool)
+        new = np.zeros(batch.num_rows, bool)
         for k in keys:
-            column = rows.column(k)
-            values = column.to_numpy() if column.null_count == 0 else column.fill_null(0).to_numpy()
+            column = batch.column(k)
+            if column.null_count:
+                column = column.fill_null(0)
+            values = column.to_numpy(zero_copy_only=False)
             new[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist()]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        if run and not same(run[-1], batch):
+            yield whole()
+            run = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield rows.slice(a, b - a).to_batches()[0]
-        left = rows.slice(cuts[-1])
-    if left is not None:
-        yield left.combine_chunks().to_batches()[0]
+            if a:
+                yield whole()
+                run = []
+            run.append(batch.slice(a, b - a))
+    if run:
+        yield whole()
+
+
+def apart(rows: DataFrame, key: str, node: str, size: Column, small: int, large: int) -> DataFrame:
+    """Members of groups that hold several components, dealt so that any two in different ones meet.
+
+    ``rows`` has ``key``, ``node`` and ``component``; ``size`` is what a row counts.  Of a group's members only
+    those outside its largest component (the left side) are compared with all its members (the right side).
+    Both sides come in blocks of about ``small`` and ``large``: a row for each pair of blocks (i, j) it is in, with
+    ``left``.  ``minor`` marks rows outside.  So a group of n members of which k are outside is dealt n * ceil(k / small) +
+    k * ceil(n / large) rows, and no task need hold more than a pair of blocks.
+    """
+    parts = rows.groupBy(key, "component").agg(F.sum(size).alias("n"))
+    groups = parts.groupBy(key).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
+    groups = groups.select(key, "main", F.ceil((F.col("total") - F.col("most")) / small).cast("int").alias("lefts"), F.ceil(F.col("total") / large).cast("int").alias("rights"))
+    both = rows.join(groups, key)
+    place = lambda n, seed: F.pmod(F.xxhash64(node, F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = both.where(F.col("component") != F.col("main")).withColumns({"i": place("lefts", 1), "left": F.lit(True)}).withColumn("j", every("rights"))
+    right = both.withColumns({"j": place("rights", 2), "left": F.lit(False)}).withColumn("i", every("lefts")).select(left.columns)
+    return left.union(right).withColumn("minor", F.col("component") != F.col("main")).drop("main", "lefts", "rights")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

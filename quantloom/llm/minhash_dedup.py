@@ -12,9 +12,9 @@ Method
 3. Candidates come from equal bands.  First each member of a bucket is compared with the bucket's
    hub (its smallest id): a number of pairs linear in the rows.  Pairs whose sketches allow the
    threshold are confirmed on the full sets.
-4. Members of one bucket that are still in different components and were not compared are then
-   compared by their sketches in blocks of bounded size, and again confirmed on full sets.  So no
-   link is lost to the hub shortcut, and pairs inside a component are never listed.
+4. Members of a bucket that are then still outside its largest component are compared by their
+   sketches with all of it, in blocks of bounded size, and again confirmed on full sets.  So no link
+   is lost to the hub shortcut, and pairs inside a component are never listed.
 5. Components by distributed hooking and contraction.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing.  Rows with a
@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import connected_components, cut, sorted_groups
+from .cluster import apart, connected_components, cut, sorted_groups
 from .textkernel import distinct, jaccard, minhash, mix64, set_digest, shingles, text_chunks, words
 
 BANDS, ROWS = 24, 4
 BINS, BITS = 8192, 4096
 #: A pair is confirmed on full sets if its sketches put it at most this many standard deviations below the threshold.
 DEVIATIONS = 5
-BLOCK = 512
+#: Rows of a bucket that lie outside its main component, and of all its rows, that are compared at once.
+BLOCK, REST = 1024, 4096
 
 _SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, occupied int, bands array<long>, odd array<long>"
 
@@ -145,19 +146,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
 
 def _across(similarity: float, best: bool):
-    """For block pairs of buckets, sorted by them: pairs in different components whose sketches allow the similarity; with ``best`` only the likeliest of a row with each component."""
+    """For pairs of blocks of a bucket, sorted by them: pairs in different components whose sketches allow the similarity; with ``best`` only the likeliest of a left row with each component."""
 
-    def compare(rows: pa.RecordBatch, out: list[np.ndarray]) -> None:
+    def compare(rows: pa.RecordBatch) -> list[np.ndarray]:
         get = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
-        ids, comp, n, occ, block = (get(c) for c in ("doc_id", "component", "n_shingles", "occupied", "block"))
+        ids, comp, n, occ, left, minor = (get(c) for c in ("doc_id", "component", "n_shingles", "occupied", "left", "minor"))
         odd = rows.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        right = np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i).tolist():
-            ok = comp[right] != comp[x]
-            if i == j:
-                ok &= ids[right] > ids[x]
-            at = right[ok]
+        right, out = np.flatnonzero(~left), []
+        for x in np.flatnonzero(left).tolist():
+            # Of two rows outside the main component the larger id is on the left.
+            at = right[(comp[right] != comp[x]) & (~minor[right] | (ids[right] < ids[x]))]
             at = at[np.minimum(n[at], n[x]) >= similarity * np.maximum(n[at], n[x])]
             if not len(at):
                 continue
@@ -170,12 +168,11 @@ def _across(similarity: float, best: bool):
                 at = at[np.unique(comp[at], return_index=True)[1]]
             if len(at):
                 out.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, ["key", "i", "j"]):
-            out: list[np.ndarray] = []
-            compare(rows, out)
-            if out:
+            if out := compare(rows):
                 a, b = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -199,17 +196,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     labels = connected_components(edges)
 
     # Members of a bucket that its hub has not joined: first each one's likeliest partner in every other component, then whatever is still apart.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     tested = None
     for best in (True, False):
-        rest = members.where("doc_id <> hub").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = rest.join(split, "key").join(slim, "doc_id")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rest = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        rest = cut(apart(rest, "key", "doc_id", F.lit(1), BLOCK, REST).select("key", "i", "j", "left", "minor", "doc_id", "component"))
+        rest = rest.join(slim, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         cross = rest.mapInArrow(_across(similarity, best), "a long, b long").distinct()
         cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))
+        if cross.isEmpty():
+            break
         more = cut(_confirmed(cross, texts, similarity))
         if not more.isEmpty():
             edges = edges.union(more)

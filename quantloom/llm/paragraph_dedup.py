@@ -1,28 +1,30 @@
 """Repeated passages across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line as a whole and, of a long line, also each content-defined piece: a line is cut before
-each word whose hashed three words are lowest within ``REACH`` words to either side.  Such cuts depend on
-nearby words only, so a passage that is copied into other text is cut alike there.
-
-1. A paragraph's set is its distinct five-word shingles.  Paragraphs with equal sets form a class;
-   classes that at least two documents hold are duplicates.  A task first combines what its chunk of
-   documents repeats, so a class that fills the corpus sends two rows a chunk.
-2. ``BANDS`` MinHash minima of each class with at least three shingles are banded (one row a band, so that
-   pairs at the threshold are found with a chance of 98 %).  Classes that no other of their bucket can reach
-   by set size and by a parity bitmap of 64 bits are left out first: two sets differ in at least as many
-   shingles as their bitmaps in bits, so no link is lost.  In a bucket every class is paired with the
-   smallest, its hub, a number of pairs linear in the rows; Jaccard similarity is confirmed on the full sets,
-   which a second pass fetches for the candidates only (through a bitmap of fixed size).
-3. Members of a hub's buckets that are then still in different components are compared with each other, on
-   the full sets, in pairs of blocks of bounded size.  So no link is lost to the hub shortcut.
-4. Confirmed pairs are clustered by connected components.  Of each cluster the first occurrence, by
-   doc_id and place, is kept; the others are removals.  Pieces of a line that is itself a removal are not
-   reported again and are no first occurrence; pieces of other reported lines are, so rows may overlap.
-
-Runs of neighbouring repeated paragraphs of under ``LEAST_WORDS`` words are not reported, whether they are lines or pieces.
-
-Defined results: null and wordless texts have no paragraphs; rows with a null doc_id are left out; rows that
-repeat a doc_id count as one document.
+A paragraph is a line as a whole.  A long line also has pieces, so that a passage that is copied into the middle of
+other text is found: the line is cut before each word whose hashed three words are lowest within ``REACH`` words to
+either side.  Such cuts depend on nearby words only, so a copied passage is cut alike there.
+
+1. Lines and pieces of equal words form a class; classes that at least two documents hold are duplicates.  A task
+   first combines what its chunk of documents repeats, so a class that fills the corpus sends two rows a chunk.
+2. A line's set is its distinct five-word shingles (with fewer words, the whole line).  Its MinHash minima are banded,
+   ``BANDS`` bands of ``ROWS`` rows: a pair at the threshold of 0.75 shares a bucket with a chance of 99.9 %.  Lines that
+   no other of their bucket can reach by set size and by a parity bitmap of 64 bits are left out first: two sets differ
+   in at least as many shingles as their bitmaps in bits, so no link is lost.  In a bucket every line is paired with the
+   smallest, its hub, a number of pairs linear in the rows; Jaccard similarity is confirmed on the full sets, which
+   a second pass fetches for the candidates only (through a bitmap sized by their number, 128 MB at most; where
+   it is full, it lets more sets through, and a join drops them).
+3. Members of a hub's buckets that are then still outside its largest component are compared with all of them, on the
+   full sets, in pairs of blocks of bounded size.  So no link is lost to the hub shortcut.
+4. Confirmed pairs are clustered by connected components.  Pieces of a line that is itself a removal are not
+   reported again; pieces of other reported lines are, so rows may overlap.  Of each reported cluster the first
+   occurrence, by doc_id and place, is kept; the others are removals.
+
+A repeated passage is a run of neighbouring repeated paragraphs that has ``least_words`` words (the operator's definition
+of a passage, as a copyright line or a greeting is none); 1 reports every repeated line and piece.
+
+Defined results: null and wordless texts have no paragraphs; rows with a null doc_id are left out; rows that repeat a
+doc_id count as one document, so equal paragraphs at one place of them are one; extra columns are ignored, whatever
+their names; a very long text is worked on in windows.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,19 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import connected_components, cut, sorted_groups
-from .textkernel import distinct, jaccard, minhash_family, mix64, shingles, text_chunks, words
+from .cluster import apart, connected_components, cut, sorted_groups
+from .textkernel import jaccard, minhash_family, mix64, powers, shingle_sets, text_chunks, words
 
-REACH, BANDS = 5, 3
+REACH, BANDS, ROWS = 5, 8, 2
 LEAST_WORDS = 16
-BITMAP_BITS = 1 << 23
 #: Text bytes that a part stands for, about.
 PART_BYTES = 16 << 20
-#: Classes, and bytes of their sets, in a block of a bucket, about.
-BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: Tasks that parts are dealt to, at most; a task handles its parts one by one.
+MOST_TASKS = 100_000
+#: KB of sets outside a hub's main component, and of all its sets, that are compared at once.
+BLOCK, REST = 2048, 4096
 #: In larger groups all classes count as reachable.
 PAIRED = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(0xD1B54A32D192ED03)
 _MEMBERS = "digest long, doc_id long, start long, length long, other long"
 
 
@@ -62,7 +66,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     new[np.searchsorted(start, lines)] = True
     rolled = hashes.copy()
     for j in (1, 2):
-        rolled[:-j] = rolled[:-j] * np.uint64(0xD1B54A32D192ED03) + hashes[j:]
+        rolled[:-j] = rolled[:-j] * _SHIFT + hashes[j:]
     rolled = mix64(rolled)
     lowest = np.ones(n, bool)
     for j in range(1, REACH + 1):
@@ -76,35 +80,39 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.flatnonzero(new), edge, bounds
 
 
-def _units(data: np.ndarray, offsets: np.ndarray):
-    """(text, start, length, digest, set size) arrays of the pieces and of the lines of several pieces, and their sets as one array with bounds.
+def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64 bits that identify each word sequence from ``first`` up to ``last``."""
+    power, inverse = powers(len(hashes))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ _GOLD) * power[: len(hashes)])])
+    return mix64((total[last] - total[first]) * inverse[first] ^ (last - first).astype(np.uint64) * _GOLD)
 
-    A length is twice the number of words, plus one for a line of several pieces.
+
+def _units(hashes: np.ndarray, cuts: np.ndarray, lines: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, length, digest) of all lines, then of the pieces of lines that have several.
+
+    A length is twice the number of words, plus one for a line.
     """
-    hashes, cuts, lines, bounds = paragraphs(data, offsets)
-    pieces = np.diff(np.searchsorted(cuts, lines))
-    long = np.flatnonzero(pieces > 1)
-    sets = [distinct(s) for s in shingles(hashes, cuts)] if len(hashes) else []
-    sets += [distinct(s) for s, n in zip(shingles(hashes, lines), pieces.tolist(), strict=True) if n > 1] if len(long) else []
-    first = np.concatenate([cuts[:-1], lines[long]])
-    length = np.concatenate([np.diff(cuts) * 2, np.diff(lines)[long] * 2 + 1])
-    size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    edge = np.concatenate([[0], np.cumsum(size)])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(flat ^ _GOLD))]) if len(flat) else np.zeros(1, np.uint64)
-    digest = mix64((total[edge[1:]] - total[edge[:-1]]) ^ (size.astype(np.uint64) * _GOLD))
+    several = np.diff(np.searchsorted(cuts, lines)) > 1
+    piece = np.flatnonzero(several[np.searchsorted(lines, cuts[:-1], "right") - 1]) if len(cuts) > 1 else np.zeros(0, np.int64)
+    first = np.concatenate([lines[:-1], cuts[:-1][piece]])
+    last = np.concatenate([lines[1:], cuts[1:][piece]])
     text = np.searchsorted(bounds, first, "right") - 1
-    return text, first - bounds[text], length, digest, size, flat, edge
+    length = (last - first) * 2 + (np.arange(len(first)) < len(lines) - 1)
+    return text, first - bounds[text], length, _digests(hashes, first, last)
 
 
 def _deal(parts: int):
-    add, mult = minhash_family(BANDS, 7)
+    add, mult = minhash_family(BANDS * ROWS, 7)
+
+    def place(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_chunks(batch, limit=1 << 22):
-                text, start, count, digest, size, flat, edge = _units(data, offsets)
+            for a, b, data, offsets in text_chunks(batch):
+                hashes, cuts, lines, bounds = paragraphs(data, offsets)
+                text, start, count, digest = _units(hashes, cuts, lines, bounds)
                 if not len(digest):
                     continue
                 doc = ids[a:b].astype(np.int64)[text]
@@ -119,16 +127,17 @@ def _deal(parts: int):
                 # kind 0: an occurrence to look up; 1: one whose class is known to be in several documents, so it is a member as it is.
                 rows = []
                 for kind, pick in ((0, order[sent]), (1, order[known])):
-                    place = (digest[pick] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) if kind == 0 else mix64(doc[pick].astype(np.uint64)) % np.uint64(parts)
-                    rows += _packed(kind, place.astype(np.int64), digest[pick], doc[pick], start[pick].astype(np.int32), count[pick].astype(np.int32))
-                near = order[first][size[order[first]] >= 3]
-                if len(near):
-                    parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), edge[:-1])
-                    for band in range(BANDS):
-                        hashed = mix64((flat ^ add[band]) * mult[band])
-                        low = mix64(np.minimum.reduceat(hashed, edge[:-1])[near] + np.uint64(band))
-                        place = (low >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                        rows += _packed(2, place.astype(np.int64), low, digest[near].view(np.int64), size[near].astype(np.int32), parity[near])
+                    to = place(digest[pick]) if kind == 0 else (mix64(doc[pick].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                    rows += _packed(kind, to, digest[pick], doc[pick], start[pick].astype(np.int32), count[pick].astype(np.int32))
+                flat, edge = shingle_sets(hashes, lines)
+                own = np.unique(digest[: len(lines) - 1], return_index=True)[1]
+                size = np.diff(edge)
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), edge[:-1])
+                for band in range(BANDS):
+                    key = np.full(len(own), band, np.uint64)
+                    for r in range(band * ROWS, band * ROWS + ROWS):
+                        key = mix64(key * _SHIFT + np.minimum.reduceat((flat ^ add[r]) * mult[r], edge[:-1])[own])
+                    rows += _packed(2, place(key), key, digest[own].view(np.int64), size[own].astype(np.int32), parity[own])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "kind", "x", "y", "start", "count"])
 
     return run
@@ -137,7 +146,7 @@ def _deal(parts: int):
 def _packed(kind: int, place: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0, [True]])) if len(place) else [0]
-    return [(int(place[order[i]]), kind, *(c[order[i:j]].tobytes() if len(c) else b"" for c in columns)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(int(place[order[i]]), kind, *(c[order[i:j]].tobytes() for c in columns)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _members(digest, doc, start, count, other) -> pa.RecordBatch:
@@ -195,37 +204,47 @@ def _group(percent: int):
     return run
 
 
-def _slots(digest: np.ndarray) -> np.ndarray:
-    return (mix64(digest.view(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+def _slots(digest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of each digest in a bitmap."""
+    slot = mix64(digest.view(np.uint64)) % np.uint64(bits)
+    return (slot >> np.uint64(3)).astype(np.int64), (slot & np.uint64(7)).astype(np.uint8)
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """Which slots the candidates' digests have; a task sends one bitmap of fixed size, and Spark combines them."""
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """Which slots some distinct digests have, in at least 16 bits for each up to 2**30 in all; a task sends the bytes that it sets, and Spark combines them."""
+    bits = 1 << min(30, max(16, (16 * digests.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BITMAP_BITS, bool)
+        seen = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for column in batch.columns:
-                seen[_slots(column.to_numpy())] = True
-        lanes = np.packbits(seen).view(np.int64)
+            byte, bit = _slots(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(seen, byte, np.uint8(1) << bit)
+        lanes = seen.view(np.int64)
         some = np.flatnonzero(lanes)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lanes[some])], names=["lane", "bits"])
 
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    for lane, bits in pairs.select("digest", "other").mapInArrow(run, "lane long, bits long").groupBy("lane").agg(F.bit_or("bits")).toLocalIterator():
-        out[lane] = bits
-    return np.unpackbits(out.view(np.uint8)).astype(bool)
+    out = np.zeros(bits // 64, np.int64)
+    for lane, found in digests.mapInArrow(run, "lane long, bits long").groupBy("lane").agg(F.bit_or("bits")).toLocalIterator():
+        out[lane] = found
+    return out.view(np.uint8)
 
 
-def _fetch(bitmap: np.ndarray):
+def _fetch(bitmap):
+    """Occurrences of lines that may be wanted; of those with equal words in a chunk the first has the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bitmap.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in text_chunks(batch):
-                text, start, count, digest, _, flat, edge = _units(data, offsets)
-                at = np.flatnonzero(bitmap[_slots(digest)]) if len(digest) else []
+                hashes, _, lines, bounds = paragraphs(data, offsets)
+                text, start, count, digest = _units(hashes, lines, lines, bounds)
+                byte, bit = _slots(digest, len(wanted) * 8)
+                at = np.flatnonzero(wanted[byte] >> bit & 1)
                 if len(at):
-                    sets = pa.array([flat[edge[i] : edge[i + 1]].tobytes() for i in at.tolist()], pa.binary())
+                    flat, edge = shingle_sets(hashes, lines, at)
+                    first = set(np.unique(digest[at], return_index=True)[1].tolist())
+                    sets = pa.array([flat[edge[i] : edge[i + 1]].tobytes() if i in first else None for i in range(len(at))], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(digest[at].view(np.int64)), pa.array(ids[a:b].astype(np.int64)[text[at]]), pa.array(start[at]), pa.array(count[at]), sets], names=["digest", "doc_id", "start", "length", "shingles"])
 
     return run
@@ -261,26 +280,17 @@ class _Index:
 
 
 def _across(percent: int):
-    """For block pairs of hubs' members, sorted by them: confirmed pairs in different components, of a class one with each component."""
+    """For pairs of blocks of a hub's members, sorted by them: confirmed pairs in different components, of a left row one with each component."""
 
     def compare(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-        ids, comp, block = (rows.column(c).to_numpy() for c in ("node", "component", "block"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        right = np.flatnonzero(block == j)
-        left = np.flatnonzero(block == i)
-        if not len(right) or not len(left):
-            return
+        ids, comp, left, minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "left", "minor"))
         sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows.column("shingles")]
         size = np.array([len(s) for s in sets])
-        kinds, n = np.unique(comp[right], return_counts=True)
-        largest = kinds[n.argmax()]
-        outside = right[comp[right] != largest]
-        every, others = None, _Index(sets, outside)
-        for x in left.tolist():
-            if comp[x] != largest and every is None:
-                every = _Index(sets, right)
-            both = (others if comp[x] == largest else every).shared(sets[x])
-            good = np.flatnonzero((both > 0) & (comp != comp[x]) & (100 * both >= percent * (size + size[x] - both)))
+        index = _Index(sets, np.flatnonzero(~left))
+        for x in np.flatnonzero(left).tolist():
+            both = index.shared(sets[x])
+            # Of two members outside the main component the larger is on the left.
+            good = np.flatnonzero((both > 0) & (comp != comp[x]) & (~minor | (ids < ids[x])) & (100 * both >= percent * (size + size[x] - both)))
             for y in good[np.unique(comp[good], return_index=True)[1]].tolist():
                 yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
@@ -299,14 +309,11 @@ def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     edges = cut(both.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(percent), "a long, b long"))
     labels = connected_components(edges)
+    size = sets.select(F.col("digest").alias("node"), F.greatest(F.lit(1.0), F.octet_length("shingles") / 1024).alias("kb"))
     rest = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = rest.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
-    rest = cut(rest.join(split, "hub").join(sets.withColumnRenamed("digest", "node"), "node"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
-    rest = rest.join(rest.groupBy("hub").agg(blocks.alias("blocks")), "hub")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block", "shingles")
-    more = cut(rest.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct())
+    rest = cut(apart(rest.join(size, "node"), "hub", "node", F.col("kb"), BLOCK, REST).select("hub", "i", "j", "left", "minor", "node", "component"))
+    rest = rest.join(sets.withColumnRenamed("digest", "node"), "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    more = cut(rest.mapInArrow(_across(percent), "a long, b long").distinct())
     return labels if more.isEmpty() else connected_components(edges.union(more))
 
 
@@ -315,17 +322,18 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.75, least_words:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
+    percent = round(100 * similarity)
     dealt = docs.mapInArrow(_deal(parts), "part int, kind int, x binary, y binary, start binary, count binary")
-    found = cut(dealt.repartition(min(parts * 3, 4096), "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_group(round(100 * similarity)), _MEMBERS))
+    found = cut(dealt.repartition(min(parts * 3, MOST_TASKS), "part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_group(percent), _MEMBERS))
     exact = found.where("length > 0").select("digest", "doc_id", "start", "length")
 
-    pairs = found.where("length = 0").select("digest", "other").distinct()
-    near = docs.mapInArrow(_fetch(_bitmap(pairs)), "digest long, doc_id long, start long, length long, shingles binary")
-    wanted = pairs.select("digest").union(pairs.select("other")).distinct()
+    pairs = cut(found.where("length = 0").select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct())
+    wanted = cut(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    near = docs.mapInArrow(_fetch(bitmap), "digest long, doc_id long, start long, length long, shingles binary")
     near = cut(near.join(wanted, "digest", "left_semi"))
-    sets = near.groupBy("digest").agg(F.min_by("shingles", F.struct("doc_id", "start")).alias("shingles"))
-    labels = _joined(pairs.select(F.col("digest").alias("a"), F.col("other").alias("b")), sets, round(100 * similarity))
-    labels = cut(labels.select(F.col("node").alias("digest"), F.col("component").alias("cluster")))
+    sets = near.where("shingles is not null").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    labels = cut(_joined(pairs, sets, percent).select(F.col("node").alias("digest"), F.col("component").alias("cluster")))
 
     linked = near.join(labels, "digest").select("digest", "doc_id", "start", "length", "cluster")
     alone = exact.join(labels, "digest", "left").select("digest", "doc_id", "start", "length", F.coalesce("cluster", "digest").alias("cluster"))
@@ -335,16 +343,16 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.75, least_words:
     spread = members.groupBy("cluster").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
     members = members.join(spread, "cluster").where(F.col("first.doc_id") < F.col("last"))
     members = members.withColumns({"line": F.col("length") % 2 == 1, "end": F.col("start") + F.shiftright("length", 1), "removed": F.col("first") < place})
-    before = Window.partitionBy("doc_id").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.coalesce(F.max(F.when(F.col("line") & F.col("removed"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
-    members = cut(members.withColumn("covered", covered).where("not covered").select("doc_id", "start", "length", "end", "cluster"))
-    firsts = members.groupBy("cluster").agg(F.min(place).alias("first"))
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("length"))
-    joins = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), F.lit(False))
-    runs = members.join(firsts, "cluster").withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("line") & F.col("removed"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+    members = members.withColumn("covered", covered).where("not covered").select("doc_id", "start", "length", "end", "cluster")
+    joins = F.coalesce(F.max("end").over(before) >= F.col("start"), F.lit(False))
+    runs = members.withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("doc_id", "run")
-    runs = runs.withColumn("run_words", F.max("end").over(run) - F.min("start").over(run))
-    return runs.where(F.col("run_words") >= least_words).select(
+    runs = cut(runs.withColumn("run_words", F.max("end").over(run) - F.min("start").over(run)).where(F.col("run_words") >= least_words).select("doc_id", "start", "length", "end", "cluster"))
+    firsts = runs.groupBy("cluster").agg(F.min(place).alias("first"))
+    return runs.join(firsts, "cluster").select(
         "doc_id",
         F.col("start").alias("start_word"),
         F.col("end").alias("end_word"),

@@ -85,11 +85,41 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of each word and, for each text, the index of its first word (one entry more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, end byte) of each word and, for each text, the index of its first word (one entry more than texts).
+
+    Long input is worked on in windows that end at a separator, or at the end of a text, so temporaries are bounded unless a single word is long.
+    """
+    n = len(data)
+    if n <= 2 * window:
+        hashes, start, end = _words(data, offsets)
+        return hashes, start, end, np.searchsorted(start, offsets)
+    found, a = [], 0
+    while a < n:
+        b = min(n, a + window)
+        while b < n:
+            # A cut behind a separator, or where a text ends, parts no word.
+            gap = np.flatnonzero(_SEP[data[b : b + 4096]])
+            k = int(np.searchsorted(offsets, b))
+            ends = [int(offsets[k])] if k < len(offsets) and offsets[k] < b + 4096 else []
+            if len(gap):
+                ends.append(b + int(gap[0]) + 1)
+            if ends:
+                b = min(ends)
+                break
+            b = min(n, b + 4096)
+        inner = offsets[(offsets > a) & (offsets < b)] - a
+        hashes, start, end = _words(data[a:b], np.concatenate([[0], inner, [b - a]]))
+        found.append((hashes, start + a, end + a))
+        a = b
+    hashes, start, end = map(np.concatenate, zip(*found, strict=True))
+    return hashes, start, end, np.searchsorted(start, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~_SEP[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -101,8 +131,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pw, inv = powers(n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * pw[:n], out=prefix[1:])
-    hashes = mix64((prefix[end] - prefix[start]) * inv[start])
-    return hashes, start, end, np.searchsorted(start, offsets)
+    return mix64((prefix[end] - prefix[start]) * inv[start]), start, end
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
@@ -126,6 +155,33 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> Iterator[np.
             yield np.zeros(0, np.uint64)
 
 
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, pick: np.ndarray | None = None, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingle hashes of each sequence of words (none is empty), or of the picked ones, ascending, in one array with its bounds; a shorter sequence is one shingle."""
+    first, last = (bounds[:-1], bounds[1:]) if pick is None else (bounds[:-1][pick], bounds[1:][pick])
+    size = np.maximum(last - first - k + 1, 1)
+    total = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(total[-1]) - np.repeat(total[:-1] - first, size)
+    flat = np.zeros(len(at), np.uint64)
+    long = np.flatnonzero(np.repeat(last - first >= k, size))
+    where = at[long]
+    rolled = hashes[where]
+    for j in range(1, k):
+        rolled = rolled * _SHINGLE + hashes[where + j]
+    flat[long] = mix64(rolled)
+    for n in range(1, k):
+        short = np.flatnonzero(last - first == n)
+        x = np.full(len(short), n, np.uint64) * _GOLD
+        for j in range(n):
+            x = x * _SHINGLE + hashes[first[short] + j]
+        flat[total[short]] = mix64(x)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    keep = np.ones(len(flat), bool)
+    keep[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[keep], np.searchsorted(owner[keep], np.arange(len(size) + 1))
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values."""
     if len(values) < 2:

@@ -118,5 +118,5 @@ def test_sketches_of_long_texts_let_similar_pairs_pass():
             every = rng.integers(0, 1 << 64, union, dtype=np.uint64)
             pair = [np.sort(every[: union - union // 8]), np.sort(np.concatenate([every[: union - union // 4], every[union - union // 8 :]]))]  # similarity 0.75
             (n, a), (m, b) = map(odd_sketch, pair)
-            columns = {"doc_id": [1, 2], "component": [1, 2], "n_shingles": [len(pair[0]), len(pair[1])], "occupied": [n, m], "block": [0, 0], "odd": [a.tolist(), b.tolist()], "key": [0, 0], "i": [0, 0], "j": [0, 0]}
+            columns = {"doc_id": [1, 2], "component": [1, 2], "n_shingles": [len(pair[0]), len(pair[1])], "occupied": [n, m], "block": [0, 0], "odd": [a.tolist(), b.tolist()], "key": [0, 0], "i": [0, 0], "j": [0, 0], "left": [False, True], "minor": [False, True]}
             assert sum(r.num_rows for r in _across(0.75, False)(iter([pa.RecordBatch.from_pydict(columns)]))) == 1
