@@ -10,12 +10,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm.cluster import shared_folder
 from quantloom.llm.decontamination import contaminated
 from quantloom.llm.minhash_dedup import near_duplicates
 from quantloom.llm.packing import pack
 from quantloom.llm.secret_scan import redact
 from quantloom.llm.toxicity import production_model, without_toxic
+from quantloom.session import shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written to the shared folder and read again."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
