@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The runs of equal keys of a sorted stream of batches, each as one batch; memory holds one input batch and one run."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys of a sorted stream of batches, each as one batch (or, with ``most``, in parts of so many rows); memory holds one input batch and one run or part."""
     run: list[pa.RecordBatch] = []
+    held = 0
 
     def same(one: pa.RecordBatch, two: pa.RecordBatch) -> bool:
         return all(one.column(k)[one.num_rows - 1].as_py() == two.column(k)[0].as_py() for k in keys)
@@ -35,12 +36,19 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
         if run and not same(run[-1], batch):
             yield whole()
-            run = []
+            run, held = [], 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a:
+            if a and run:
                 yield whole()
-                run = []
-            run.append(batch.slice(a, b - a))
+                run, held = [], 0
+            while most and held + b - a >= most:
+                run.append(batch.slice(a, most - held))
+                a += most - held
+                yield whole()
+                run, held = [], 0
+            if a < b:
+                run.append(batch.slice(a, b - a))
+                held += b - a
     if run:
         yield whole()
 

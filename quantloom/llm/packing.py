@@ -4,13 +4,14 @@ Tokens are those of a byte-level BPE vocabulary file.  Texts are split into pre-
 points, each distinct pre-token of a batch is encoded once (and remembered), and the ids of a text are
 gathered from them.  A document's ids and an end mark are cut, only where they are too long, into full
 sequences; the first piece takes the remainder, so each document has at most one piece that needs
-packing.  Pieces are dealt by hash into groups of bounded size; a group packs on its own: fill a bin
+packing.  Pieces are dealt by a hash of id and text into groups of bounded size; a group packs on its own: fill a bin
 greedily with the largest piece that fits, then replace the bin's smallest piece by two unpacked pieces
 that fill the expanded gap more tightly.  A group wastes at most part of its last bins, so the total is
 within a few bins per ``GROUP`` documents of packing everything at once.
 
-Defined results: a null or empty text has the end mark alone; repeated rows are packed each; extra columns
-are ignored.
+Defined results: a null or empty text has the end mark alone; a null doc_id stays null; repeated rows are packed
+each; an empty table gives no rows; a very long text is tokenised in windows; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ from .textkernel import mix64, powers, text_chunks
 CAPACITY, END = 1024, 2
 #: Documents in a group that is packed by one call.
 GROUP = 16384
-_CACHE = 1 << 18
+_CACHE = 1 << 17
+#: Characters that are tokenised at once, about; numpy temporaries are about 60 times as large in bytes.
+_WINDOW = 1 << 20
+#: Pieces of a group that are packed by one call, at most; a larger group (many equal rows) is packed in parts.
+MOST = 1 << 17
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -45,7 +50,7 @@ _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 def _kinds() -> np.ndarray:
     """White space, letter, number or other, of every code point."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
             a, b = (x if x < 0xD800 else x + 0x800 for x in m.span())
@@ -90,6 +95,23 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _windows(text: str) -> Iterator[str]:
+    """A long text in parts that are tokenised like the whole: each ends before a single space between two letters or digits, where the next pre-token starts."""
+    a = 0
+    while a < len(text):
+        b = a + _WINDOW
+        while b < len(text):
+            b = text.find(" ", b)
+            if b < 0 or b + 1 >= len(text):
+                b = len(text)
+            elif text[b - 1].isalnum() and text[b + 1].isalnum():
+                break
+            else:
+                b += 1
+        yield text[a:b]
+        a = b
+
+
 class Encoder:
     """ids of texts by a byte-level BPE vocabulary."""
 
@@ -104,7 +126,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. One in which the name of a special token stands, which is then that token, is left to the tokenizer itself."""
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        out = self._encode(["" if i in odd else t for i, t in enumerate(texts)])
+        long = {i for i, t in enumerate(texts) if len(t) > _WINDOW} - odd
+        out = self._encode(["" if i in odd or i in long else t for i, t in enumerate(texts)])
+        for i in long:
+            out[i] = np.concatenate([ids for part in _windows(texts[i]) for ids in self._encode([part])])
         for i in odd:
             out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
@@ -144,22 +169,20 @@ class Encoder:
 
 def _pieces(capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = Encoder(), 0
+        encoder = Encoder()
         mark = np.array([end], np.uint32)
         for batch in batches:
-            out: dict[str, list[int]] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "deal")}
-            for a, b, _, _ in text_chunks(batch, limit=1 << 22):
+            out: dict[str, list[int]] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "pack_group")}
+            for a, b, _, _ in text_chunks(batch):
                 texts = ["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()]
-                names = batch.column(0).slice(a, b - a).to_pylist()
-                for name, ids in zip(names, encoder.encode(texts), strict=True):
+                names, deals = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 2))
+                for name, deal, ids in zip(names, deals, encoder.encode(texts), strict=True):
                     ids = np.concatenate([ids, mark])
                     first = len(ids) % capacity or capacity
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
-                    deal = int(mix64(np.array([((name or 0) * 0x9E3779B97F4A7C15 + row) % (1 << 64)], np.uint64))[0] >> np.uint64(1))
                     for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         for c, v in zip(out, (name, k, x, y - x, zlib.crc32(ids[x:y].tobytes()), deal), strict=True):
                             out[c].append(v)
-                    row += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -218,15 +241,18 @@ def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
 
 def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, ["pack_group"]):
+        last, number = None, 0
+        for rows in sorted_groups(batches, ["pack_group"], MOST):
             lengths = rows.column("length").to_pylist()
             group = rows.column("pack_group")[0].as_py()
+            last, number = group, number if group == last else 0
             sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-            for k, content in enumerate(best_two_fit(lengths, capacity)):
+            for content in best_two_fit(lengths, capacity):
                 at = 0
                 for i in content:
-                    sequence[i], offset[i] = (group << 32) + k, at
+                    sequence[i], offset[i] = (group << 32) + number, at
                     at += lengths[i]
+                number += 1
             columns = [rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
@@ -238,12 +264,12 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row for each piece: its document, its place there and its sequence."""
-    n = docs.count()
-    groups = max(1, -(-n // GROUP))
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, deal long")
-    # Full pieces are dealt too: they make a bin each, at once.  ``deal`` depends on the document and its place in its input split, so a hot document id is spread.
-    keyed = pieces.withColumn("pack_group", F.pmod("deal", F.lit(groups))).drop("deal")
-    dealt = keyed.repartition(min(groups, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "pack_group")
+    groups = max(1, -(-docs.count() // GROUP))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Dealt by id and text: the same whichever task handles a row and in whatever order, so a task that is run again deals alike.
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    pieces = rows.mapInArrow(_pieces(capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, pack_group long")
+    dealt = pieces.repartition(min(groups, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "pack_group")
     order = ["pack_group", "doc_id", "piece", "length", "ids_crc32"]
     return dealt.sortWithinPartitions(*order).mapInArrow(_pack(capacity), _PACKED)
 
