@@ -1,16 +1,23 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. All word n-grams of an item are its seeds, however frequent they are; of an item of under ``SHORT`` words
-   each word is one, so that no alignment with it is missed.
+1. The word n-grams of an item are its seeds; of an item of under ``SHORT`` words each word is one.  A pass over the
+   corpus counts in how many documents each is: a seed in at most ``RARE_DOCS`` documents, or ``RARE_SHARE`` of
+   them, is rare.  A document that holds a rare seed of an item is joined to it; frequent seeds (phrases, but also
+   those of an item that is often copied) join it only if it holds two of the item's, and of a short item as many words
+   as the threshold asks for.
 2. Around the seeds' diagonals in a document, the words that it has in common with the item, wherever they
    are, bound the alignment's score from above.  Where the bound allows the threshold the document is aligned
    with the item: local alignment of lower-case words (match 2, mismatch -1, gap -1).  The score is divided by
    that of the whole item; from ``THRESHOLD`` a document counts as contaminated by the item.
 
-A copy of a longer item is found if it has ``GRAM`` words in a row unchanged.  The benchmark is handled in
-blocks of at most ``BLOCK_BYTES`` of text, each in a pass of its own over the documents, so what is sent to
-the executors is bounded whatever the benchmark's size.  A null or wordless item or document matches
-nothing; rows that repeat an item_id or doc_id are compared each.
+A copy of a longer item is found if it has ``GRAM`` words in a row unchanged, once where they are rare, else twice.
+The benchmark is handled in blocks of at most ``BLOCK_BYTES`` of text, each with two passes of its own over the
+documents, so what is sent to the executors is bounded whatever the benchmark's size.
+
+Defined results: a null or wordless item or document matches nothing; rows with a null doc_id or item_id are compared
+and carry the null; rows that repeat an item_id or doc_id are compared each; an empty table on either side gives no
+rows; a very long text is worked on in windows of the word kernel and listed hits; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ SHORT = 8
 #: Seed hits that are listed at once, about.
 HITS = 1 << 20
 THRESHOLD = 0.5
+#: Documents, or the share of all, that may hold a rare seed.
+RARE_DOCS, RARE_SHARE = 20, 1e-4
 BLOCK_BYTES = 4 << 20
 _FOUND = "doc_id long, item_id long, score double, first_word long, last_word long"
 
@@ -42,7 +51,7 @@ def lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int = GRAM) -> np.ndarray:
-    """The hash of the n-gram that starts at each word, with zeros where a text ends before it does; of a shorter text, its first word has the whole."""
+    """The hash of the n-gram that starts at each word, with zeros where a text ends before it does."""
     out = np.zeros(len(hashes), np.uint64)
     if len(hashes) >= n:
         rolled = hashes[: len(hashes) - n + 1].copy()
@@ -52,9 +61,6 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, n: int = GRAM) -> np.ndarray:
     for k in range(1, n):  # the last n-1 words of a text start none
         at = bounds[1:] - k
         out[at[at >= bounds[:-1]]] = 0
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if len(bounds) < 3 else ():
-        if 0 < b - a < n:
-            out[a] = mix64(hashes[a:b]).sum(dtype=np.uint64) | np.uint64(1)
     return out
 
 
@@ -140,25 +146,70 @@ def _in_common(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
     return int(np.minimum(np.bincount(at[kinds[at] == part], minlength=len(kinds)), counts).sum())
 
 
-def _search(items: list[Item], seeds: np.ndarray, owner: np.ndarray, place: np.ndarray, threshold: float):
-    """``seeds`` is sorted, with repeats; owner and place say which item has each and where."""
+@dataclass(frozen=True)
+class Seeds:
+    """The seeds of some items: distinct keys, ascending, with where the entries of each begin; of each entry the item and the place there."""
+
+    keys: np.ndarray
+    bounds: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    single: bool
+
+    @staticmethod
+    def of(items: list[Item]) -> Seeds:
+        keys = np.concatenate([i.seeds for i in items])
+        owner = np.repeat(np.arange(len(items)), [len(i.seeds) for i in items])
+        place = np.concatenate([i.places for i in items])
+        order = np.argsort(keys, kind="stable")
+        distinct, first = np.unique(keys[order], return_index=True)
+        return Seeds(distinct, np.append(first, len(keys)), owner[order], place[order], any(len(i.words) < SHORT for i in items))
+
+    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number of its key) of each seed in some texts, by word."""
+        found = []
+        for keys in (grams(hashes, bounds), *([_single(hashes)] if self.single else [])):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            word = np.flatnonzero(self.keys[at] == keys)
+            found.append((word, at[word]))
+        word, at = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(word, kind="stable")
+        return word[order], at[order]
+
+
+def _counted(seeds: Seeds):
+    """In how many texts each seed is, summed in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(seeds.keys), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(lowered(batch)):
+                hashes, _, _, bounds = words(data, offsets)
+                word, key = seeds.hits(hashes, bounds)
+                text = np.searchsorted(bounds, word, "right") - 1
+                np.add.at(n, np.unique(text * np.int64(len(n)) + key) % len(n), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["seed", "n"])
+
+    return run
+
+
+def _search(items: list[Item], seeds: Seeds, frequent: np.ndarray, threshold: float):
+    """``frequent``: the seeds, by number, of which one is not enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        short = any(len(i.words) < SHORT for i in items)
+        rare = np.ones(len(seeds.keys), bool)
+        rare[frequent] = False
+        size = np.array([len(i.words) for i in items])
+        needed = np.where(size < SHORT, np.ceil(threshold * size), 2)
         for batch in batches:
             out: list[tuple] = []
             for first, _, data, offsets in text_chunks(lowered(batch)):
                 hashes, _, _, bounds = words(data, offsets)
-                hit, low, high = [], [], []
-                for keys in (grams(hashes, bounds), *([_single(hashes)] if short else [])):
-                    a, b = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
-                    hit.append(np.flatnonzero(b > a))
-                    low.append(a[hit[-1]])
-                    high.append(b[hit[-1]])
-                hit, low, high = map(np.concatenate, (hit, low, high))
-                order = np.argsort(hit, kind="stable")
-                hit, low, reps = hit[order], low[order], (high - low)[order]
+                hit, key = seeds.hits(hashes, bounds)
+                reps = np.diff(seeds.bounds)[key]
                 # Whole documents at a time, so that the pairs listed at once are few.
                 total = np.concatenate([[0], np.cumsum(reps)])
                 ends = np.searchsorted(hit, bounds)
@@ -170,21 +221,27 @@ def _search(items: list[Item], seeds: np.ndarray, owner: np.ndarray, place: np.n
                     if x == y:
                         continue
                     at = np.repeat(hit[x:y], reps[x:y])
-                    seed = np.repeat(low[x:y] - (total[x:y] - total[x]), reps[x:y]) + np.arange(len(at))
+                    seed = np.repeat(seeds.bounds[key[x:y]] - (total[x:y] - total[x]), reps[x:y]) + np.arange(len(at))
+                    owner, place = seeds.owner[seed], seeds.place[seed]
                     row = np.searchsorted(bounds, at, "right") - 1
-                    pair = row * np.int64(len(items)) + owner[seed]
-                    order = np.argsort(pair, kind="stable")
-                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0, [True]]))
-                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        own = order[a:b]
-                        r, k = int(row[own[0]]), int(owner[seed[own[0]]])
-                        item = items[k]
-                        if k not in bags:
-                            bags[k] = np.unique(item.words, return_counts=True)
+                    pair = row * np.int64(len(items)) + owner
+                    order = np.lexsort((place, pair))
+                    new = np.concatenate([[True], np.diff(pair[order]) != 0])
+                    begin = np.flatnonzero(new)
+                    places = np.add.reduceat(new | np.concatenate([[True], np.diff(place[order]) != 0]), begin, dtype=np.int64)
+                    alone = np.logical_or.reduceat(np.repeat(rare[key[x:y]], reps[x:y])[order], begin) & (size[owner[order[begin]]] >= SHORT)
+                    good = alone | (places >= needed[owner[order[begin]]])
+                    cuts = np.append(begin, len(order))
+                    for k in np.flatnonzero(good).tolist():
+                        own = order[cuts[k] : cuts[k + 1]]
+                        r, o = int(row[own[0]]), int(owner[own[0]])
+                        item = items[o]
+                        if o not in bags:
+                            bags[o] = np.unique(item.words, return_counts=True)
                         text = hashes[bounds[r] : bounds[r + 1]]
                         best = (0, 0, 0)
-                        for u, v in _windows(at[own] - bounds[r], place[seed[own]], len(item.words), len(text)):
-                            if _in_common(text[u:v], *bags[k]) < threshold * len(item.words):
+                        for u, v in _windows(at[own] - bounds[r], place[own], len(item.words), len(text)):
+                            if _in_common(text[u:v], *bags[o]) < threshold * len(item.words):
                                 continue
                             score, one, two = align(text[u:v], item.words)
                             best = max(best, (score, one + u, two + u), key=lambda w: w[0])
@@ -211,15 +268,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row for each document and benchmark item of which it holds a copy: score (1: word for word) and the words it spans."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], _FOUND)
+    limit = max(RARE_DOCS, int(RARE_SHARE * docs.count()))
     for rows in _blocks(benchmark):
         items = _items(rows)
-        if not items:
-            continue
-        seeds = np.concatenate([i.seeds for i in items])
-        owner = np.repeat(np.arange(len(items)), [len(i.seeds) for i in items])
-        place = np.concatenate([i.places for i in items])
-        order = np.argsort(seeds, kind="stable")
-        found = found.union(docs.mapInArrow(_search(items, seeds[order], owner[order], place[order], threshold), _FOUND))
+        if items:
+            seeds = Seeds.of(items)
+            counts = docs.mapInArrow(_counted(seeds), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+            frequent = np.array([r[0] for r in counts.where(F.col("n") > limit).select("seed").collect()], np.int64)
+            found = found.union(docs.mapInArrow(_search(items, seeds, frequent, threshold), _FOUND))
     return found
 
 

@@ -44,6 +44,32 @@ def test_decontamination_of_often_copied_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(1000, 1), (1001, 2)} and len(want) > 500
 
 
+def test_decontamination_equals_all_pairs(spark):
+    rnd = random.Random(21)
+    words = vocabulary(rnd, 60)  # few words, so that most seeds are frequent
+    items = [(k, sentence(rnd, words, n)) for k, n in enumerate([1, 2, 3, 7, 8, 12, 20, 40])] + [(2, "a second item of a number"), (None, sentence(rnd, words, 15)), (50, None), (51, " ")]
+    docs = []
+    for i in range(150):
+        text = sentence(rnd, words, rnd.randint(0, 60))
+        if i % 3 == 0:
+            copy = rnd.choice(items)[1] or ""
+            text = f"{text} {edited(rnd, copy, rnd.randint(0, len(copy.split()) // 3 + 1), words)} {sentence(rnd, words, 9)}"
+        docs.append((i, text))
+    docs += [(7, docs[0][1]), (None, docs[3][1]), (200, None), (201, ""), (202, " ".join(sentence(rnd, words, 500) for _ in range(4)) + f" {items[7][1]} z")]
+    plain = lambda t: (t or "").lower().split()
+    want = []
+    for d, text in docs:
+        for k, item in items:
+            if plain(item) and plain_alignment(plain(text), plain(item)) >= len(plain(item)):
+                want.append((d, k, plain_alignment(plain(text), plain(item)) / 2 / len(plain(item))))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item_id": F.lit("x"), "score": F.lit(1)})
+    marks = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("y"))
+    for parts in (1, 7):  # what stands beside a document changes nothing
+        got = [(r["doc_id"], r["item_id"], r["score"]) for r in contaminated(rows.repartition(parts), marks).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert contaminated(rows, marks.where("false")).count() == 0 == contaminated(rows.where("false"), marks).count()
+
+
 def plain_alignment(a, b):
     best, row = 0, [0] * (len(a) + 1)
     for y in b:
