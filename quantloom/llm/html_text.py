@@ -2,31 +2,43 @@
 
 1. Every page is parsed (tolerantly) to a tree of containers and text blocks.  Navigation, page headers,
    footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role,
-   class or id and count for nothing.  A container's score is the text of the blocks in it that isn't link
-   text, less for each level that a block lies deeper.  From the container of highest score the best one is
-   found by climbing: within an article (else main) to it, else to the outermost ancestor up to the body
+   class or id, of containers and of blocks, and count for nothing.  A container's score is the text of the blocks in
+   it that isn't link text, less for each level that a block lies deeper.  From the container of highest score the best
+   one is found by climbing: within an article (else main) to it, else to the outermost ancestor up to the body
    that adds text of which most isn't links.
 2. A page votes for the generalised path (tags with classes, digits left out) of its best container;
    Spark sums the votes per host, and the path with most votes wins (ties: the greatest path).
 3. Every page is extracted again from the containers at its host's path; a page that has none, or no
-   text there, from its own best container.
+   text there, from its own best container.  The table of hosts and paths is broadcast where its measured size is
+   at most ``BROADCAST_BYTES``; a larger one is joined with pages dealt by host and a salt of ``SALT`` values, so
+   that a host with a third of the pages is in many tasks.
 
-White space in a block becomes one space, character references are decoded, blocks are joined by line
-feeds.  Nothing else is dropped or cut.  A null or empty page, or one without text, gives the empty
-text; a null url is a host of its own; repeated rows are extracted each.
+A node knows its parent and a hash of its path; a path is written out for the best container alone, so memory
+is linear in the page however deep its elements are.  White space in a block becomes one space, character
+references are decoded, blocks are joined by line feeds.  Nothing else is dropped or cut.
+
+Defined results: a null or empty page, or one without text, gives the empty text; a null or broken url is of the
+host without a name; a null page_id stays null; repeated rows are extracted each; an empty table gives no rows; extra
+columns are ignored, whatever their names; a very long page is parsed as a whole, in memory linear in its length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import cut
+
+#: Bytes of the hosts and paths that are sent to every executor, at most.
+BROADCAST_BYTES = 16 << 20
+SALT = 32
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|button|canvas|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
@@ -48,13 +60,33 @@ _DECAY = 0.8
 
 
 class _Node:
-    __slots__ = ("linked", "parent", "path", "plain", "score", "skipped", "tag")
+    __slots__ = ("key", "linked", "parent", "plain", "score", "skipped", "step", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Node | None, skipped: bool) -> None:
-        self.tag, self.path, self.parent, self.skipped, self.score = tag, path, parent, skipped, 0.0
+    def __init__(self, tag: str, step: str, parent: _Node | None, skipped: bool) -> None:
+        self.tag, self.step, self.parent, self.skipped, self.score = tag, step, parent, skipped, 0.0
+        #: Identifies the path.
+        self.key = _next_key(parent.key, step) if parent else b""
         #: Characters outside and in links, in all unskipped blocks within.
         self.plain = self.linked = 0
 
+    def path(self) -> str:
+        steps, up = [], self
+        while up.parent is not None:
+            steps.append(up.step)
+            up = up.parent
+        return "".join(f"/{x}" for x in reversed(steps))
+
+
+def _next_key(key: bytes, step: str) -> bytes:
+    return hashlib.blake2b(key + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def path_key(path: str) -> bytes:
+    key = b""
+    for step in path.split("/")[1:]:
+        key = _next_key(key, step)
+    return key
+
 
 def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
     """(generalised step of a path, whether the element is boilerplate)."""
@@ -68,7 +100,7 @@ def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
             role = value.strip().lower()
         else:
             names += f" {value}"
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "", x) for x in classes.split()} - {""})])
+    step = ".".join([tag, *sorted({re.sub(r"[\d/]+", "", x) for x in classes.split()} - {""})])
     skipped = tag in _SKIPPED_TAGS or role in _SKIPPED_ROLES or tag == "header" and not inside_article
     if not skipped and names and tag not in ("html", "body", "article", "main"):
         parts = {x.lower() for x in _PART.findall(names)}
@@ -77,32 +109,29 @@ def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
 
 
 class Page:
-    """The blocks of a page: (container, text, link characters), in page order."""
+    """The blocks of a page: (container, text), in page order."""
 
     def __init__(self, source: str) -> None:
         root = _Node("", "", None, False)
         self.nodes = [root]
         self.blocks: list[tuple[_Node, str]] = []
         stack: list[_Node] = [root]
+        open_tags: dict[str, int] = {}  # how many elements of a tag are open
         parts: list[str] = []
         links, in_link, end = 0, False, 0
+        hidden = False  # within a block, such as a paragraph, that is boilerplate by its name
 
         def close() -> None:
             nonlocal links
             if parts:
                 text = " ".join(references.unescape("".join(parts)).split())
                 node = stack[-1]
-                if text and not node.skipped:
+                if text and not node.skipped and not hidden:
                     self.blocks.append((node, text))
                     worth = max(0, len(text) - links)
-                    up: _Node | None = node
-                    plain, linked = worth, len(text) - worth
-                    while up is not None:
-                        up.score += worth
-                        up.plain += plain
-                        up.linked += linked
-                        worth *= _DECAY
-                        up = up.parent
+                    node.score += worth
+                    node.plain += worth
+                    node.linked += len(text) - worth
                 parts.clear()
             links = 0
 
@@ -126,29 +155,37 @@ class Page:
             if tag not in _BLOCKS:
                 continue
             close()
-            in_link = False
+            in_link = hidden = False
             if tag not in _CONTAINERS or tag in _VOID:
+                if m[4] and not m[2]:
+                    hidden = _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))[1]
                 continue
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if open_tags.get(tag):
+                    while True:
+                        top = stack.pop()
+                        open_tags[top.tag] -= 1
+                        if top.tag == tag:
+                            break
             else:
-                top = stack[-1]
-                if tag == "body" or top.tag == "head" and tag != "head":
+                if tag == "body" or stack[-1].tag == "head" and tag != "head":
                     while stack[-1].tag == "head":
-                        stack.pop()
-                    top = stack[-1]
-                if tag in ("html", "body") and any(n.tag == tag for n in stack):
+                        open_tags[stack.pop().tag] -= 1
+                if tag in ("html", "body") and open_tags.get(tag):
                     continue
-                step, skipped = _named(m[4], tag, any(n.tag in ("article", "main") for n in stack))
-                node = _Node(tag, f"{top.path}/{step}", top, skipped or top.skipped)
+                top = stack[-1]
+                step, skipped = _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))
+                node = _Node(tag, step, top, skipped or top.skipped)
                 self.nodes.append(node)
                 stack.append(node)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
         if end < len(source):
             parts.append(source[end:])
         close()
+        for node in reversed(self.nodes[1:]):  # children come after their parents
+            node.parent.score += node.score * _DECAY
+            node.parent.plain += node.plain
+            node.parent.linked += node.linked
 
     def best(self) -> _Node | None:
         """The container of most worth (of equal ones the outermost, first in the page), or what it is a part of."""
@@ -186,54 +223,52 @@ class Page:
         return "\n".join(out)
 
     def extract(self, path: str | None) -> str:
-        found = self.text({id(n) for n in self.nodes if n.path == path and not n.skipped}) if path else ""
+        key = path_key(path) if path else None
+        found = self.text({id(n) for n in self.nodes if n.key == key and not n.skipped}) if path else ""
         if not found and (best := self.best()) is not None:
             found = self.text({id(best)})
         return found
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
-
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple[str, str], int] = {}
-        for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             best = Page(source).best() if source else None
             if best is not None:
-                key = host_of(url), best.path
+                key = host, best.path()
                 counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["host", "path", "n"])
 
 
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.append_column("host", pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()))
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [Page(source).extract(path) if source else "" for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _with_host(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.coalesce(F.try_parse_url(F.trim("url"), F.lit("HOST")), F.lit("")))
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host)
+
+
 def host_paths(pages: DataFrame) -> DataFrame:
     """host and its winning path; votes are summed in each batch, then by Spark."""
-    votes = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_vote, "host string, path string, n long")
+    votes = _with_host(pages).select("host", "html").mapInArrow(_vote, "host string, path string, n long")
     summed = votes.groupBy("host", "path").agg(F.sum("n").alias("n"))
     return summed.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    keyed = pages.mapInArrow(_hosts, "page_id long, url string, html string, host string")
-    joined = keyed.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    keyed, paths = _with_host(pages), cut(host_paths(pages))
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        joined = keyed.join(F.broadcast(paths), "host", "left")
+    else:
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

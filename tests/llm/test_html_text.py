@@ -1,4 +1,6 @@
-from quantloom.llm.html_text import Page
+from pyspark.sql import functions as F
+
+from quantloom.llm.html_text import Page, extract, host_paths, path_key
 
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><a href="/">Home</a> A site header that is long enough to look like text</header>
@@ -11,13 +13,13 @@ HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_article_without_the_rest():
     page = Page(HTML)
-    assert page.best().path.endswith("div.post.post-")
+    assert page.best().path().endswith("div.post.post-")
     assert page.extract(None) == "Title & more\nFirst para\nSecond para with a link.\none\ntwo"
 
 
 def test_path_and_empty_pages():
     page = Page(HTML)
-    assert page.extract("/nowhere") == page.extract(page.best().path)
+    assert page.extract("/nowhere") == page.extract(page.best().path())
     assert Page("").extract(None) == ""
     assert Page("plain text &lt;b&gt;").extract("/html/body") == "plain text <b>"
     assert Page("<p>unclosed <b>and").extract(None) == "unclosed and"
@@ -31,4 +33,45 @@ def test_article_with_a_lead_and_one_long_container():
         assert page.best().tag == "article"
         assert page.extract(None).split("\n")[:2] == ["T", ("a lead " * 14).strip()] and "another" not in page.extract(None)
         page = Page(source.replace("article>", "div>"))
-        assert page.extract(page.best().path).startswith("T\na lead")
+        assert page.extract(page.best().path()).startswith("T\na lead")
+
+
+def test_names_on_blocks():
+    source = '<article><p class="cookie-notice">We use cookies</p><p>Real text here.</p><li class=advert>Buy now</li><p class="advert">Buy this</p><p class="lead">And more.</p><h2 id="related">Other</h2></article>'
+    assert Page(source).extract(None) == "Real text here.\nAnd more."
+    assert Page("<p class=notice>a<b>b</b></p>c").extract(None) == "c"
+
+
+def test_deep_pages_take_linear_memory():
+    page = Page("<div class=x>" * 20000 + "<p>deep text</p>" + "</div>" * 20000 + "<p>after</p>")
+    assert page.extract(None) == "deep text" and len(page.nodes) == 20001
+    path = page.nodes[-1].path()
+    assert path.count("/div.x") == 20000 and path_key(path) == page.nodes[-1].key
+    assert len({n.key for n in page.nodes}) == 20001
+    long = Page("<article>" + "<p>some words of a very long page</p>" * 60000 + "</article>")
+    assert long.extract(None).count("\n") == 59999
+
+
+def _pages():
+    own = '<body><article class="post">%s</article><div class="shop"><p>%s</p></div></body>'
+    rows = [(i, f"https://A.example.com/{i}", own % (f"<p>story {i} {'word ' * 30}</p>", "offer " * 5), "h") for i in range(6)]
+    rows += [(6, "http://a.example.com:80/x", own % ("<p>short story</p>", "a longer text of the shop " * 20), "h")]  # its own best is the shop, its host's the post
+    rows += [(7, "http://b.example.com/", own % ("<p>one post</p>", "a longer text of the shop"), "h"), (8, "http://b.example.com/", '<body><article class="zoo"><p>the zoo of b, much longer</p></article></body>', "h")]
+    rows += [(9, None, own % ("", "lonely"), "h"), (10, "http://[bad", own % ("", "broken"), "h"), (11, "http://c.example.com", None, "h"), (12, "http://c.example.com", "", "h"), (None, "http://c.example.com", "plain &amp; simple", "h")]
+    return rows
+
+
+def test_votes_of_hosts(spark):
+    pages = spark.createDataFrame(_pages(), "page_id long, url string, html string, host string").withColumns({"path": F.lit(1), "text": F.lit("t"), "salt": F.lit(2)})
+    paths = {r["host"]: r["path"] for r in host_paths(pages.repartition(5)).collect()}
+    assert paths["a.example.com"] == "/body/article.post"
+    assert paths["b.example.com"] == "/body/article.zoo"  # one vote each: the greatest path
+    for limit in (1 << 20, 0):  # broadcast, and dealt with a salt
+        got = {r["page_id"]: r for r in extract(pages.repartition(3), limit).collect()}
+        assert len(got) == 14
+        assert got[3]["text"] == "story 3 " + "word " * 29 + "word" and got[6]["text"] == "short story"
+        assert got[7]["text"] == "one post\na longer text of the shop" and got[8]["text"] == "the zoo of b, much longer"
+        assert [got[k]["text"] for k in (9, 10, 11, 12, None)] == ["lonely", "broken", "", "", "plain & simple"]
+        assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[0]["url"] == "https://A.example.com/0"
+    assert extract(pages.union(pages)).count() == 28
+    assert extract(pages.where("false")).count() == 0
