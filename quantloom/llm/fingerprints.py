@@ -6,7 +6,10 @@ so sketches of texts of any lengths can be compared, and merged by union.  It is
 texts, have equal fingerprints.
 
 Defined results: a null text is empty; an empty or wordless text has ``0.0.``, which is like itself (1)
-and unlike anything else (0).  Where both sketches kept nothing, likeness is 1 for equal sets and else 0.
+and unlike anything else (0).  Where both sketches kept nothing, likeness is 1 for equal sets and else 0.  Rows are
+ordered by doc_id, a null one last, rows of one doc_id by a hash of their text; each row that repeats is
+fingerprinted, and a single row is its own next one.  An empty table gives no rows; extra columns are ignored, whatever
+their names; a very long text is hashed in windows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from .textkernel import distinct, set_digest, shingles, text_chunks, words
 
 SCALE = 4
+#: Text bytes in a range of doc_ids, about, and the most ranges.
+SLOT_BYTES, MOST_SLOTS = 16 << 20, 100_000
 _KEPT = np.uint64((1 << 64) // SCALE)
 #: Kept hashes are written with so many bytes; the top bits of a 64-bit hash, less than 2**-30 of them alike within two documents.
 _BYTES = 5
@@ -94,36 +100,41 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """The rows (doc_id, text) dealt by ranges of doc_id, sorted, with the row that follows each range.
 
-    Ranges go by quantiles of doc_id.  Each range's largest document is also sent to the range above, as
-    the one after that range's last, and the largest of all to the lowest range; so one shuffle of the
-    texts is enough, and no task needs another's rows.
+    Ranges go by quantiles of doc_id and stand for about ``slot_bytes`` of text (``MOST_SLOTS`` ranges at most; a task
+    streams its range, so a larger one takes longer, not more memory).  Each range's largest document is also sent to
+    the range above, as the one after that range's last, and the largest of all to the lowest range; so one shuffle
+    of the texts is enough, and no task needs another's rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [k / (2 * n) for k in range(1, 2 * n)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0] or []))
-    # Range k holds the ids above cuts[k-1], up to cuts[k]; nulls are in the lowest.
-    points = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-    place = F.coalesce(F.array_size(F.filter(points, lambda c: F.col("doc_id") > c)), F.lit(0))
-    if len(cuts) > 64:  # the same number by bisection
-        where = lambda low, high: F.lit(low) if low == high else F.when(F.col("doc_id") > F.lit(cuts[(low + high) // 2]), where((low + high) // 2 + 1, high)).otherwise(where(low, (low + high) // 2))
-        place = F.coalesce(where(0, len(cuts)), F.lit(0))
-    tops = {r[0]: r[1] for r in docs.select("doc_id", place.cast("int").alias("slot")).groupBy("slot").agg(F.max("doc_id")).collect()}
+    n = min(MOST_SLOTS, max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // slot_bytes)))
+    cuts = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10000, 20 * n))).first()[0] or []) if n > 1 else []), np.int64)
+
+    # Range k holds the ids above cuts[k-1], up to cuts[k]; nulls are in the lowest.  Only ids travel to Python.
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        out = np.zeros(len(ids), np.int32)
+        out[known] = np.searchsorted(cuts, ids[known].to_numpy().astype(np.int64), "left")
+        return pd.Series(out)
+
+    # Ids as text, so that pandas doesn't make floats of them where some are null.
+    placed = docs.withColumn("slot", place(F.col("doc_id").cast("string")) if len(cuts) else F.lit(0))
+    tops = {r[0]: r[1] for r in placed.groupBy("slot").agg(F.max("doc_id")).collect()}
     ranked = sorted(tops, reverse=True)
-    above = {tops[low]: high for high, low in zip(ranked, ranked[1:], strict=False) if tops[low] is not None}
-    goes = F.array(F.struct(place.cast("int").alias("slot"), F.lit(0).alias("extra")))
+    above = [(tops[low], high) for high, low in zip(ranked, ranked[1:], strict=False) if tops[low] is not None]
+    goes = F.array(F.struct("slot", F.lit(0).alias("extra")))
     if ranked and tops[ranked[0]] is not None:
-        wrap = (tops[ranked[0]], ranked[-1])
-        carried = spark.createDataFrame([*above.items(), wrap], "top long, slot int").groupBy("top").agg(F.collect_list(F.struct("slot", F.lit(1).alias("extra"))).alias("more"))
-        rows = docs.join(F.broadcast(carried), F.col("doc_id") == F.col("top"), "left")
-        rows = rows.select("doc_id", "text", F.explode(F.concat(goes, F.coalesce("more", F.array().cast("array<struct<slot:int,extra:int>>")))).alias("to"))
+        carried = spark.createDataFrame([*above, (tops[ranked[0]], ranked[-1])], "top long, slot int").groupBy("top").agg(F.collect_list(F.struct("slot", F.lit(1).alias("extra"))).alias("more"))
+        rows = placed.join(F.broadcast(carried), F.col("doc_id") == F.col("top"), "left")
+        goes = F.concat(goes, F.coalesce("more", F.array().cast("array<struct<slot:int,extra:int>>")))
     else:
-        rows = docs.select("doc_id", "text", F.explode(goes).alias("to"))
-    rows = rows.select("to.slot", "to.extra", "doc_id", "text").repartition(n, "slot")
+        rows = placed
+    rows = rows.select("doc_id", "text", F.explode(goes).alias("to")).select("to.slot", "to.extra", "doc_id", "text")
+    rows = rows.repartitionById(len(cuts) + 1, F.col("slot")) if len(cuts) else rows.repartition(1)
     return rows.sortWithinPartitions("slot", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
 
 
@@ -163,7 +174,11 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([(held, first)])
 
 
-def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def edited_fingerprints(docs: DataFrame, slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(_edit, schema)
+    return with_next(docs, slot_bytes).mapInArrow(_edit, schema)
+
+
+def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

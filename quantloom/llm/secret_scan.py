@@ -6,13 +6,14 @@ cut into lanes at bytes that no rule can contain, and numpy advances thousands o
 Lanes that it flags are walked with the second automaton, which knows all rules in full and gives
 the leftmost-longest, non-overlapping matches of each rule.
 
-Defined results: a null text is empty and has no spans; rows that repeat are scanned each; extra
-columns are ignored by ``scan`` and kept by ``redact``.  Offsets count code points.
+Defined results: a null text is empty and has no spans; a null doc_id stays null; rows that repeat are scanned
+each; an empty table gives no rows; extra columns are ignored by ``scan``, whatever their names, and kept by ``redact``.
+Offsets count code points.  A very long text is cut into lanes like any other; a lane without a stop byte is as
+long as its run.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,22 +189,16 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
     """The digest columns of every document's spans."""
-    scanner = Scanner.of()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = {k: [] for k in BASE_KINDS}
-            digests, spans = [], []
-            for found in scanner.spans(batch):
-                named = [(scanner.rules[r].kind, f"{scanner.rules[r].kind}:{s}:{e}") for s, e, r in found]
-                for k in BASE_KINDS:
-                    counts[k].append(sum(kind == k for kind, _ in named))
-                digests.append(hashlib.sha256(",".join(x for kind, x in named if kind in BASE_KINDS).encode()).hexdigest())
-                spans.append(",".join(x for _, x in named))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Counts by base kind, the hash of the base spans and all spans as text, of every row."""
+    named = lambda found: F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return scan(docs).select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(named(of(*BASE_KINDS)), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import quality, toxicity
 from quantloom.llm.decontamination import align, contaminated
-from quantloom.llm.fingerprints import Fingerprint, _edit, fingerprints, with_next
+from quantloom.llm.fingerprints import Fingerprint, edited_fingerprints, fingerprints
 from quantloom.llm.pitman_yor import _frequent, score_texts
 
 from .corpus import LOWER, edited, sentence, shingles, tokens, vocabulary
@@ -138,27 +139,42 @@ def test_classifiers_without_labels(spark):
 def test_fingerprints(spark):
     rnd = random.Random(5)
     words = vocabulary(rnd)
-    docs = [(i, sentence(rnd, words, rnd.randint(0, 900)) or None) for i in rnd.sample(range(1000), 60)] + [(2000, "same text here"), (2001, "same text here"), (2002, "")]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    got = {r["doc_id"]: r for r in with_next(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).mapInArrow(_edit, schema).collect()}
-    order = sorted(docs, reverse=True)
-    assert len(got) == len(docs)
-    for k, (i, text) in enumerate(order):
-        text, after = text or "", order[(k + 1) % len(order)][1] or ""
-        n = len(text) // 3
-        new = text[: len(text) - n] + after[:n]
-        assert got[i]["n_chars"] == len(text)
-        one, two = fingerprints([text, new])
-        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (str(one), str(two))
-        a, b = shingles(text), shingles(new)
-        if len(a | b) > 300:
-            assert abs(got[i]["near_edited"] - len(a & b) / len(a | b)) < 0.15
+    docs = [(i, sentence(rnd, words, rnd.randint(0, 900)) or None) for i in rnd.sample(range(1000), 60)] + [(2000, "same text here"), (2001, "same text here"), (2002, ""), (None, "of no id é漢")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"slot": F.lit("s"), "extra": F.lit(1), "top": F.lit(2), "fingerprint": F.lit("f")})
+    order = sorted(docs, key=lambda d: -1 if d[0] is None else d[0], reverse=True)
+    for size in (1 << 24, 20_000):  # one range, and many
+        got = {r["doc_id"]: r for r in edited_fingerprints(rows.repartition(5), size).collect()}
+        assert len(got) == len(docs)
+        for k, (i, text) in enumerate(order):
+            text, after = text or "", order[(k + 1) % len(order)][1] or ""
+            n = len(text) // 3
+            new = text[: len(text) - n] + after[:n]
+            assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+            one, two, three = fingerprints([text, new, after])
+            assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (str(one), str(two))
+            assert (got[i]["near_edited"], got[i]["near_next"]) == (one.likeness(two), one.likeness(three))
+            a, b = shingles(text), shingles(new)
+            if len(a | b) > 300:
+                assert abs(got[i]["near_edited"] - len(a & b) / len(a | b)) < 0.15
     assert got[2000]["fingerprint"] == got[2001]["fingerprint"] and got[2001]["near_next"] == 1
     one = Fingerprint.parse(got[order[5][0]]["fingerprint"])
     assert one.likeness(one) == 1 and one.containment(one.merged(fingerprints(["q w e r t y"])[0])) == 1
-    assert with_next(spark.createDataFrame([], "doc_id long, text string")).mapInArrow(_edit, schema).count() == 0
-    single = with_next(spark.createDataFrame([(None, "abc")], "doc_id long, text string")).mapInArrow(_edit, schema).collect()
+    assert edited_fingerprints(rows.where("false")).count() == 0
+    single = edited_fingerprints(spark.createDataFrame([(None, "abc")], "doc_id long, text string")).collect()
     assert len(single) == 1 and single[0]["near_next"] == 1
+    again = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d e f")], "doc_id long, text string")
+    assert sorted(r["n_chars"] for r in edited_fingerprints(again, 4).collect()) == [5, 5, 5]
+
+
+def test_containment_of_unequal_texts_by_merged_sketches():
+    rnd = random.Random(15)
+    words = vocabulary(rnd, 3000)
+    parts = [sentence(rnd, words, 4000) for _ in range(3)]
+    whole, inside, outside = fingerprints([" ".join(parts), parts[1][: len(parts[1]) // 3], sentence(rnd, words, 600)])
+    assert inside.containment(whole) > 0.98 and outside.containment(whole) < 0.02 and whole.containment(inside) < 0.15
+    one, two, three = fingerprints(parts)
+    merged = one.merged(two).merged(three)
+    assert inside.containment(merged) > 0.98 and abs(merged.likeness(whole) - 1) < 0.02
 
 
 def test_language_model(spark):

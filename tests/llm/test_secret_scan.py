@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from quantloom.llm.secret_scan import RULES, Scanner
+from quantloom.llm.secret_scan import BASE_KINDS, RULES, Scanner, digests, redact
 
 SCANNER = Scanner.of()
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,3 +36,23 @@ def test_extra_rules():
     text = "a ghp_" + "A1" * 18 + " and -----BEGIN RSA PRIVATE KEY----- b"
     kinds = [RULES[r].kind for _, _, r in found([text])[0]]
     assert kinds == ["github", "private_key"]
+
+
+def test_digests_equal_regular_expressions(spark):
+    rnd = random.Random(9)
+    bits = ["password", "secret", "api_key", "=", ": ", '"', "abcdef", "0123456789abcdef01234567", "AKIA", "ABCDEFGHIJKLMNOP12", "\n", "é", "漢", " token=='", "ghp_" + "a" * 36, " "]
+    docs = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))) for i in range(150)]
+    docs += [(3, docs[3][1]), (None, docs[5][1]), (500, None), (501, ""), (502, "x " * 400000 + "AKIA" + "Q" * 16 + " -----BEGIN " + "A " * 20000)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"spans": F.lit(1), "kind": F.lit("k"), "n_hex": F.lit(2)})
+    got = digests(rows.repartition(4)).collect()
+    want = []
+    for i, text in docs:
+        spans = [f"{BASE_KINDS[k]}:{s}:{e}" for s, e, k in brute(text or "")]
+        want.append((i, *(sum(x.startswith(k + ":") for x in spans) for k in BASE_KINDS), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    assert all(set(x.split(":")[0] for x in r["spans"].split(",")) <= {rule.kind for rule in RULES} | {""} for r in got)
+    assert sum("github" in r["spans"] for r in got) > 5
+    assert digests(rows.where("false")).count() == 0
+    clean = {r["doc_id"]: r for r in redact(rows).collect()}
+    assert clean[500]["text"] is None and clean[501]["text"] == "" and clean[0].asDict().keys() == set(rows.columns)
+    assert not any(brute(r["text"] or "") for r in digests(redact(rows).withColumnRenamed("spans", "s")).join(redact(rows), "doc_id").collect() if r["base_sha256"] == hashlib.sha256(b"").hexdigest())
