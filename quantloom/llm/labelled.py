@@ -23,7 +23,20 @@ def texts_of(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
     """doc_id, text and label of the documents with these ids, one row an id; the ids are broadcast, for their number is bounded by the sample."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType())])
     wanted = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in labels.items()], schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id")
+    # Of texts that share an id the one of least hash, whatever the partitioning.
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
+
+
+def within(docs: DataFrame, ids: list[int], most_bytes: int) -> list[int]:
+    """The ids, in their order, as long as their texts come to at most ``most_bytes`` together; ids without a document are left out."""
+    sizes = {r[0]: r[1] or 0 for r in texts_of(docs, dict.fromkeys(ids, 0)).select("doc_id", F.octet_length("text")).collect()}
+    out, total = [], 0
+    for i in ids:
+        if i in sizes and total + sizes[i] <= most_bytes:
+            total += sizes[i]
+            out.append(i)
+    return out
 
 
 def sigmoid(x):

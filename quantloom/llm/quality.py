@@ -1,13 +1,17 @@
 """Quality scores from compression.
 
-Two zstandard dictionaries are trained, one on passages of good and one on passages of bad labelled
-text.  Every passage of a text (``CHUNK`` bytes, so that the dictionaries matter all along a long text)
-is compressed with both; the difference of the sizes, over the bytes of the whole text, is the
-feature, and a logistic curve fitted on other labelled rows turns it into a probability.
-
-The fit uses bounded samples: ``per_label`` documents of each label with ``passages`` passages each for
-the dictionaries, ``calibration`` other documents for the curve.  A null or empty text has feature 0.
-Without rows of both labels every score is the share of label 1 (0.5 without labels).
+Two zstandard dictionaries are trained, one on good and one on bad labelled text.  Every passage of a text (``CHUNK``
+bytes, so that the dictionaries matter all along a long text) is compressed with both; the difference of the sizes,
+over the bytes of the whole text, is the feature, and a logistic curve fitted on other labelled rows turns it
+into a probability.
+
+The fit uses bounded samples of labelled rows: ``per_label`` documents of each label for the dictionaries and
+``calibration`` others for the curve, each of them whole, with at most ``most_bytes`` of text a label and purpose.
+
+Defined results: a null or empty text has feature 0; a null doc_id stays null and is not learnt from, nor are labels
+other than 0 and 1; of contradicting labels of a doc_id 1 counts; repeated rows are scored each.  Without rows of both
+labels every score is the share of label 1 (0.5 without labels).  An empty table gives no rows; extra columns are
+ignored, whatever their names; of a very long text all passages count, one after another.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, platt, sampled, texts_of
+from .labelled import fold, platt, sampled, texts_of, within
 from .textkernel import mix64, string_bytes
 
 CHUNK = 512
@@ -65,7 +69,7 @@ def _features(model: CompressionModel):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, passages: int = 4, calibration: int = 4000, size: int = 1 << 16) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, calibration: int = 4000, most_bytes: int = 32 << 20, size: int = 1 << 16) -> CompressionModel:
     """A model from ``labels`` (doc_id, label 0 or 1; other values and nulls are ignored)."""
     labels = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = {q: sampled(labels.where(F.col("label") == q), per_label + calibration // 2) for q in (0, 1)}
@@ -74,18 +78,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, passages: int
     flat = CompressionModel(b"", b"", 0.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
     # Of few rows, two thirds go to the dictionaries.
     cut = {q: min(per_label, (2 * len(x) + 2) // 3) for q, x in ids.items()}
-    train = {i: q for q, x in ids.items() for i in x[: cut[q]]}
+    train = {i: q for q, x in ids.items() for i in within(docs, x[: cut[q]], most_bytes)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
-            raw, out, of = data.tobytes(), [], []
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                parts = _passages(raw[a:b])
-                order = np.argsort(mix64(np.arange(len(parts), dtype=np.uint64) + np.uint64(1)), kind="stable")[:passages]
-                out += [parts[k] for k in order.tolist()]
-                of += [batch.column(2)[i].as_py()] * len(order)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(out, pa.binary())], names=["label", "passage"])
+            raw = data.tobytes()
+            parts = [_passages(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            of = np.repeat(batch.column(2).to_numpy(), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([x for p in parts for x in p], pa.binary())], names=["label", "passage"])
 
     if not ids[0] or not ids[1]:
         return flat
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, passages: int
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             dictionaries.append(b"".join(parts)[-size:] or b"\x00" * 8)
     raw = CompressionModel(*dictionaries, 1.0, 0.0)
-    rest = {i: q for q, x in ids.items() for i in x[cut[q] : cut[q] + calibration // 2]}
+    rest = {i: q for q, x in ids.items() for i in within(docs, x[cut[q] : cut[q] + calibration // 2], most_bytes)}
     if len(set(rest.values())) < 2:
         rest = train
     # The samples hold equal numbers of both labels at most; weights by repetition would be the same as this shift of the intercept.

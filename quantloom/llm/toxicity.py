@@ -4,12 +4,20 @@ The classifier is linear in the presence of words (64-bit hashes), trained in nu
 toxic documents and unlabelled ones.  With class prior pi, positives P and unlabelled rows U the risk is
 ``pi * E_P[loss(f)] + max(0, E_U[loss(-f)] - pi * E_P[loss(-f)])`` with the logistic loss; where the second
 part falls below zero its gradient is reversed, so the fit can't drive the estimated risk of
-negatives below zero.  Words are screened first: kept are those whose share among positives is above
-that among unlabelled rows by ``screen`` standard errors.
+negatives below zero.
 
-The fit uses bounded samples: ``positives`` toxic and ``unlabelled`` arbitrary documents of the training
-folds.  The prior is the share of toxic rows among the labelled ones.  A null or wordless text has no
-words and gets the intercept's score.  Without confirmed examples every score is 0.
+The model has a weight for each word whose share among positives is above that among unlabelled rows by ``screen``
+standard errors, seen in ``least`` sampled documents (two of them toxic): with some ten thousand distinct words for each
+thousand documents, the rest are noise that a linear model would learn by heart.  If no word passes, the 50 of the
+largest difference are in it.  This decides what the model knows, not which rows or texts are read or scored.
+
+The fit uses bounded samples: ``positives`` toxic and ``unlabelled`` arbitrary documents of the training folds, whole,
+with at most ``most_bytes`` of text each.  The prior is the share of toxic rows among the labelled ones.
+
+Defined results: a null or wordless text has no words and gets the intercept's score; a null doc_id stays null and is not
+learnt from, nor are labels other than 0 and 1; of contradicting labels of a doc_id 1 counts; repeated rows are scored
+each.  Without confirmed examples every score is 0.  An empty table gives no rows; extra columns are ignored by
+``score`` and kept by ``without_toxic``, whatever their names; of a very long text all words count.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fold, sampled, sigmoid, texts_of
+from .labelled import fold, sampled, sigmoid, texts_of, within
 from .textkernel import distinct, text_chunks, words
 
 #: The score from which a document counts as toxic.
@@ -61,7 +69,19 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "words"])
 
 
-def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: float = 5.0, ridge: float = 1e-4, epochs: int = 200, rate: float = 0.05) -> WordModel:
+def risk(margin: np.ndarray, n_positive: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of margins, first those of positives, and the direction that a step goes against: its gradient, or, where the estimated risk of negatives is below zero, that risk's gradient reversed."""
+    on_p, on_u = margin[:n_positive], margin[n_positive:]
+    negative = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
+    slope = np.concatenate([-prior * sigmoid(on_p) / len(on_p), sigmoid(on_u) / len(on_u)])
+    if negative < 0:
+        slope = -slope
+    else:
+        slope[:n_positive] -= prior * sigmoid(-on_p) / len(on_p)
+    return float(prior * np.logaddexp(0, -on_p).mean() + max(0.0, negative)), slope
+
+
+def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: float = 5.0, least: int = 4, ridge: float = 1e-4, epochs: int = 200, rate: float = 0.05) -> WordModel:
     """A model from sets of word hashes, the first ``n_positive`` of confirmed toxic documents and the others unlabelled."""
     n_unlabelled = len(rows) - n_positive
     if not n_positive or not n_unlabelled or not prior:
@@ -73,7 +93,7 @@ def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: fl
     other = np.bincount(column[owner >= n_positive], minlength=len(vocabulary))
     share = other / n_unlabelled
     z = (toxic / n_positive - share) / np.sqrt((share + 1 / n_unlabelled) * np.maximum(1 - share, 1e-3) / n_positive)
-    keep = np.flatnonzero((z >= screen) & (toxic + other >= 4) & (toxic >= 2))
+    keep = np.flatnonzero((z >= screen) & (toxic + other >= least) & (toxic >= 2))
     if not len(keep):
         keep = np.flatnonzero(z >= np.partition(z, -min(50, len(z)))[-min(50, len(z))]) if len(z) else keep
     renumber = np.full(len(vocabulary), -1)
@@ -84,15 +104,7 @@ def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: fl
     first, second = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, epochs + 1):
         margin = np.bincount(owner, weights=weights[column], minlength=len(rows)) + bias
-        on_p, on_u = margin[:n_positive], margin[n_positive:]
-        negative = np.logaddexp(0, on_u).mean() - prior * np.logaddexp(0, on_p).mean()
-        slope = np.empty(len(rows))
-        if negative >= 0:
-            slope[:n_positive] = -prior * sigmoid(-on_p) / n_positive - prior * sigmoid(on_p) / n_positive
-            slope[n_positive:] = sigmoid(on_u) / n_unlabelled
-        else:
-            slope[:n_positive] = prior * sigmoid(on_p) / n_positive
-            slope[n_positive:] = -sigmoid(on_u) / n_unlabelled
+        slope = risk(margin, n_positive, prior)[1]
         grad = np.append(np.bincount(column, weights=slope[owner], minlength=len(keep)) + ridge * weights, slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -100,12 +112,12 @@ def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: fl
     return WordModel(vocabulary[keep], weights, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, pool: DataFrame, positives: int = 3000, unlabelled: int = 9000) -> WordModel:
+def fit(docs: DataFrame, labels: DataFrame, pool: DataFrame, positives: int = 3000, unlabelled: int = 9000, most_bytes: int = 64 << 20) -> WordModel:
     """A model from ``labels`` (doc_id, label 0 or 1) and, as unlabelled rows, the doc_ids of ``pool``."""
     labels = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    toxic = sampled(labels.where("label = 1"), positives)
-    free = sampled(pool, unlabelled)
+    toxic = within(docs, sampled(labels.where("label = 1"), positives), most_bytes)
+    free = within(docs, sampled(pool, unlabelled), most_bytes)
     # An id may be in both samples: it is then fetched once and used in both.
     fetched = texts_of(docs, dict.fromkeys([*free, *toxic], 0)).select("doc_id", "text").mapInArrow(_word_sets, "doc_id long, words binary")
     sets = {r["doc_id"]: np.frombuffer(bytes(r["words"]), np.uint64) for r in fetched.collect()}

@@ -5,12 +5,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from quantloom.llm import quality, toxicity
 from quantloom.llm.decontamination import align, contaminated
 from quantloom.llm.fingerprints import Fingerprint, edited_fingerprints, fingerprints
 from quantloom.llm.pitman_yor import _frequent, score_texts
+from quantloom.llm.textkernel import words as kernel_words
 
 from .corpus import LOWER, edited, sentence, shingles, tokens, vocabulary
 
@@ -127,6 +129,59 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.without_toxic(wide, model).columns == wide.columns
 
 
+def test_compression_scores_equal_plain_ones(spark):
+    docs, labels = labelled(random.Random(14), 500)
+    docs += [(3, docs[3][1]), (None, docs[4][1]), (900, "long " * 200000)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"score": F.lit("s"), "label": F.lit(5), "feature": F.lit(1)})
+    marks = spark.createDataFrame([(i, a) for i, a, _ in labels] + [(None, 1), (5, 7)], "doc_id long, label int")
+    model = quality.fit(rows, marks)
+    assert model == quality.fit(rows.repartition(5), marks.repartition(3))
+    one, two = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.bad, model.good))
+    want = []
+    for i, text in docs:
+        raw = (text or "").encode()
+        gain = sum(len(one.compress(raw[k : k + 512])) - len(two.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)) / max(1, len(raw))
+        want.append((str(i), round(1 / (1 + math.exp(-(model.slope * gain + model.intercept))), 9)))
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in quality.score(rows.repartition(4), model).collect()) == sorted(want)
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(3)
+    for prior, shift, below in ((0.2, 0.0, False), (0.9, 3.0, True)):
+        margin = rng.normal(size=30)
+        margin[:10] += shift  # positives that look positive: the estimated risk of negatives is below zero
+        on_p, on_u = margin[:10], margin[10:]
+        loss = lambda f: np.log1p(np.exp(-f))
+        parts = lambda p, u, prior=prior: (prior * loss(p).mean(), loss(-u).mean() - prior * loss(-p).mean())
+        whole = lambda m: sum(parts(m[:10], m[10:]))
+        negative = lambda m: -parts(m[:10], m[10:])[1]
+        one, two = parts(on_p, on_u)
+        assert (two < 0) == below
+        value, slope = toxicity.risk(margin, 10, prior)
+        assert abs(value - one - max(0, two)) < 1e-12
+        f = negative if below else whole
+        numeric = [(f(margin + 1e-5 * e) - f(margin - 1e-5 * e)) / 2e-5 for e in np.eye(30)]
+        assert np.abs(slope - numeric).max() < 1e-8
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    docs, labels = labelled(random.Random(16), 400)
+    docs += [(3, docs[3][1]), (None, docs[7][1]), (900, "vile " + "long " * 300000)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"score": F.lit("s"), "label": F.lit(5), "words": F.lit(1)})
+    marks = spark.createDataFrame([(i, b) for i, _, b in labels] + [(None, 1), (5, 7)], "doc_id long, label int")
+    model = toxicity.fit(rows, marks, rows.select("doc_id"))
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    hashed = lambda w: int(kernel_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+    want = []
+    for i, text in docs:
+        margin = model.intercept + sum(weight.get(hashed(w), 0.0) for w in set(tokens(text)))
+        want.append((str(i), round(1 / (1 + math.exp(-margin)), 9)))
+    assert len(weight) and sorted((str(r["doc_id"]), round(r["score"], 9)) for r in toxicity.score(rows.repartition(4), model).collect()) == sorted(want)
+    kept = toxicity.without_toxic(rows, model)
+    assert kept.columns == rows.columns and kept.count() == sum(s < toxicity.THRESHOLD for _, s in want)
+    assert toxicity.without_toxic(rows.where("false"), model).count() == 0 == toxicity.score(rows.where("false"), model).count()
+
+
 def test_classifiers_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, label int")
