@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last
 return the columns of ``documents``; the last returns the packed pieces.
+
+Defined results of every stage: a null text is empty (it is not toxic by words it lacks, near to nothing, clean of
+benchmark and secrets, and packs as its end mark); extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.llm.decontamination import contaminated
 from quantloom.llm.minhash_dedup import near_duplicates
@@ -19,30 +23,38 @@ from quantloom.session import shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The model learns from the training folds of the original table."""
+    """Documents that score as toxic go; rows are judged each, with a null doc_id too. The model learns from the training folds of the original table."""
     return without_toxic(docs, production_model(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays, as one row; rows without a doc_id stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, as one row; rows without a doc_id stay.
+
+    Of rows that share a doc_id and differ the one whose text has the least hash (of equal ones the least row) stays.
+    """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    named = left.where("doc_id is not null")
+    one = named.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))).alias("least")).select("least.row.*")
+    return one.union(left.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a copy of a benchmark item go, each by its own text, with a null doc_id too."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # A row is known by its text: equal texts are contaminated alike.
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    found = contaminated(rows.select(F.col("_text").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_text")).distinct()
+    return rows.join(found, "_text", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark."""
+    """Every row stays, repeated ones too; its secrets are replaced by a mark, and n_chars is counted anew where there were some."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
+    """The pieces of all rows, repeated ones each, with their sequences and places."""
     return pack(docs)
 
 
@@ -52,11 +64,23 @@ STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("benchmar
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """All stages on ``documents``; each result is written to the shared folder and read again.
+
+    A run that was given a ``name`` and failed goes on, if started again, behind the last stage that it had written.
+    Once the last stage is written the results before it are deleted.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{name or uuid.uuid4()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    for k, (stage_name, stage) in enumerate(STAGES):
+        out = f"{folder}/{k}-{stage_name}"
+        if not files.exists(path(f"{out}/_SUCCESS")):
+            if any(files.exists(path(f"{folder}/{later}-{n}/_SUCCESS")) for later, (n, _) in enumerate(STAGES) if later > k):
+                continue
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        docs = spark.read.parquet(out)
+    for k, (stage_name, _) in enumerate(STAGES[:-1]):
+        files.delete(path(f"{folder}/{k}-{stage_name}"), True)
     return docs
