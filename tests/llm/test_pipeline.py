@@ -64,3 +64,29 @@ def test_stages_against_plain_versions(spark, tmp_path):
     for r in kept[4]:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
     assert total == {i: len(encoder.encode([r["text"] or ""])[0]) + 1 for i, r in kept[3].items()}
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    rnd = random.Random(3)
+    words = vocabulary(rnd, 500)
+    item, twin = sentence(rnd, words, 30), sentence(rnd, words, 50)
+    docs = [(None, item, "x"), (None, twin, "x"), (None, None, "x"), (1, twin, "a"), (1, sentence(rnd, words, 40), "b"), (2, twin, "c"), (3, twin, "d"), (4, "", None), (5, f"see {item} end", "e"), (5, "another text of five", "e"), (6, "word " * 60000, "f")]
+    schema = "doc_id long, text string, component_id string"
+    frame = spark.createDataFrame(docs, schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, frame, str(tmp_path)).count() == len(docs)
+    kept = stages["minhash_near_dedup"](spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "None", "None", "None"]
+    clean = sorted((str(r["doc_id"]), r["text"] or "") for r in stages["benchmark_decontamination"](spark, frame, str(tmp_path)).collect())
+    assert clean == sorted((str(i), t or "") for i, t, _ in docs if item not in (t or ""))
+    assert stages["secret_scans"](spark, frame, str(tmp_path)).count() == len(docs)
+    assert stages["best_fit_packing"](spark, frame, str(tmp_path)).where("piece = 0").count() == len(docs)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.where("false"), str(tmp_path)).count() == 0
+    once = corpus_pipeline.run(spark, str(tmp_path), f"odd-{tmp_path.name}").collect()
+    assert {r["doc_id"] for r in once} == {None, 1, 4, 5, 6} or {r["doc_id"] for r in once} == {None, 1, 4, 6}
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path), f"odd-{tmp_path.name}").collect())) == sorted(map(str, once))
