@@ -100,17 +100,21 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _least_same(total, similarity: float, exp, sqrt):
     """The least estimate of equal samples of two sets with ``total`` shingles together that are at least this similar.
 
-    Ranges that the union fills hold equal samples with a chance of the similarity, so their number varies
-    binomially.  With ``apart`` samples in the odd bitmap its share of ones is (1 - e) / 2, e = exp(-2 apart / bits);
-    the estimate of ``apart`` varies by bits (1 - e^2) / (4 e^2), besides the variance (at most) of ``apart`` itself, and
-    the estimate of equal samples by a quarter of that.
+    A range's lowest hash is equal with a chance of the similarity.  Where a shingle is alone in its range that is settled by
+    the sets; only which shingles are alone varies (as a draw without replacement), and the ranges that several share vary
+    binomially.  How many ranges are filled varies as balls in bins do.  With m samples in the odd bitmap the number of
+    ones has the variance bits (1 - q (1 + l)) / 4, l = 4 m / bits, q = exp(-l), and the derivative exp(-l / 2); the estimate
+    of equal samples is half that of m.
     """
     union = total / (1 + similarity)
-    filled = BINS * (1 - exp(-union / BINS))
-    apart = 2 * (1 - similarity) * filled
-    e2 = exp(-4 * apart / BITS)
-    spread = sqrt(filled * similarity * (1 - similarity) + (BITS * (1 - e2) / (4 * e2)) / 4)
-    return similarity * filled - DEVIATIONS * spread - 2
+    load = union / BINS
+    filled, alone = BINS * (1 - exp(-load)), union * exp(-load)
+    several = alone * (1 - exp(-load)) + filled - alone
+    empty = BINS * exp(-load) * (1 - (1 + load) * exp(-load))
+    l4 = 4 * (2 * (1 - similarity) * filled) / BITS
+    q = exp(-l4)
+    spread = sqrt(similarity * (1 - similarity) * several + similarity**2 * empty + BITS * (1 - q * (1 + l4)) / (16 * q))
+    return similarity * filled - DEVIATIONS * spread - 1
 
 
 def _filtered(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
