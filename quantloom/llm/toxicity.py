@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import cut
 from .labelled import fold, sampled, sigmoid, texts_of, within
 from .textkernel import distinct, text_chunks, words
 
@@ -66,7 +67,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in text_chunks(batch):
             hashes, _, _, bounds = words(data, offsets)
             sets += [distinct(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column("label")], names=["doc_id", "words", "mark"])
 
 
 def risk(margin: np.ndarray, n_positive: int, prior: float) -> tuple[float, np.ndarray]:
@@ -81,35 +82,43 @@ def risk(margin: np.ndarray, n_positive: int, prior: float) -> tuple[float, np.n
     return float(prior * np.logaddexp(0, -on_p).mean() + max(0.0, negative)), slope
 
 
-def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, screen: float = 5.0, least: int = 4, ridge: float = 1e-4, epochs: int = 200, rate: float = 0.05) -> WordModel:
-    """A model from sets of word hashes, the first ``n_positive`` of confirmed toxic documents and the others unlabelled."""
-    n_unlabelled = len(rows) - n_positive
-    if not n_positive or not n_unlabelled or not prior:
+def screened(sample: DataFrame, n_positive: int, n_unlabelled: int, screen: float = 5.0, least: int = 4, few: int = 50) -> np.ndarray:
+    """The words that the model has weights for, ascending, from (toxic, free, words) rows; counts are summed by Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("words")]
+            size = [len(x) for x in sets]
+            word, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+            flags = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size) for c in ("toxic", "free")]
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(np.bincount(at, weights=f, minlength=len(word)).astype(np.int64)) for f in flags)], names=["word", "toxic", "other"])
+
+    counts = sample.mapInArrow(count, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    share = F.col("other") / n_unlabelled
+    z = (F.col("toxic") / n_positive - share) / F.sqrt((share + 1 / n_unlabelled) * F.greatest(1 - share, F.lit(1e-3)) / n_positive)
+    counts = counts.withColumn("z", z)
+    found = counts.where((F.col("z") >= screen) & (F.col("toxic") + F.col("other") >= least) & (F.col("toxic") >= 2)).select("word").collect()
+    if not found:
+        found = counts.orderBy(F.desc("z"), "word").select("word").limit(few).collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, vocabulary: np.ndarray, ridge: float = 1e-4, epochs: int = 200, rate: float = 0.05) -> WordModel:
+    """A model from sets of words, given by their places in ``vocabulary``; the first ``n_positive`` of confirmed toxic documents and the others unlabelled."""
+    if not n_positive or n_positive == len(rows) or not prior:
         return WordModel(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    vocabulary = distinct(np.concatenate(rows))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.searchsorted(vocabulary, np.concatenate(rows))
-    toxic = np.bincount(column[owner < n_positive], minlength=len(vocabulary))
-    other = np.bincount(column[owner >= n_positive], minlength=len(vocabulary))
-    share = other / n_unlabelled
-    z = (toxic / n_positive - share) / np.sqrt((share + 1 / n_unlabelled) * np.maximum(1 - share, 1e-3) / n_positive)
-    keep = np.flatnonzero((z >= screen) & (toxic + other >= least) & (toxic >= 2))
-    if not len(keep):
-        keep = np.flatnonzero(z >= np.partition(z, -min(50, len(z)))[-min(50, len(z))]) if len(z) else keep
-    renumber = np.full(len(vocabulary), -1)
-    renumber[keep] = np.arange(len(keep))
-    owner, column = owner[renumber[column] >= 0], renumber[column[renumber[column] >= 0]]
-
-    weights, bias = np.zeros(len(keep)), math.log(prior / (1 - prior)) if prior < 1 else 5.0
-    first, second = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+    owner, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    n = len(vocabulary)
+    weights, bias = np.zeros(n), math.log(prior / (1 - prior)) if prior < 1 else 5.0
+    first, second = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, epochs + 1):
         margin = np.bincount(owner, weights=weights[column], minlength=len(rows)) + bias
         slope = risk(margin, n_positive, prior)[1]
-        grad = np.append(np.bincount(column, weights=slope[owner], minlength=len(keep)) + ridge * weights, slope.sum())
+        grad = np.append(np.bincount(column, weights=slope[owner], minlength=n) + ridge * weights, slope.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    return WordModel(vocabulary[keep], weights, float(bias))
+    return WordModel(vocabulary, weights, float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, pool: DataFrame, positives: int = 3000, unlabelled: int = 9000, most_bytes: int = 64 << 20) -> WordModel:
@@ -118,11 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame, pool: DataFrame, positives: int = 30
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     toxic = within(docs, sampled(labels.where("label = 1"), positives), most_bytes)
     free = within(docs, sampled(pool, unlabelled), most_bytes)
-    # An id may be in both samples: it is then fetched once and used in both.
-    fetched = texts_of(docs, dict.fromkeys([*free, *toxic], 0)).select("doc_id", "text").mapInArrow(_word_sets, "doc_id long, words binary")
-    sets = {r["doc_id"]: np.frombuffer(bytes(r["words"]), np.uint64) for r in fetched.collect()}
-    one, two = [sets[i] for i in toxic if i in sets], [sets[i] for i in free if i in sets]
-    return train_nnpu(one + two, len(one), counts.get(1, 0) / max(1, sum(counts.values())))
+    if not toxic or not free:
+        return train_nnpu([], 0, 0.0, np.zeros(0, np.uint64))
+    # An id may be in both samples: it is then fetched once and used in both (bit 1: toxic, bit 2: unlabelled).
+    marks = {i: (i in t) + 2 * (i in f) for t, f in [(set(toxic), set(free))] for i in [*toxic, *free]}
+    sample = cut(texts_of(docs, marks).mapInArrow(_word_sets, "doc_id long, words binary, mark int"))
+    sample = sample.withColumns({"toxic": F.col("mark").bitwiseAND(1) > 0, "free": F.col("mark").bitwiseAND(2) > 0})
+    vocabulary = screened(sample, len(toxic), len(free))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.flatnonzero(np.isin(vocabulary, np.frombuffer(x.as_py(), np.uint64))).tobytes() for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "words"])
+
+    sets = {r["doc_id"]: np.frombuffer(bytes(r["words"]), np.int64) for r in sample.mapInArrow(known, "doc_id long, words binary").collect()}
+    return train_nnpu([sets[i] for i in toxic] + [sets[i] for i in free], len(toxic), counts.get(1, 0) / max(1, sum(counts.values())), vocabulary)
 
 
 def score(docs: DataFrame, model: WordModel) -> DataFrame:
