@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import quality, toxicity
 from quantloom.llm.decontamination import align, contaminated
 from quantloom.llm.fingerprints import Fingerprint, edited_fingerprints, fingerprints
-from quantloom.llm.pitman_yor import _frequent, score_texts
+from quantloom.llm.pitman_yor import Seating, _frequent, reseated, score_texts
 from quantloom.llm.textkernel import words as kernel_words
 
 from .corpus import LOWER, edited, sentence, shingles, tokens, vocabulary
@@ -269,6 +269,48 @@ def test_language_model(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string"), held).count() == 0
 
 
+def test_scores_of_settled_seatings_equal_the_formula(spark):
+    # Every pair of words occurs once in training, so each has one table and nothing is drawn at random.
+    text, theta1, theta2, d = "aa bb cc dd", 10.0, 1.0, 0.95
+    words, v = [*text.split(), None], 5
+    pairs = set(zip([0, *words[:-1]], words, strict=True))
+
+    def plain(t):
+        total, before = 0.0, 0
+        for w in [*tokens(t), None]:
+            known = w in words
+            one = (known * (1 - d) + (theta1 + d * v) / (v + 1)) / (theta1 + v)
+            customers = int(before == 0 or before in words)
+            total += math.log10((((before, w) in pairs) * (1 - d) + (theta2 + d * customers) * one) / (theta2 + customers))
+            before = w
+        return total
+
+    rows = [(1, text), (2, "aa cc"), (3, "bb cc dd"), (4, None), (5, "dd dd dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"train": F.lit("x"), "key": F.lit(1), "part": F.lit(0)})
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") == 1).collect()}
+    for i, t in rows:
+        assert abs(got[i] - plain(t)) < 1e-4, i
+
+
+def test_gibbs_seating_has_the_right_distribution():
+    c, d, weight, n = 5, 0.5, 0.7, 4000
+    ways = {1: {1: 1.0}}  # by customers: number of tables, and the weight of all seatings with so many
+    for k in range(1, c):
+        ways[k + 1] = {t: ways[k].get(t - 1, 0) + ways[k].get(t, 0) * (k - t * d) for t in range(1, k + 2)}
+    want = np.array([ways[c][t] * weight**t for t in range(1, c + 1)])
+    want /= want.sum()
+    rng = np.random.default_rng(5)
+    for begin in (None, np.full(n, 3)):
+        chain = Seating(np.full(n, c), begin)
+        for _ in range(25):
+            tables = chain.sweep(np.full(n, weight), d, rng)
+        got = np.bincount(tables.astype(int), minlength=c + 1)[1:] / n
+        assert np.abs(got - want).max() < 0.03
+        sizes = chain.size.reshape(n, c)
+        assert (sizes.sum(axis=1) == c).all() and ((sizes > 0).sum(axis=1) == chain.t).all()
+    assert (reseated(np.array([0, 1, 2, 300, 5000]), 0.7, 0.5, rng)[:2] == [0, 1]).all()
+
+
 def test_frequent_words_are_counted_over_all_text():
     rnd = random.Random(12)
     words = vocabulary(rnd, 20000)
