@@ -44,20 +44,7 @@ def rolling_kurt(c: str | Column, frame: WindowSpec, least: int) -> Column:
 
 def ewm(values: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
     """Recursive exponential mean (adjust off) with decay across gaps: a missing row carries the value, and n missing rows decay the old weight by n more steps."""
-    out = np.full(len(values), np.nan)
-    level, weight, seen = np.nan, 1.0, 0
-    for i, x in enumerate(values):
-        if np.isnan(level):
-            if not np.isnan(x):
-                level, seen = x, 1
-        else:
-            weight *= 1 - alpha
-            if not np.isnan(x):
-                level = (weight * level + alpha * x) / (weight + alpha)
-                weight, seen = 1.0, seen + 1
-        if seen >= least:
-            out[i] = level
-    return out
+    return pd.Series(values).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
 def per_ticker(df: DataFrame, compute: Callable[[pd.DataFrame], dict[str, np.ndarray]], names: list[str]) -> DataFrame:

@@ -139,8 +139,9 @@ def factor_names(w: FactorWindows) -> list[str]:
 
 def factor_table(dense: DataFrame, market: DataFrame, w: FactorWindows = FactorWindows()) -> DataFrame:
     """All factors of a dense panel; ``market`` has one row a date."""
-    rows = dense.join(F.broadcast(market.select("date", F.log1p("mkt_return").alias("mkt_lr"))), "date", "left")
+    # The recursions come first, while rows are narrow; windows follow in one partitioning.
+    rows = oscillators(dense, w).join(F.broadcast(market.select("date", F.log1p("mkt_return").alias("mkt_lr"))), "date", "left")
     rows = log_returns(rows)
-    for step in (momentum, volatility, trend, liquidity, market_relative, oscillators):
+    for step in (momentum, volatility, trend, liquidity, market_relative):
         rows = step(rows, w)
     return rows.drop("cum")

@@ -33,14 +33,27 @@ def normalise(rows: DataFrame, columns: list[str], method: str = "zscore", q: fl
         return rank(rows, columns)
     if method != "zscore":
         raise ValueError(f"unknown method {method!r}")
-    # Two aggregates a date, joined back, instead of one window a column: the plan stays small however many columns there are.
-    edges = rows.groupBy("date").agg(*[x for c in columns for x in (F.percentile(c, F.lit(q)).alias(f"_lo_{c}"), F.percentile(c, F.lit(1 - q)).alias(f"_hi_{c}"))])
-    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_hi_{c}")), F.col(f"_lo_{c}"))).alias(c)
+    # One aggregate a date: the sorted values of each column give its quantiles, and the mean and deviation of the clipped values; a row a date comes back.
+    values = rows.groupBy("date").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])
+
+    def quantile(c: str, share: float):
+        at = (F.size(c) - 1) * F.lit(float(share))
+        low = F.floor(at).cast("int")
+        below, above = F.try_element_at(F.col(c), low + 1), F.try_element_at(F.col(c), F.least(low + 2, F.size(c)))
+        return F.when(F.size(c) > 0, below + (at - low) * (above - below))
+
+    edges = values.select("date", *[x for c in columns for x in (F.col(c), quantile(c, q).alias(f"_lo_{c}"), quantile(c, 1 - q).alias(f"_hi_{c}"))])
+    clip = lambda x, c: F.greatest(F.least(x, F.col(f"_hi_{c}")), F.col(f"_lo_{c}")) if q > 0 else x
+    clipped = lambda c: lambda v: clip(v, c)
+    edges = edges.select("date", *[x for c in columns for x in (F.transform(c, clipped(c)).alias(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))])
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    means = edges.select("*", *[F.try_divide(total(F.col(c)), F.size(c)).alias(f"_m_{c}") for c in columns])
+    spread = lambda c: F.sqrt(F.try_divide(total(F.transform(c, lambda v: (v - F.col(f"_m_{c}")) * (v - F.col(f"_m_{c}")))), F.size(c) - 1))
+    stats = means.select("date", *[x for c in columns for x in (F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), F.col(f"_m_{c}"), spread(c).alias(f"_s_{c}"))])
     kept = [c for c in rows.columns if c not in columns]
-    clipped = rows.join(edges, "date").select(*kept, *map(clip, columns)) if q > 0 else rows
-    stats = clipped.groupBy("date").agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    scale = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"_s_{c}") > 0), F.greatest(F.least((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(5.0)), F.lit(-5.0))).alias(c)
-    return clipped.join(stats, "date").select(*kept, *map(scale, columns))
+    scale = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"_s_{c}") > 1e-300), F.greatest(F.least((clip(F.col(c), c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(5.0)), F.lit(-5.0))).alias(c)
+    # A row a date: adaptive execution broadcasts it where its measured size is small.
+    return rows.join(stats, "date").select(*kept, *map(scale, columns))
 
 
 def neutralise(rows: DataFrame, columns: list[str], group: str = "sector") -> DataFrame:

@@ -209,7 +209,21 @@ def beta_alpha_corr(spark, sf_dir):
     return rows.select("ticker", "date", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("beta_26", 5), ("alpha_26", 6), ("corr_mkt_26", 5), ("idio_vol_26", 6))])
 
 
-@register("oscillators")
+def _ewm_sql(name: str, source: str, x: str, alpha: str, least: int) -> str:
+    """Recursive exponential mean of x over the rows k of a ticker; v holds its last value where ``least`` rows were there."""
+    return f"""{name}_o AS (SELECT ticker, k, {x} AS x, row_number() OVER (PARTITION BY ticker ORDER BY k) AS j, k - lag(k) OVER (PARTITION BY ticker ORDER BY k) AS gap FROM {source} WHERE {x} IS NOT NULL),
+{name}_r AS (SELECT ticker, k, j, CAST(x AS DOUBLE) AS level FROM {name}_o WHERE j = 1 UNION ALL SELECT o.ticker, o.k, o.j, (pow(1 - {alpha}, o.gap) * r.level + {alpha} * o.x) / (pow(1 - {alpha}, o.gap) + {alpha}) FROM {name}_r r JOIN {name}_o o ON o.ticker = r.ticker AND o.j = r.j + 1),
+{name} AS (SELECT s.ticker, s.k, CASE WHEN count(r.level) OVER w >= {least} THEN last_value(r.level IGNORE NULLS) OVER w END AS v FROM {source} s LEFT JOIN {name}_r r ON r.ticker = s.ticker AND r.k = s.k WINDOW w AS (PARTITION BY s.ticker ORDER BY s.k ROWS UNBOUNDED PRECEDING))"""
+
+
+_OSC = f"""steps AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, close, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS change FROM dense),
+{_ewm_sql('up', 'steps', 'CASE WHEN change IS NOT NULL THEN greatest(change, 0) END', '(1 / 14.0::DOUBLE)', 14)}, {_ewm_sql('down', 'steps', 'CASE WHEN change IS NOT NULL THEN greatest(-change, 0) END', '(1 / 14.0::DOUBLE)', 14)},
+{_ewm_sql('fast', 'steps', 'close', '(2 / 13.0::DOUBLE)', 12)}, {_ewm_sql('slow', 'steps', 'close', '(2 / 27.0::DOUBLE)', 26)},
+gapline AS (SELECT ticker, k, f.v - s.v AS m FROM fast f JOIN slow s USING (ticker, k)), {_ewm_sql('sig', 'gapline', 'm', '(2 / 10.0::DOUBLE)', 9)},
+osc AS (SELECT t.ticker, t.date, CASE WHEN d.v <> 0 THEN (100 - 100 / (1 + u.v / d.v)) / 100 - 0.5::DOUBLE END AS rsi_14, m / close AS macd_norm, (m - g.v) / close AS macd_hist FROM steps t JOIN up u USING (ticker, k) JOIN down d USING (ticker, k) JOIN gapline USING (ticker, k) JOIN sig g USING (ticker, k))"""
+
+
+@register("oscillators", f"WITH RECURSIVE {_DENSE}, {_OSC} SELECT ticker, date, {_r('rsi_14', 'rsi_14')}, {_r('macd_norm', 'macd_norm')}, {_r('macd_hist', 'macd_hist')} FROM osc")
 def oscillators(spark, sf_dir):
     return rounded(factors.oscillators(dense_bars(spark, sf_dir), W), ["rsi_14", "macd_norm", "macd_hist"])
 
@@ -217,7 +231,7 @@ def oscillators(spark, sf_dir):
 @register("feature_table")
 def feature_table(spark, sf_dir):
     """All factors, normalised per date, with labels: the table that models are fitted on."""
-    rows = dense_bars(spark, sf_dir)
+    rows = cut(dense_bars(spark, sf_dir))
     names = factors.factor_names(W)
     rows = factors.factor_table(rows, panel.market_returns(rows), W)
     rows = rows.withColumns({"beta_raw": F.col(f"beta_{W.long}"), "vol_raw": F.col(f"vol_{W.vols[-1]}")})
@@ -236,9 +250,10 @@ def momentum_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "date", "sector", "close", "lr", (F.col("cum") - F.lag("cum", 13).over(Window.partitionBy("ticker").orderBy("date"))).alias("m"))
 
 
-@register("winsor_z", f"WITH {_MOM}, q AS (SELECT date, quantile_cont(m, 0.01) AS lo, quantile_cont(m, 0.99) AS hi FROM mom GROUP BY date), c AS (SELECT ticker, date, greatest(least(m, hi), lo) AS m FROM mom JOIN q USING (date) WHERE m IS NOT NULL), s AS (SELECT date, avg(m) AS a, stddev_samp(m) AS sd FROM c GROUP BY date) SELECT ticker, date, {_r('greatest(least((m - a) / nullif(sd, 0), 5), -5)', 'z')} FROM c JOIN s USING (date)")
+@register("winsor_z", f"WITH {_MOM}, q AS (SELECT date, quantile_cont(m, 0.01) AS lo, quantile_cont(m, 0.99) AS hi FROM mom GROUP BY date), c AS (SELECT ticker, date, greatest(least(m, hi), lo) AS m FROM mom JOIN q USING (date) WHERE m IS NOT NULL), s AS (SELECT date, avg(m) AS a, stddev_samp(m) AS sd FROM c GROUP BY date) SELECT ticker, date, {_r('CASE WHEN sd > 0 THEN greatest(least((m - a) / sd, 5), -5) END', 'z')} FROM c JOIN s USING (date)")
 def winsor_z(spark, sf_dir):
-    return xsec.normalise(momentum_panel(spark, sf_dir), ["m"]).where("m is not null").select("ticker", "date", (F.round("m", 6) + 0.0).alias("z"))
+    rows = momentum_panel(spark, sf_dir).where("m is not null").withColumn("z", F.col("m"))
+    return rounded(xsec.normalise(rows, ["z"]), ["z"])
 
 
 @register("pct_rank", f"WITH {_MOM}, v AS (SELECT ticker, date, round(m, 10) AS m FROM mom WHERE m IS NOT NULL) SELECT a.ticker, a.date, {_r('(count(*) FILTER (b.m < a.m) + (count(*) FILTER (b.m = a.m) + 1) / 2.0::DOUBLE) / count(*) - 0.5::DOUBLE', 'pr')} FROM v a JOIN v b ON a.date = b.date GROUP BY a.ticker, a.date, a.m")
