@@ -79,8 +79,9 @@ def forecasts(rows: DataFrame, r: str = "ret", models: tuple[str, ...] = ("ewma"
     makers = {"ewma": ewma_variance, "har": har_forecast, "garch": garch_forecast}
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", kind="stable").dropna(subset=[r])
-        x = g[r].to_numpy(float)
+        # A row without a return counts as one of 0, so forecasts decay over gaps.
+        g = g.sort_values("date", kind="stable")
+        x = g[r].fillna(0.0).to_numpy(float)
         out = {"ticker": g["ticker"], "date": g["date"], "realised": x**2}
         for m in models:
             out[m] = makers[m](x, **options.get(m, {})) if len(x) else []
@@ -100,13 +101,17 @@ def losses(found: DataFrame, model: str, by: tuple[str, ...] = (), least: int =
 
 
 def diebold_mariano(a: np.ndarray, b: np.ndarray, h: int = 1) -> tuple[float, float]:
-    """(statistic, two-sided normal p) of the difference of two loss series."""
+    """(statistic, two-sided normal p) of the difference of two loss series; nan under 20 rows or without a positive variance."""
     d = np.asarray(a) - np.asarray(b)
     d = d[~np.isnan(d)]
     n = len(d)
+    if n < 20:
+        return math.nan, math.nan
     c = d - d.mean()
     var = c @ c / n + 2 * sum((1 - k / h) * (c[k:] @ c[:-k]) / n for k in range(1, h))
-    stat = d.mean() / math.sqrt(max(var, 1e-300) / n)
+    if var <= 0:
+        return math.nan, math.nan
+    stat = d.mean() / math.sqrt(var / n)
     return float(stat), math.erfc(abs(stat) / math.sqrt(2))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,27 +35,33 @@ def normalise(rows: DataFrame, columns: list[str], method: str = "zscore", q: fl
         return rank(rows, columns)
     if method != "zscore":
         raise ValueError(f"unknown method {method!r}")
-    # One aggregate a date: the sorted values of each column give its quantiles, and the mean and deviation of the clipped values; a row a date comes back.
-    values = rows.groupBy("date").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])
+    # One group a date and column: its sorted values give the quantiles, and the mean and deviation of the clipped values.
+    # Columns are unpivoted for that, so the plan and its code stay small however many there are; a row a date comes back.
+    values = rows.select("date", *columns).unpivot("date", columns, "column", "value").where("value is not null").groupBy("date", "column").agg(F.sort_array(F.collect_list("value")).alias("x"))
 
-    def quantile(c: str, share: float):
-        at = (F.size(c) - 1) * F.lit(float(share))
+    def quantile(share: float):
+        at = (F.size("x") - 1) * F.lit(float(share))
         low = F.floor(at).cast("int")
-        below, above = F.try_element_at(F.col(c), low + 1), F.try_element_at(F.col(c), F.least(low + 2, F.size(c)))
-        return F.when(F.size(c) > 0, below + (at - low) * (above - below))
+        below, above = F.try_element_at(F.col("x"), low + 1), F.try_element_at(F.col("x"), F.least(low + 2, F.size("x")))
+        return below + (at - low) * (above - below)
 
-    edges = values.select("date", *[x for c in columns for x in (F.col(c), quantile(c, q).alias(f"_lo_{c}"), quantile(c, 1 - q).alias(f"_hi_{c}"))])
-    clip = lambda x, c: F.greatest(F.least(x, F.col(f"_hi_{c}")), F.col(f"_lo_{c}")) if q > 0 else x
-    clipped = lambda c: lambda v: clip(v, c)
-    edges = edges.select("date", *[x for c in columns for x in (F.transform(c, clipped(c)).alias(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))])
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    means = edges.select("*", *[F.try_divide(total(F.col(c)), F.size(c)).alias(f"_m_{c}") for c in columns])
-    spread = lambda c: F.sqrt(F.try_divide(total(F.transform(c, lambda v: (v - F.col(f"_m_{c}")) * (v - F.col(f"_m_{c}")))), F.size(c) - 1))
-    stats = means.select("date", *[x for c in columns for x in (F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), F.col(f"_m_{c}"), spread(c).alias(f"_s_{c}"))])
+    if q > 0:
+        values = values.withColumns({"low": quantile(q), "high": quantile(1 - q)}).withColumn("x", F.transform("x", lambda v: F.greatest(F.least(v, "high"), "low")))
+    else:
+        values = values.withColumns({"low": F.lit(-math.inf), "high": F.lit(math.inf)})
+    values = values.withColumn("mean", total(F.col("x")) / F.size("x"))
+    values = values.withColumn("deviation", F.sqrt(F.try_divide(total(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))), F.size("x") - 1)))
+    stats = values.groupBy("date").pivot("column", columns).agg(F.first(F.struct("low", "high", "mean", "deviation")))
+    stats = stats.select("date", *[F.col(f"`{c}`").alias(f"_{c}") for c in columns])
     kept = [c for c in rows.columns if c not in columns]
-    scale = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"_s_{c}") > 1e-300), F.greatest(F.least((clip(F.col(c), c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(5.0)), F.lit(-5.0))).alias(c)
+
+    def scaled(c: str):
+        low, high, mean, deviation = (F.col(f"_{c}").getField(k) for k in ("low", "high", "mean", "deviation"))
+        return F.when(F.col(c).isNotNull() & (deviation > 0), F.greatest(F.least((F.greatest(F.least(F.col(c), high), low) - mean) / deviation, F.lit(5.0)), F.lit(-5.0))).alias(c)
+
     # A row a date: adaptive execution broadcasts it where its measured size is small.
-    return rows.join(stats, "date").select(*kept, *map(scale, columns))
+    return rows.join(stats, "date").select(*kept, *map(scaled, columns))
 
 
 def neutralise(rows: DataFrame, columns: list[str], group: str = "sector") -> DataFrame:

@@ -228,8 +228,41 @@ def oscillators(spark, sf_dir):
     return rounded(factors.oscillators(dense_bars(spark, sf_dir), W), ["rsi_14", "macd_norm", "macd_hist"])
 
 
-@register("feature_table")
+def _lagged(n: int) -> str:
+    return f"lag(cum, {n}) OVER (PARTITION BY ticker ORDER BY date)"
+
+
+def _feature_sql() -> str:
+    """All factors, normalised per date, with labels."""
+    v = {n: _least("stddev_samp(lr)", "lr", n, max(3, n // 2)) for n in W.vols}
+    band = {f: _least(f"{f}(close)", "close", W.band, max(3, W.band // 2)) for f in ("avg", "stddev_samp")}
+    exprs = {f"ret_{n}": f"cum - {_lagged(n)}" for n in W.returns} | {f"vol_{n}": v[n] for n in W.vols} | {f"px_to_ma_{n}": f"close / nullif({_MA[n]}, 0) - 1" for n in W.means}
+    exprs |= {"mom_12_1": f"{_lagged(W.skip)} - {_lagged(W.year)}", "mom_6_1": f"{_lagged(W.skip)} - {_lagged(W.half)}", "vol_ratio": f"({v[W.vols[0]]}) / nullif({v[W.vols[-1]]}, 0)", "parkinson_vol": _PARK, "downside_vol": _DOWN, "ret_skew": _SK, "ret_kurt": _KU}
+    exprs |= {"ma_cross": f"({_MA[W.means[0]]}) / nullif({_MA[W.means[-1]]}, 0) - 1", "dist_52w_high": f"close / nullif({_least('max(close)', 'close', W.year, W.year_least)}, 0) - 1", "dist_52w_low": f"close / nullif({_least('min(close)', 'close', W.year, W.year_least)}, 0) - 1", "bollinger_z": f"(close - ({band['avg']})) / nullif({band['stddev_samp']}, 0)"}
+    exprs |= {"log_dollar_volume": "ln(1 + dollar_volume)", "dv_trend": f"({_least('avg(ln(1 + dollar_volume))', 'dollar_volume', W.short, 3)}) - ({_least('avg(ln(1 + dollar_volume))', 'dollar_volume', W.long, W.least)})", "volume_ratio": f"volume / nullif({_least('avg(volume)', 'volume', W.long, W.least)}, 0)", "amihud_illiq": f"ln(1 + ({_least(f'avg({_ILLIQ})', _ILLIQ, W.long, W.least)}))"}
+    exprs |= {"beta_26": "beta", "alpha_26": "alpha", "corr_mkt_26": "corr", "idio_vol_26": _least("stddev_samp(e)", "e", W.long, _B_LEAST)}
+    names = factors.factor_names(W)
+    own = [n for n in names if n in exprs]
+    z = {n: f"CASE WHEN {n} IS NOT NULL AND {n}_s > 0 THEN greatest(least((greatest(least({n}, {n}_hi), {n}_lo) - {n}_m) / {n}_s, 5), -5) END" for n in names}
+    have = " + ".join(f"CAST({z[n]} IS NOT NULL AS INTEGER)" for n in names)
+    return f"""WITH RECURSIVE {_BETA}, {_OSC},
+raw0 AS (SELECT ticker, date, sector, close, dollar_volume, {', '.join(f'{exprs[n]} AS {n}' for n in own)}, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / lead(close, 1) OVER (PARTITION BY ticker ORDER BY date) - 1 AS fwd_return FROM re),
+raw AS (SELECT raw0.*, rsi_14, macd_norm, macd_hist, CASE WHEN count(fwd_return) OVER (PARTITION BY date) >= 5 THEN fwd_return - avg(fwd_return) OVER (PARTITION BY date) END AS target FROM raw0 JOIN osc USING (ticker, date)),
+edges AS (SELECT date, {', '.join(f'quantile_cont({n}, 0.01) AS {n}_lo, quantile_cont({n}, 0.99) AS {n}_hi' for n in names)} FROM raw GROUP BY date),
+sums AS (SELECT date, {', '.join(f'avg(CASE WHEN {n} IS NOT NULL THEN greatest(least({n}, {n}_hi), {n}_lo) END) AS {n}_m, stddev_samp(CASE WHEN {n} IS NOT NULL THEN greatest(least({n}, {n}_hi), {n}_lo) END) AS {n}_s' for n in names)} FROM raw JOIN edges USING (date) GROUP BY date),
+scaled AS (SELECT ticker, date, sector, target, fwd_return, close, dollar_volume, beta_26 AS beta_raw, vol_26 AS vol_raw, {have} AS have, {', '.join(f'{z[n]} AS z_{n}' for n in names)} FROM raw JOIN edges USING (date) JOIN sums USING (date)),
+masked AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM scaled WHERE target IS NOT NULL AND have >= {int(0.8 * len(names))})
+SELECT ticker, date, sector, {_r('target', 'target', 4)}, {_r('beta_raw', 'beta_raw', 4)}, {_r('vol_raw', 'vol_raw', 4)}, {', '.join(_r(f'coalesce(z_{n}, 0)', n, 3) for n in names)} FROM masked WHERE n >= 5"""
+
+
+@register("feature_table", _feature_sql())
 def feature_table(spark, sf_dir):
+    names = factors.factor_names(W)
+    rows = model_table(spark, sf_dir)
+    return rows.select("ticker", "date", "sector", *[(F.round(c, 4) + 0.0).alias(c) for c in ("target", "beta_raw", "vol_raw")], *[(F.round(c, 3) + 0.0).alias(c) for c in names])
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All factors, normalised per date, with labels: the table that models are fitted on."""
     rows = cut(dense_bars(spark, sf_dir))
     names = factors.factor_names(W)
@@ -561,15 +594,56 @@ def randomisation_test(spark, sf_dir):
     return evaluation.randomisation(scored_panel(spark, sf_dir), "mom", "fwd", 50)
 
 
-@register("overfit_probability")
+def _model_pnl(name: str) -> str:
+    """SQL of the model's daily return without costs, ls_{name} its weights."""
+    return f"""live_{name} AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY {name} DESC, ticker) AS top, row_number() OVER (PARTITION BY date ORDER BY {name} ASC, ticker DESC) AS low FROM scored WHERE {name} IS NOT NULL),
+ls_{name} AS (SELECT ticker, date, CASE WHEN n < 4 THEN 0.0::DOUBLE WHEN top <= k THEN 0.5::DOUBLE / k WHEN low <= k THEN -0.5::DOUBLE / k ELSE 0.0::DOUBLE END AS w FROM (SELECT *, CASE WHEN n < 20 THEN greatest(n // 4, 1) ELSE 10 END AS k FROM live_{name})),
+pnl_{name} AS (SELECT '{name}' AS model, date, sum(w * coalesce(ret, 0)) AS r FROM ls_{name} JOIN ahead USING (ticker, date) GROUP BY date)"""
+
+
+_PBO = f"""WITH {_SCORED}, ahead AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS ret FROM dense), {_model_pnl('mom')}, {_model_pnl('rev')}, {_model_pnl('vol')},
+every AS (SELECT * FROM pnl_mom UNION ALL SELECT * FROM pnl_rev UNION ALL SELECT * FROM pnl_vol),
+days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM every)),
+cells AS (SELECT m.model, CASE WHEN k < (n // 8 + 1) * (n % 8) THEN k // (n // 8 + 1) ELSE n % 8 + (k - (n // 8 + 1) * (n % 8)) // (n // 8) END AS block, coalesce(e.r, 0) AS r FROM days d CROSS JOIN (SELECT DISTINCT model FROM every) m LEFT JOIN every e ON e.model = m.model AND e.date = d.date),
+masks AS (SELECT mask FROM (SELECT unnest(range(256)) AS mask) WHERE bit_count(CAST(mask AS UTINYINT)) = 4),
+sharpes AS (SELECT mask, model, (mask >> CAST(block AS INTEGER)) & 1 = 1 AS own, round(avg(r) / nullif(stddev_samp(r), 0), 9) AS sr FROM masks, cells GROUP BY mask, model, own),
+wide AS (SELECT mask, model, max(sr) FILTER (own) AS ins, max(sr) FILTER (NOT own) AS oos FROM sharpes GROUP BY mask, model),
+ranked AS (SELECT *, CASE WHEN oos IS NOT NULL THEN (rank() OVER (PARTITION BY mask, oos IS NULL ORDER BY oos) + (count(*) OVER (PARTITION BY mask, oos) - 1) / 2.0::DOUBLE) / count(oos) OVER (PARTITION BY mask) END AS place, row_number() OVER (PARTITION BY mask ORDER BY ins DESC NULLS LAST, model) AS turn FROM wide)
+SELECT avg(CASE WHEN place <= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pbo, count(*) AS n_splits FROM ranked WHERE turn = 1 AND place IS NOT NULL"""
+
+
+@register("overfit_probability", _PBO)
 def overfit_probability(spark, sf_dir):
-    rows, own = scored_panel(spark, sf_dir), Window.partitionBy("ticker").orderBy("date")
-    ahead = dense_bars(spark, sf_dir).select("ticker", "date", (F.try_divide(F.lead("close").over(own), F.col("close")) - 1).alias("ret"))
+    rows, own = cut(scored_panel(spark, sf_dir)), Window.partitionBy("ticker").orderBy("date")
+    ahead = cut(rows.select("ticker", "date", (F.try_divide(F.lead("close").over(own), F.col("close")) - 1).alias("ret")))
     out = None
     for name in ("mom", "rev", "vol"):
         one = backtest.simple_pnl(portfolio.rank_long_short(rows, name, 10, 10).select("ticker", "date", "weight"), ahead).select(F.lit(name).alias("model"), "date", F.col("gross").alias("net"))
         out = one if out is None else out.union(one)
-    return evaluation.overfit_probability(out)
+    return evaluation.overfit_probability(cut(out))
+
+
+_RISK = f"""WITH {_CURVE}, g AS (SELECT round(drawdown, 9) < 0 AS u, count(*) FILTER (round(drawdown, 9) >= 0) OVER (ORDER BY date) AS island FROM dd),
+mo AS (SELECT exp(sum(ln(1 + net))) - 1 AS ret FROM strat GROUP BY year(date), month(date)),
+a AS (SELECT (SELECT min(drawdown) FROM dd) AS md, count(*) AS n, avg(net) * 52 AS ar, exp(sum(ln(1 + net)) * 52 / count(*)) - 1 AS ann FROM strat)
+SELECT n, {_r('md', 'max_drawdown')}, {_r('ann / abs(nullif(md, 0))', 'calmar')}, coalesce((SELECT max(c) FROM (SELECT count(*) AS c FROM g WHERE u GROUP BY island)), 0) AS longest_drawdown, {_r('ar', 'arithmetic_return')}, {_r('(SELECT max(ret) FROM mo)', 'best_month')}, {_r('(SELECT min(ret) FROM mo)', 'worst_month')}, {_r('(SELECT avg(ret) FROM mo)', 'mean_month')}, {_r('(SELECT count(*) FILTER (ret > 0) / count(*) FROM mo)', 'positive_months')} FROM a"""
+
+
+@register("risk_summary", _RISK)
+def risk_summary(spark, sf_dir):
+    return rounded(evaluation.risk_summary(cut(strategy(spark, sf_dir)), year=52), ["max_drawdown", "calmar", "arithmetic_return", "best_month", "worst_month", "mean_month", "positive_months"], 6, ("n", "longest_drawdown"))
+
+
+@register("bootstrap_summary")
+def bootstrap_summary(spark, sf_dir):
+    return evaluation.bootstrap_summary(bootstrap_sharpe(spark, sf_dir))
+
+
+@register("permutation_summary")
+def permutation_summary(spark, sf_dir):
+    rows = cut(scored_panel(spark, sf_dir))
+    observed = evaluation.daily_ic(rows, "mom", "fwd").agg(F.avg("ic").alias("mean_ic"))
+    return evaluation.permutation_summary(evaluation.randomisation(rows, "mom", "fwd", 50), observed)
 
 
 @register("variance_losses")
@@ -579,7 +653,7 @@ def variance_losses(spark, sf_dir):
     return volatility.losses(found, "ewma").withColumn("model", F.lit("ewma")).union(volatility.losses(found, "har").withColumn("model", F.lit("har")))
 
 
-@register("qlike_ewma", f"""WITH RECURSIVE {_LR}, x AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, lr * lr AS v FROM lr WHERE lr IS NOT NULL),
+@register("qlike_ewma", f"""WITH RECURSIVE {_LR}, x AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, coalesce(lr * lr, 0) AS v FROM lr),
 e AS (SELECT ticker, k, v, v AS s, CAST(NULL AS DOUBLE) AS f FROM x WHERE k = 1 UNION ALL SELECT x.ticker, x.k, x.v, 0.94::DOUBLE * e.s + 0.06::DOUBLE * x.v, e.s FROM e JOIN x ON x.ticker = e.ticker AND x.k = e.k + 1)
 SELECT ticker, {_r('avg(v / f - ln(greatest(v, 1e-16) / f) - 1)', 'qlike', 4)}, count(*) AS n FROM e WHERE f IS NOT NULL AND f > 0 GROUP BY ticker""")
 def qlike_ewma(spark, sf_dir):

@@ -9,20 +9,24 @@ import pytest
 from quantloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+LARGER = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
 
 
 def clean(v):
     return (None if math.isnan(v) else round(v, 9) + 0.0) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["bars", "ret_w", "winsor_z", "triple_barrier", "rank_ls_weights", "ic_momentum", "factor_sweep"])
-def test_oracle(spark, name):
+SMALL = ["bars", "ret_w", "winsor_z", "triple_barrier", "rank_ls_weights", "ic_momentum", "factor_sweep", "oscillators", "overfit_probability", "risk_summary"]
+
+
+@pytest.mark.parametrize(("data", "name"), [(DATA, n) for n in SMALL] + [(LARGER, "winsor_z"), (LARGER, "feature_table")])
+def test_oracle(spark, data, name):
     con = duckdb.connect()
     for t in ("region", "nation", "supplier", "lineitem", "part", "events"):
-        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = con.sql(catalog.ORACLES[name])
-    got = catalog.QUERIES[name](spark, DATA)
+    got = catalog.QUERIES[name](spark, data)
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted((tuple(map(clean, r)) for r in want.fetchall()), key=str)
     assert sorted((tuple(map(clean, r)) for r in got.select(*want.columns).collect()), key=str) == rows

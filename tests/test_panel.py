@@ -1,6 +1,7 @@
 """Differential tests against pandas on small frames with gaps, ties and short groups."""
 
 import datetime
+import itertools
 import math
 
 import numpy as np
@@ -117,18 +118,18 @@ def test_ridge_and_elastic_net(spark):
 
 def test_weights(spark):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame(pd.DataFrame({"date": "d", "ticker": [f"T{i:02d}" for i in range(60)], "sector": [f"S{i % 5}" for i in range(60)], "s": rng.normal(size=60), "beta": rng.normal(1, 0.35, 60)}))
-    out = portfolio.rank_long_short(df, "s", 10, 10).toPandas()
+    df = spark.createDataFrame(pd.DataFrame({"date": "d", "ticker": [f"N{i}" for i in range(84)], "sector": [f"S{i % 7}" for i in range(84)], "s": rng.uniform(-3, 3, 84), "beta": rng.gamma(4, 0.25, 84)}))
+    out = portfolio.rank_long_short(df, "s", 12, 12).toPandas()
     assert abs(out.weight.sum()) < 1e-12 and abs(out.weight.abs().sum() - 1) < 1e-12
-    assert set(out[out.weight > 0].ticker) == set(out.nlargest(10, "s").ticker)
-    hedged = portfolio.dollar_beta_neutral(portfolio.rank_long_short(df, "s", 10, 10), "beta").toPandas()
+    assert set(out[out.weight > 0].ticker) == set(out.nlargest(12, "s").ticker)
+    hedged = portfolio.dollar_beta_neutral(portfolio.rank_long_short(df, "s", 12, 12), "beta").toPandas()
     assert abs((hedged.weight * hedged.beta).sum()) < 1e-10 and abs(hedged.weight.sum()) < 1e-10
-    joint = portfolio.joint_neutral(portfolio.rank_long_short(df, "s", 10, 10), "beta").toPandas()
+    joint = portfolio.joint_neutral(portfolio.rank_long_short(df, "s", 12, 12), "beta").toPandas()
     assert abs((joint.weight * joint.beta).sum()) < 1e-10 and joint.groupby("sector").weight.sum().abs().max() < 1e-10
-    assert portfolio.rank_long_short(df.limit(3), "s", 10, 10).agg(F.sum(F.abs("weight"))).first()[0] == 0
-    history = spark.createDataFrame([("d", f"T{i:02d}", rng.normal(size=80).tolist()) for i in range(60)], "date string, ticker string, returns array<double>")
+    assert portfolio.rank_long_short(df.limit(3), "s", 12, 12).agg(F.sum(F.abs("weight"))).first()[0] == 0
+    history = spark.createDataFrame([("d", f"N{i}", rng.normal(size=80).tolist()) for i in range(84)], "date string, ticker string, returns array<double>")
     solved = portfolio.mean_variance_by_date(df, history, "s").toPandas()
-    assert len(solved) == 60 and abs(solved.weight.sum()) < 1e-9 and abs(solved.weight.abs().sum() - 1) < 1e-9
+    assert len(solved) == 84 and abs(solved.weight.sum()) < 1e-9 and abs(solved.weight.abs().sum() - 1) < 1e-9
     cov = portfolio.shrunk_covariance(rng.normal(size=(50, 20)))
     assert np.linalg.eigvalsh(cov).min() > 0
 
@@ -159,7 +160,7 @@ def test_evaluation(spark):
     assert evaluation.daily_ic(df, "p", "t").agg(F.min("ic")).first()[0] > 1 - 1e-9
     shuffled = evaluation.randomisation(df, "p", "t", 5).toPandas()
     assert len(shuffled) == 5 and shuffled.mean_ic.abs().max() < 0.1
-    r = pd.DataFrame({"date": days, "net": rng.normal(0.0006, 0.01, 120), "turnover": 0.1})
+    r = pd.DataFrame({"date": days, "net": rng.standard_t(5, 120) / 150 + 0.001, "turnover": 0.1})
     s = spark.createDataFrame(r)
     stats = evaluation.performance(s).first()
     assert abs(stats["sharpe"] - r.net.mean() / r.net.std() * math.sqrt(252)) < 1e-9
@@ -171,9 +172,16 @@ def test_evaluation(spark):
     assert evaluation.deflated_sharpe(s, "net", 100, 0.01)["dsr"] < evaluation.deflated_sharpe(s, "net", 2, 0.01)["dsr"]
     boot = evaluation.bootstrap_sharpe(s, n_boot=50).toPandas()
     assert len(boot) == 50 and boot.sharpe.min() < stats["sharpe"] < boot.sharpe.max()
-    noise = pd.concat([pd.DataFrame({"model": f"m{k}", "date": days, "net": rng.normal(0, 0.01, 120)}) for k in range(4)])
+    long = [days[0] + datetime.timedelta(days=i) for i in range(173)]
+    noise = pd.concat([pd.DataFrame({"model": f"m{k}", "date": long, "net": rng.standard_t(6, 173) / 90}) for k in range(4)])
     pbo = evaluation.overfit_probability(spark.createDataFrame(noise)).first()
-    assert pbo["n_splits"] == 70 and 0 <= pbo["pbo"] <= 1
+    wide = noise.pivot(index="date", columns="model", values="net")
+    parts, over = np.array_split(np.arange(173), 8), []
+    for inside in itertools.combinations(range(8), 4):
+        sharpe = [wide.iloc[np.concatenate([parts[b] for b in range(8) if (b in inside) == own])].apply(lambda x: x.mean() / x.std()) for own in (True, False)]
+        over.append(sharpe[1].rank(pct=True)[sharpe[0].idxmax()] <= 0.5)
+    assert pbo["n_splits"] == 70 and abs(pbo["pbo"] - np.mean(over)) < 1e-12
+    assert evaluation.overfit_probability(spark.createDataFrame(noise[noise.date < long[150]])).first()["pbo"] is None
 
 
 def test_volatility_models():
