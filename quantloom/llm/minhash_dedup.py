@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     tested = None
     for best in (True, False):
         rest = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        rest = cut(apart(rest, "key", "doc_id", F.lit(1), BLOCK, REST).select("key", "i", "j", "left", "minor", "doc_id", "component"))
+        rest = apart(cut(rest), "key", "doc_id", F.lit(1), BLOCK, REST).select("key", "i", "j", "left", "minor", "doc_id", "component")
         rest = rest.join(slim, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         cross = rest.mapInArrow(_across(similarity, best), "a long, b long").distinct()
         cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))

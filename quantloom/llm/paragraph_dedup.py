@@ -224,8 +224,8 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lanes[some])], names=["lane", "bits"])
 
     out = np.zeros(bits // 64, np.int64)
-    for lane, found in digests.mapInArrow(run, "lane long, bits long").groupBy("lane").agg(F.bit_or("bits")).toLocalIterator():
-        out[lane] = found
+    found = digests.mapInArrow(run, "lane long, bits long").groupBy("lane").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found.column("lane").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
@@ -311,7 +311,7 @@ def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = connected_components(edges)
     size = sets.select(F.col("digest").alias("node"), F.greatest(F.lit(1.0), F.octet_length("shingles") / 1024).alias("kb"))
     rest = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = cut(apart(rest.join(size, "node"), "hub", "node", F.col("kb"), BLOCK, REST).select("hub", "i", "j", "left", "minor", "node", "component"))
+    rest = apart(cut(rest.join(size, "node")), "hub", "node", F.col("kb"), BLOCK, REST).select("hub", "i", "j", "left", "minor", "node", "component")
     rest = rest.join(sets.withColumnRenamed("digest", "node"), "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     more = cut(rest.mapInArrow(_across(percent), "a long, b long").distinct())
     return labels if more.isEmpty() else connected_components(edges.union(more))
