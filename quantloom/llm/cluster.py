@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Edges that one task holds, about.
+EDGES = 1 << 17
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The runs of equal keys of a sorted stream of batches, each as one batch (or, with ``most``, in parts of so many rows); memory holds one input batch and one run or part."""
     run: list[pa.RecordBatch] = []
@@ -98,17 +102,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node that can be reached.
 
-    Nodes without an edge are not returned; null ends are ignored.  Every round first turns the edges
-    of each partition into stars, then hooks each node to its neighbour of lowest rank (or itself) and
+    Nodes without an edge are not returned; null ends are ignored.  Every round first deals the edges at random to as
+    many tasks as there are ``EDGES`` of them, which turns each task's edges into stars, then hooks each node to its neighbour of lowest rank (or itself) and
     contracts the edges.  Ranks are the ids and, every other round, hashes of them, so that no order of
     ids keeps the number of rounds from being logarithmic.  Edges and labels stay distributed; each
     round is cut by a checkpoint.
     """
     edges = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    edges = cut(edges.mapInArrow(_forest, "a long, b long"))
+    edges = cut(edges)
     labels = None
     round_no = 0
-    while not edges.isEmpty():
+    while (n := edges.count()) > 0:
+        edges = cut(edges.repartition(-(-n // EDGES)).mapInArrow(_forest, "a long, b long"))
         rank = (lambda c: F.xxhash64(c, F.lit(round_no))) if round_no % 2 else F.col  # noqa: B023
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min(rank("b")).alias("low"), F.min_by("b", rank("b")).alias("b"))
@@ -120,7 +125,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         step = hook.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         edges = edges.join(step, "a").join(step.select(F.col("a").alias("b"), F.col("a2").alias("b2")), "b").where("a2 <> b2")
         edges = edges.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        edges = cut(edges.mapInArrow(_forest, "a long, b long"))
+        edges = cut(edges)
         round_no += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

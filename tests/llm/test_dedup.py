@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quantloom.llm import cluster
 from quantloom.llm.cluster import connected_components
 from quantloom.llm.minhash_dedup import _across, near_duplicates, odd_sketch
 from quantloom.llm.paragraph_dedup import repeated_paragraphs
@@ -12,9 +13,10 @@ from quantloom.llm.paragraph_dedup import repeated_paragraphs
 from .corpus import components, near_copies, sentence, shingles, tokens, vocabulary
 
 
-def test_components_equal_union_find(spark):
+def test_components_equal_union_find(spark, monkeypatch):
     rnd = random.Random(2)
-    for n, m in ((60, 40), (200, 199)):
+    for n, m, most in ((60, 40, 1 << 17), (200, 199, 25), (60, 40, 7)):
+        monkeypatch.setattr(cluster, "EDGES", most)  # one task, and several rounds over many
         links = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(0, n - 1, 3)] if m < n - 1 else [(i, i + 1) for i in range(n - 1)]
         got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(7)).collect()}
         want = components(n, links)
