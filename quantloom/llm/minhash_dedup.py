@@ -12,9 +12,10 @@ Method
 3. Candidates come from equal bands.  First each member of a bucket is compared with the bucket's
    hub (its smallest id): a number of pairs linear in the rows.  Pairs whose sketches allow the
    threshold are confirmed on the full sets.
-4. Members of a bucket that are then still outside its largest component are compared by their
-   sketches with all of it, in blocks of bounded size, and again confirmed on full sets.  So no link
-   is lost to the hub shortcut, and pairs inside a component are never listed.
+4. Members of a bucket that are then still outside its largest component meet all of it in blocks of
+   bounded size: sketches first, then the full sets, which the block holds.  A block joins what it has
+   linked, so it returns at most one link less than it has components.  So no link is lost to the hub
+   shortcut, and pairs are never listed.
 5. Components by distributed hooking and contraction.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing.  Rows with a
@@ -38,8 +39,10 @@ BANDS, ROWS = 24, 4
 BINS, BITS = 8192, 4096
 #: A pair is confirmed on full sets if its sketches put it at most this many standard deviations below the threshold.
 DEVIATIONS = 5
-#: Rows of a bucket that lie outside its main component, and of all its rows, that are compared at once.
-BLOCK, REST = 1024, 4096
+#: 64-bit words (sets and sketches) of a bucket's rows outside its main component, and of all its rows, that are compared at once.
+BLOCK, REST = 1 << 18, 1 << 20
+#: Shingles of one set's partners that are compared at once.
+GATHER = 1 << 20
 
 _SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, occupied int, bands array<long>, odd array<long>"
 
@@ -149,13 +152,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(round(100 * similarity)), "a long, b long")
 
 
-def _across(similarity: float, best: bool):
-    """For pairs of blocks of a bucket, sorted by them: pairs in different components whose sketches allow the similarity; with ``best`` only the likeliest of a left row with each component."""
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch and whole set of each text."""
+    for batch in batches:
+        sets = list(document_sets(batch.select(["text"])))
+        sketches = [odd_sketch(s) for s in sets]
+        lists = lambda rows: pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate([np.zeros(0, np.int64), *rows])).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([n for n, _ in sketches], pa.int32()), lists([odd for _, odd in sketches]), lists([s.view(np.int64) for s in sets])],
+            names=["doc_id", "n_shingles", "occupied", "odd", "shingles"],
+        )
+
+
+def _partners(own: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets (places in ``values``) reach the similarity with the sorted set ``own``."""
+    begin = np.cumsum(sizes) - sizes
+    other = values[np.arange(sizes.sum()) + np.repeat(starts - begin, sizes)]
+    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+    both = np.add.reduceat((own[place] == other).astype(np.int64), begin)
+    return (both > 0) & (100 * both >= percent * (len(own) + sizes - both))
+
+
+def _across(similarity: float):
+    """For pairs of blocks of a bucket, sorted by them: links between different components, one for each two that become one."""
+    percent = round(100 * similarity)
 
-    def compare(rows: pa.RecordBatch) -> list[np.ndarray]:
+    def compare(rows: pa.RecordBatch) -> list[tuple[int, int]]:
         get = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
         ids, comp, n, occ, left, minor = (get(c) for c in ("doc_id", "component", "n_shingles", "occupied", "left", "minor"))
         odd = rows.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+        values = rows.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        starts = np.cumsum(n) - n
+        comp = np.unique(comp, return_inverse=True)[1]
         right, out = np.flatnonzero(~left), []
         for x in np.flatnonzero(left).tolist():
             # Of two rows outside the main component the larger id is on the left.
@@ -166,18 +194,23 @@ def _across(similarity: float, best: bool):
             ones = np.bitwise_count(odd[at] ^ odd[x]).sum(axis=1, dtype=np.int64)
             apart = np.where(ones * 2 < BITS - 8, -BITS / 2 * np.log(np.maximum(1 - 2.0 * ones / BITS, 1e-9)), 4.0 * BITS)
             ok = (occ[at] + occ[x] - apart) / 2 >= _least_same(n[at] + n[x], similarity, np.exp, np.sqrt)
-            at = at[ok]
-            if best and len(at) > 1:
-                at = at[np.argsort(ones[ok], kind="stable")]
-                at = at[np.unique(comp[at], return_index=True)[1]]
-            if len(at):
-                out.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
+            at = at[ok][np.argsort(ones[ok], kind="stable")]
+            own, most = values[starts[x] : starts[x] + n[x]], 16
+            while len(at):
+                # The likeliest first: what they join needs no further comparison.
+                some = at[: max(1, min(most, int(np.searchsorted(np.cumsum(n[at]), GATHER, "right"))))]
+                for y in some[_partners(own, values, starts[some], n[some], percent)].tolist():
+                    if comp[x] != comp[y]:
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        comp[comp == comp[y]] = comp[x]
+                at = at[len(some) :]
+                at, most = at[comp[at] != comp[x]], 4 * most
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, ["key", "i", "j"]):
             if out := compare(rows):
-                a, b = np.concatenate(out, axis=1)
+                a, b = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -188,7 +221,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     sig = cut(signatures(docs))
     linked = sig.where("n_shingles > 0 and doc_id is not null")
     reps = cut(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n_shingles", "occupied", "bands", "odd"), "doc_id").alias("s")).select("d1", "d2", "doc_id", "s.*"))
-    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1 ")
     members = cut(buckets.join(hubs, "key"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -199,21 +232,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     edges = cut(_confirmed(_filtered(star, slim, similarity), texts, similarity))
     labels = connected_components(edges)
 
-    # Members of a bucket that its hub has not joined: first each one's likeliest partner in every other component, then whatever is still apart.
-    tested = None
-    for best in (True, False):
-        rest = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        rest = apart(cut(rest), "key", "doc_id", F.lit(1), BLOCK, REST).select("key", "i", "j", "left", "minor", "doc_id", "component")
-        rest = rest.join(slim, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        cross = rest.mapInArrow(_across(similarity, best), "a long, b long").distinct()
-        cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))
-        if cross.isEmpty():
-            break
-        more = cut(_confirmed(cross, texts, similarity))
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = connected_components(edges)
-        tested = cross
+    # Members of a bucket that its hub has not joined.
+    rest = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    rest = cut(apart(cut(rest), "key", "doc_id", F.col("n_shingles") + BITS // 64, BLOCK, REST).select("key", "i", "j", "left", "minor", "doc_id", "component"))
+    full = texts.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full, "doc_id long, n_shingles long, occupied int, odd array<long>, shingles array<long>")
+    met = rest.join(full, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(met.mapInArrow(_across(similarity), "a long, b long").distinct())
+    if not more.isEmpty():
+        labels = connected_components(edges.union(more))
 
     classes = reps.select("d1", "d2", F.col("doc_id").alias("node")).join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     found = linked.join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")

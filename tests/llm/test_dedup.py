@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import cluster
 from quantloom.llm.cluster import connected_components
-from quantloom.llm.minhash_dedup import _across, near_duplicates, odd_sketch
+from quantloom.llm.minhash_dedup import _across, _full, near_duplicates, odd_sketch
 from quantloom.llm.paragraph_dedup import repeated_paragraphs
 
 from .corpus import components, near_copies, sentence, shingles, tokens, vocabulary
@@ -120,5 +120,22 @@ def test_sketches_of_long_texts_let_similar_pairs_pass():
             every = rng.integers(0, 1 << 64, union, dtype=np.uint64)
             pair = [np.sort(every[: union - union // 8]), np.sort(np.concatenate([every[: union - union // 4], every[union - union // 8 :]]))]  # similarity 0.75
             (n, a), (m, b) = map(odd_sketch, pair)
-            columns = {"doc_id": [1, 2], "component": [1, 2], "n_shingles": [len(pair[0]), len(pair[1])], "occupied": [n, m], "block": [0, 0], "odd": [a.tolist(), b.tolist()], "key": [0, 0], "i": [0, 0], "j": [0, 0], "left": [False, True], "minor": [False, True]}
-            assert sum(r.num_rows for r in _across(0.75, False)(iter([pa.RecordBatch.from_pydict(columns)]))) == 1
+            columns = {"doc_id": [1, 2], "component": [1, 2], "n_shingles": [len(pair[0]), len(pair[1])], "occupied": [n, m], "block": [0, 0], "odd": [x.view(np.int64).tolist() for x in (a, b)], "shingles": [x.view(np.int64).tolist() for x in pair], "key": [0, 0], "i": [0, 0], "j": [0, 0], "left": [False, True], "minor": [False, True]}
+            assert sum(r.num_rows for r in _across(0.75)(iter([pa.RecordBatch.from_pydict(columns)]))) == 1
+
+
+def test_blocks_return_a_spanning_set_of_links(spark):
+    rnd = random.Random(3)
+    words = vocabulary(rnd, 2000)
+    base = sentence(rnd, words, 60).split(" ")
+    texts = [" ".join([*base[: 60 - k], *(rnd.choice(words) for _ in range(k))]) for k in (0, 2, 4, 8, 12, 20, 30) for _ in range(20)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    names = "key long, i int, j int, left boolean, minor boolean, component long"
+    held = [r for i in range(len(texts)) for r in [(i, 1, 0, 0, False, i > 0, i), *([(i, 1, 0, 0, True, True, i)] if i else [])]]
+    met = spark.createDataFrame(held, f"doc_id long, {names}").join(rows.mapInArrow(_full, "doc_id long, n_shingles long, occupied int, odd array<long>, shingles array<long>"), "doc_id")
+    got = [tuple(r) for r in met.coalesce(1).sortWithinPartitions("key", "i", "j").mapInArrow(_across(0.75), "a long, b long").collect()]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(len(texts), links)
+    assert set(got) <= set(links) and len(got) == len(texts) - len(set(want))
+    assert components(len(texts), got) == want
