@@ -83,6 +83,16 @@ def book(targets: DataFrame, returns: DataFrame, rules: Rules = Rules(), costs:
     return rows.groupBy("model").applyInPandas(run, "model string, date date, gross double, net double, cost double, turnover double, gross_exposure double, net_exposure double, n_long long, n_short long, scalar double")
 
 
+def mean_scores(scores: DataFrame, score: str) -> DataFrame:
+    """One row a name and date: the mean of duplicate scores, without missing ones."""
+    return scores.where(F.col(score).isNotNull()).groupBy("date", "ticker").agg(F.avg(score).alias(score))
+
+
+def aligned_benchmark(returns: DataFrame, benchmark: DataFrame, b: str = "mkt_return") -> DataFrame:
+    """The benchmark on the dates of the book, 0 where it has none."""
+    return returns.select("date").join(benchmark.select("date", b), "date", "left").select("date", F.coalesce(b, F.lit(0.0)).alias(b))
+
+
 def simple_pnl(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """date, gross: sum of weight times return on the same (date, ticker)."""
     return weights.join(returns, ["date", "ticker"]).groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))

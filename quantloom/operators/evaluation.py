@@ -60,6 +60,43 @@ def prediction_error(rows: DataFrame, score: str, target: str) -> DataFrame:
     return live.agg(F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.sum(F.col(target) * F.col(target)), F.lit(0.0))).alias("oos_r2"), F.count("*").alias("n"))
 
 
+def prediction_metrics(rows: DataFrame, score: str, target: str, q: int = 5) -> DataFrame:
+    """One row: mean rank and linear correlation a date, error against the target, top minus bottom bucket and rank correlation of the buckets' means with their order."""
+    means = [daily_ic(rows, score, target, method=m).agg(F.avg("ic").alias(name)) for m, name in (("spearman", "mean_ic"), ("pearson", "mean_pearson"))]
+    ladder = quantile_ladder(rows, score, target, q)
+    spread = ladder.agg((F.max(F.when(F.col("bucket") == q, F.col("mean_fwd"))) - F.max(F.when(F.col("bucket") == 1, F.col("mean_fwd")))).alias("spread"))
+    out = prediction_error(rows, score, target)
+    for one in (*means, spread, monotonicity(ladder)):
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
+def by_model(rows: DataFrame, key: str, value: str, models: list[str]) -> DataFrame:
+    """A row a key (bucket, fold), a column a model: the mean value."""
+    return rows.groupBy(key).pivot("model", models).agg(F.avg(value))
+
+
+def hac_ic(ic: DataFrame, horizon: int = 5) -> DataFrame:
+    """mean, t and n of the ic with lags of twice the horizon, over which labels overlap."""
+    return newey_west(ic, "ic", 2 * horizon)
+
+
+def joint_correlation(rows: DataFrame, a: str, b: str, by: tuple[str, ...], method: str = "spearman", least: int = 3) -> DataFrame:
+    """Correlation of the joint values of each group; groups under ``least`` rows and constant ones have none."""
+    joint = rows.select(*by).distinct()
+    return joint.join(daily_ic(rows, a, b, by, method, least), list(by), "left").withColumnRenamed("ic", "corr")
+
+
+def trading_costs(returns: DataFrame, gross: str = "gross", cost: str = "cost", year: int = 252) -> DataFrame:
+    """Mean turnover of the rows that trade, arithmetic annual return before costs and what costs take of it."""
+    return returns.agg(F.avg(F.nullif(F.col("turnover"), F.lit(0.0))).alias("mean_turnover"), (F.avg(gross) * year).alias("gross_return"), (F.avg(cost) * year).alias("cost_drag"))
+
+
+def mean_losses(losses: DataFrame, columns: list[str]) -> DataFrame:
+    """model, mean, median and count over names of each loss column; missing losses are left out."""
+    return losses.unpivot([], columns, "model", "loss").where("loss is not null").groupBy("model").agg(F.avg("loss").alias("mean_loss"), F.percentile("loss", F.lit(0.5)).alias("median_loss"), F.count("*").alias("n"))
+
+
 def equity(returns: DataFrame, r: str = "net", by: tuple[str, ...] = ()) -> DataFrame:
     """equity and drawdown along each series."""
     w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -138,7 +138,7 @@ def volatility_scalar(returns: np.ndarray, target: float, lookback: int, cap: fl
     return float(np.clip(target / (recent.std(ddof=1) * np.sqrt(252)), 1 / cap, cap))
 
 
-def build_weights(rows: DataFrame, score: str, method: str = "rank", n_long: int = 20, n_short: int = 20, gross: float = 1.0, cap: float | None = None, vol: str | None = None, beta: str | None = None, sectors: bool = False, keys: tuple[str, ...] = DATE) -> DataFrame:
+def build_weights(rows: DataFrame, score: str, method: str = "rank", n_long: int = 20, n_short: int = 20, gross: float = 1.0, cap: float | None = None, vol: str | None = None, beta: str | None = None, sectors: bool = False, keys: tuple[str, ...] = DATE, history: DataFrame | None = None) -> DataFrame:
     """Method, clip, constraints, then the gross; the clip comes before the constraints, so it may be exceeded."""
     if method == "rank":
         rows = rank_long_short(rows, score, n_long, n_short, gross, cap, keys)
@@ -146,6 +146,8 @@ def build_weights(rows: DataFrame, score: str, method: str = "rank", n_long: int
         rows = score_weighted(rows, score, gross, cap, keys)
     elif method == "risk_parity":
         rows = inverse_vol(rank_long_short(rows, score, n_long, n_short, gross, None, keys), vol, gross, cap, keys)
+    elif method == "mean_variance":
+        rows = rows.join(mean_variance_by_date(rows, history, score, gross, cap, keys), [*keys, "ticker"])
     else:
         raise ValueError(f"unknown method {method!r}")
     if beta and sectors:

@@ -23,6 +23,13 @@ def zscore(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ("date",
     return rows.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)) for c in columns})
 
 
+def signal_zscore(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ("date",), clip: float = 3.0, least: int = 5) -> DataFrame:
+    """Scale by the population deviation and clip; missing values, constant groups and those under ``least`` values are 0."""
+    w = Window.partitionBy(*keys)
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0))
+    return rows.withColumns({c: F.coalesce(F.when(F.count(c).over(w) >= least, F.when(z(c).isNotNull(), F.greatest(F.least(z(c), F.lit(clip)), F.lit(-clip)))), F.lit(0.0)) for c in columns})
+
+
 def rank(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ("date",)) -> DataFrame:
     return rows.withColumns({c: percent_rank(c, list(keys)) for c in columns})
 

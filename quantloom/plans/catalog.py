@@ -659,3 +659,90 @@ SELECT ticker, {_r('avg(v / f - ln(greatest(v, 1e-16) / f) - 1)', 'qlike', 4)},
 def qlike_ewma(spark, sf_dir):
     rows = returns_panel(spark, sf_dir).select("ticker", "date", "lr")
     return volatility.losses(volatility.forecasts(rows, "lr", ("ewma",)), "ewma", ("ticker",)).select("ticker", F.round("qlike", 4).alias("qlike"), "n")
+
+
+# --- tables of an evaluation ----------------------------------------------------------------------
+
+_MODELS = ("mom", "rev", "vol")
+_EACH = ", u AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, ticker, date, {m} AS v, fwd FROM scored WHERE {m} IS NOT NULL AND fwd IS NOT NULL" for m in _MODELS) + ")"
+_ICS = _EACH + """, r AS (SELECT model, date, rank() OVER (PARTITION BY model, date ORDER BY v) + (count(*) OVER (PARTITION BY model, date, v) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY model, date ORDER BY fwd) + (count(*) OVER (PARTITION BY model, date, fwd) - 1) / 2.0::DOUBLE AS t FROM u),
+ics AS (SELECT model, date, corr(p, t) AS ic FROM r GROUP BY model, date HAVING count(*) >= 5 AND stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12)"""
+_BUCKETS = """k AS (SELECT model, fwd, count(*) OVER (PARTITION BY model, date) AS n, row_number() OVER (PARTITION BY model, date ORDER BY v, ticker) AS k FROM u),
+ladder AS (SELECT model, CAST(greatest(ceil((k - 1) * 5 / (n - 1)), 1) AS INTEGER) AS bucket, avg(fwd) AS m FROM k WHERE n >= 10 GROUP BY 1, 2)"""
+
+
+def _each_model(query: Callable[[DataFrame, str], DataFrame], rows: DataFrame) -> DataFrame:
+    """The query's rows of each model, with its name."""
+    out = None
+    for name in _MODELS:
+        one = query(rows, name).withColumn("model", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _columns(value: str) -> str:
+    return ", ".join(_r(f"avg({value}) FILTER (model = '{m}')", m, 8) for m in _MODELS)
+
+
+@register("ladder_table", f"WITH {_SCORED}{_EACH}, {_BUCKETS} SELECT bucket, {_columns('m')} FROM ladder GROUP BY bucket")
+def ladder_table(spark, sf_dir):
+    ladders = _each_model(lambda rows, name: evaluation.quantile_ladder(rows, name, "fwd"), cut(scored_panel(spark, sf_dir)))
+    return rounded(evaluation.by_model(ladders, "bucket", "mean_fwd", list(_MODELS)), list(_MODELS), 8, ("bucket",))
+
+
+@register("fold_ic", f"WITH {_SCORED}{_ICS} SELECT CAST(year(date) AS INTEGER) AS fold, {_columns('ic')} FROM ics GROUP BY fold")
+def fold_ic(spark, sf_dir):
+    ics = _each_model(lambda rows, name: evaluation.daily_ic(rows, name, "fwd"), cut(scored_panel(spark, sf_dir)))
+    return rounded(evaluation.by_model(ics.withColumn("fold", F.year("date")), "fold", "ic", list(_MODELS)), list(_MODELS), 8, ("fold",))
+
+
+@register("prediction_metrics", f"""WITH {_SCORED}{_ICS}, {_BUCKETS}, o AS (SELECT bucket, m, rank() OVER (ORDER BY m) AS place FROM ladder WHERE model = 'mom'),
+pe AS (SELECT date, corr(v, fwd) AS c FROM u WHERE model = 'mom' GROUP BY date HAVING count(*) >= 5 AND stddev_pop(v) > 1e-12 AND stddev_pop(fwd) > 1e-12)
+SELECT {_r("(SELECT avg(ic) FROM ics WHERE model = 'mom')", 'mean_ic')}, {_r('(SELECT avg(c) FROM pe)', 'mean_pearson')}, {_r('sqrt(avg((fwd - v) * (fwd - v)))', 'rmse')}, {_r('1 - sum((fwd - v) * (fwd - v)) / sum(fwd * fwd)', 'oos_r2')}, {_r('(SELECT max(m) FILTER (bucket = 5) - max(m) FILTER (bucket = 1) FROM o)', 'spread')}, {_r('(SELECT corr(bucket, place) FROM o)', 'monotonicity')}, count(*) AS n FROM u WHERE model = 'mom'""")
+def prediction_metrics(spark, sf_dir):
+    return rounded(evaluation.prediction_metrics(cut(scored_panel(spark, sf_dir)), "mom", "fwd"), ["mean_ic", "mean_pearson", "rmse", "oos_r2", "spread", "monotonicity"], 6, ("n",))
+
+
+@register("ic_hac", f"""WITH {_IC}, d AS (SELECT row_number() OVER (ORDER BY date) AS k, ic - avg(ic) OVER () AS d FROM ic), n AS (SELECT count(*) AS n FROM d), g AS (SELECT b.k - a.k AS lag, sum(a.d * b.d) AS c FROM d a JOIN d b ON b.k - a.k BETWEEN 0 AND 8 GROUP BY 1)
+SELECT {_r('(SELECT avg(ic) FROM ic)', 'mean', 8)}, {_r('(SELECT avg(ic) FROM ic) / sqrt((SELECT sum(CASE WHEN lag = 0 THEN c ELSE 2 * (1 - lag / 9.0::DOUBLE) * c END) FROM g) / n / n)', 't')}, n FROM n""")
+def ic_hac(spark, sf_dir):
+    return rounded(evaluation.hac_ic(cut(momentum_ic(spark, sf_dir)), 4), ["t"], 6, ("mean", "n")).withColumn("mean", F.round("mean", 8) + 0.0)
+
+
+@register("name_correlation", f"""WITH {_SCORED}, j AS (SELECT ticker, date, rank() OVER (PARTITION BY ticker ORDER BY mom) + (count(*) OVER (PARTITION BY ticker, mom) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY ticker ORDER BY fwd) + (count(*) OVER (PARTITION BY ticker, fwd) - 1) / 2.0::DOUBLE AS t FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL),
+c AS (SELECT ticker, count(*) AS names, corr(p, t) AS c FROM j GROUP BY ticker HAVING count(*) >= 3 AND stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12)
+SELECT d.ticker, names, {_r('c', 'corr', 8)} FROM (SELECT DISTINCT ticker FROM scored) d LEFT JOIN c ON c.ticker = d.ticker""")
+def name_correlation(spark, sf_dir):
+    return rounded(evaluation.joint_correlation(cut(scored_panel(spark, sf_dir)), "mom", "fwd", ("ticker",)), ["corr"], 8, ("ticker", "names"))
+
+
+@register("trading_costs", f"WITH {_STRAT} SELECT {_r('avg(nullif(turnover, 0))', 'mean_turnover')}, {_r('avg(net) * 52', 'gross_return')}, {_r('avg(turnover * 7 / 1e4) * 52', 'cost_drag')} FROM strat")
+def trading_costs(spark, sf_dir):
+    costs = backtest.Costs()
+    rows = strategy(spark, sf_dir).select("turnover", F.col("net").alias("gross"), (F.col("turnover") * ((costs.cost_bps + costs.slippage_bps) / 1e4)).alias("cost"))
+    return evaluation.trading_costs(rows, year=52).select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_turnover", "gross_return", "cost_drag")])
+
+
+_PER_NAME = ORACLES["qlike_ewma"].rpartition("SELECT ticker, round(")
+
+
+@register("mean_losses", f"{_PER_NAME[0]}, each AS ({_PER_NAME[1]}{_PER_NAME[2]}) SELECT 'qlike' AS model, {_r('avg(qlike)', 'mean_loss', 3)}, {_r('median(qlike)', 'median_loss', 3)}, count(*) AS n FROM each WHERE n >= 10")
+def mean_losses(spark, sf_dir):
+    return rounded(evaluation.mean_losses(qlike_ewma(spark, sf_dir).where("n >= 10"), ["qlike"]), ["mean_loss", "median_loss"], 3, ("model", "n"))
+
+
+@register("signal_zscore", f"WITH {_MOM}, s AS (SELECT date, count(m) AS n, avg(m) AS a, stddev_pop(m) AS sd FROM mom GROUP BY date) SELECT ticker, date, {_r('CASE WHEN n >= 5 AND m IS NOT NULL AND sd > 0 THEN greatest(least((m - a) / sd, 3), -3) ELSE 0 END', 'z')} FROM mom JOIN s USING (date)")
+def signal_zscore(spark, sf_dir):
+    return rounded(xsec.signal_zscore(momentum_panel(spark, sf_dir), ["m"]).withColumnRenamed("m", "z"), ["z"])
+
+
+@register("mean_scores", f"SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, {_r('avg(CAST(l_extendedprice AS DOUBLE))', 'score', 4)} FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1, 2")
+def mean_scores(spark, sf_dir):
+    rows = panel.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").cast("double").alias("score"))
+    return rounded(backtest.mean_scores(rows, "score"), ["score"], 4)
+
+
+@register("aligned_benchmark", f"WITH {_MARKET}, days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) SELECT d.date, {_r('coalesce(mkt_return, 0)', 'mkt_return', 9)} FROM days d LEFT JOIN market m ON m.date = d.date")
+def aligned_benchmark(spark, sf_dir):
+    days = panel.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+    return rounded(backtest.aligned_benchmark(days, panel.market_returns(dense_bars(spark, sf_dir))), ["mkt_return"], 9, ("date",))

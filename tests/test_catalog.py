@@ -18,9 +18,10 @@ def clean(v):
 
 
 SMALL = ["bars", "ret_w", "winsor_z", "triple_barrier", "rank_ls_weights", "ic_momentum", "factor_sweep", "oscillators", "overfit_probability", "risk_summary"]
+TABLES = ["ladder_table", "fold_ic", "prediction_metrics", "ic_hac", "name_correlation", "trading_costs", "mean_losses", "signal_zscore", "mean_scores", "aligned_benchmark"]
 
 
-@pytest.mark.parametrize(("data", "name"), [(DATA, n) for n in SMALL] + [(LARGER, "winsor_z"), (LARGER, "feature_table")])
+@pytest.mark.parametrize(("data", "name"), [(DATA, n) for n in SMALL + TABLES] + [(LARGER, "winsor_z"), (LARGER, "feature_table")])
 def test_oracle(spark, data, name):
     con = duckdb.connect()
     for t in ("region", "nation", "supplier", "lineitem", "part", "events"):

@@ -207,3 +207,15 @@ def test_sources(spark, tmp_path):
     assert kept.select("ticker").distinct().count() == 3 and {r[0] for r in counts.collect()} <= {"kept", "rank", "history", "jumps", "price"}
     obs = spark.createDataFrame([("r", "A", {"x": 1.0}), ("r", "B", {"y": 2.0})], "request string, ticker string, features map<string,double>")
     assert [(r["ticker"], r["rank"], r["missing"]) for r in serving.batch_score(obs, {"x": 2.0}).orderBy("rank").collect()] == [("A", 1, 0), ("B", 2, 1)]
+
+
+def test_mean_variance_by_the_dispatcher(spark):
+    rng = np.random.default_rng(12)
+    names, paths = [f"m{i}" for i in range(9)], rng.normal(0, 0.02, (9, 50))
+    scores = rng.normal(0, 1, 9)
+    rows = spark.createDataFrame([(d, n, float(s) if n != "m8" else None) for d in (1, 2) for n, s in zip(names, scores)], "date int, ticker string, score double")
+    history = spark.createDataFrame([(d, n, p.tolist()) for d in (1, 2) for n, p in zip(names, paths)], "date int, ticker string, returns array<double>")
+    got = {(r["date"], r["ticker"]): r["weight"] for r in portfolio.build_weights(rows, "score", "mean_variance", history=history).collect()}
+    want = portfolio.mean_variance(scores[:8], paths[:8].T)
+    assert len(got) == 16 and all(abs(got[d, n] - w) < 1e-9 for d in (1, 2) for n, w in zip(names, want))
+    assert abs(sum(map(abs, want)) - 1) < 1e-9 and abs(sum(want)) < 1e-9
