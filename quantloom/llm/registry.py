@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_benchmark_decontamination
 from .fingerprints import op6_document_fingerprints
 from .html_text import op9_html_extraction
+from .link_graph import OP12_SQL, op12_url_filters
 from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .paragraph_dedup import op7_substring_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op12_url_filters": op12_url_filters,
 }
-ORACLES = {"op2_minhash_near_dedup": OP2_SQL}
+ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op12_url_filters": OP12_SQL}
