@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .decontamination import op1_benchmark_decontamination
 from .fingerprints import op6_document_fingerprints
 from .html_text import op9_html_extraction
@@ -10,6 +11,7 @@ from .minhash_dedup import OP2_SQL, op2_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .paragraph_dedup import op7_substring_dedup
 from .pitman_yor import op4_lm_scoring
+from .prefix_trie import OP13_SQL, op13_conversation_prefix_trie
 from .quality import op3_quality_classifier
 from .secret_scan import op8_secret_scans
 from .toxicity import op10_toxicity
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_url_filters": op12_url_filters,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
-ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op12_url_filters": OP12_SQL}
+ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op11_phrase_collocations": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_conversation_prefix_trie": OP13_SQL}

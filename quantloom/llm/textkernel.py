@@ -85,21 +85,22 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK_BYTES, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each word and, for each text, the index of its first word (one entry more than texts).
 
     Long input is worked on in windows that end at a separator, or at the end of a text, so temporaries are bounded unless a single word is long.
+    ``sep`` marks the bytes that separate.
     """
     n = len(data)
     if n <= 2 * window:
-        hashes, start, end = _words(data, offsets)
+        hashes, start, end = _words(data, offsets, sep)
         return hashes, start, end, np.searchsorted(start, offsets)
     found, a = [], 0
     while a < n:
         b = min(n, a + window)
         while b < n:
             # A cut behind a separator, or where a text ends, parts no word.
-            gap = np.flatnonzero(_SEP[data[b : b + 4096]])
+            gap = np.flatnonzero(sep[data[b : b + 4096]])
             k = int(np.searchsorted(offsets, b))
             ends = [int(offsets[k])] if k < len(offsets) and offsets[k] < b + 4096 else []
             if len(gap):
@@ -109,18 +110,18 @@ def words(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK_BYTES) -> t
                 break
             b = min(n, b + 4096)
         inner = offsets[(offsets > a) & (offsets < b)] - a
-        hashes, start, end = _words(data[a:b], np.concatenate([[0], inner, [b - a]]))
+        hashes, start, end = _words(data[a:b], np.concatenate([[0], inner, [b - a]]), sep)
         found.append((hashes, start + a, end + a))
         a = b
     hashes, start, end = map(np.concatenate, zip(*found, strict=True))
     return hashes, start, end, np.searchsorted(start, offsets)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SEP[data]
+    inside = ~sep[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = inside.copy()
