@@ -12,7 +12,9 @@ thousand documents, the rest are noise that a linear model would learn by heart.
 largest difference are in it.  This decides what the model knows, not which rows or texts are read or scored.
 
 The fit uses bounded samples: ``positives`` toxic and ``unlabelled`` arbitrary documents of the training folds, whole,
-with at most ``most_bytes`` of text each.  The prior is the share of toxic rows among the labelled ones.
+with at most ``most_bytes`` of text each.  The prior is the share of toxic rows among the labelled ones.  The intercept is
+at most that of the prior, so a text of which no word is known scores the prior or less, also where a sample is too
+small to learn from.
 
 Defined results: a null or wordless text has no words and gets the intercept's score; a null doc_id stays null and is not
 learnt from, nor are labels other than 0 and 1; of contradicting labels of a doc_id 1 counts; repeated rows are scored
@@ -118,7 +120,9 @@ def train_nnpu(rows: list[np.ndarray], n_positive: int, prior: float, vocabulary
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         weights, bias = weights - step[:-1], bias - step[-1]
-    return WordModel(vocabulary, weights, float(bias))
+    # A document without a known word is no likelier toxic than any other.
+    most = math.log(prior / (1 - prior)) if prior < 1 else float(bias)
+    return WordModel(vocabulary, weights, min(float(bias), most))
 
 
 def fit(docs: DataFrame, labels: DataFrame, pool: DataFrame, positives: int = 3000, unlabelled: int = 9000, most_bytes: int = 64 << 20) -> WordModel:
