@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import linear
 from ..functions.windows import average_rank
 
 EULER = 0.5772156649015329
@@ -315,18 +316,17 @@ def factor_regression(returns: DataFrame, factors: DataFrame, names: list[str],
     return {c: {"coef": float(v) * (year if c == "alpha" else 1), "t": float(v / t) if t else math.nan, "p": math.erfc(abs(v / t) / math.sqrt(2)) if t else math.nan} for c, v, t in zip(cols, b, se, strict=True)}
 
 
-def rolling_exposure(returns: DataFrame, factors: DataFrame, names: list[str], r: str = "net", window: int = 252, step: int = 21) -> DataFrame:
-    """Coefficients on the last ``window`` rows at every ``step``-th row; windows are spread over tasks."""
-    rows = returns.select("date", r).join(factors.select("date", *names), "date").na.drop().withColumn("k", F.row_number().over(_line()) - 1)
-    ends = rows.where((F.col("k") >= window - 1) & ((F.col("k") - window + 1) % step == 0)).select(F.col("date").alias("end"), F.col("k").alias("e"))
-    spans = rows.join(F.broadcast(ends), (F.col("k") <= F.col("e")) & (F.col("k") > F.col("e") - window))
+def rolling_exposure(returns: DataFrame, factors: DataFrame, names: list[str], r: str = "net", window: int = 252, step: int = 21, spare: int = 20) -> DataFrame:
+    """date, alpha and a coefficient a factor, on the ``window`` rows up to every ``step``-th row that has another behind it; none with under ``window`` + ``spare`` rows.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(g)), g[names]])
-        b = np.linalg.lstsq(x, g[r].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame([[g["end"].iloc[0], *b]], columns=["date", "alpha", *names])
-
-    return spans.groupBy("end").applyInPandas(run, ", ".join(["date date", "alpha double", *[f"{n} double" for n in names]]))
+    Cross moments run in one window and only every ``step``-th row is solved.
+    """
+    rows = returns.select("date", F.col(r).alias("_y")).join(factors.select("date", *names), "date").na.drop()
+    rows = rows.withColumns({"_k": F.row_number().over(_line()), "_n": F.count("*").over(Window.partitionBy())})
+    x = [F.lit(1.0), *[F.col(c) for c in names]]
+    rows = linear.cross_moments(rows, x, F.col("_y"), _line().rowsBetween(-(window - 1), 0), F.lit(True))
+    ends = rows.where((F.col("_n") >= window + spare) & (F.col("_k") >= window) & (F.col("_k") < F.col("_n")) & ((F.col("_k") - window) % step == 0))
+    return linear.solved(ends, len(x)).select("date", *[F.col(f"b{i}").alias(c) for i, c in enumerate(["alpha", *names])])
 
 
 def factor_sweep(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:

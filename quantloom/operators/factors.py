@@ -1,15 +1,14 @@
-"""The rolling factor library on a dense panel: windows of one ticker partitioning, in three levels, plus one sequential pass."""
+"""The rolling factor library on a dense panel: windows of one ticker partitioning, in three levels, and exponential means."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_ticker, ewm, per_ticker, rolling_kurt, rolling_skew, trailing, with_least
+from ..functions.windows import by_ticker, exponential_means, rolling_kurt, rolling_skew, trailing, with_least
 
 
 @dataclass(frozen=True)
@@ -111,22 +110,16 @@ def market_relative(rows: DataFrame, w: FactorWindows) -> DataFrame:
 
 
 def oscillators(rows: DataFrame, w: FactorWindows) -> DataFrame:
-    """rsi_14, macd_norm and macd_hist: recursions over a ticker's closes, in one sequential pass."""
+    """rsi_14, macd_norm and macd_hist: exponential means of gains, losses and closes, then of the difference of two of them."""
     fast, slow, signal = w.macd
-
-    def compute(g):
-        close = g["close"].to_numpy(float)
-        change = np.append(np.nan, np.diff(close))
-        gain, loss = np.where(np.isnan(change), np.nan, np.maximum(change, 0)), np.where(np.isnan(change), np.nan, np.maximum(-change, 0))
-        up, down = ewm(gain, 1 / w.rsi, w.rsi), ewm(loss, 1 / w.rsi, w.rsi)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.where(down == 0, np.nan, 100 - 100 / (1 + up / down))
-            macd = ewm(close, 2 / (fast + 1), fast) - ewm(close, 2 / (slow + 1), slow)
-            line = ewm(macd, 2 / (signal + 1), signal)
-            out = {"rsi_14": rsi / 100 - 0.5, "macd_norm": macd / close, "macd_hist": (macd - line) / close}
-        return {k: [None if np.isnan(x) else float(x) for x in v] for k, v in out.items()}
-
-    return per_ticker(rows, compute, ["rsi_14", "macd_norm", "macd_hist"])
+    kept, close = rows.columns, F.col("close")
+    rows = rows.withColumn("_change", close - F.lag("close").over(by_ticker()))
+    gain, loss = (F.when(F.col("_change").isNotNull(), F.greatest(F.col("_change") * s, F.lit(0.0))) for s in (1, -1))
+    rows = exponential_means(rows, {"_up": (gain, 1 / w.rsi, w.rsi), "_down": (loss, 1 / w.rsi, w.rsi), "_fast": (close, 2 / (fast + 1), fast), "_slow": (close, 2 / (slow + 1), slow)})
+    rows = rows.withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    rows = exponential_means(rows, {"_line": (F.col("_macd"), 2 / (signal + 1), signal)})
+    rsi = F.when(F.col("_down") != 0, (100 - 100 / (1 + F.col("_up") / F.col("_down"))) / 100 - 0.5)
+    return rows.select(*kept, rsi.alias("rsi_14"), F.try_divide("_macd", "close").alias("macd_norm"), F.try_divide(F.col("_macd") - F.col("_line"), close).alias("macd_hist"))
 
 
 def factor_names(w: FactorWindows) -> list[str]:

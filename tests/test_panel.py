@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import ewm, percent_rank
-from quantloom.operators import backtest, evaluation, factors, labels, models, portfolio, quality, serving, splits, volatility, xsec
+from quantloom.functions import windows
+from quantloom.functions.windows import percent_rank
+from quantloom.operators import backtest, evaluation, factors, labels, models, portfolio, quality, serving, splits, xsec
 from quantloom.sources import panel
 from quantloom.sources.simulator import simulate
 
@@ -54,9 +55,31 @@ def test_momentum_and_volatility_count_calendar_rows(dense, wide):
     pd.testing.assert_frame_equal(collected(out, "ret_kurt"), lr.rolling(20, min_periods=10).kurt(), check_names=False, rtol=1e-6)
 
 
-def test_ewm_decays_across_gaps():
-    x = np.array([np.nan, 1, np.nan, 2, 3, np.nan, np.nan, 5.0])
-    np.testing.assert_allclose(ewm(x, 0.5), pd.Series(x).ewm(alpha=0.5, adjust=False).mean().to_numpy())
+@pytest.mark.parametrize("decay", [300.0, 20.0])
+def test_exponential_means_decay_across_gaps(spark, monkeypatch, decay):
+    """Against the recursion itself, with gaps longer than a block, over one block and many."""
+    monkeypatch.setattr(windows, "DECAY", decay)
+    monkeypatch.setattr(windows, "REACH", 5 * decay)
+    rng = np.random.default_rng(3)
+    series = {"a": rng.normal(size=150), "b": np.abs(rng.normal(size=90)), "c": np.full(30, np.nan), "d": np.array([np.nan, 1, np.nan, 2, 3, np.nan, np.nan, 5.0])}
+    series["a"][[0, 1, 30, 31]] = np.nan
+    series["a"][60:110] = np.nan
+    series["b"][20:] = 0.0
+    rows = [(n, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), None if math.isnan(v) else float(v)) for n, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double").repartition(3)
+    got = windows.exponential_means(df, {"fast": (F.col("x"), 0.5, 1), "slow": (F.col("x"), 0.03, 3)}).orderBy("ticker", "date").toPandas()
+    for name, x in series.items():
+        own = got[got["ticker"] == name]
+        for column, alpha, least in (("fast", 0.5, 1), ("slow", 0.03, 3)):
+            level, seen, gap, want = math.nan, 0, 0, []
+            for v in x:
+                gap += 1
+                if not math.isnan(v):
+                    old = (1 - alpha) ** gap
+                    level = v if not seen else (old * level + alpha * v) / (old + alpha)
+                    seen, gap = seen + 1, 0
+                want.append(level if seen >= least else math.nan)
+            np.testing.assert_allclose(own[column].to_numpy(float), want, rtol=1e-11)
 
 
 def test_cross_section(spark):
@@ -184,14 +207,6 @@ def test_evaluation(spark):
     assert evaluation.overfit_probability(spark.createDataFrame(noise[noise.date < long[150]])).first()["pbo"] is None
 
 
-def test_volatility_models():
-    rng = np.random.default_rng(5)
-    r = rng.normal(0, 0.01, 700)
-    assert abs(np.nanmean(volatility.har_forecast(r)) / 1e-4 - 1) < 0.3
-    assert abs(np.nanmean(volatility.garch_forecast(r, 300)) / 1e-4 - 1) < 0.3
-    assert math.isnan(volatility.ewma_variance(r)[0])
-
-
 def test_sources(spark, tmp_path):
     panel_, market = simulate(spark, 5, "2019-01-01", "2019-06-30")
     assert panel_.where("high < greatest(open, close) or low > least(open, close) or volume <= 0").count() == 0 and market.count() > 100
