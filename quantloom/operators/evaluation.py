@@ -8,10 +8,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linear
+from ..functions.hashing import mix32, mix32_of, permuted
 from ..functions.windows import average_rank
 
 EULER = 0.5772156649015329
@@ -42,13 +44,13 @@ def ic_summary(ic: DataFrame, horizon: int = 5, by: tuple[str, ...] = ()) -> Dat
     )
 
 
-def quantile_ladder(rows: DataFrame, score: str, fwd: str, q: int = 5, least: int = 10) -> DataFrame:
-    """bucket, mean, std and count of forward returns by per-date quantile of score."""
+def quantile_ladder(rows: DataFrame, score: str, fwd: str, q: int = 5, least: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, bucket, mean, std and count of forward returns by per-date quantile of score."""
     live = rows.where(F.col(score).isNotNull() & F.col(fwd).isNotNull())
-    w = Window.partitionBy("date")
+    w = Window.partitionBy(*by, "date")
     live = live.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(score, "ticker"))}).where(F.col("_n") >= least)
     bucket = F.greatest(F.ceil((F.col("_k") - 1) * q / (F.col("_n") - 1)), F.lit(1)).cast("int")
-    return live.groupBy(bucket.alias("bucket")).agg(F.avg(fwd).alias("mean_fwd"), F.stddev_samp(fwd).alias("std_fwd"), F.count("*").alias("n"))
+    return live.groupBy(*by, bucket.alias("bucket")).agg(F.avg(fwd).alias("mean_fwd"), F.stddev_samp(fwd).alias("std_fwd"), F.count("*").alias("n"))
 
 
 def monotonicity(ladder: DataFrame) -> DataFrame:
@@ -173,6 +175,19 @@ def newey_west(series: DataFrame, x: str, lags: int | None = None) -> DataFrame:
     return d.agg(F.avg("x").alias("mean"), (F.avg("x") / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0)) / n), F.lit(0.0))).alias("t"), F.count("x").alias("n"))
 
 
+def hac_by(series: DataFrame, x: str, by: tuple[str, ...], lags: int) -> DataFrame:
+    """by and t_hac of the mean of each series, with Bartlett weights on up to ``lags`` lags; missing under 10 rows."""
+    own = Window.partitionBy(*by)
+    d = series.where(F.col(x).isNotNull()).withColumns({"_d": F.col(x) - F.avg(x).over(own), "_n": F.count(x).over(own)})
+    d = d.withColumns({f"_l{j}": F.lag("_d", j).over(own.orderBy("date")) for j in range(1, lags + 1)})
+    most = F.least(F.lit(lags), F.first("_n") - 1)
+    var = F.sum(F.col("_d") * F.col("_d"))
+    for j in range(1, lags + 1):
+        var = var + F.when(most >= j, 2 * (1 - j / (most + 1)) * F.coalesce(F.sum(F.col("_d") * F.col(f"_l{j}")), F.lit(0.0))).otherwise(0.0)
+    n = F.count("*")
+    return d.groupBy(*by).agg(F.when(n >= 10, F.avg(x) / F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))) / n, F.lit(0.0))).alias("t_hac"))
+
+
 def expected_max_sharpe(trials: int, variance: float) -> float:
     """Expected maximum of so many Sharpe ratios of zero mean."""
     if trials < 2:
@@ -247,39 +262,53 @@ def permutation_summary(replicates: DataFrame, observed: DataFrame) -> DataFrame
 
 
 def bootstrap_sharpe(returns: DataFrame, r: str = "net", n_boot: int = 1000, block: float = 20.0, seed: int = 7, year: int = 252) -> DataFrame:
-    """replicate and sharpe by stationary bootstrap with wraparound. The series (one row a date) is broadcast; replicates are spread over tasks, each with its own seed."""
-    spark = returns.sparkSession
-    values = np.array([x[0] for x in returns.orderBy("date").select(F.coalesce(r, F.lit(0.0))).collect()], float)
-    shared = spark.sparkContext.broadcast(values)
+    """replicate and sharpe by stationary bootstrap with wraparound; missing returns are left out.
+
+    Whether a block begins at a place, and where it starts, are hashes of (seed, replicate, place); the series (one row a date) is joined
+    by its place, so nothing passes the driver.
+    """
+    series = returns.where(F.col(r).isNotNull()).select((F.row_number().over(_line()) - 1).alias("k"), F.col(r).alias("x"))
+    series = series.withColumn("n", F.count("*").over(Window.partitionBy()))
+    key = mix32(F.col("replicate") * 7919 + seed)
+    cells = returns.sparkSession.range(n_boot).withColumnRenamed("id", "replicate").withColumn("key", key).crossJoin(F.broadcast(series.select("k", "n")))
+    new = (F.col("k") == 0) | (mix32(F.col("key") + F.col("k") * 2) < int(2**32 / max(block, 1.0)))
+    cells = cells.withColumn("start", F.when(new, F.struct(F.col("k").alias("at"), (mix32(F.col("key") + F.col("k") * 2 + 1) % F.col("n")).alias("first"))))
+    begun = F.last("start", True).over(Window.partitionBy("replicate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("start", begun).select("replicate", ((F.col("start.first") + F.col("k") - F.col("start.at")) % F.col("n")).alias("k"))
+    drawn = cells.join(series.select("k", "x"), "k").groupBy("replicate")
+    return drawn.agg((F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * math.sqrt(year)).alias("sharpe"))
 
-    def run(batches):
-        x = shared.value
-        for b in batches:
-            out = []
-            for k in b["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                n = len(x)
-                new = rng.random(n) < 1 / block
-                new[:1] = True
-                start = rng.integers(0, max(n, 1), n)
-                at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-                pick = x[(start[at] + np.arange(n) - at) % n] if n else x
-                sd = pick.std(ddof=1) if n > 1 else 0.0
-                out.append(pick.mean() / sd * math.sqrt(year) if sd else None)
-            yield pd.DataFrame({"replicate": b["id"], "sharpe": pd.array(out, "Float64").astype(object)})
-
-    return spark.range(n_boot).mapInPandas(run, "replicate long, sharpe double")
+
+#: Rounds of the permutation of a date's names.
+ROUNDS = 4
 
 
 def randomisation(rows: DataFrame, score: str, target: str, n: int = 100, seed: int = 7) -> DataFrame:
-    """replicate and mean ic after shuffling the scores among the names of each date, by a seeded hash order."""
-    live = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select("date", "ticker", F.col(score).alias("p"), F.col(target).alias("t"))
-    reps = rows.sparkSession.range(n).withColumnRenamed("id", "replicate")
-    many = live.crossJoin(F.broadcast(reps))
-    w = Window.partitionBy("replicate", "date")
-    one = many.select("replicate", "date", "t", F.row_number().over(w.orderBy("ticker")).alias("k"))
-    two = many.select("replicate", "date", "p", F.row_number().over(w.orderBy(F.xxhash64("ticker", "date", "replicate", F.lit(seed)), "ticker")).alias("k"))
-    return daily_ic(one.join(two, ["replicate", "date", "k"]), "p", "t", ("replicate", "date")).groupBy("replicate").agg(F.avg("ic").alias("mean_ic"))
+    """replicate and mean ic after shuffling the scores among the names of each date.
+
+    A date's ranks are one row (as long as a cross section); its names, ordered by ticker, change places by a keyed permutation in each
+    replicate, so rows are neither multiplied nor sorted again.  Dates under five names and constant ones are left out.
+    """
+    live = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    live = live.select("date", "ticker", average_rank(score, ["date"]).alias("p"), average_rank(target, ["date"]).alias("t"))
+    days = live.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "p", "t"))).alias("x")).where(F.size("x") >= 5)
+    days = days.select(F.unix_date("date").alias("day"), F.col("x.p").alias("p"), F.col("x.t").alias("t"))
+
+    def run(batches):
+        total, dates = np.zeros(n), 0
+        for batch in batches:
+            for day, p, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                p, t = (np.asarray(v.values, float) for v in (p, t))
+                p, t = p - p.mean(), t - t.mean()
+                spread = math.sqrt((p @ p) * (t @ t))
+                if spread > 1e-12:
+                    keys = mix32_of(np.arange(n)[None, :, None] * 1000003 + day * 8191 + np.arange(ROUNDS)[:, None, None] * 131 + seed)
+                    total += p[permuted(np.arange(len(p))[None, :], len(p), keys)] @ t / spread
+                    dates += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total), pa.array(np.full(n, dates))], names=["replicate", "total", "dates"])
+
+    sums = days.mapInArrow(run, "replicate long, total double, dates long").groupBy("replicate").agg(F.sum("total").alias("total"), F.sum("dates").alias("dates"))
+    return sums.select("replicate", (F.col("total") / F.nullif("dates", F.lit(0))).alias("mean_ic"))
 
 
 def capacity(returns: DataFrame, grid: list[float], r: str = "net", year: int = 252) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import percent_rank
-from .splits import fold_roles
+from .boosting import LeafTrees
 
 #: The signs of the composite.
 COMPOSITE = {"mom_12_1": 1.0, "ret_21": -1.0, "vol_63": -1.0, "beta_63": -1.0, "amihud_illiq": 1.0}
@@ -44,9 +44,12 @@ class Composite:
         return {c: w for c, w in (self.weights or COMPOSITE).items() if c in self.features}
 
     def predict(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn(name, weighted(*self.linear()))
+
+    def linear(self) -> tuple[dict[str, float], float]:
         used = self.used()
         total = sum(map(abs, used.values())) or 1.0
-        return rows.withColumn(name, weighted({c: w / total for c, w in used.items()}))
+        return {c: w / total for c, w in used.items()}, 0.0
 
     def importance(self) -> dict[str, float]:
         return {c: abs(w) for c, w in self.used().items()}
@@ -75,7 +78,10 @@ class Ridge:
     intercept: float = 0.0
 
     def fit(self, rows: DataFrame, target: str) -> Ridge:
-        xx, xy, _ = gram(rows, self.features, target)
+        return self.fit_moments(*gram(rows, self.features, target))
+
+    def fit_moments(self, xx: np.ndarray, xy: np.ndarray, yy: float) -> Ridge:
+        """From cross moments with a leading column of ones."""
         n = max(xx[0, 0], 1.0)
         mean, y = xx[0, 1:] / n, xy[0] / n
         centred = xx[1:, 1:] - n * np.outer(mean, mean)
@@ -83,8 +89,11 @@ class Ridge:
         self.coef, self.intercept = dict(zip(self.features, b.tolist(), strict=True)), float(y - mean @ b)
         return self
 
+    def linear(self) -> tuple[dict[str, float], float]:
+        return self.coef, self.intercept
+
     def predict(self, rows: DataFrame, name: str) -> DataFrame:
-        return rows.withColumn(name, weighted(self.coef, self.intercept))
+        return rows.withColumn(name, weighted(*self.linear()))
 
     def importance(self) -> dict[str, float]:
         return {c: abs(v) for c, v in self.coef.items()}
@@ -103,8 +112,7 @@ class ElasticNet(Ridge):
     l1: float = 0.5
     rounds: int = 5000
 
-    def fit(self, rows: DataFrame, target: str) -> ElasticNet:
-        xx, xy, yy = gram(rows, self.features, target)
+    def fit_moments(self, xx: np.ndarray, xy: np.ndarray, yy: float) -> ElasticNet:
         n = max(xx[0, 0], 1.0)
         mean, y = xx[0, 1:] / n, xy[0] / n
         scale = math.sqrt(max(yy / n - y * y, 0.0)) or 1.0
@@ -122,33 +130,7 @@ class ElasticNet(Ridge):
         return self
 
 
-@dataclass
-class Trees:
-    """Gradient-boosted trees of the ML library: squared or absolute loss and level-wise growth, so an approximation of leaf-wise Huber boosting."""
-
-    features: list[str]
-    rounds: int = 40
-    depth: int = 5
-    rate: float = 0.1
-    model: object = None
-
-    def fit(self, rows: DataFrame, target: str) -> Trees:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
-        rows = rows.where(F.col(target).isNotNull()).na.fill(0.0, self.features)
-        self.model = Pipeline(stages=[VectorAssembler(inputCols=self.features, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", maxIter=self.rounds, maxDepth=self.depth, stepSize=self.rate, seed=7)]).fit(rows)
-        return self
-
-    def predict(self, rows: DataFrame, name: str) -> DataFrame:
-        return self.model.transform(rows.na.fill(0.0, self.features)).withColumn(name, F.col("_p")).drop("_x", "_p")
-
-    def importance(self) -> dict[str, float]:
-        return dict(zip(self.features, self.model.stages[-1].featureImportances.toArray().tolist(), strict=True))
-
-
-REGISTRY = {"factor_composite": Composite, "ridge": Ridge, "elasticnet": ElasticNet, "trees": Trees}
+REGISTRY = {"factor_composite": Composite, "ridge": Ridge, "elasticnet": ElasticNet, "trees": LeafTrees}
 
 
 def build(name: str, features: list[str], **params) -> Model:
@@ -157,11 +139,11 @@ def build(name: str, features: list[str], **params) -> Model:
     return REGISTRY[name](features, **params)
 
 
-def rank_average(rows: DataFrame, members: list[str], name: str = "pred_ensemble") -> DataFrame:
+def rank_average(rows: DataFrame, members: list[str], name: str = "pred_ensemble", keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """Mean of the members' per-date percentile ranks; at least two members."""
     if len(members) < 2:
         raise ValueError("an ensemble needs two members")
-    rows = rows.withColumns({f"_r_{m}": percent_rank(m, ["date"]) for m in members})
+    rows = rows.withColumns({f"_r_{m}": percent_rank(m, list(keys)) for m in members})
     return rows.withColumn(name, sum((F.col(f"_r_{m}") for m in members), F.lit(0.0)) / len(members)).drop(*[f"_r_{m}" for m in members])
 
 
@@ -180,19 +162,6 @@ def stacked(rows: DataFrame, members: list[str], target: str, alphas=tuple(10.0
     return Ridge(members, best[1], dict(zip(members, best[2].tolist(), strict=True)), float(y - mean @ best[2]))
 
 
-def walk_forward_predict(rows: DataFrame, models: dict[str, Model], folds: list[dict], target: str = "target") -> DataFrame:
-    """Out-of-sample predictions pred_<model> and fold; one fit a fold and model, rows stay distributed."""
-    roles = F.broadcast(fold_roles(rows, folds).drop("pos"))
-    out = None
-    for f in folds:
-        own = rows.join(roles.where(F.col("fold") == f["fold"]), "date")
-        train, test = own.where("role = 'train'").drop("role"), own.where("role = 'test'").drop("role")
-        for name, model in models.items():
-            test = model.fit(train, target).predict(test, f"pred_{name}")
-        out = test if out is None else out.unionByName(test)
-    return out
-
-
 def mean_importance(folds: list[dict[str, float]]) -> dict[str, float]:
     """The mean over the folds that have a feature, largest first."""
     names = {n for f in folds for n in f}

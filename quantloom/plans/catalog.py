@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mix32_sql
+from ..functions.linear import elimination_sql
 from ..functions.windows import percent_rank
-from ..operators import backtest, evaluation, factors, grid, labels, models, portfolio, quality, serving, splits, volatility, xsec
+from ..operators import backtest, boosting, evaluation, factors, grid, labels, models, portfolio, quality, serving, splits, training, volatility, xsec
 from ..session import cut
 from ..sources import panel
 
@@ -377,14 +379,88 @@ def rank_ensemble(spark, sf_dir):
     return rounded(models.rank_average(scored_panel(spark, sf_dir), ["mom", "rev"], "ensemble"), ["ensemble"])
 
 
-@register("ridge_walk_forward")
+#: Features of the walk-forward queries, the ridge penalty and the digits that predictions are rounded to, so that ranks don't hang on the order of sums.
+_X, _PENALTY, _DIGITS = ("mom", "rev", "vol"), 10.0, 10
+_TERMS = ["1.0::DOUBLE", *[f"coalesce({c}, 0)" for c in _X]]
+_SUMS = ", ".join([f"sum({_TERMS[i]} * {_TERMS[j]}) AS g{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"sum({t} * fwd) AS h{i}" for i, t in enumerate(_TERMS)])
+_WALK = f"""{_SCORED}, live AS (SELECT * FROM scored WHERE fwd IS NOT NULL),
+days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM live)),
+folds AS (SELECT k AS fold, n - (2 - k) * 40 - 40 AS test_lo FROM (SELECT DISTINCT n FROM days), (SELECT unnest([0, 1, 2]) AS k)),
+fits AS (SELECT fold, {_SUMS} FROM live JOIN days USING (date) JOIN folds ON pos BETWEEN test_lo - 6 - 119 AND test_lo - 6 GROUP BY fold),
+{elimination_sql('fits', 4, 'fold', [0.0, _PENALTY, _PENALTY, _PENALTY])},
+preds AS (SELECT ticker, date, fold, fwd, round(h0 + h1 * coalesce(mom, 0) + h2 * coalesce(rev, 0) + h3 * coalesce(vol, 0), {_DIGITS}) AS ridge, round((coalesce(mom, 0) - coalesce(rev, 0) - coalesce(vol, 0)) / 3, {_DIGITS}) AS composite FROM live JOIN days USING (date) JOIN folds ON pos BETWEEN test_lo AND test_lo + 39 JOIN e4 USING (fold)),
+ranked AS (SELECT *, {', '.join(f"(rank() OVER (PARTITION BY fold, date ORDER BY {m}) + (count(*) OVER (PARTITION BY fold, date, {m}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY fold, date) - 0.5::DOUBLE AS r_{m}" for m in ('ridge', 'composite'))} FROM preds),
+walked AS (SELECT *, (r_ridge + r_composite) / 2 AS ensemble FROM ranked)"""
+
+
+def walked(spark: SparkSession, sf_dir: str) -> training.Training:
+    """Ridge and composite over three folds of 40 weeks, each after 120 weeks of training."""
+    rows = cut(scored_panel(spark, sf_dir).where("fwd is not null"))
+    folds = splits.walk_forward(rows.select("date").distinct().count(), 3, 40, 120, 4)
+    candidates = {"ridge": models.Ridge(list(_X), _PENALTY), "composite": models.Composite(list(_X), {"mom": 1.0, "rev": -1.0, "vol": -1.0})}
+    return training.walk_forward(rows, candidates, folds, "fwd", "fwd", 4, ["ridge", "composite"], digits=_DIGITS)
+
+
+@register("ridge_walk_forward", f"WITH {_WALK} SELECT ticker, date, CAST(fold AS INTEGER) AS fold, {_r('fwd', 'fwd')}, {_r('ridge', 'pred_ridge')}, {_r('composite', 'pred_composite')}, {_r('ensemble', 'pred_ensemble')} FROM walked")
 def ridge_walk_forward(spark, sf_dir):
-    rows = scored_panel(spark, sf_dir).where("fwd is not null")
-    n = rows.select("date").distinct().count()
-    folds = splits.walk_forward(n, 3, 40, 120, 4)
-    names = ["mom", "rev", "vol"]
-    out = models.walk_forward_predict(rows, {"ridge": models.Ridge(names), "composite": models.Composite(names, {"mom": 1.0, "rev": -1.0, "vol": -1.0})}, folds, "fwd")
-    return models.rank_average(out, ["pred_ridge", "pred_composite"]).select("ticker", "date", "fold", "fwd", "pred_ridge", "pred_composite", "pred_ensemble")
+    return rounded(walked(spark, sf_dir).predictions, ["fwd", "pred_ridge", "pred_composite", "pred_ensemble"], 6, ("ticker", "date", "fold"))
+
+
+_WALK_METRICS = f"""WITH {_WALK}, long AS ({' UNION ALL '.join(f"SELECT fold, '{m}' AS model, ticker, date, fwd, {m} AS p FROM walked" for m in ('ridge', 'composite', 'ensemble'))}),
+r AS (SELECT *, rank() OVER (PARTITION BY model, fold, date ORDER BY p) + (count(*) OVER (PARTITION BY model, fold, date, p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (PARTITION BY model, fold, date ORDER BY fwd) + (count(*) OVER (PARTITION BY model, fold, date, fwd) - 1) / 2.0::DOUBLE AS rt FROM long),
+ics AS (SELECT fold, model, date, corr(rp, rt) AS ic, corr(p, fwd) AS c FROM r GROUP BY fold, model, date HAVING count(*) >= 5 AND stddev_pop(rp) > 1e-12 AND stddev_pop(rt) > 1e-12),
+sums AS (SELECT fold, model, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(c) AS pearson_ic, count(*) FILTER (round(ic, 12) > 0) / count(*) AS hit_rate, count(*) AS n_dates FROM ics GROUP BY fold, model),
+d AS (SELECT fold, model, row_number() OVER (PARTITION BY fold, model ORDER BY date) AS k, ic - avg(ic) OVER (PARTITION BY fold, model) AS d FROM ics),
+g AS (SELECT a.fold, a.model, sum(CASE WHEN b.k = a.k THEN 1 ELSE 2 * (1 - (b.k - a.k) / 9.0::DOUBLE) END * a.d * b.d) AS v FROM d a JOIN d b ON a.fold = b.fold AND a.model = b.model AND b.k - a.k BETWEEN 0 AND 8 GROUP BY 1, 2),
+err AS (SELECT fold, model, sqrt(avg((fwd - p) * (fwd - p))) AS rmse, 1 - avg((fwd - p) * (fwd - p)) / var_pop(fwd) AS oos_r2, count(*) AS n FROM long GROUP BY 1, 2),
+k AS (SELECT *, count(*) OVER (PARTITION BY fold, model, date) AS n, row_number() OVER (PARTITION BY fold, model, date ORDER BY p, ticker) AS k FROM long),
+ladder AS (SELECT fold, model, greatest(ceil((k - 1) * 5 / (n - 1)), 1) AS bucket, avg(fwd) AS m FROM k WHERE n >= 10 GROUP BY 1, 2, 3),
+o AS (SELECT fold, model, max(m) FILTER (bucket = 5) - max(m) FILTER (bucket = 1) AS spread, corr(bucket, place) AS monotonicity FROM (SELECT *, rank() OVER (PARTITION BY fold, model ORDER BY m) AS place FROM ladder) GROUP BY 1, 2)
+SELECT CAST(s.fold AS INTEGER) AS fold, s.model, {_r('mean_ic', 'mean_ic')}, {_r('std_ic', 'std_ic')}, {_r('mean_ic / std_ic * sqrt(n_dates / 4)', 't_eff', 5)}, {_r('mean_ic / sqrt(v) * n_dates', 't_hac', 5)}, {_r('pearson_ic', 'pearson_ic')}, {_r('hit_rate', 'hit_rate')}, n_dates, {_r('rmse', 'rmse', 5)}, {_r('oos_r2', 'oos_r2', 5)}, {_r('spread', 'spread', 5)}, {_r('monotonicity', 'monotonicity')}, err.n AS n
+FROM sums s JOIN g ON g.fold = s.fold AND g.model = s.model JOIN err ON err.fold = s.fold AND err.model = s.model LEFT JOIN o ON o.fold = s.fold AND o.model = s.model"""
+
+
+@register("walk_forward_metrics", _WALK_METRICS)
+def walk_forward_metrics(spark, sf_dir):
+    digits = {"t_eff": 5, "t_hac": 5, "rmse": 5, "oos_r2": 5, "spread": 5}
+    found = walked(spark, sf_dir).fold_metrics
+    return found.select("fold", "model", "n_dates", "n", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("mean_ic", "std_ic", "t_eff", "t_hac", "pearson_ic", "hit_rate", "rmse", "oos_r2", "spread", "monotonicity")])
+
+
+_BOUNDS = [round(-1.5 + 0.1 * k, 1) for k in range(31)]
+
+
+@register("split_gains", f"""WITH {_SCORED}, base AS (SELECT avg(fwd) AS base FROM scored), g AS (SELECT mom, rev, vol, greatest(least(base - fwd, 0.9::DOUBLE), -0.9::DOUBLE) AS g FROM scored, base WHERE fwd IS NOT NULL),
+u AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, coalesce({c}, 0) AS x, g FROM g" for c in _X)}),
+v AS (SELECT feature, bound, count(*) FILTER (x <= bound) AS n_left, sum(g) FILTER (x <= bound) AS gl, count(*) AS n, sum(g) AS ga, count(*) FILTER (x <= bound AND x > prior) AS own FROM u, (SELECT bound, lag(bound, 1, -1e300::DOUBLE) OVER (ORDER BY bound) AS prior FROM (SELECT unnest({_BOUNDS})::DOUBLE AS bound)) GROUP BY feature, bound)
+SELECT feature, bound, n_left, {_r('gl * gl / (n_left + 5) + (ga - gl) * (ga - gl) / (n - n_left + 5) - ga * ga / (n + 5)', 'gain', 4)} FROM v WHERE own > 0""")
+def split_gains(spark, sf_dir):
+    found = boosting.split_gains(cut(scored_panel(spark, sf_dir)), list(_X), "fwd", _BOUNDS)
+    return found.withColumn("gain", F.round("gain", 4) + 0.0)
+
+
+def boosted(spark: SparkSession, sf_dir: str) -> tuple[boosting.LeafTrees, DataFrame]:
+    """Boosted trees for the rank of the next week's return, fitted up to 45 weeks before the end, and the last 40 weeks."""
+    ahead = F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), F.col("close"))
+    rows = scored_panel(spark, sf_dir).withColumn("ahead", F.round(ahead, 9))
+    rows = cut(rows.withColumn("target", percent_rank("ahead", ["date"])).where("target is not null"))
+    fold = splits.walk_forward(rows.select("date").distinct().count(), 1, 40, 400, 4, expanding=True)
+    roles = F.broadcast(splits.fold_roles(rows, fold).select("date", "role"))
+    own = rows.join(roles, "date")
+    model = boosting.LeafTrees(list(_X), rounds=10, rate=0.2, leaves=8, depth=4, delta=0.3, patience=5)
+    return model.fit(own.where("role = 'train'"), "target"), own.where("role = 'test'").drop("role")
+
+
+@register("boosted_trees")
+def boosted_trees(spark, sf_dir):
+    model, test = boosted(spark, sf_dir)
+    return model.predict(test.select("ticker", "date", "target", *_X), "pred_trees")
+
+
+@register("tree_attributions")
+def tree_attributions(spark, sf_dir):
+    model, test = boosted(spark, sf_dir)
+    return boosting.attribution_summary(model.attributions(test), list(_X))
 
 
 _GRAM_RIDGE = f"""WITH {_SCORED}, g AS (SELECT count(*) AS n, avg(mom) AS mx, avg(fwd) AS my, sum(mom * mom) AS xx, sum(mom * fwd) AS xy FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL)
@@ -584,14 +660,32 @@ def screen_topk(spark, sf_dir):
     return serving.screen(scored_panel(spark, sf_dir), "vol").select("date", "ticker", F.round("score", 6).alias("score"), "side")
 
 
-@register("bootstrap_sharpe")
+_BOOT = f"""{_STRAT}, ser AS (SELECT row_number() OVER (ORDER BY date) - 1 AS k, net AS x, count(*) OVER () AS n FROM strat),
+reps AS (SELECT rep, {mix32_sql('rep * 7919 + 7', 'key')} FROM (SELECT unnest(range(1000)) AS rep)),
+cells AS (SELECT rep, k, n, {mix32_sql('key + k * 2', 'u')}, {mix32_sql('key + k * 2 + 1', 's')} FROM reps, ser),
+begun AS (SELECT rep, k, n, last_value(CASE WHEN k = 0 OR u < {2**32 // 20} THEN k END IGNORE NULLS) OVER w AS at, last_value(CASE WHEN k = 0 OR u < {2**32 // 20} THEN s % n END IGNORE NULLS) OVER w AS first FROM cells WINDOW w AS (PARTITION BY rep ORDER BY k ROWS UNBOUNDED PRECEDING)),
+boot AS (SELECT rep AS replicate, avg(x) / nullif(stddev_samp(x), 0) * sqrt(52) AS sharpe FROM begun b JOIN ser ON ser.k = (b.first + b.k - b.at) % b.n GROUP BY rep)"""
+
+
+@register("bootstrap_sharpe", f"WITH {_BOOT} SELECT replicate, {_r('sharpe', 'sharpe')} FROM boot")
 def bootstrap_sharpe(spark, sf_dir):
-    return evaluation.bootstrap_sharpe(strategy(spark, sf_dir), n_boot=1000, year=52)
+    return rounded(evaluation.bootstrap_sharpe(cut(strategy(spark, sf_dir)), n_boot=1000, year=52), ["sharpe"], 6, ("replicate",))
+
+
+_KEYS = ", ".join(mix32_sql(f"rep * 1000003 + day * 8191 + {131 * j} + 7", f"key{j}") for j in range(evaluation.ROUNDS))
+_ROUND = ", ".join(f"a{j + 1} AS b{j}, {mix32_sql(f'a{j + 1} + key{j}', f'f{j}')}, xor(a{j}, f{j} & ((1 << h) - 1)) AS a{j + 2}" for j in range(evaluation.ROUNDS))
+_PERM = f"""{_SCORED}, live AS (SELECT date, date_diff('day', DATE '1970-01-01', date) AS day, ticker, rank() OVER (PARTITION BY date ORDER BY mom) + (count(*) OVER (PARTITION BY date, mom) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0::DOUBLE AS t, row_number() OVER (PARTITION BY date ORDER BY ticker) - 1 AS k, count(*) OVER (PARTITION BY date) AS m FROM scored WHERE mom IS NOT NULL AND fwd IS NOT NULL),
+big AS (SELECT *, greatest(1, (length(bin(m - 1)) + 1) // 2) AS h FROM live WHERE m >= 5),
+keyed AS (SELECT rep, day, {_KEYS} FROM (SELECT DISTINCT day FROM big), (SELECT unnest(range(50)) AS rep)),
+walk AS (SELECT rep, day, k, m, h, k AS x, 0 AS step FROM big JOIN keyed USING (day)
+ UNION ALL SELECT rep, day, k, m, h, (a{evaluation.ROUNDS} << h) | a{evaluation.ROUNDS + 1} AS x, step + 1 FROM (SELECT w.*, x >> h AS a0, x & ((1 << h) - 1) AS a1, {_ROUND} FROM walk w JOIN keyed USING (rep, day) WHERE step = 0 OR x >= m)),
+place AS (SELECT rep, day, k, x FROM walk WHERE step > 0 AND x < m),
+shuffled AS (SELECT rep AS replicate, avg(ic) AS mean_ic FROM (SELECT rep, t.day, corr(s.p, t.t) AS ic FROM place JOIN big t ON t.day = place.day AND t.k = place.k JOIN big s ON s.day = place.day AND s.k = place.x GROUP BY rep, t.day HAVING stddev_pop(s.p) > 1e-12 AND stddev_pop(t.t) > 1e-12) GROUP BY rep)"""
 
 
-@register("randomisation_test")
+@register("randomisation_test", f"WITH RECURSIVE {_PERM} SELECT replicate, {_r('mean_ic', 'mean_ic', 8)} FROM shuffled")
 def randomisation_test(spark, sf_dir):
-    return evaluation.randomisation(scored_panel(spark, sf_dir), "mom", "fwd", 50)
+    return rounded(evaluation.randomisation(cut(scored_panel(spark, sf_dir)), "mom", "fwd", 50), ["mean_ic"], 8, ("replicate",))
 
 
 def _model_pnl(name: str) -> str:
@@ -623,6 +717,27 @@ def overfit_probability(spark, sf_dir):
     return evaluation.overfit_probability(cut(out))
 
 
+_EXPO_X = ["1.0::DOUBLE", "mkt", "rev", "vol"]
+_EXPO = f"""WITH {_STRAT}, {_model_pnl('rev')}, {_model_pnl('vol')},
+mk AS (WITH f AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense), s AS (SELECT date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM f) SELECT date, avg(r) AS mkt FROM s GROUP BY date),
+j AS (SELECT date, net, mkt, pnl_rev.r AS rev, pnl_vol.r AS vol, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM strat JOIN mk USING (date) JOIN pnl_rev USING (date) JOIN pnl_vol USING (date) WHERE mkt IS NOT NULL),
+ends AS (SELECT date AS last, k AS e FROM j WHERE k >= 104 AND k < n AND (k - 104) % 13 = 0 AND n >= 124),
+expo AS (SELECT last, {', '.join([f"sum({_EXPO_X[a]} * {_EXPO_X[b]}) AS g{a}_{b}" for a in range(4) for b in range(a, 4)] + [f"sum({x} * net) AS h{a}" for a, x in enumerate(_EXPO_X)])} FROM j JOIN ends ON k > e - 104 AND k <= e GROUP BY last),
+{elimination_sql('expo', 4, 'last')}
+SELECT last AS date, {_r('h0', 'alpha')}, {_r('h1', 'mkt', 5)}, {_r('h2', 'rev', 5)}, {_r('h3', 'vol', 5)} FROM e4"""
+
+
+@register("rolling_exposures", _EXPO)
+def rolling_exposures(spark, sf_dir):
+    rows, dense = cut(scored_panel(spark, sf_dir)), cut(dense_bars(spark, sf_dir))
+    ahead = dense.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), F.col("close")) - 1).alias("ret"))
+    returns = cut(panel.market_returns(dense).withColumnRenamed("mkt_return", "mkt").where("mkt is not null"))
+    for name in ("rev", "vol"):
+        returns = returns.join(backtest.simple_pnl(portfolio.rank_long_short(rows, name, 10, 10).select("ticker", "date", "weight"), ahead).withColumnRenamed("gross", name), "date")
+    found = evaluation.rolling_exposure(strategy(spark, sf_dir), returns, ["mkt", "rev", "vol"], window=104, step=13)
+    return found.select("date", (F.round("alpha", 6) + 0.0).alias("alpha"), *[(F.round(c, 5) + 0.0).alias(c) for c in ("mkt", "rev", "vol")])
+
+
 _RISK = f"""WITH {_CURVE}, g AS (SELECT round(drawdown, 9) < 0 AS u, count(*) FILTER (round(drawdown, 9) >= 0) OVER (ORDER BY date) AS island FROM dd),
 mo AS (SELECT exp(sum(ln(1 + net))) - 1 AS ret FROM strat GROUP BY year(date), month(date)),
 a AS (SELECT (SELECT min(drawdown) FROM dd) AS md, count(*) AS n, avg(net) * 52 AS ar, exp(sum(ln(1 + net)) * 52 / count(*)) - 1 AS ann FROM strat)
@@ -634,23 +749,42 @@ def risk_summary(spark, sf_dir):
     return rounded(evaluation.risk_summary(cut(strategy(spark, sf_dir)), year=52), ["max_drawdown", "calmar", "arithmetic_return", "best_month", "worst_month", "mean_month", "positive_months"], 6, ("n", "longest_drawdown"))
 
 
-@register("bootstrap_summary")
+@register("bootstrap_summary", f"WITH {_BOOT} SELECT {_r('quantile_cont(sharpe, 0.025)', 'low', 5)}, {_r('quantile_cont(sharpe, 0.975)', 'high', 5)}, {_r('avg(sharpe)', 'mean_sharpe', 5)}, {_r('avg((sharpe <= 0)::INTEGER)', 'p_not_positive')}, count(*) AS n FROM boot WHERE sharpe IS NOT NULL")
 def bootstrap_summary(spark, sf_dir):
-    return evaluation.bootstrap_summary(bootstrap_sharpe(spark, sf_dir))
+    found = evaluation.bootstrap_summary(evaluation.bootstrap_sharpe(cut(strategy(spark, sf_dir)), n_boot=1000, year=52))
+    return found.select("n", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("low", 5), ("high", 5), ("mean_sharpe", 5), ("p_not_positive", 6))])
 
 
-@register("permutation_summary")
+@register("permutation_summary", f"""WITH RECURSIVE {_PERM}, actual AS (SELECT avg(ic) AS observed FROM (SELECT corr(p, t) AS ic FROM big GROUP BY day HAVING stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12))
+SELECT {_r('any_value(observed)', 'observed', 8)}, {_r('avg(mean_ic)', 'null_mean', 8)}, {_r('stddev_samp(mean_ic)', 'null_std', 8)}, {_r('(count(*) FILTER (mean_ic >= observed) + 1) / (count(*) + 1)', 'p_value')}, count(*) AS n FROM shuffled, actual""")
 def permutation_summary(spark, sf_dir):
     rows = cut(scored_panel(spark, sf_dir))
     observed = evaluation.daily_ic(rows, "mom", "fwd").agg(F.avg("ic").alias("mean_ic"))
-    return evaluation.permutation_summary(evaluation.randomisation(rows, "mom", "fwd", 50), observed)
+    found = evaluation.permutation_summary(evaluation.randomisation(rows, "mom", "fwd", 50), observed)
+    return found.select("n", (F.round("p_value", 6) + 0.0).alias("p_value"), *[(F.round(c, 8) + 0.0).alias(c) for c in ("observed", "null_mean", "null_std")])
 
 
-@register("variance_losses")
+_HAR = f"""{_LR}, sq AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, coalesce(lr * lr, 0) AS v FROM lr), {volatility.har_sql('sq', 60, 21)}"""
+
+
+@register("har_forecasts", f"WITH {_HAR}, d AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM lr) SELECT ticker, date, {_r('v', 'realised', 8)}, {_r('f', 'har', 8)} FROM d JOIN har_f USING (ticker, k)")
+def har_forecasts(spark, sf_dir):
+    return rounded(volatility.har(returns_panel(spark, sf_dir), "lr", 60, 21), ["realised", "har"], 8)
+
+
+@register("variance_losses", f"""WITH RECURSIVE {_HAR}, ew AS (SELECT ticker, k, v, v AS s, CAST(NULL AS DOUBLE) AS f FROM sq WHERE k = 1 UNION ALL SELECT q.ticker, q.k, q.v, 0.94::DOUBLE * e.s + 0.06::DOUBLE * q.v, e.s FROM ew e JOIN sq q ON q.ticker = e.ticker AND q.k = e.k + 1),
+both_f AS (SELECT 'ewma' AS model, v, f FROM ew UNION ALL SELECT 'har', v, f FROM har_f)
+SELECT model, {_r('ln(1 + avg(v / f - ln(greatest(v, 1e-16) / f) - 1))', 'log_qlike')}, {_r('avg((v - f) * (v - f))', 'mse')}, count(*) AS n FROM both_f WHERE f > 0 GROUP BY model""")
 def variance_losses(spark, sf_dir):
-    rows = returns_panel(spark, sf_dir).select("ticker", "date", "lr")
-    found = volatility.forecasts(rows, "lr", ("ewma", "har"), har={"least": 60})
-    return volatility.losses(found, "ewma").withColumn("model", F.lit("ewma")).union(volatility.losses(found, "har").withColumn("model", F.lit("har")))
+    found = cut(volatility.forecasts(cut(returns_panel(spark, sf_dir).select("ticker", "date", "lr")), "lr", ("ewma", "har"), har={"least": 60}))
+    both = volatility.losses(found, "ewma").withColumn("model", F.lit("ewma")).union(volatility.losses(found, "har").withColumn("model", F.lit("har")))
+    return both.select("model", "n", (F.round(F.log1p("qlike"), 6) + 0.0).alias("log_qlike"), (F.round("mse", 6) + 0.0).alias("mse"))
+
+
+@register("volatility_comparison")
+def volatility_comparison(spark, sf_dir):
+    rows = cut(returns_panel(spark, sf_dir).select("ticker", "date", "lr"))
+    return volatility.compared(rows, "lr", 12, 100, har={"least": 40}, garch={"least": 80, "refit": 40})
 
 
 @register("qlike_ewma", f"""WITH RECURSIVE {_LR}, x AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, coalesce(lr * lr, 0) AS v FROM lr),
@@ -690,10 +824,13 @@ def ladder_table(spark, sf_dir):
     return rounded(evaluation.by_model(ladders, "bucket", "mean_fwd", list(_MODELS)), list(_MODELS), 8, ("bucket",))
 
 
-@register("fold_ic", f"WITH {_SCORED}{_ICS} SELECT CAST(year(date) AS INTEGER) AS fold, {_columns('ic')} FROM ics GROUP BY fold")
+@register("fold_ic", f"""WITH {_SCORED}{_ICS}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM scored)), folds AS (SELECT k AS fold, n - (2 - k) * 40 - 40 AS test_lo FROM (SELECT DISTINCT n FROM days), (SELECT unnest([0, 1, 2]) AS k))
+SELECT CAST(fold AS INTEGER) AS fold, {_columns('ic')} FROM ics JOIN days USING (date) JOIN folds ON pos BETWEEN test_lo AND test_lo + 39 GROUP BY fold""")
 def fold_ic(spark, sf_dir):
-    ics = _each_model(lambda rows, name: evaluation.daily_ic(rows, name, "fwd"), cut(scored_panel(spark, sf_dir)))
-    return rounded(evaluation.by_model(ics.withColumn("fold", F.year("date")), "fold", "ic", list(_MODELS)), list(_MODELS), 8, ("fold",))
+    rows = cut(scored_panel(spark, sf_dir))
+    roles = splits.fold_roles(rows, splits.walk_forward(rows.select("date").distinct().count(), 3, 40, 120, 4)).where("role = 'test'").select("date", "fold")
+    ics = _each_model(lambda rows, name: evaluation.daily_ic(rows, name, "fwd"), rows).join(F.broadcast(roles), "date")
+    return rounded(evaluation.by_model(ics, "fold", "ic", list(_MODELS)), list(_MODELS), 8, ("fold",))
 
 
 @register("prediction_metrics", f"""WITH {_SCORED}{_ICS}, {_BUCKETS}, o AS (SELECT bucket, m, rank() OVER (ORDER BY m) AS place FROM ladder WHERE model = 'mom'),
