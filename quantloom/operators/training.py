@@ -134,6 +134,7 @@ def walk_forward(rows: DataFrame, candidates: dict[str, models.Model], folds: li
         out = out.withColumns({f"pred_{m}": F.round(f"pred_{m}", digits) for m in names})
     if ensemble and len(members := [m for m in ensemble if m in names]) >= 2:
         out, names = models.rank_average(out, [f"pred_{m}" for m in members], "pred_ensemble", ("fold", "date")), [*names, "ensemble"]
+        out = out if digits is None else out.withColumn("pred_ensemble", F.round("pred_ensemble", digits))
     out = cut(out)
     tables = [metrics(out, names, target, fwd, by, horizon) for by in (("fold",), ())]
     return Training(out, *tables, {m: models.mean_importance(v) for m, v in importances.items()}, described(rows, folds), failures, seconds)

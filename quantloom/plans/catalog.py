@@ -390,7 +390,7 @@ fits AS (SELECT fold, {_SUMS} FROM live JOIN days USING (date) JOIN folds ON pos
 {elimination_sql('fits', 4, 'fold', [0.0, _PENALTY, _PENALTY, _PENALTY])},
 preds AS (SELECT ticker, date, fold, fwd, round(h0 + h1 * coalesce(mom, 0) + h2 * coalesce(rev, 0) + h3 * coalesce(vol, 0), {_DIGITS}) AS ridge, round((coalesce(mom, 0) - coalesce(rev, 0) - coalesce(vol, 0)) / 3, {_DIGITS}) AS composite FROM live JOIN days USING (date) JOIN folds ON pos BETWEEN test_lo AND test_lo + 39 JOIN e4 USING (fold)),
 ranked AS (SELECT *, {', '.join(f"(rank() OVER (PARTITION BY fold, date ORDER BY {m}) + (count(*) OVER (PARTITION BY fold, date, {m}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY fold, date) - 0.5::DOUBLE AS r_{m}" for m in ('ridge', 'composite'))} FROM preds),
-walked AS (SELECT *, (r_ridge + r_composite) / 2 AS ensemble FROM ranked)"""
+walked AS (SELECT *, round((r_ridge + r_composite) / 2, {_DIGITS}) AS ensemble FROM ranked)"""
 
 
 def walked(spark: SparkSession, sf_dir: str) -> training.Training:
@@ -408,8 +408,8 @@ def ridge_walk_forward(spark, sf_dir):
 
 _WALK_METRICS = f"""WITH {_WALK}, long AS ({' UNION ALL '.join(f"SELECT fold, '{m}' AS model, ticker, date, fwd, {m} AS p FROM walked" for m in ('ridge', 'composite', 'ensemble'))}),
 r AS (SELECT *, rank() OVER (PARTITION BY model, fold, date ORDER BY p) + (count(*) OVER (PARTITION BY model, fold, date, p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (PARTITION BY model, fold, date ORDER BY fwd) + (count(*) OVER (PARTITION BY model, fold, date, fwd) - 1) / 2.0::DOUBLE AS rt FROM long),
-ics AS (SELECT fold, model, date, corr(rp, rt) AS ic, corr(p, fwd) AS c FROM r GROUP BY fold, model, date HAVING count(*) >= 5 AND stddev_pop(rp) > 1e-12 AND stddev_pop(rt) > 1e-12),
-sums AS (SELECT fold, model, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(c) AS pearson_ic, count(*) FILTER (round(ic, 12) > 0) / count(*) AS hit_rate, count(*) AS n_dates FROM ics GROUP BY fold, model),
+ics AS (SELECT fold, model, date, corr(rp, rt) AS ic, corr(p, fwd) AS c, stddev_pop(p) AS sp FROM r GROUP BY fold, model, date HAVING count(*) >= 5 AND stddev_pop(rp) > 1e-12 AND stddev_pop(rt) > 1e-12),
+sums AS (SELECT fold, model, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(c) FILTER (sp > 1e-12) AS pearson_ic, count(*) FILTER (round(ic, 12) > 0) / count(*) AS hit_rate, count(*) AS n_dates FROM ics GROUP BY fold, model),
 d AS (SELECT fold, model, row_number() OVER (PARTITION BY fold, model ORDER BY date) AS k, ic - avg(ic) OVER (PARTITION BY fold, model) AS d FROM ics),
 g AS (SELECT a.fold, a.model, sum(CASE WHEN b.k = a.k THEN 1 ELSE 2 * (1 - (b.k - a.k) / 9.0::DOUBLE) END * a.d * b.d) AS v FROM d a JOIN d b ON a.fold = b.fold AND a.model = b.model AND b.k - a.k BETWEEN 0 AND 8 GROUP BY 1, 2),
 err AS (SELECT fold, model, sqrt(avg((fwd - p) * (fwd - p))) AS rmse, 1 - avg((fwd - p) * (fwd - p)) / var_pop(fwd) AS oos_r2, count(*) AS n FROM long GROUP BY 1, 2),
