@@ -2,7 +2,8 @@
 
 1. Every page is parsed (tolerantly) to a tree of containers and text blocks.  Navigation, page headers,
    footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role,
-   class or id, of containers and of blocks, and count for nothing.  A container's score is the text of the blocks in
+   class or id, of containers, blocks and inline elements, and count for nothing with all within them; a name does not
+   count for a container that holds the article.  A container's score is the text of the blocks in
    it that isn't link text, less for each level that a block lies deeper.  From the container of highest score the best
    one is found by climbing: within an article (else main) to it, else to the outermost ancestor up to the body
    that adds text of which most isn't links.
@@ -40,30 +41,46 @@ BROADCAST_BYTES = 16 << 20
 SALT = 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|button|canvas|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|button|canvas|object|video|audio)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"[\d/]+")
 
 _CONTAINERS = frozenset("html body article section main div nav header footer aside form ul ol table tbody thead tfoot tr td th blockquote figure dl fieldset details center menu dialog head".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li pre dt dd figcaption caption hr address summary title".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _SKIPPED_TAGS = frozenset("nav footer aside form head title menu dialog fieldset".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert".split())
+# Parts of a class or id that mark boilerplate wherever they stand in it.
 _SKIPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription"
-    " comment comments disqus respond reply replies sidebar widget widgets related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar pagination pager"
-    " login signup search copyright skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner cookie cookies gdpr newsletter comment comments disqus sidebar widget widgets breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar pagination".split()
 )
+# Those that do so only if nothing but such parts and words of layout are beside them.
+_WEAK_NAMES = frozenset(
+    "promo promotion consent notice notices notification popup modal overlay subscribe subscription respond reply replies related recommended share sharing social pager login signup search copyright skip".split()
+)
+_LAYOUT = frozenset(
+    "area article articles bar block blog bottom box column container content entry form global inner item items left link links list main news outer page panel post posts primary right row secondary section site slot stories story text top unit view wrap wrapper".split()
+)
+# With one of these a name tells of a state or of what is not there.
+_STATES = frozenset("active closed collapsed disabled enabled expanded has hide hides no non not off open toggled with without".split())
+_COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 _DECAY = 0.8
+#: Share of a page's text from which a container is no boilerplate whatever its name.
+_MOST = 0.8
+#: Blocks that end where any other begins.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 
 
 class _Node:
-    __slots__ = ("key", "linked", "parent", "plain", "score", "skipped", "step", "tag")
+    __slots__ = ("held", "key", "linked", "name", "parent", "plain", "score", "skipped", "step", "tag", "whole")
 
-    def __init__(self, tag: str, step: str, parent: _Node | None, skipped: bool) -> None:
+    def __init__(self, tag: str, step: str, parent: _Node | None, skipped: bool, name: str = "") -> None:
         self.tag, self.step, self.parent, self.skipped, self.score = tag, step, parent, skipped, 0.0
+        #: What its name says (see ``_named``), whether it holds an article, characters of all blocks within that no tag or role marks.
+        self.name, self.whole, self.held = name, False, 0
         #: Identifies the path.
         self.key = _next_key(parent.key, step) if parent else b""
         #: Characters outside and in links, in all unskipped blocks within.
@@ -88,8 +105,20 @@ def path_key(path: str) -> bytes:
     return key
 
 
-def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
-    """(generalised step of a path, whether the element is boilerplate)."""
+def _boilerplate(names: str) -> str:
+    """What classes and ids say: "" (nothing), "comment" or "other" boilerplate."""
+    found = ""
+    for token in names.split():
+        parts = {x.lower() for x in _PART.findall(token)}
+        if parts & _STATES:
+            continue
+        if parts & _SKIPPED_NAMES or parts & _WEAK_NAMES and parts <= _WEAK_NAMES | _LAYOUT:
+            found = "comment" if parts & _COMMENTS else found or "other"
+    return found
+
+
+def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool, str]:
+    """(generalised step of a path, whether tag, role or a header's name make the element boilerplate, what its other names say)."""
     classes, names, role = "", "", ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
@@ -100,43 +129,45 @@ def _named(attributes: str, tag: str, inside_article: bool) -> tuple[str, bool]:
             role = value.strip().lower()
         else:
             names += f" {value}"
-    step = ".".join([tag, *sorted({re.sub(r"[\d/]+", "", x) for x in classes.split()} - {""})])
+    step = ".".join([tag, *sorted({_DIGITS.sub("", x) for x in classes.split()} - {""})])
     skipped = tag in _SKIPPED_TAGS or role in _SKIPPED_ROLES or tag == "header" and not inside_article
-    if not skipped and names and tag not in ("html", "body", "article", "main"):
-        parts = {x.lower() for x in _PART.findall(names)}
-        skipped = bool(parts & _SKIPPED_NAMES) or "header" in parts and not inside_article
-    return step, skipped
+    name = ""
+    if names and tag not in ("html", "body", "main"):
+        name = _boilerplate(names)
+        if not inside_article and tag != "article" and any(parts <= _LAYOUT | {"header"} and "header" in parts for parts in ({x.lower() for x in _PART.findall(t)} for t in names.split())):
+            name = name or "other"
+    return step, skipped, name
 
 
 class Page:
-    """The blocks of a page: (container, text), in page order."""
+    """The blocks of a page: (container, text), in page order.
+
+    A container that its name marks is still no boilerplate if the page's main element or an article is within it, or, unless it is
+    named after comments, nearly all text.  Blocks and inline elements that are marked hide all within them.
+    """
 
     def __init__(self, source: str) -> None:
         root = _Node("", "", None, False)
         self.nodes = [root]
-        self.blocks: list[tuple[_Node, str]] = []
+        blocks: list[tuple[_Node, str, int]] = []
         stack: list[_Node] = [root]
         open_tags: dict[str, int] = {}  # how many elements of a tag are open
         parts: list[str] = []
         links, in_link, end = 0, False, 0
-        hidden = False  # within a block, such as a paragraph, that is boilerplate by its name
+        hidden: tuple[str, int] | None = None  # tag and depth of a marked block, such as a list item, that is open
+        inline, nested = "", 0  # tag of a marked inline element, and how many of that tag are open
 
         def close() -> None:
             nonlocal links
             if parts:
                 text = " ".join(references.unescape("".join(parts)).split())
-                node = stack[-1]
-                if text and not node.skipped and not hidden:
-                    self.blocks.append((node, text))
-                    worth = max(0, len(text) - links)
-                    node.score += worth
-                    node.plain += worth
-                    node.linked += len(text) - worth
+                if text and not hidden:
+                    blocks.append((stack[-1], text, max(0, len(text) - links)))
                 parts.clear()
             links = 0
 
         for m in _TOKEN.finditer(source):
-            if m.start() > end:
+            if m.start() > end and not inline:
                 text = source[end : m.start()]
                 parts.append(text)
                 if in_link:
@@ -146,20 +177,28 @@ class Page:
             if not tag:
                 continue
             tag = tag.lower()
-            if tag == "a":
-                in_link = not m[2]
-                continue
+            if inline and tag == inline:
+                nested += -1 if m[2] else 1
+                inline = inline if nested else ""
             if tag == "br":
                 parts.append(" ")
                 continue
             if tag not in _BLOCKS:
+                if not m[2] and not inline and tag not in _VOID and not m[4].rstrip().endswith("/") and (_named(m[4], tag, True)[2] if m[4] else "") + ("-" in tag and _boilerplate(tag) or ""):
+                    inline, nested = tag, 1
+                if tag == "a":
+                    in_link = not m[2]
                 continue
             close()
-            in_link = hidden = False
+            in_link, inline = False, ""
             if tag not in _CONTAINERS or tag in _VOID:
-                if m[4] and not m[2]:
-                    hidden = _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))[1]
+                if hidden and (hidden[0] == tag or hidden[0] in _PLAIN or len(stack) < hidden[1]):
+                    hidden = None
+                if not hidden and m[4] and not m[2] and _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))[2]:
+                    hidden = tag, len(stack)
                 continue
+            if hidden and hidden[0] in _PLAIN and not m[2]:
+                hidden = None
             if m[2]:
                 if open_tags.get(tag):
                     while True:
@@ -167,6 +206,8 @@ class Page:
                         open_tags[top.tag] -= 1
                         if top.tag == tag:
                             break
+                if hidden and len(stack) < hidden[1]:
+                    hidden = None
             else:
                 if tag == "body" or stack[-1].tag == "head" and tag != "head":
                     while stack[-1].tag == "head":
@@ -174,15 +215,33 @@ class Page:
                 if tag in ("html", "body") and open_tags.get(tag):
                     continue
                 top = stack[-1]
-                step, skipped = _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))
-                node = _Node(tag, step, top, skipped or top.skipped)
+                step, skipped, name = _named(m[4], tag, bool(open_tags.get("article") or open_tags.get("main")))
+                if tag == "main" or tag == "article" and not name:
+                    up: _Node | None = top
+                    while up is not None and not up.whole:
+                        up.whole, up = True, up.parent
+                node = _Node(tag, step, top, skipped or top.skipped, "" if tag == "article" else name)
                 self.nodes.append(node)
                 stack.append(node)
                 open_tags[tag] = open_tags.get(tag, 0) + 1
-        if end < len(source):
+        if end < len(source) and not inline:
             parts.append(source[end:])
         close()
+        for node, text, _ in blocks:
+            if not node.skipped:
+                node.held += len(text)
         for node in reversed(self.nodes[1:]):  # children come after their parents
+            node.parent.held += node.held
+        for node in self.nodes[1:]:
+            marked = node.name and not node.whole and (node.name == "comment" or node.held < _MOST * root.held)
+            node.skipped = node.skipped or node.parent.skipped or bool(marked)
+        self.blocks = [(node, text) for node, text, _ in blocks if not node.skipped]
+        for node, text, worth in blocks:
+            if not node.skipped:
+                node.score += worth
+                node.plain += worth
+                node.linked += len(text) - worth
+        for node in reversed(self.nodes[1:]):
             node.parent.score += node.score * _DECAY
             node.parent.plain += node.plain
             node.parent.linked += node.linked

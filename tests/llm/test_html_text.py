@@ -42,6 +42,31 @@ def test_names_on_blocks():
     assert Page("<p class=notice>a<b>b</b></p>c").extract(None) == "c"
 
 
+def test_names_on_outer_containers_and_inline_elements():
+    story = "<article><h1>T</h1><p>Some words of a story.</p>%s</article>"
+    for outer in ('class="page no-sidebar"', 'class="site menu-closed"', 'id="post-with-comments"', 'class="layout sidebar"', 'id="banner"', "class=with-footer"):
+        assert Page(f"<body><div {outer}>{story % ''}<div class=ad>Buy</div></div></body>").extract(None) == "T\nSome words of a story.", outer
+    plain = f"<div class='widget content'><h1>T</h1><p>{'many words of a story ' * 9}</p></div><div class=menu>a b</div>"
+    assert Page(f"<body>{plain}</body>").extract(None).startswith("T\nmany words")
+    assert Page(f"<body><div class=comments><p>{'a reader says much ' * 90}</p></div>{story % ''}</body>").extract(None) == "T\nSome words of a story."
+    body = {
+        '<section class="related-work"><h2>Related work</h2><p>Others did it.</p></section>': "\nRelated work\nOthers did it.",
+        '<section class="related-posts"><p>Another story</p></section>': "",
+        '<ul><li>one</li><li class="advert"><p>Buy now</p><p>and here</p></li><li>two</li></ul>': "\none\ntwo",
+        '<ul><li class="advert"><div>Buy <b>now</b></div> more</li></ul><p>end</p>': "\nend",
+        '<p>a <span class="advert">Buy <span>now</span> it</span> b</p>': "\na b",
+        "<p>a</p><amp-ad width=1>Buy</amp-ad><p>b</p>": "\na\nb",
+        "<video controls><p>Your browser is old</p></video><p>b</p>": "\nb",
+        '<p class="notice">Look</p><p>b <a class="share-link" href="/s">Share</a></p>': "\nb",
+        '<p>a <span class="advert">open <p>b</p>': "\na\nb",
+        '<p class="advert">x<div>y</div>': "\ny",
+        '<div class="searching-for-gold"><p>gold</p></div><span class="commentary">c</span>': "\ngold\nc",
+        '<nav><main>m</main></nav><header><h2>inner</h2></header>': "\ninner",
+    }
+    for part, text in body.items():
+        assert Page(f"<body>{story % part}</body>").extract(None) == "T\nSome words of a story." + text, part
+
+
 def test_deep_pages_take_linear_memory():
     page = Page("<div class=x>" * 20000 + "<p>deep text</p>" + "</div>" * 20000 + "<p>after</p>")
     assert page.extract(None) == "deep text" and len(page.nodes) == 20001
