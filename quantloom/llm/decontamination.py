@@ -1,18 +1,18 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The word n-grams of an item are its seeds; of an item of under ``SHORT`` words each word is one.  A pass over the
-   corpus counts in how many documents each is: a seed in at most ``RARE_DOCS`` documents, or ``RARE_SHARE`` of
-   them, is rare.  A document that holds a rare seed of an item is joined to it; frequent seeds (phrases, but also
-   those of an item that is often copied) join it only if it holds two of the item's, and of a short item as many words
-   as the threshold asks for.
+1. The word n-grams of an item are its seeds; of an item of under ``MIDDLE`` words each pair of words is one, as a copy with
+   enough words replaced one by one for the threshold always keeps a pair; of one of under ``SHORT`` each word.  A document that holds
+   a seed of an item is joined to it, however many documents hold the seed (of a short item as many words as the
+   threshold asks for).
 2. Around the seeds' diagonals in a document, the words that it has in common with the item, wherever they
-   are, bound the alignment's score from above.  Where the bound allows the threshold the document is aligned
-   with the item: local alignment of lower-case words (match 2, mismatch -1, gap -1).  The score is divided by
-   that of the whole item; from ``THRESHOLD`` a document counts as contaminated by the item.
+   are, bound the alignment's score from above: first by a count over all such windows at once, then, repeats
+   included, window by window.  Where the bound allows the threshold the document is aligned with the item: local
+   alignment of lower-case words (match 2, mismatch -1, gap -1).  The score is divided by that of the whole item; from
+   ``THRESHOLD`` a document counts as contaminated by the item.
 
-A copy of a longer item is found if it has ``GRAM`` words in a row unchanged, once where they are rare, else twice.
-The benchmark is handled in blocks of at most ``BLOCK_BYTES`` of text, each with two passes of its own over the
-documents, so what is sent to the executors is bounded whatever the benchmark's size.
+A copy of a longer item is found if it has ``GRAM`` words in a row unchanged, also where the item is copied very often
+or its phrases are common.  The benchmark is handled in blocks of at most ``BLOCK_BYTES`` of text, each with a pass of
+its own over the documents, so what is sent to the executors is bounded whatever the benchmark's size.
 
 Defined results: a null or wordless item or document matches nothing; rows with a null doc_id or item_id are compared
 and carry the null; rows that repeat an item_id or doc_id are compared each; an empty table on either side gives no
@@ -34,12 +34,11 @@ from pyspark.sql import functions as F
 from .textkernel import mix64, text_chunks, words
 
 GRAM = 3
-SHORT = 8
+#: Items of fewer words have pairs of words, or single words, as seeds.
+MIDDLE, SHORT = 16, 8
 #: Seed hits that are listed at once, about.
 HITS = 1 << 20
 THRESHOLD = 0.5
-#: Documents, or the share of all, that may hold a rare seed.
-RARE_DOCS, RARE_SHARE = 20, 1e-4
 BLOCK_BYTES = 4 << 20
 _FOUND = "doc_id long, item_id long, score double, first_word long, last_word long"
 
@@ -85,7 +84,7 @@ def _items(rows: list) -> list[Item]:
         _, _, data, offsets = next(text_chunks(lowered(batch)))
         hashes, _, _, bounds = words(data, offsets)
         if len(hashes):
-            keys = _single(hashes) if len(hashes) < SHORT else grams(hashes, bounds)
+            keys = _single(hashes) if len(hashes) < SHORT else grams(hashes, bounds, 2 if len(hashes) < MIDDLE else GRAM)
             places = np.flatnonzero(keys)
             found.append(Item(item_id, hashes, keys[places], places))
     return found
@@ -122,23 +121,6 @@ def align(document: np.ndarray, item: np.ndarray, match: int = 2, miss: int = -1
     return best, begin, end - 1
 
 
-def _windows(hits: np.ndarray, places: np.ndarray, length: int, n: int) -> Iterator[tuple[int, int]]:
-    """Word ranges of a document around seeds at ``hits``, which are at ``places`` of an item of this length."""
-    low = np.maximum(hits - places - length // 2 - 4, 0)
-    high = np.minimum(hits - places + length + length // 2 + 4, n)
-    order = np.argsort(low, kind="stable")
-    a = b = -1
-    for x, y in zip(low[order].tolist(), high[order].tolist(), strict=True):
-        if b >= 0 and x <= b:
-            b = max(b, y)
-            continue
-        if b >= 0:
-            yield a, b
-        a, b = x, y
-    if b >= 0:
-        yield a, b
-
-
 def _in_common(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
     """How many words a text and an item, given by its distinct words and their counts, have in common, repeats included."""
     at = np.searchsorted(kinds, part)
@@ -155,6 +137,7 @@ class Seeds:
     owner: np.ndarray
     place: np.ndarray
     single: bool
+    pairs: bool
 
     @staticmethod
     def of(items: list[Item]) -> Seeds:
@@ -163,12 +146,12 @@ class Seeds:
         place = np.concatenate([i.places for i in items])
         order = np.argsort(keys, kind="stable")
         distinct, first = np.unique(keys[order], return_index=True)
-        return Seeds(distinct, np.append(first, len(keys)), owner[order], place[order], any(len(i.words) < SHORT for i in items))
+        return Seeds(distinct, np.append(first, len(keys)), owner[order], place[order], any(len(i.words) < SHORT for i in items), any(SHORT <= len(i.words) < MIDDLE for i in items))
 
     def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, number of its key) of each seed in some texts, by word."""
         found = []
-        for keys in (grams(hashes, bounds), *([_single(hashes)] if self.single else [])):
+        for keys in (grams(hashes, bounds), *([grams(hashes, bounds, 2)] if self.pairs else []), *([_single(hashes)] if self.single else [])):
             at = np.searchsorted(self.keys, keys)
             at[at == len(self.keys)] = 0
             word = np.flatnonzero(self.keys[at] == keys)
@@ -178,32 +161,58 @@ class Seeds:
         return word[order], at[order]
 
 
-def _counted(seeds: Seeds):
-    """In how many texts each seed is, summed in a task."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """The distinct words of some items: keys of (item, word), ascending."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(seeds.keys), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(lowered(batch)):
-                hashes, _, _, bounds = words(data, offsets)
-                word, key = seeds.hits(hashes, bounds)
-                text = np.searchsorted(bounds, word, "right") - 1
-                np.add.at(n, np.unique(text * np.int64(len(n)) + key) % len(n), 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["seed", "n"])
+    keys: np.ndarray
+
+    @staticmethod
+    def _keys(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return mix64(hashes ^ mix64(owner.astype(np.uint64) + np.uint64(1)))
+
+    @staticmethod
+    def of(items: list[Item]) -> Vocabulary:
+        owner = np.repeat(np.arange(len(items)), [len(i.words) for i in items])
+        return Vocabulary(np.unique(Vocabulary._keys(owner, np.concatenate([i.words for i in items]))))
+
+    def counts(self, hashes: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words of each range low to high are the owner's, repeats and all."""
+        out, a = np.zeros(len(low), np.int64), 0
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        while a < len(low):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + HITS, "right")) - 1)
+            size = high[a:b] - low[a:b]
+            which = np.repeat(np.arange(a, b), size)
+            place = np.arange(len(which)) + np.repeat(low[a:b] - (total[a:b] - total[a]), size)
+            keys = self._keys(owner[which], hashes[place])
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            out[a:b] = np.bincount(which - a, self.keys[at] == keys, b - a)
+            a = b
+        return out
 
-    return run
 
+def _ranges(at: np.ndarray, row: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, owner, first and end word) of the windows around seeds, those of a document and item joined where they meet."""
+    spare = size[owner] // 2 + 4
+    low = np.maximum(at - place - spare, bounds[row])
+    high = np.minimum(at - place + size[owner] + spare, bounds[row + 1])
+    order = np.lexsort((low, owner, row))
+    row, owner, low, high = row[order], owner[order], low[order], high[order]
+    # Within a document and item both ends ascend.
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (low[1:] > high[:-1])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return row[first], owner[first], low[first], high[last]
 
-def _search(items: list[Item], seeds: Seeds, frequent: np.ndarray, threshold: float):
-    """``frequent``: the seeds, by number, of which one is not enough."""
+
+def _search(items: list[Item], seeds: Seeds, threshold: float):
+    vocabulary, size = Vocabulary.of(items), np.array([len(i.words) for i in items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        rare = np.ones(len(seeds.keys), bool)
-        rare[frequent] = False
-        size = np.array([len(i.words) for i in items])
-        needed = np.where(size < SHORT, np.ceil(threshold * size), 2)
+        needed = np.where(size < SHORT, np.ceil(threshold * size), 1)
         for batch in batches:
             out: list[tuple] = []
             for first, _, data, offsets in text_chunks(lowered(batch)):
@@ -229,25 +238,24 @@ def _search(items: list[Item], seeds: Seeds, frequent: np.ndarray, threshold: fl
                     new = np.concatenate([[True], np.diff(pair[order]) != 0])
                     begin = np.flatnonzero(new)
                     places = np.add.reduceat(new | np.concatenate([[True], np.diff(place[order]) != 0]), begin, dtype=np.int64)
-                    alone = np.logical_or.reduceat(np.repeat(rare[key[x:y]], reps[x:y])[order], begin) & (size[owner[order[begin]]] >= SHORT)
-                    good = alone | (places >= needed[owner[order[begin]]])
-                    cuts = np.append(begin, len(order))
-                    for k in np.flatnonzero(good).tolist():
-                        own = order[cuts[k] : cuts[k + 1]]
-                        r, o = int(row[own[0]]), int(owner[own[0]])
-                        item = items[o]
+                    good = np.repeat(places >= needed[owner[order[begin]]], np.diff(np.append(begin, len(order))))
+                    pick = order[good]
+                    if not len(pick):
+                        continue
+                    rows, owners, low, high = _ranges(at[pick], row[pick], owner[pick], place[pick], size, bounds)
+                    likely = vocabulary.counts(hashes, owners, low, high) >= threshold * size[owners]
+                    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+                    for r, o, u, v in zip(*(c[likely].tolist() for c in (rows, owners, low, high)), strict=True):
                         if o not in bags:
-                            bags[o] = np.unique(item.words, return_counts=True)
-                        text = hashes[bounds[r] : bounds[r + 1]]
-                        best = (0, 0, 0)
-                        for u, v in _windows(at[own] - bounds[r], place[own], len(item.words), len(text)):
-                            if _in_common(text[u:v], *bags[o]) < threshold * len(item.words):
-                                continue
-                            score, one, two = align(text[u:v], item.words)
-                            best = max(best, (score, one + u, two + u), key=lambda w: w[0])
-                        share = best[0] / (2 * len(item.words))
-                        if share >= threshold:
-                            out.append((batch.column(0)[first + r].as_py(), item.item_id, share, best[1], best[2]))
+                            bags[o] = np.unique(items[o].words, return_counts=True)
+                        text = hashes[u:v]
+                        if _in_common(text, *bags[o]) >= threshold * size[o]:
+                            score, one, two = align(text, items[o].words)
+                            if score > found.get((r, o), (0, 0, 0))[0]:
+                                found[r, o] = score, one + u - int(bounds[r]), two + u - int(bounds[r])
+                    for (r, o), (score, one, two) in found.items():
+                        if (share := score / (2 * int(size[o]))) >= threshold:
+                            out.append((batch.column(0)[first + r].as_py(), items[o].item_id, share, one, two))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -268,14 +276,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row for each document and benchmark item of which it holds a copy: score (1: word for word) and the words it spans."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], _FOUND)
-    limit = max(RARE_DOCS, int(RARE_SHARE * docs.count()))
     for rows in _blocks(benchmark):
         items = _items(rows)
         if items:
-            seeds = Seeds.of(items)
-            counts = docs.mapInArrow(_counted(seeds), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-            frequent = np.array([r[0] for r in counts.where(F.col("n") > limit).select("seed").collect()], np.int64)
-            found = found.union(docs.mapInArrow(_search(items, seeds, frequent, threshold), _FOUND))
+            found = found.union(docs.mapInArrow(_search(items, Seeds.of(items), threshold), _FOUND))
     return found
 
 

@@ -47,6 +47,44 @@ def test_decontamination_of_often_copied_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(1000, 1), (1001, 2)} and len(want) > 500
 
 
+def test_recall_of_often_copied_items(spark):
+    """Copies of one item in 1,000 documents, with words replaced: what all pairs find is found."""
+    rnd = random.Random(13)
+    words = vocabulary(rnd, 3000)
+    items = [(n, sentence(rnd, words, n)) for n in (8, 9, 10, 12, 20)]
+    docs, want = [], set()
+    for n, item in items:
+        for rate in (0.15, 0.25, 0.30):
+            for _ in range(1000):
+                copy = " ".join(rnd.choice(words) if rnd.random() < rate else w for w in item.split(" "))
+                docs.append((len(docs), f"{sentence(rnd, words, 6)} {copy} {sentence(rnd, words, 6)}"))
+                if plain_alignment(tokens(docs[-1][1]), tokens(item)) >= n:
+                    want.add((docs[-1][0], n))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert got <= want and len(want) > 10000
+    for n, _ in items:
+        for k, rate in enumerate((0.15, 0.25, 0.30)):
+            block = range(1000 * (3 * [i for i, _ in items].index(n) + k), 1000 * (3 * [i for i, _ in items].index(n) + k + 1))
+            own = {(i, n) for i in block} & want
+            assert len(own & got) >= 0.98 * len(own), (n, rate)
+
+
+def test_long_texts_and_many_hits(spark, monkeypatch):
+    """A text beyond a kernel window, and more hits than are listed at once."""
+    from quantloom.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    rnd = random.Random(17)
+    words = vocabulary(rnd, 400)
+    item = sentence(rnd, words, 20)
+    long = sentence(rnd, words, 500_000) + f" {item} " + sentence(rnd, words, 1000)
+    docs = [(0, long), (1, f"{item} " * 40), (2, sentence(rnd, words, 50))]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["score"]) for r in got} == {(0, 1.0), (1, 1.0)}
+    assert next(r["first_word"] for r in got if r["doc_id"] == 0) == 500_000
+
+
 def test_decontamination_equals_all_pairs(spark):
     rnd = random.Random(21)
     words = vocabulary(rnd, 60)  # few words, so that most seeds are frequent
