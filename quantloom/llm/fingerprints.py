@@ -100,18 +100,29 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _cuts(docs: DataFrame, n: int, ids: int) -> np.ndarray:
+    """Ends of n ranges of doc_id with about as many rows each, from the ids of lowest hash, about ``SAMPLED`` a range: rows of an id are all in the sample or none."""
+    if n < 2 or not ids:
+        return np.zeros(0, np.int64)
+    share = min(1 << 30, int((1 << 30) * SAMPLED * n / ids) + 1)
+    some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)).select("doc_id").toArrow()
+    some = np.sort(some.column(0).to_numpy())
+    return np.unique(some[(np.arange(1, n) * len(some)) // n]) if len(some) else np.zeros(0, np.int64)
+
+
 def with_next(docs: DataFrame, slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """The rows (doc_id, text) dealt by ranges of doc_id, sorted, with the row that follows each range.
 
-    Ranges go by quantiles of doc_id and stand for about ``slot_bytes`` of text (``MOST_SLOTS`` ranges at most; a task
+    Ranges go by quantiles of a sample of doc_ids and stand for about ``slot_bytes`` of text (``MOST_SLOTS`` ranges at most; a task
     streams its range, so a larger one takes longer, not more memory).  Each range's largest document is also sent to
     the range above, as the one after that range's last, and the largest of all to the lowest range; so one shuffle
     of the texts is enough, and no task needs another's rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MOST_SLOTS, max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // slot_bytes)))
-    cuts = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10000, 20 * n))).first()[0] or []) if n > 1 else []), np.int64)
+    known = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("ids")).first()
+    n = min(MOST_SLOTS, max(1, -(-(known["bytes"] or 0) // slot_bytes)))
+    cuts = _cuts(docs, n, known["ids"])
 
     # Range k holds the ids above cuts[k-1], up to cuts[k]; nulls are in the lowest.  Only ids travel to Python.
     @F.pandas_udf("int")

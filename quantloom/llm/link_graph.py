@@ -42,6 +42,8 @@ SCALE = 10**17
 #: Share of a host's score that follows its edges, in hundredths.
 DAMPING = 85
 ROUNDS = 20
+#: Shares of a host's pages.
+SALTS = 32
 #: Edges of one source that a row holds.
 BLOCK = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,7 +126,10 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: i
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked"))
     hosts = standing(host_edges(named), seeds, rounds)
     none = F.lit(0).cast("long")
-    judged = ruled.join(hosts, "host", "left").withColumns({"trust": F.coalesce("trust", none), "distrust": F.coalesce("distrust", none)})
+    # A host with a third of the pages is dealt by a salt; the table of hosts, small beside the pages, is there for each.
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    judged = dealt.join(hosts, ["host", "salt"], "left").withColumns({"trust": F.coalesce("trust", none), "distrust": F.coalesce("distrust", none)})
     blocked = F.col("distrust").cast("decimal(20,0)") * 100 > F.col("trust").cast("decimal(20,0)") * threshold
     return judged.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
