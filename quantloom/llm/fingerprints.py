@@ -29,6 +29,8 @@ from .textkernel import distinct, set_digest, shingles, text_chunks, words
 SCALE = 4
 #: Text bytes in a range of doc_ids, about, and the most ranges.
 SLOT_BYTES, MOST_SLOTS = 16 << 20, 100_000
+#: Sampled ids a range.
+SAMPLED = 64
 _KEPT = np.uint64((1 << 64) // SCALE)
 #: Kept hashes are written with so many bytes; the top bits of a 64-bit hash, less than 2**-30 of them alike within two documents.
 _BYTES = 5
