@@ -130,7 +130,13 @@ class ElasticNet(Ridge):
         return self
 
 
-REGISTRY = {"factor_composite": Composite, "ridge": Ridge, "elasticnet": ElasticNet, "trees": LeafTrees}
+def _recurrent(features: list[str], **params) -> Model:
+    from .recurrent import Recurrent
+
+    return Recurrent(features, **params)
+
+
+REGISTRY = {"gru": _recurrent, "lstm": lambda features, **params: _recurrent(features, **{"kind": "lstm"} | params), "factor_composite": Composite, "ridge": Ridge, "elasticnet": ElasticNet, "trees": LeafTrees}
 
 
 def build(name: str, features: list[str], **params) -> Model:
