@@ -15,8 +15,8 @@ from ..functions.hashing import mix32_sql
 from ..functions.linear import elimination_sql
 from ..functions.windows import percent_rank
 from ..operators import backtest, boosting, evaluation, factors, grid, labels, models, portfolio, quality, serving, splits, training, volatility, xsec
-from ..session import cut
-from ..sources import panel
+from ..session import cut, shared_folder
+from ..sources import panel, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -593,18 +593,77 @@ def rolling_sharpe(spark, sf_dir):
     return rounded(evaluation.rolling_sharpe(strategy(spark, sf_dir), window=52, year=52), ["rolling_sharpe"], 5, ("date",))
 
 
-@register("backtest_book")
-def backtest_book(spark, sf_dir):
-    rows = scored_panel(spark, sf_dir)
-    dates = backtest.rebalance_dates(rows.where("mom is not null"), 4)
-    targets = None
-    for name in ("mom", "rev"):
-        own = portfolio.rank_long_short(rows.join(F.broadcast(dates), "date", "left_semi"), name, 10, 10).select(F.lit(name).alias("model"), "date", "ticker", "weight")
-        targets = own if targets is None else targets.union(own)
+def books(spark: SparkSession, sf_dir: str, rules: backtest.Rules) -> DataFrame:
+    """Books of momentum and reversal, with volatility standing in for beta."""
+    rows = cut(scored_panel(spark, sf_dir))
     gaps = Window.partitionBy("ticker").orderBy("date")
     filled = grid.fill_by_ticker(dense_bars(spark, sf_dir), ["close"])
-    rets = filled.select("date", "ticker", (F.try_divide("close_ffill", F.lag("close_ffill").over(gaps)) - 1).alias("ret"))
-    return backtest.book(targets, rets, backtest.Rules(horizon=4, turnover_cap=0.4, vol_target=0.1))
+    rets = cut(filled.select("date", "ticker", (F.try_divide("close_ffill", F.lag("close_ffill").over(gaps)) - 1).alias("ret")))
+    weigh = lambda due, name: portfolio.rank_long_short(due, name, 10, 10).withColumnRenamed("vol", "beta")
+    return backtest.run_backtest(rows.select("date", "ticker", "vol", "mom", "rev"), rets, ["mom", "rev"], weigh, rules)
+
+
+_BOOK = f"""WITH {_SCORED}, simple AS (SELECT ticker, date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense)),
+days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM dense)),
+s AS (SELECT 'mom' AS model, ticker, date, mom AS v, coalesce(vol, 1) AS beta FROM scored WHERE mom IS NOT NULL UNION ALL SELECT 'rev', ticker, date, rev, coalesce(vol, 1) FROM scored WHERE rev IS NOT NULL),
+due AS (SELECT model, date, k // 4 + 1 AS k FROM (SELECT model, date, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS k FROM (SELECT DISTINCT model, date FROM s)) WHERE k % 4 = 0),
+live AS (SELECT s.*, k, count(*) OVER (PARTITION BY s.model, s.date) AS n, row_number() OVER (PARTITION BY s.model, s.date ORDER BY v DESC, ticker) AS top, row_number() OVER (PARTITION BY s.model, s.date ORDER BY v, ticker DESC) AS low FROM s JOIN due ON due.model = s.model AND due.date = s.date),
+held AS (SELECT model, k, ticker, beta, CASE WHEN top <= size THEN 0.5::DOUBLE / size ELSE -0.5::DOUBLE / size END AS w FROM (SELECT *, CASE WHEN n < 20 THEN greatest(n // 4, 1) ELSE 10 END AS size FROM live) WHERE n >= 4 AND (top <= size OR low <= size)),
+held_on AS (SELECT d.model, x.date, x.pos, max(d.k) AS k, max(e.pos) + 1 = x.pos AS first FROM due d JOIN days e ON e.date = d.date JOIN days x ON x.pos >= e.pos + 1 GROUP BY d.model, x.date, x.pos),
+pnl AS (SELECT o.model, o.date, sum(w * coalesce(ret, 0)) AS gross FROM held_on o JOIN held h ON h.model = o.model AND h.k = o.k LEFT JOIN simple r ON r.date = o.date AND r.ticker = h.ticker GROUP BY 1, 2),
+sides AS (SELECT model, k, sum(abs(w)) AS gross_exposure, sum(w) AS net_exposure, count(*) FILTER (w > 0) AS n_long, count(*) FILTER (w < 0) AS n_short, coalesce(sum(-w) FILTER (w < 0), 0) AS short, sum(w * beta) AS net_beta FROM held GROUP BY 1, 2),
+turn AS (SELECT model, k, sum(abs(w)) AS turnover FROM (SELECT model, k, ticker, sum(w) AS w FROM (SELECT model, k, ticker, w FROM held UNION ALL SELECT model, k + 1, ticker, -w FROM held) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book AS (SELECT o.model, o.date, coalesce(gross, 0) AS gross, CASE WHEN first THEN coalesce(t.turnover, 0) ELSE 0 END AS turnover, coalesce(gross_exposure, 0) AS gross_exposure, coalesce(net_exposure, 0) AS net_exposure, coalesce(n_long, 0) AS n_long, coalesce(n_short, 0) AS n_short, coalesce(short, 0) AS short, net_beta
+ FROM held_on o LEFT JOIN pnl USING (model, date) LEFT JOIN sides s ON s.model = o.model AND s.k = o.k LEFT JOIN turn t ON t.model = o.model AND t.k = o.k)
+SELECT model, date, {_r('gross', 'gross')}, {_r('gross - turnover * 7 / 1e4 - short * 50 / 1e4 / 252', 'net')}, {_r('turnover * 7 / 1e4 + short * 50 / 1e4 / 252', 'cost', 9)}, {_r('turnover', 'turnover')}, {_r('gross_exposure', 'gross_exposure')}, {_r('net_exposure', 'net_exposure')}, n_long, n_short, 1.0::DOUBLE AS scalar, {_r('net_beta', 'net_beta', 5)} FROM book"""
+
+
+def _book_rows(rows: DataFrame) -> DataFrame:
+    digits = {"cost": 9, "net_beta": 5}
+    return rows.select("model", "date", "n_long", "n_short", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("gross", "net", "cost", "turnover", "gross_exposure", "net_exposure", "scalar", "net_beta")])
+
+
+@register("backtest_book", _BOOK)
+def backtest_book(spark, sf_dir):
+    return _book_rows(books(spark, sf_dir, backtest.Rules(horizon=4)))
+
+
+@register("backtest_book_scaled")
+def backtest_book_scaled(spark, sf_dir):
+    """With a volatility target and a cap on turnover that binds."""
+    return _book_rows(books(spark, sf_dir, backtest.Rules(horizon=4, turnover_cap=0.4, vol_target=0.1)))
+
+
+@register("recurrent_ranker")
+def recurrent_ranker(spark, sf_dir):
+    """A GRU over six weeks of signals for the rank of the next week's return, on the last 40 weeks."""
+    ahead = F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), F.col("close"))
+    rows = scored_panel(spark, sf_dir).withColumn("ahead", F.round(ahead, 9))
+    rows = cut(rows.withColumn("target", percent_rank("ahead", ["date"])).where("target is not null").select("date", "ticker", "target", *_X))
+    fold = splits.walk_forward(rows.select("date").distinct().count(), 1, 40, 400, 4, expanding=True)
+    own = rows.join(F.broadcast(splits.fold_roles(rows, fold).select("date", "role")), "date")
+    model = models.build("gru", list(_X), length=6, hidden=8, batch=8192, epochs=2, rate=0.02, panel=rows)
+    model.fit(own.where("role = 'train'").drop("role"), "target")
+    return model.predict(own.where("role = 'test'").drop("role"), "pred_gru")
+
+
+_STORED = _WALK_METRICS.replace("SELECT fold, '", "SELECT 0 AS fold, '").replace("SELECT CAST(s.fold AS INTEGER) AS fold, s.model,", "SELECT s.model,")
+
+
+@register("stored_run_metrics", _STORED)
+def stored_run_metrics(spark, sf_dir):
+    """Metrics of all folds together, from predictions that the run store holds; a second run reads them and fits nothing."""
+    store = runs.RunStore(spark, f"{shared_folder(spark)}/runs")
+    config = runs.merged(runs.DEFAULTS, {"run": {"name": "walk"}, "label": {"horizon": 4}, "validation": {"n_splits": 3, "train_window_days": 120, "test_window_days": 40}, "models": {"enabled": ["ridge", "factor_composite"], "ridge": {"alpha": _PENALTY}}})
+
+    def build():
+        found = walked(spark, sf_dir)
+        return {"predictions": found.predictions, "fold_metrics": found.fold_metrics}, {"importances": found.importances, "folds": found.folds, "failures": found.failures}
+
+    key = store.run(config, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], build)
+    found = store.reevaluated(key, lambda rows: training.metrics(rows, ["ridge", "composite", "ensemble"], "fwd", "fwd", (), 4))
+    digits = {"t_eff": 5, "t_hac": 5, "rmse": 5, "oos_r2": 5, "spread": 5}
+    return found.select("model", "n_dates", "n", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("mean_ic", "std_ic", "t_eff", "t_hac", "pearson_ic", "hit_rate", "rmse", "oos_r2", "spread", "monotonicity")])
 
 
 # --- evaluation -----------------------------------------------------------------------------------

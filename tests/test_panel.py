@@ -234,3 +234,65 @@ def test_mean_variance_by_the_dispatcher(spark):
     want = portfolio.mean_variance(scores[:8], paths[:8].T)
     assert len(got) == 16 and all(abs(got[d, n] - w) < 1e-9 for d in (1, 2) for n, w in zip(names, want))
     assert abs(sum(map(abs, want)) - 1) < 1e-9 and abs(sum(want)) < 1e-9
+
+
+def plain_book(targets, rets, rules, costs):
+    """The book of one model, date by date, with whole weight vectors."""
+    dates, names = sorted(rets["date"].unique()), sorted(rets["ticker"].unique())
+    wide = rets.pivot(index="date", columns="ticker", values="ret").reindex(columns=names).fillna(0.0).to_numpy()
+    marks = {d: g.set_index("ticker").reindex(names).fillna({"weight": 0.0, "beta": 1.0}) for d, g in targets.groupby("date")}
+    prev, current, past, out, waiting = np.zeros(len(names)), None, [], [], []
+    for i, d in enumerate(dates):
+        turned = 0.0
+        if waiting and waiting[0][0] == i:
+            _, current, turned, scalar, beta = waiting.pop(0)
+        if current is not None:
+            pnl, short = wide[i] @ current, -current[current < 0].sum()
+            cost = turned * (costs.cost_bps + costs.slippage_bps) / 1e4 + short * costs.borrow_bps / 1e4 / 252
+            past.append(pnl)
+            out.append((d, pnl, pnl - cost, cost, turned, np.abs(current).sum(), current.sum(), (current > 1e-9).sum(), (current < -1e-9).sum(), scalar, current @ beta))
+        if d in marks:
+            scalar_now = portfolio.volatility_scalar(np.array(past), rules.vol_target, rules.vol_lookback, rules.vol_cap) if rules.vol_target else 1.0
+            move = marks[d]["weight"].to_numpy() * scalar_now - prev
+            total = np.abs(move).sum()
+            share = min(1.0, rules.turnover_cap * rules.horizon / total) if rules.turnover_cap and total else 1.0
+            prev = prev + share * move
+            waiting.append((i + rules.pnl_lag, prev, share * total, scalar_now, marks[d]["beta"].to_numpy()))
+    return np.array([r[1:] for r in out], float), [r[0] for r in out]
+
+
+@pytest.mark.parametrize(("rules", "binds"), [(backtest.Rules(6), False), (backtest.Rules(6, 2, 0.1, 10), False), (backtest.Rules(6, 1, 0.1, 12, 3.0, 9.0), False), (backtest.Rules(6, 1, 0.1, 12, 3.0, 0.12), True), (backtest.Rules(6, 2, None, 63, 2.0, 0.05), True)])
+def test_books_equal_a_plain_one(spark, rules, binds):
+    rng = np.random.default_rng(8)
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(days=i) for i in range(70)]
+    names = [f"T{i}" for i in range(9)]
+    rets = pd.DataFrame([(d, t, rng.normal(0.001, 0.02)) for d in days for t in names], columns=["date", "ticker", "ret"])
+    rets.loc[rng.random(len(rets)) < 0.05, "ret"] = np.nan
+    targets = pd.DataFrame([(m, d, t, w, b) for m in ("x", "y") for d in days[3::6] for t, w, b in zip(names, np.r_[rng.choice([0.2, 0.1, 0.0], 4), 0.0, rng.choice([-0.2, -0.1, 0.0], 4)], rng.normal(1, 0.3, 9), strict=True)], columns=["model", "date", "ticker", "weight", "beta"])
+    if binds:
+        targets["beta"] = targets.groupby("ticker")["beta"].transform("first")
+    clean = lambda frame: frame.astype(object).where(frame.notna(), None)
+    got = backtest.book(spark.createDataFrame(targets), spark.createDataFrame(clean(rets), "date date, ticker string, ret double"), rules).toPandas().sort_values(["model", "date"])
+    for m in ("x", "y"):
+        want, dates = plain_book(targets[targets["model"] == m], rets, rules, backtest.Costs())
+        own = got[got["model"] == m]
+        assert list(own["date"]) == dates
+        columns = ["gross", "net", "cost", "turnover", "gross_exposure", "net_exposure", "n_long", "n_short", "scalar", "net_beta"]
+        np.testing.assert_allclose(own[columns].to_numpy(float), want, atol=1e-12)
+    if binds:
+        assert got["turnover"].max() <= rules.turnover_cap * rules.horizon + 1e-9
+
+
+def test_books_check_their_input(spark):
+    day = datetime.date(2020, 1, 1)
+    targets = spark.createDataFrame([("m", day, "A", 0.5)], "model string, date date, ticker string, weight double")
+    rets = spark.createDataFrame([(day + datetime.timedelta(days=i), "A", 0.01) for i in range(3)], "date date, ticker string, ret double")
+    assert [round(r["gross"], 6) for r in backtest.book(targets, rets).orderBy("date").collect()] == [0.005, 0.005]
+    assert {r["net_beta"] for r in backtest.book(targets, rets).collect()} == {None}
+    for bad, words in ((lambda: backtest.book(targets.union(targets), rets), "two targets"), (lambda: backtest.book(targets.drop("weight"), rets), "targets.weight"), (lambda: backtest.book(targets, rets, backtest.Rules(0)), "horizon"), (lambda: backtest.run_backtest(targets, rets, [], None), "no model")):
+        with pytest.raises(ValueError, match=words):
+            bad()
+    assert backtest.book(targets.limit(0), rets).count() == 0
+    scores = spark.createDataFrame([(day, "A", 1.0), (day, "A", 3.0), (day, "B", 2.5)], "date date, ticker string, s double")
+    top = lambda due, name: due.withColumn("weight", F.when(F.col(name) > 2.2, 1.0).otherwise(0.0))
+    assert [r["n_long"] for r in backtest.run_backtest(scores, rets, ["s"], top).collect()] == [1, 1]  # A's mean is 2
