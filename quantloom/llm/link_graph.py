@@ -106,13 +106,12 @@ def standing(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFr
     start = start.join(F.broadcast(total), "kind").select("kind", "host", F.expr(f"cast({SCALE} as decimal(18,0)) * cast(n as decimal(19,0)) div total").alias("base"))
     start = cut(start)
     scores = start.withColumnRenamed("base", "score")
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         sent = scores.join(ways, ["kind", "host"]).select("kind", "total", F.expr(f"score * {DAMPING} div 100").alias("score"), F.explode("targets").alias("t"))
         sent = sent.select("kind", F.col("t.to").alias("host"), F.expr("cast(score as decimal(18,0)) * cast(t.n as decimal(19,0)) div total").alias("score"))
         kept = start.select("kind", "host", F.expr(f"base * {100 - DAMPING} div 100").alias("score"))
-        scores = sent.union(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 5 == 0 or k == rounds:
-            scores = cut(scores)
+        # A cut a round: the plan of several would be planned anew after each of its stages, all on the driver.
+        scores = cut(sent.union(kept).groupBy("kind", "host").agg(F.sum("score").alias("score")))
     by = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0).cast("long"))
     return scores.groupBy("host").agg(by(0).alias("trust"), by(1).alias("distrust"))
 
