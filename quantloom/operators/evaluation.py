@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import linear
 from ..functions.hashing import mix32, mix32_of, permuted
 from ..functions.windows import average_rank
+from . import labels
+from .volatility import normal_cdf
 
 EULER = 0.5772156649015329
 
@@ -133,7 +135,8 @@ def performance(returns: DataFrame, r: str = "net", by: tuple[str, ...] = (), ye
 
 
 def against_benchmark(returns: DataFrame, benchmark: DataFrame, r: str = "net", b: str = "mkt_return", year: int = 252) -> DataFrame:
-    rows = returns.join(benchmark.select("date", b), "date").where(F.col(r).isNotNull() & F.col(b).isNotNull())
+    # The benchmark earns 0 on dates of the book that it has no return for.
+    rows = returns.join(benchmark.select("date", b), "date", "left").withColumn(b, F.coalesce(b, F.lit(0.0))).where(F.col(r).isNotNull())
     beta = F.covar_samp(r, b) / F.nullif(F.var_pop(b), F.lit(0.0))
     d = F.col(r) - F.col(b)
     return rows.agg(beta.alias("beta"), ((F.avg(r) - beta * F.avg(b)) * year).alias("alpha"), F.corr(r, b).alias("corr"), (F.avg(d) / F.nullif(F.stddev_samp(d), F.lit(0.0)) * math.sqrt(year)).alias("info_ratio"))
@@ -143,9 +146,15 @@ def monthly(returns: DataFrame, r: str = "net") -> DataFrame:
     return returns.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg((F.exp(F.sum(F.log1p(r))) - 1).alias("ret"))
 
 
+#: Names of the months' columns.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
 def monthly_table(returns: DataFrame, r: str = "net") -> DataFrame:
-    """A row a year, a column a month."""
-    return monthly(returns, r).groupBy("year").pivot("month", list(range(1, 13))).agg(F.first("ret"))
+    """A row a year, a column a month and one for the whole year."""
+    of = lambda x: F.exp(F.sum(x)) - 1
+    rows = returns.where(F.col(r).isNotNull()).select(F.year("date").alias("year"), F.month("date").alias("month"), F.log1p(r).alias("g"))
+    return rows.groupBy("year").agg(*[of(F.when(F.col("month") == k, F.col("g"))).alias(name) for k, name in enumerate(MONTHS, 1)], of(F.col("g")).alias("whole_year"))
 
 
 def rolling_sharpe(returns: DataFrame, r: str = "net", window: int = 252, year: int = 252) -> DataFrame:
@@ -196,14 +205,27 @@ def expected_max_sharpe(trials: int, variance: float) -> float:
     return math.sqrt(max(variance, 0.0)) * ((1 - EULER) * z(1 - 1 / trials) + EULER * z(1 - 1 / (trials * math.e)))
 
 
-def deflated_sharpe(returns: DataFrame, r: str, trials: int, variance: float) -> dict[str, float]:
-    """Probability that the per-period Sharpe ratio beats the expected maximum of the trials; nan under 60 rows."""
-    s = returns.agg(F.count(r).alias("n"), (F.avg(r) / F.nullif(F.stddev_samp(r), F.lit(0.0))).alias("sr"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt")).first()
-    if s["n"] < 60 or s["sr"] is None:
-        return {"dsr": math.nan, "sr": math.nan, "sr_star": math.nan}
-    star = expected_max_sharpe(trials, variance)
-    spread = 1 - s["skew"] * s["sr"] + (s["kurt"] + 2) / 4 * s["sr"] ** 2
-    return {"dsr": NormalDist().cdf((s["sr"] - star) * math.sqrt(s["n"] - 1) / math.sqrt(max(spread, 1e-12))), "sr": s["sr"], "sr_star": star}
+def deflated(returns: DataFrame, r: str = "net", trials: int = 1, variance: float | None = None, year: int = 252) -> DataFrame:
+    """One row: sharpe and threshold (per period and annual), deflated (probability that the Sharpe ratio beats the expected maximum of the trials), skew, kurtosis and n; missing under 60 rows.
+
+    Without a variance of the trials' ratios it is that of the estimate itself.
+    """
+    x = F.col(r)
+    s = returns.where(x.isNotNull()).agg(F.count(x).alias("n"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0))).alias("sharpe"), F.skewness(x).alias("skew"), (F.kurtosis(x) + 3).alias("kurtosis"))
+    s = s.withColumn("_w", 1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") * F.col("sharpe"))
+    own = F.lit(float(variance)) if variance is not None else F.col("_w") / (F.col("n") - 1)
+    s = s.withColumn("threshold", F.sqrt(F.greatest(own, F.lit(0.0))) * expected_max_sharpe(trials, 1.0))
+    z = (F.col("sharpe") - F.col("threshold")) * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(F.col("_w"), F.lit(1e-12)))
+    chance = F.when(z >= 0, normal_cdf(F.abs(z))).otherwise(1 - normal_cdf(F.abs(z)))
+    enough = lambda c: F.when(F.col("n") >= 60, c)
+    a = math.sqrt(year)
+    return s.select("n", *[enough(c).alias(name) for name, c in (("sharpe", F.col("sharpe")), ("sharpe_annual", F.col("sharpe") * a), ("threshold", F.col("threshold")), ("threshold_annual", F.col("threshold") * a), ("deflated", chance), ("skew", F.col("skew")), ("kurtosis", F.col("kurtosis")))])
+
+
+def deflated_sharpe(returns: DataFrame, r: str, trials: int, variance: float | None = None) -> dict[str, float]:
+    """The same as numbers (nan where missing)."""
+    row = deflated(returns, r, trials, variance).first()
+    return {k: math.nan if row[c] is None else row[c] for k, c in (("dsr", "deflated"), ("sr", "sharpe"), ("sr_star", "threshold"))}
 
 
 def overfit_probability(returns: DataFrame, r: str = "net", blocks: int = 8) -> DataFrame:
@@ -320,7 +342,7 @@ def capacity(returns: DataFrame, grid: list[float], r: str = "net", year: int =
 
 
 def factor_regression(returns: DataFrame, factors: DataFrame, names: list[str], r: str = "net", rf: str | None = "rf", lags: int = 10, year: int = 252) -> dict[str, dict[str, float]]:
-    """OLS with Bartlett HAC errors of the excess return on the factors; series of one row a date, aggregated in Spark but for the small solve."""
+    """OLS with Bartlett HAC errors of the excess return on the factors: coefficients (the alpha annual), and under ``fit`` n and R squared; series of one row a date, aggregated in Spark but for the small solve."""
     rows = returns.select("date", r).join(factors, "date").na.drop()
     y = F.col(r) - (F.col(rf) if rf and rf in factors.columns else F.lit(0.0))
     rows = rows.select("date", y.alias("_y"), F.lit(1.0).alias("alpha"), *names)
@@ -342,7 +364,9 @@ def factor_regression(returns: DataFrame, factors: DataFrame, names: list[str],
         meat += part if j == 0 else (1 - j / (lags + 1)) * (part + part.T)
     inv = np.linalg.inv(xx)
     se = np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 0))
-    return {c: {"coef": float(v) * (year if c == "alpha" else 1), "t": float(v / t) if t else math.nan, "p": math.erfc(abs(v / t) / math.sqrt(2)) if t else math.nan} for c, v, t in zip(cols, b, se, strict=True)}
+    fit = rows.agg(F.sum(e * e).alias("sse"), (F.var_pop("_y") * F.count("*")).alias("sst")).first()
+    r2 = 1 - fit["sse"] / fit["sst"] if fit["sst"] else math.nan
+    return {"fit": {"n": float(n), "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k)}} | {c: {"coef": float(v) * (year if c == "alpha" else 1), "t": float(v / t) if t else math.nan, "p": math.erfc(abs(v / t) / math.sqrt(2)) if t else math.nan} for c, v, t in zip(cols, b, se, strict=True)}
 
 
 def rolling_exposure(returns: DataFrame, factors: DataFrame, names: list[str], r: str = "net", window: int = 252, step: int = 21, spare: int = 20) -> DataFrame:
@@ -358,13 +382,44 @@ def rolling_exposure(returns: DataFrame, factors: DataFrame, names: list[str], r
     return linear.solved(ends, len(x)).select("date", *[F.col(f"b{i}").alias(c) for i, c in enumerate(["alpha", *names])])
 
 
-def factor_sweep(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
-    """target, feature, mean_ic, t and dates: features unpivoted once, ranked by (date, feature)."""
+def factor_sweep(rows: DataFrame, features: list[str], targets: list[str], lags: int | None = None, least_dates: int = 1) -> DataFrame:
+    """target, feature, mean_ic, icir, t, hit_rate and dates: features and targets unpivoted once, ranked by (target, feature, date).
+
+    t is that of the mean, with Bartlett weights if ``lags`` is given; pairs with under ``least_dates`` dates are left out.
+    """
     long = rows.unpivot(["date", "ticker", *targets], features, "feature", "value")
     long = long.unpivot(["date", "ticker", "feature", "value"], targets, "target", "y")
     ic = daily_ic(long, "value", "y", ("target", "feature", "date"))
-    sd = F.stddev_samp("ic")
-    return ic.groupBy("target", "feature").agg(F.avg("ic").alias("mean_ic"), (F.avg("ic") / F.nullif(sd, F.lit(0.0)) * F.sqrt(F.count("ic"))).alias("t"), F.count("ic").alias("dates"))
+    sd = F.nullif(F.stddev_samp("ic"), F.lit(0.0))
+    out = ic.groupBy("target", "feature").agg(F.avg("ic").alias("mean_ic"), (F.avg("ic") / sd * math.sqrt(252)).alias("icir"), (F.avg("ic") / sd * F.sqrt(F.count("ic"))).alias("t"), (F.count_if(F.round("ic", 12) > 0) / F.count("ic")).alias("hit_rate"), F.count("ic").alias("dates"))
+    if lags is not None:
+        out = out.drop("t").join(hac_by(ic, "ic", ("target", "feature"), lags).withColumnRenamed("t_hac", "t"), ["target", "feature"])
+    return out.where(F.col("dates") >= least_dates)
+
+
+def diagnostics(rows: DataFrame, features: list[str], market: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 21, 63), vol: str = "vol_63", beta: str = "beta_63", least_dates: int = 200, min_names: int = 10) -> DataFrame:
+    """horizon, target, feature and the sweep's columns for excess, vol_scaled and beta_neutral returns over every horizon; t has lags of twice the horizon."""
+    out = None
+    for h in horizons:
+        fwd = rows.withColumn("_f", labels.forward_return(h)).join(F.broadcast(labels.forward_market(market, h)), "date", "left")
+        # Unlike a label's, the volatility has no floor here.
+        kinds = {"excess": F.col("_f"), "vol_scaled": F.try_divide("_f", F.nullif(F.col(vol), F.lit(0.0))), "beta_neutral": labels.beta_adjusted("_f", "fwd_mkt", beta)}
+        fwd = fwd.withColumns({f"_{k}": v for k, v in kinds.items()})
+        fwd = fwd.withColumns({k: labels.demean(f"_{k}", min_names) for k in kinds}).select("date", "ticker", *features, *kinds)
+        one = factor_sweep(fwd, features, list(kinds), 2 * h, least_dates).withColumn("horizon", F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def strongest(sweep: DataFrame, n: int = 8) -> DataFrame:
+    """The n features of largest absolute t for each horizon and target (the report's limit), with their place; ties by name."""
+    place = F.row_number().over(Window.partitionBy("horizon", "target").orderBy(F.desc(F.abs("t")), "feature"))
+    return sweep.where("t is not null").withColumn("place", place).where(F.col("place") <= n)
+
+
+def sweep_summary(sweep: DataFrame, significant: float = 3.0) -> DataFrame:
+    """horizon, target, mean and largest absolute ic, number of features with an absolute t above ``significant``."""
+    return sweep.groupBy("horizon", "target").agg(F.avg(F.abs("mean_ic")).alias("mean_abs_ic"), F.max(F.abs("mean_ic")).alias("max_abs_ic"), F.count_if(F.abs("t") > significant).alias("n_sig"))
 
 
 def best_model(stats: DataFrame, without: str = "benchmark") -> DataFrame:

@@ -47,13 +47,26 @@ def triple_barrier(sigma: str, up: float = 2.0, down: float = 2.0, hold: int = 1
     return F.when(entry.isNotNull(), F.when(high < low, 1.0).when(low < high, -1.0).otherwise(0.0))
 
 
-def build_labels(rows: DataFrame, method: str = "forward_excess_return", horizon: int = 21, lag: int = 1, min_names: int = 10, sigma: str = "vol_21") -> DataFrame:
-    """fwd_return and target of a dense panel."""
+def build_labels(
+    rows: DataFrame, method: str = "forward_excess_return", horizon: int = 21, lag: int = 1, min_names: int = 10, sigma: str = "vol_21", vol: str | None = None, beta: str | None = None, market: DataFrame | None = None,
+    up: float = 2.0, down: float = 2.0, hold: int | None = None,
+) -> DataFrame:
+    """fwd_return and target of a dense panel.
+
+    Returns are divided by the volatility column ``vol`` if one is named; with ``beta`` and ``market`` (date, mkt_return) an excess return is
+    less the beta times the market's return over the same rows, before it is demeaned.  Barriers are ``up`` and ``down`` times sigma over
+    ``hold`` rows (else the horizon).
+    """
     rows = rows.withColumn("fwd_return", forward_return(horizon, lag))
+    scaled = vol_scaled("fwd_return", vol) if vol else F.col("fwd_return")
     if method == "forward_return":
-        return rows.withColumn("target", F.col("fwd_return"))
+        return rows.withColumn("target", scaled)
     if method == "forward_excess_return":
-        return rows.withColumn("target", demean("fwd_return", min_names))
+        rows = rows.withColumn("target", scaled)
+        if beta and market is not None:
+            ahead = F.broadcast(forward_market(market, horizon, lag))  # a row a date
+            rows = rows.join(ahead, "date", "left").withColumn("target", beta_adjusted("target", "fwd_mkt", beta)).drop("fwd_mkt")
+        return rows.withColumn("target", demean("target", min_names))
     if method == "triple_barrier":
-        return rows.withColumn("target", triple_barrier(sigma, hold=horizon, lag=lag))
+        return rows.withColumn("target", triple_barrier(sigma, up, down, hold or horizon, lag))
     raise ValueError(f"unknown label {method!r}")

@@ -568,7 +568,7 @@ def perf_stats(spark, sf_dir):
     return rounded(evaluation.performance(strategy(spark, sf_dir), year=52), ["ann_return", "ann_vol", "sharpe", "sortino", "var5", "cvar5", "best", "worst", "hit_rate"], 6, ("n",))
 
 
-@register("benchmark_stats", f"WITH {_STRAT}, mk AS (WITH f AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense), s AS (SELECT date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM f) SELECT date, avg(r) AS m FROM s GROUP BY date), j AS (SELECT net, m FROM strat JOIN mk USING (date) WHERE m IS NOT NULL) SELECT {_r('covar_samp(net, m) / var_pop(m)', 'beta')}, {_r('corr(net, m)', 'corr')}, {_r('avg(net - m) / stddev_samp(net - m) * sqrt(52)', 'info_ratio')} FROM j")
+@register("benchmark_stats", f"WITH {_STRAT}, mk AS (WITH f AS (SELECT ticker, date, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM dense), s AS (SELECT date, c / lag(c) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM f) SELECT date, avg(r) AS m FROM s GROUP BY date), j AS (SELECT net, coalesce(m, 0) AS m FROM strat LEFT JOIN mk USING (date)) SELECT {_r('covar_samp(net, m) / var_pop(m)', 'beta')}, {_r('corr(net, m)', 'corr')}, {_r('avg(net - m) / stddev_samp(net - m) * sqrt(52)', 'info_ratio')} FROM j")
 def benchmark_stats(spark, sf_dir):
     market = panel.market_returns(dense_bars(spark, sf_dir))
     return rounded(evaluation.against_benchmark(strategy(spark, sf_dir), market, year=52), ["beta", "corr", "info_ratio"], 6, ())
@@ -788,12 +788,7 @@ SELECT last AS date, {_r('h0', 'alpha')}, {_r('h1', 'mkt', 5)}, {_r('h2', 'rev',
 
 @register("rolling_exposures", _EXPO)
 def rolling_exposures(spark, sf_dir):
-    rows, dense = cut(scored_panel(spark, sf_dir)), cut(dense_bars(spark, sf_dir))
-    ahead = dense.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), F.col("close")) - 1).alias("ret"))
-    returns = cut(panel.market_returns(dense).withColumnRenamed("mkt_return", "mkt").where("mkt is not null"))
-    for name in ("rev", "vol"):
-        returns = returns.join(backtest.simple_pnl(portfolio.rank_long_short(rows, name, 10, 10).select("ticker", "date", "weight"), ahead).withColumnRenamed("gross", name), "date")
-    found = evaluation.rolling_exposure(strategy(spark, sf_dir), returns, ["mkt", "rev", "vol"], window=104, step=13)
+    found = evaluation.rolling_exposure(strategy(spark, sf_dir), strategy_factors(spark, sf_dir), ["mkt", "rev", "vol"], window=104, step=13)
     return found.select("date", (F.round("alpha", 6) + 0.0).alias("alpha"), *[(F.round(c, 5) + 0.0).alias(c) for c in ("mkt", "rev", "vol")])
 
 
@@ -942,3 +937,109 @@ def mean_scores(spark, sf_dir):
 def aligned_benchmark(spark, sf_dir):
     days = panel.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
     return rounded(backtest.aligned_benchmark(days, panel.market_returns(dense_bars(spark, sf_dir))), ["mkt_return"], 9, ("date",))
+
+
+# --- labels, diagnostics, attribution --------------------------------------------------------------
+
+_MKT_AHEAD = "fm AS (SELECT date, CASE WHEN count(mkt_return) OVER w = 4 THEN product(1 + mkt_return) OVER w - 1 END AS fwd_mkt FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING))"
+_LABELLED = _BETA + f""", {_MKT_AHEAD}, lab AS (SELECT re.ticker, re.date, beta, {_least('stddev_samp(lr)', 'lr', 13, 6)} AS v, lead(close, 5) OVER (PARTITION BY ticker ORDER BY re.date) / lead(close, 1) OVER (PARTITION BY ticker ORDER BY re.date) - 1 AS f, fwd_mkt FROM re LEFT JOIN fm USING (date)),
+vs AS (SELECT *, CASE WHEN nullif(v, 0) IS NOT NULL THEN f / greatest(v, 0.0001::DOUBLE) END AS s FROM lab), vb AS (SELECT *, s - beta * fwd_mkt AS sb FROM vs)"""
+
+
+@register("label_variants", f"WITH {_LABELLED} SELECT ticker, date, {_r('f', 'fwd_return')}, {_r('CASE WHEN count(sb) OVER (PARTITION BY date) >= 5 THEN sb - avg(sb) OVER (PARTITION BY date) END', 'target', 4)} FROM vb")
+def label_variants(spark, sf_dir):
+    """Excess returns scaled by volatility and less their beta's share of the market."""
+    rows = cut(market_panel(spark, sf_dir))
+    rows = factors.volatility(factors.market_relative(rows, W), W)
+    found = labels.build_labels(rows, "forward_excess_return", 4, 1, 5, vol="vol_13", beta=f"beta_{W.long}", market=panel.market_returns(dense_bars(spark, sf_dir)))
+    return found.select("ticker", "date", (F.round("fwd_return", 6) + 0.0).alias("fwd_return"), (F.round("target", 4) + 0.0).alias("target"))
+
+
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of three signals over two horizons."""
+    rows = factors.volatility(factors.market_relative(market_panel(spark, sf_dir), W), W)
+    own = Window.partitionBy("ticker").orderBy("date")
+    lag = lambda n: F.round(F.col("cum") - F.lag("cum", n).over(own), 9)
+    rows = cut(rows.withColumns({"mom": lag(13), "rev": lag(4), "vol": F.round("vol_13", 9)}).select("ticker", "date", "close", "mom", "rev", "vol", "vol_13", f"beta_{W.long}"))
+    return evaluation.diagnostics(rows, ["mom", "rev", "vol"], panel.market_returns(dense_bars(spark, sf_dir)), (1, 4), "vol_13", f"beta_{W.long}", 100, 10)
+
+
+def _diagnosed(h: int) -> str:
+    demeaned = lambda c: f"CASE WHEN count({c}) OVER (PARTITION BY date) >= 10 THEN {c} - avg({c}) OVER (PARTITION BY date) END"
+    pairs = " UNION ALL ".join(f"SELECT '{t}' AS target, '{f}' AS feature, date, {f} AS v, {t} AS y FROM y{h}" for t in ("excess", "vol_scaled", "beta_neutral") for f in ("mom", "rev", "vol"))
+    return f"""fm{h} AS (SELECT date, CASE WHEN count(mkt_return) OVER w = {h} THEN product(1 + mkt_return) OVER w - 1 END AS fwd_mkt FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 2 FOLLOWING AND {h + 1} FOLLOWING)),
+f{h} AS (SELECT s.*, fwd_mkt, lead(close, {h + 1}) OVER w / lead(close, 1) OVER w - 1 AS f FROM sig s LEFT JOIN fm{h} USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY s.date)),
+k{h} AS (SELECT *, f / nullif(v13, 0) AS fv, f - beta * fwd_mkt AS fb FROM f{h}),
+y{h} AS (SELECT date, mom, rev, vol, {demeaned('f')} AS excess, {demeaned('fv')} AS vol_scaled, {demeaned('fb')} AS beta_neutral FROM k{h}),
+u{h} AS ({pairs}),
+r{h} AS (SELECT target, feature, date, rank() OVER (PARTITION BY target, feature, date ORDER BY v) + (count(*) OVER (PARTITION BY target, feature, date, v) - 1) / 2.0::DOUBLE AS p, rank() OVER (PARTITION BY target, feature, date ORDER BY y) + (count(*) OVER (PARTITION BY target, feature, date, y) - 1) / 2.0::DOUBLE AS t FROM u{h} WHERE v IS NOT NULL AND y IS NOT NULL),
+i{h} AS (SELECT target, feature, date, corr(p, t) AS ic FROM r{h} GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND stddev_pop(p) > 1e-12 AND stddev_pop(t) > 1e-12),
+d{h} AS (SELECT target, feature, row_number() OVER (PARTITION BY target, feature ORDER BY date) AS k, ic - avg(ic) OVER (PARTITION BY target, feature) AS d FROM i{h}),
+g{h} AS (SELECT a.target, a.feature, sum(CASE WHEN b.k = a.k THEN 1 ELSE 2 * (1 - (b.k - a.k) / {2 * h + 1}.0::DOUBLE) END * a.d * b.d) AS q FROM d{h} a JOIN d{h} b ON a.target = b.target AND a.feature = b.feature AND b.k - a.k BETWEEN 0 AND {2 * h} GROUP BY 1, 2),
+s{h} AS (SELECT {h} AS horizon, target, feature, avg(ic) AS mean_ic, avg(ic) / stddev_samp(ic) * sqrt(252) AS icir, avg(ic) / sqrt(any_value(q)) * count(*) AS t, count(*) FILTER (round(ic, 12) > 0) / count(*) AS hit_rate, count(*) AS dates FROM i{h} JOIN g{h} USING (target, feature) GROUP BY 1, 2, 3 HAVING count(*) >= 100)"""
+
+
+_SIGNALS = _BETA + f""", sig AS (SELECT ticker, date, close, beta, {_least('stddev_samp(lr)', 'lr', 13, 6)} AS v13, round(cum - lag(cum, 13) OVER w, 9) AS mom, round(cum - lag(cum, 4) OVER w, 9) AS rev, round({_least('stddev_samp(lr)', 'lr', 13, 6)}, 9) AS vol FROM re WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+{_diagnosed(1)}, {_diagnosed(4)}, sweep AS (SELECT * FROM s1 UNION ALL SELECT * FROM s4)"""
+
+
+@register("factor_diagnostics", f"WITH {_SIGNALS} SELECT CAST(horizon AS INTEGER) AS horizon, target, feature, {_r('mean_ic', 'mean_ic', 7)}, {_r('icir', 'icir', 5)}, {_r('t', 't', 5)}, {_r('hit_rate', 'hit_rate')}, dates FROM sweep")
+def factor_diagnostics(spark, sf_dir):
+    return swept(spark, sf_dir).select("horizon", "target", "feature", "dates", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("mean_ic", 7), ("icir", 5), ("t", 5), ("hit_rate", 6))])
+
+
+@register("diagnostics_summary", f"WITH {_SIGNALS} SELECT CAST(horizon AS INTEGER) AS horizon, target, {_r('avg(abs(mean_ic))', 'mean_abs_ic')}, {_r('max(abs(mean_ic))', 'max_abs_ic')}, count(*) FILTER (abs(t) > 3) AS n_sig FROM sweep GROUP BY horizon, target")
+def diagnostics_summary(spark, sf_dir):
+    return evaluation.sweep_summary(swept(spark, sf_dir)).select("horizon", "target", "n_sig", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_abs_ic", "max_abs_ic")])
+
+
+@register("monthly_table", f"WITH {_STRAT} SELECT CAST(year(date) AS INTEGER) AS year, {', '.join(_r(f'exp(sum(ln(1 + net)) FILTER (month(date) = {k})) - 1', name) for k, name in enumerate(evaluation.MONTHS, 1))}, {_r('exp(sum(ln(1 + net))) - 1', 'whole_year')} FROM strat GROUP BY 1")
+def monthly_table(spark, sf_dir):
+    return rounded(evaluation.monthly_table(strategy(spark, sf_dir)), [*evaluation.MONTHS, "whole_year"], 6, ("year",))
+
+
+_TAIL = "(0.319381530::DOUBLE * u + -0.356563782::DOUBLE * pow(u, 2) + 1.781477937::DOUBLE * pow(u, 3) + -1.821255978::DOUBLE * pow(u, 4) + 1.330274429::DOUBLE * pow(u, 5))"
+_DSR = f"""WITH {_STRAT}, c AS (SELECT count(*) AS n, avg(net) AS m, avg(net) / stddev_samp(net) AS s FROM strat),
+o AS (SELECT n, s, (SELECT avg(pow(net - m, 3)) / pow(avg(pow(net - m, 2)), 1.5) FROM strat) AS sk, (SELECT avg(pow(net - m, 4)) / pow(avg(pow(net - m, 2)), 2) FROM strat) AS ku FROM c),
+w AS (SELECT *, 1 - sk * s + (ku - 1) / 4 * s * s AS w FROM o), t AS (SELECT *, sqrt(greatest(w / (n - 1), 0)) * {evaluation.expected_max_sharpe(20, 1.0)!r}::DOUBLE AS thr FROM w),
+z AS (SELECT *, (s - thr) * sqrt(n - 1) / sqrt(greatest(w, 1e-12)) AS z FROM t), y AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS u FROM z), x AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * {_TAIL} AS tail FROM y)
+SELECT n, {_r('s', 'sharpe')}, {_r('s * sqrt(52)', 'sharpe_annual')}, {_r('thr', 'threshold')}, {_r('thr * sqrt(52)', 'threshold_annual')}, {_r('CASE WHEN z >= 0 THEN 1 - tail ELSE tail END', 'deflated')}, {_r('sk', 'skew', 5)}, {_r('ku', 'kurtosis', 4)} FROM x"""
+
+
+@register("deflated_sharpe", _DSR)
+def deflated_sharpe(spark, sf_dir):
+    found = evaluation.deflated(cut(strategy(spark, sf_dir)), "net", 20, year=52)
+    digits = {"skew": 5, "kurtosis": 4}
+    return found.select("n", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("sharpe", "sharpe_annual", "threshold", "threshold_annual", "deflated", "skew", "kurtosis")])
+
+
+_RF = "rates AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, round(avg(l_tax) / 1000, 9) AS rf FROM lineitem WHERE month(l_shipdate) % 2 = 0 GROUP BY 1)"
+
+
+@register("market_risk_free", f"WITH {_MARKET}, {_RF} SELECT date, {_r('mkt_return', 'mkt_return', 9)}, {_r('coalesce(last_value(rf IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 0)', 'rf_rate', 9)} FROM market LEFT JOIN rates USING (date)")
+def market_risk_free(spark, sf_dir):
+    """The mean tax of the weeks in every other month stands in for a rate with gaps."""
+    rates = panel.table(spark, sf_dir, "lineitem").where(F.month("l_shipdate") % 2 == 0).groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(F.round(F.avg("l_tax") / 1000, 9).alias("rf"))
+    return rounded(panel.with_risk_free(panel.market_returns(dense_bars(spark, sf_dir)), rates), ["mkt_return", "rf_rate"], 9, ("date",))
+
+
+_ATTR = _EXPO[: _EXPO.index("ends AS (")] + f"""gr AS (SELECT 1 AS one, {', '.join([f"sum({_EXPO_X[a]} * {_EXPO_X[b]}) AS g{a}_{b}" for a in range(4) for b in range(a, 4)] + [f"sum({x} * net) AS h{a}" for a, x in enumerate(_EXPO_X)])} FROM j),
+{elimination_sql('gr', 4, 'one')}, er AS (SELECT net, net - h0 - h1 * mkt - h2 * rev - h3 * vol AS e FROM j, e4)
+SELECT {_r('any_value(h0) * 52', 'alpha', 5)}, {_r('any_value(h1)', 'mkt', 5)}, {_r('any_value(h2)', 'rev', 5)}, {_r('any_value(h3)', 'vol', 5)}, (SELECT round(1 - sum(e * e) / (var_pop(net) * count(*)), 6) FROM er) AS r_squared, (SELECT count(*)::DOUBLE FROM j) AS n FROM e4"""
+
+
+def strategy_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, mkt, rev and vol: the market and two long-short portfolios."""
+    rows, dense = cut(scored_panel(spark, sf_dir)), cut(dense_bars(spark, sf_dir))
+    ahead = dense.select("ticker", "date", (F.try_divide(F.lead("close").over(Window.partitionBy("ticker").orderBy("date")), F.col("close")) - 1).alias("ret"))
+    returns = cut(panel.market_returns(dense).withColumnRenamed("mkt_return", "mkt").where("mkt is not null"))
+    for name in ("rev", "vol"):
+        returns = returns.join(backtest.simple_pnl(portfolio.rank_long_short(rows, name, 10, 10).select("ticker", "date", "weight"), ahead).withColumnRenamed("gross", name), "date")
+    return returns
+
+
+@register("factor_attribution", _ATTR)
+def factor_attribution(spark, sf_dir):
+    found = evaluation.factor_regression(cut(strategy(spark, sf_dir)), cut(strategy_factors(spark, sf_dir)), ["mkt", "rev", "vol"], rf=None, year=52)
+    row = [round(found[c]["coef"], 5) + 0.0 for c in ("alpha", "mkt", "rev", "vol")] + [round(found["fit"]["r_squared"], 6), found["fit"]["n"]]
+    return spark.createDataFrame([row], "alpha double, mkt double, rev double, vol double, r_squared double, n double")

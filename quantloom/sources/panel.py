@@ -97,6 +97,23 @@ def factor_file(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return rows.select(F.to_date(parts[0], "yyyyMMdd").alias("date"), *[(parts[i + 1].cast("double") / 100).alias(n) for i, n in enumerate(names)])
 
 
+def factor_returns(factors: DataFrame, momentum: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Daily factor returns with the momentum factor (date, mom) beside them where it has the date, within a range of dates."""
+    rows = factors if momentum is None else factors.join(momentum.select("date", "mom"), "date", "left")
+    if start:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    return rows.where(F.col("date") <= F.lit(end).cast("date")) if end else rows
+
+
+def with_risk_free(market: DataFrame, factors: DataFrame | None = None, rf: str = "rf", flat: float = 0.02 / 252) -> DataFrame:
+    """The market with rf_rate: the factors' on its dates, the last known one after gaps, 0 before the first; the flat rate without factors. A row a date."""
+    if factors is None:
+        return market.withColumn("rf_rate", F.lit(flat))
+    rows = market.join(factors.select("date", F.col(rf).alias("_rf")), "date", "left")
+    known = F.last("_rf", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("rf_rate", F.coalesce(known, F.lit(0.0))).drop("_rf")
+
+
 def trading_calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
     """Business days without the holidays (column date)."""
     days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as date").where(F.dayofweek("date").between(2, 6))

@@ -17,7 +17,7 @@ def clean(v):
     return (None if math.isnan(v) else round(v, 9) + 0.0) if isinstance(v, float) else v
 
 
-SMALL = ["bars", "ret_w", "winsor_z", "triple_barrier", "rank_ls_weights", "ic_momentum", "factor_sweep", "oscillators", "overfit_probability", "risk_summary", "ridge_walk_forward", "walk_forward_metrics", "split_gains", "bootstrap_summary", "permutation_summary", "har_forecasts", "variance_losses", "rolling_exposures"]
+SMALL = ["bars", "ret_w", "winsor_z", "triple_barrier", "rank_ls_weights", "ic_momentum", "factor_sweep", "oscillators", "overfit_probability", "risk_summary", "ridge_walk_forward", "walk_forward_metrics", "split_gains", "bootstrap_summary", "permutation_summary", "har_forecasts", "variance_losses", "rolling_exposures", "label_variants", "diagnostics_summary", "monthly_table", "deflated_sharpe", "market_risk_free", "factor_attribution", "backtest_book", "stored_run_metrics"]
 TABLES = ["ladder_table", "fold_ic", "prediction_metrics", "ic_hac", "name_correlation", "trading_costs", "mean_losses", "signal_zscore", "mean_scores", "aligned_benchmark"]
 
 

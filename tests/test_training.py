@@ -129,3 +129,35 @@ def test_permutations_and_bootstrap_are_what_they_say(spark):
             at = int(hashing.mix32_of(key + 2 * k + 1) % 150) if k == 0 or hashing.mix32_of(key + 2 * k) < int(2**32 / 10) else (at + 1) % 150
             draws.append(x[at])
         assert math.isclose(boot[rep], np.mean(draws) / np.std(draws, ddof=1) * math.sqrt(252), rel_tol=1e-9)
+
+
+def test_attribution_and_diagnostics_helpers(spark):
+    rng = np.random.default_rng(3)
+    n = 140
+    f = rng.normal(size=(n, 2))
+    y = 0.001 + f @ [0.5, -0.2] + rng.normal(size=n) * 0.3
+    days = [datetime.date(2021, 1, 1) + datetime.timedelta(days=i) for i in range(n)]
+    returns = spark.createDataFrame([(d, float(v)) for d, v in zip(days, y, strict=True)], "date date, net double")
+    factors = spark.createDataFrame([(d, float(a), float(b), 0.0001) for d, (a, b) in zip(days, f, strict=True)], "date date, mkt double, smb double, rf double")
+    got = evaluation.factor_regression(returns, factors, ["mkt", "smb"], lags=4)
+    x, r = np.column_stack([np.ones(n), f]), y - 0.0001
+    b = np.linalg.lstsq(x, r, rcond=None)[0]
+    e = r - x @ b
+    g = x * e[:, None]
+    meat = g.T @ g
+    for j in range(1, 5):
+        part = g[j:].T @ g[:-j]
+        meat += (1 - j / 5) * (part + part.T)
+    inv = np.linalg.inv(x.T @ x)
+    t = b / np.sqrt(np.diag(inv @ meat @ inv))
+    r2 = 1 - e @ e / ((r - r.mean()) ** 2).sum()
+    assert math.isclose(got["fit"]["r_squared"], r2, rel_tol=1e-9) and math.isclose(got["fit"]["adj_r_squared"], 1 - (1 - r2) * (n - 1) / (n - 3), rel_tol=1e-9)
+    for k, c in enumerate(("alpha", "mkt", "smb")):
+        assert math.isclose(got[c]["t"], t[k], rel_tol=1e-8) and math.isclose(got[c]["coef"], b[k] * (252 if c == "alpha" else 1), rel_tol=1e-9)
+    assert "error" in evaluation.factor_regression(returns.limit(50), factors, ["mkt"])
+    sweep = spark.createDataFrame([(1, "x", f"f{k}", 0.01 * k, float(v)) for k, v in enumerate([1, -9, 5, 3.5, -3.5, 0.5])], "horizon int, target string, feature string, mean_ic double, t double")
+    assert [r["feature"] for r in evaluation.strongest(sweep, 4).orderBy("place").collect()] == ["f1", "f2", "f3", "f4"]
+    assert evaluation.sweep_summary(sweep).first()["n_sig"] == 4
+    many = evaluation.deflated(returns, "net", 50).first()
+    few = evaluation.deflated(returns, "net", 1).first()
+    assert few["threshold"] == 0 and many["deflated"] < few["deflated"] and evaluation.deflated(returns.limit(59), "net", 5).first()["deflated"] is None
