@@ -38,6 +38,17 @@ def thin_dates(panel: DataFrame, min_names: int) -> DataFrame:
     return panel.withColumn("names", F.count("*").over(Window.partitionBy("date"))).where(F.col("names") >= min_names).drop("names")
 
 
+def names_mask(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """date and enough: whether so many names have a value of the column."""
+    return rows.groupBy("date").agg((F.count(column) >= least).alias("enough"))
+
+
+def feature_summary(rows: DataFrame, features: list[str]) -> DataFrame:
+    """n_rows, n_features, tickers, first, last, mean_names: one row."""
+    size = rows.groupBy("date").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_names"))
+    return rows.agg(F.count("*").alias("n_rows"), F.lit(len(features)).alias("n_features"), F.countDistinct("ticker").alias("tickers"), F.min("date").alias("first"), F.max("date").alias("last")).crossJoin(size)  # one row each
+
+
 def feature_mask(rows: DataFrame, features: list[str], target: str = "target", share: float = 0.8) -> DataFrame:
     """Rows with a target and enough features, the missing ones then 0."""
     have = sum((F.col(c).isNotNull().cast("int") for c in features), F.lit(0))

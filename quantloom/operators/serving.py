@@ -24,3 +24,15 @@ def batch_score(observations: DataFrame, coef: dict[str, float], intercept: floa
     w = Window.partitionBy("request")
     rows = rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "ticker")))
     return rows.withColumn("percentile", 1 - (F.col("rank") - 0.5) / F.count("*").over(w)).drop("features")
+
+
+#: Warnings that a request gets.
+WARNINGS = 3
+
+
+def score_warnings(scored: DataFrame, n_features: int) -> DataFrame:
+    """request and warning: the first rows (by ticker) with missing features, and that a single score says nothing."""
+    some = scored.where("missing > 0").withColumn("_k", F.row_number().over(Window.partitionBy("request").orderBy("ticker"))).where(F.col("_k") <= WARNINGS)
+    lacking = some.select("request", F.format_string(f"%s: %d of {n_features} features missing, filled with 0", F.col("ticker").cast("string"), F.col("missing")).alias("warning"))
+    alone = scored.groupBy("request").count().where("count = 1").select("request", F.lit("a single score has no rank: the model orders names of a date").alias("warning"))
+    return lacking.union(alone)

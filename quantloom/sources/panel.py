@@ -90,6 +90,18 @@ def universe_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(clean_ticker("raw").alias("ticker")).distinct()
 
 
+def resolve_universe(kind: str, file: DataFrame | None = None, current: DataFrame | None = None, changes: DataFrame | None = None, snapshots: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(tickers, membership by date): of a ticker file, of an index's members today, or of all its members at the snapshots."""
+    if kind == "file" and file is not None:
+        return file.select("ticker").distinct(), None
+    if kind == "index" and current is not None:
+        return current.select("ticker").distinct(), None
+    if kind == "index_pit" and current is not None and changes is not None and snapshots is not None:
+        members = membership(current, changes, snapshots)
+        return members.select("ticker").distinct(), members
+    raise ValueError(f"unknown universe {kind!r}, or its tables are missing")
+
+
 def factor_file(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Factor returns of a text file with a preamble: rows that start with eight digits, in percent."""
     rows = spark.read.text(path).where(F.trim("value").rlike(r"^\d{8}\s*,"))

@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
+def downcast(df: DataFrame) -> DataFrame:
+    """Doubles as floats, for files that are only read by models."""
+    return df.withColumns({f.name: F.col(f.name).cast("float") for f in df.schema if f.dataType.simpleString() == "double"})
+
+
+def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, compact: bool = False) -> None:
+    writer = (downcast(df) if compact else df).write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 

@@ -97,3 +97,67 @@ def test_run_store(spark, tmp_path):
         store.table(key, "weights")
     with pytest.raises(FileNotFoundError):
         store.manifest("nothing")
+
+
+def test_models_as_files(spark, tmp_path):
+    import numpy as np
+
+    from quantloom.operators import boosting, models, recurrent
+    from quantloom.sources import artifacts
+
+    rng = np.random.default_rng(1)
+    rows = [(datetime.date(2020, 1, 1) + datetime.timedelta(days=i // 4), f"T{i % 4}", float(a), float(b), float(2 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(160, 2)))]
+    df = spark.createDataFrame(rows, "date date, ticker string, a double, b double, y double").cache()
+    fitted = [models.Ridge(["a", "b"]).fit(df, "y"), models.ElasticNet(["a", "b"]).fit(df, "y"), models.Composite(["a"], {"a": -1.0}), boosting.LeafTrees(["a", "b"], rounds=3, least=10, depth=3).fit(df, "y"), recurrent.Recurrent(["a", "b"], length=2, hidden=3, epochs=1, batch=80).fit(df, "y")]
+    for k, model in enumerate(fitted):
+        artifacts.save_model(spark, model, str(tmp_path / f"m{k}"), {"k": k})
+        again, known = artifacts.load_model(spark, str(tmp_path / f"m{k}"))
+        assert type(again) is type(model) and known == {"k": k}
+        p, q = ([r["p"] for r in m.predict(df, "p").orderBy("date", "ticker").collect()] for m in (model, again))
+        assert p == q and len(set(p)) > 1
+    for bad in ('{"kind": "Ridge", "state": {}}', "not json", '{"kind": "Other"}', "[]"):
+        spark.createDataFrame([(bad,)], "value string").write.mode("overwrite").text(str(tmp_path / "bad"))
+        with pytest.raises(ValueError, match="holds no model"):
+            artifacts.load_model(spark, str(tmp_path / "bad"))
+
+
+def test_experiment_and_report(spark, tmp_path, capsys):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test data")
+    from quantloom import cli
+    from quantloom.plans import experiment
+
+    config = {"run": {"name": "small"}, "label": {"horizon": 4}, "validation": {"n_splits": 2, "train_window_days": 60, "test_window_days": 20}, "models": {"enabled": ["factor_composite", "ridge", "ensemble"]}, "portfolio": {"n_long": 5, "n_short": 5}, "evaluation": {"bootstrap_samples": 50, "pbo_splits": 2}}
+    config = runs.merged(runs.DEFAULTS, config)
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    key = experiment.run(spark, "/root/testdata/sf0.01", config, store)
+    assert experiment.run(spark, "/root/testdata/sf0.01", config, store) == key and len(store.runs("small")) == 1
+    found = experiment.bundle(store, key)
+    assert {r["model"] for r in found["performance"]} == {"factor_composite", "ridge", "ensemble"} == {r["model"] for r in found["metrics"]}
+    text = experiment.report(store, key)
+    assert all(f"## {s}" in text for s in ("Forecasts", "Books after costs", "Significance", "Features", "Folds")) and "Verdict:" in text and "| ridge |" in text
+    cli.main(["runs", str(tmp_path / "runs")])
+    assert key in capsys.readouterr().out
+
+
+def test_small_helpers(spark):
+    from quantloom.operators import quality, serving
+
+    rows = spark.createDataFrame([("r", "A", {"x": 1.0}), ("r", "B", {"y": 2.0}), ("s", "C", {"x": 1.0, "y": 1.0})], "request string, ticker string, features map<string,double>")
+    got = sorted(tuple(r) for r in serving.score_warnings(serving.batch_score(rows, {"x": 2.0, "y": 1.0}), 2).collect())
+    assert got == [("r", "A: 1 of 2 features missing, filled with 0"), ("r", "B: 1 of 2 features missing, filled with 0"), ("s", "a single score has no rank: the model orders names of a date")]
+    day = datetime.date(2020, 1, 1)
+    table = spark.createDataFrame([(day, "A", 1.0), (day, "B", None), (day + datetime.timedelta(days=1), "A", None)], "date date, ticker string, x double")
+    assert sorted(tuple(r) for r in quality.names_mask(table, "x", 1).collect()) == [(day, True), (day + datetime.timedelta(days=1), False)]
+    assert tuple(quality.feature_summary(table, ["x"]).first()) == (3, 1, 2, day, day + datetime.timedelta(days=1), 1.5)
+    with pytest.raises(ValueError):
+        panel.resolve_universe("index")
+    assert [r[0] for r in panel.resolve_universe("file", spark.createDataFrame([("A",), ("A",)], "ticker string"))[0].collect()] == ["A"]
+    factors = spark.createDataFrame([(day, 0.1, 0.001), (day + datetime.timedelta(days=2), 0.2, 0.002)], "date date, mkt double, rf double")
+    momentum = spark.createDataFrame([(day, 0.5)], "date date, mom double")
+    assert [tuple(r)[1:] for r in panel.factor_returns(factors, momentum, "2020-01-01", "2020-01-02").collect()] == [(0.1, 0.001, 0.5)]
+    market = spark.createDataFrame([(day + datetime.timedelta(days=k), 0.0) for k in (-1, 0, 1, 2)], "date date, mkt_return double")
+    assert [r["rf_rate"] for r in panel.with_risk_free(market, factors).orderBy("date").collect()] == [0.0, 0.001, 0.001, 0.002]
+    assert {r["rf_rate"] for r in panel.with_risk_free(market).collect()} == {0.02 / 252}
