@@ -330,7 +330,7 @@ def frequent_phrases(docs: DataFrame, frequent: DataFrame, least: int = LEAST) -
     total = frequent.where("id is null").agg(F.sum("n")).first()[0] or 0
     buckets = max(parts, -(-total // (HELD // 2)))
     sent = docs.select("lang", "text").mapInArrow(lambda it: _fragments(it, known, buckets), "bucket long, lang string, packed binary")
-    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = sent.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
     found = cut(sent.mapInArrow(lambda it: _mined(it, known, least), "lang string, ids array<long>, a long, whole boolean"))
     parted = found.where("not whole").groupBy("lang", "ids").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return found.where("whole").select("lang", "ids", "a").union(parted)
