@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 #: Powers of e by which a mean decays within a block, and beyond which older values count for nothing.
-DECAY, REACH = 300.0, 700.0
+DECAY, REACH = 300.0, 120.0
 #: Speeds of the means that share their blocks: up to so many times the slowest.
 SPREAD = 4.0
 
