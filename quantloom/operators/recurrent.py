@@ -1,9 +1,10 @@
 """Recurrent rankers: a GRU or LSTM over the last rows of a name, trained by gradients that tasks compute in numpy and Spark sums.
 
-The rows, each with its sequence, are written once, in slices by a hash of (date, ticker).  A step reads one batch's slices only: every task runs
-its rows forward and back through time and returns one gradient, and an aggregate by parameter adds these up, so the driver gets as many
-numbers as the model has, whatever the rows.  Batches, their order and the start values follow from the seed.  With a
-``folder`` the state is written after each epoch, and a fit that is started again goes on from there.
+The rows, each with its sequence, are written once, in slices (batches) by a hash of (date, ticker).  An epoch lays them out in the order of its steps, in
+groups of some megabytes.  Steps follow on each other, so a group of cheap steps (``ALONE``) is one task that hands its state on by the
+driver; where a step is dear, every task runs its rows of it forward and back through time and returns one gradient, and an aggregate by parameter adds
+these up.  Either way the driver gets as many numbers as the model has, whatever the rows.  Batches, their order and the start
+values follow from the seed.  With a ``folder`` the state is written after each epoch, and a fit that is started again goes on from there.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .models import sequences
 GATES = {"gru": 3, "lstm": 4}
 #: Part of the steps that the rate rises, its first and last value as parts of the highest, decay of Adam's moments.
 RISE, FIRST, LAST, BETA1, BETA2 = 0.3, 1 / 25, 1 / 250000, 0.9, 0.999
+#: Products with a weight by step up to which steps are taken in one task (some hundredths of a second), and bytes of sequences in a group of steps.
+ALONE, GROUP = 2e8, 1 << 25
 
 
 def shapes(kind: str, inputs: int, hidden: int) -> dict[str, tuple[int, ...]]:
@@ -61,61 +64,64 @@ def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(kind: str, p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Outputs of sequences x (rows, steps, inputs) and what ``backward`` needs."""
+    """Outputs of sequences x (rows, steps, inputs) and what ``backward`` needs.  Rows are the last axis within, so that numpy's inner loops are long."""
     n, steps, _ = x.shape
+    x = np.ascontiguousarray(x.transpose(1, 2, 0))
     size = len(p["wh"])
-    h, c, kept = np.zeros((n, size)), np.zeros((n, size)), []
+    bx, bh = p["bx"][:, None], p["bh"][:, None]
+    h, c, kept = np.zeros((size, n)), np.zeros((size, n)), []
     for t in range(steps):
-        a, b = x[:, t] @ p["wx"] + p["bx"], h @ p["wh"] + p["bh"]
+        a, b = p["wx"].T @ x[t] + bx, p["wh"].T @ h + bh
         if kind == "gru":
-            r, z = _sigmoid(a[:, :size] + b[:, :size]), _sigmoid(a[:, size : 2 * size] + b[:, size : 2 * size])
-            m = np.tanh(a[:, 2 * size :] + r * b[:, 2 * size :])
-            kept.append((h, r, z, m, b[:, 2 * size :]))
+            both = _sigmoid(a[: 2 * size] + b[: 2 * size])
+            r, z = both[:size], both[size:]
+            m = np.tanh(a[2 * size :] + r * b[2 * size :])
+            kept.append((h, r, z, m, b[2 * size :]))
             h = (1 - z) * m + z * h
         else:
-            i, f, o = (_sigmoid((a + b)[:, k * size : (k + 1) * size]) for k in (0, 1, 3))
-            g = np.tanh((a + b)[:, 2 * size : 3 * size])
+            i, f, o = (_sigmoid((a + b)[k * size : (k + 1) * size]) for k in (0, 1, 3))
+            g = np.tanh((a + b)[2 * size : 3 * size])
             new = f * c + i * g
             kept.append((h, c, i, f, g, o, np.tanh(new)))
             c, h = new, o * np.tanh(new)
-    centred = h - h.mean(axis=1, keepdims=True)
-    spread = np.sqrt((centred**2).mean(axis=1, keepdims=True) + 1e-5)
+    centred = h - h.mean(axis=0)
+    spread = np.sqrt((centred**2).mean(axis=0) + 1e-5)
     unit = centred / spread
-    normed = unit * p["scale"] + p["shift"]
-    act, slope = _gelu(normed @ p["w1"] + p["b1"])
-    return (act @ p["w2"] + p["b2"])[:, 0], (kept, unit, spread, normed, act, slope)
+    normed = unit * p["scale"][:, None] + p["shift"][:, None]
+    act, slope = _gelu(p["w1"].T @ normed + p["b1"][:, None])
+    return (p["w2"].T @ act + p["b2"][:, None])[0], (x, kept, unit, spread, normed, act, slope)
 
 
 def backward(kind: str, p: dict[str, np.ndarray], x: np.ndarray, state: tuple, d_out: np.ndarray, truncate: int | None = None) -> np.ndarray:
     """The gradient, flat, for slopes ``d_out`` of the loss by the outputs; back through ``truncate`` steps at most."""
-    kept, unit, spread, normed, act, slope = state
+    x, kept, unit, spread, normed, act, slope = state
     size = len(p["wh"])
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    d = d_out[:, None]
-    g["w2"], g["b2"] = act.T @ d, d.sum(axis=0)
-    d = d @ p["w2"].T * slope
-    g["w1"], g["b1"] = normed.T @ d, d.sum(axis=0)
-    d = d @ p["w1"].T
-    g["scale"], g["shift"] = (d * unit).sum(axis=0), d.sum(axis=0)
-    d = d * p["scale"]
-    dh = (d - d.mean(axis=1, keepdims=True) - unit * (d * unit).mean(axis=1, keepdims=True)) / spread
+    d = d_out[None, :]
+    g["w2"], g["b2"] = act @ d.T, d.sum(axis=1)
+    d = p["w2"] @ d * slope
+    g["w1"], g["b1"] = normed @ d.T, d.sum(axis=1)
+    d = p["w1"] @ d
+    g["scale"], g["shift"] = (d * unit).sum(axis=1), d.sum(axis=1)
+    d = d * p["scale"][:, None]
+    dh = (d - d.mean(axis=0) - unit * (d * unit).mean(axis=0)) / spread
     dc = np.zeros_like(dh)
     for t in reversed(range(max(0, len(kept) - (truncate or len(kept))), len(kept))):
         if kind == "gru":
             h, r, z, m, b = kept[t]
             dm = dh * (1 - z) * (1 - m * m)
-            da = np.concatenate([dm * b * r * (1 - r), dh * (h - m) * z * (1 - z), dm], axis=1)
-            db = np.concatenate([da[:, : 2 * size], dm * r], axis=1)
-            dh = dh * z + db @ p["wh"].T
+            da = np.concatenate([dm * b * r * (1 - r), dh * (h - m) * z * (1 - z), dm])
+            db = np.concatenate([da[: 2 * size], dm * r])
+            dh = dh * z + p["wh"] @ db
         else:
             h, c, i, f, o_g, o, tc = kept[t]
             dc = dc + dh * o * (1 - tc * tc)
-            da = db = np.concatenate([dc * o_g * i * (1 - i), dc * c * f * (1 - f), dc * i * (1 - o_g * o_g), dh * tc * o * (1 - o)], axis=1)
-            dc, dh = dc * f, db @ p["wh"].T
-        g["wx"] += x[:, t].T @ da
-        g["bx"] += da.sum(axis=0)
-        g["wh"] += h.T @ db
-        g["bh"] += db.sum(axis=0)
+            da = db = np.concatenate([dc * o_g * i * (1 - i), dc * c * f * (1 - f), dc * i * (1 - o_g * o_g), dh * tc * o * (1 - o)])
+            dc, dh = dc * f, p["wh"] @ db
+        g["wx"] += x[t] @ da.T
+        g["bx"] += da.sum(axis=1)
+        g["wh"] += h @ db.T
+        g["bh"] += db.sum(axis=1)
     return np.concatenate([v.ravel() for v in g.values()])
 
 
@@ -125,8 +131,17 @@ def _arrays(batch: pa.RecordBatch, length: int, inputs: int) -> tuple[np.ndarray
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat = [np.asarray(v, "<f8").tobytes() for v in batch.column(0).to_pylist()]
-        yield batch.set_column(0, "x", pa.array(flat, pa.binary()))
+        flat, n = np.ascontiguousarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), "<f8"), batch.num_rows
+        ends = np.arange(n + 1, dtype=np.int32) * (flat.nbytes // max(1, n))
+        yield batch.set_column(0, "x", pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
+
+
+def stepped(step: int, gradient: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray], rate: float, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, first, second moment) after a step of Adam along a mean gradient, which is clipped to length 1."""
+    flat, first, second = state
+    gradient = gradient * min(1.0, 1.0 / (np.linalg.norm(gradient) + 1e-6))
+    first, second = BETA1 * first + (1 - BETA1) * gradient, BETA2 * second + (1 - BETA2) * gradient**2
+    return flat * (1 - rate * decay) - rate * (first / (1 - BETA1 ** (step + 1))) / (np.sqrt(second / (1 - BETA2 ** (step + 1))) + 1e-8), first, second
 
 
 @dataclass
@@ -184,8 +199,10 @@ class Recurrent:
         slice_ = F.when(F.col("hold"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("date", "ticker", F.lit(self.seed)), F.lit(batches)).cast("int"))
         data = own.with_sequences(stats).select(F.flatten("sequence").alias("x"), (F.col("y") / self.scale).alias("y"), slice_.alias("slice"))
         path = f"{shared_folder(spark)}/sequences-{uuid4()}"
-        data.mapInArrow(_packed_rows, "x binary, y double, slice int").write.partitionBy("slice").parquet(path)
-        data = spark.read.parquet(path)
+        data.mapInArrow(_packed_rows, "x binary, y double, slice int").withColumn("hold", F.col("slice") < 0).write.partitionBy("hold").parquet(f"{path}/rows")
+        data = spark.read.schema("x binary, y double, slice int, hold boolean").parquet(f"{path}/rows")
+        together = max(1, GROUP // (8 * self.batch * self.length * len(self.features)))
+        alone = self.batch * self.length * sum(math.prod(shapes(self.kind, len(self.features), self.hidden)[k]) for k in ("wx", "wh")) <= ALONE
         size = len(started(self.kind, len(self.features), self.hidden, self.seed))
         flat, first, second = started(self.kind, len(self.features), self.hidden, self.seed), np.zeros(size), np.zeros(size)
         best, best_loss, bad, epoch = flat, math.inf, 0, 0
@@ -194,19 +211,25 @@ class Recurrent:
             flat, first, second, best = (np.array(found[k]) for k in ("flat", "first", "second", "best"))
             best_loss, bad, epoch, self.losses = found["best_loss"], found["bad"], found["epoch"], list(found["losses"])
         while epoch < self.epochs and bad < self.patience:
-            for k, part in enumerate(np.random.default_rng([self.seed, epoch]).permutation(batches).tolist()):
-                step = epoch * batches + k
-                gradient, _, n = self._gradient(data.where(F.col("slice") == part), flat)
-                if not n:
+            self._ordered(data, batches, epoch, together, f"{path}/epoch-{epoch}")
+            rates = [self.rate * cycle(step, batches * self.epochs) for step in range(epoch * batches, (epoch + 1) * batches)]
+            for at in range(0, batches, together):
+                steps = range(at, min(at + together, batches))
+                folder = f"{path}/epoch-{epoch}/group={at // together}"
+                if not self._exists(spark, folder):  # no slice of these has rows
                     continue
-                gradient = gradient / n
-                gradient *= min(1.0, 1.0 / (np.linalg.norm(gradient) + 1e-6))
-                first, second = BETA1 * first + (1 - BETA1) * gradient, BETA2 * second + (1 - BETA2) * gradient**2
-                rate = self.rate * cycle(step, batches * self.epochs)
-                flat = flat * (1 - rate * self.decay) - rate * (first / (1 - BETA1 ** (step + 1))) / (np.sqrt(second / (1 - BETA2 ** (step + 1))) + 1e-8)
+                group = spark.read.schema("x binary, y double, step int").parquet(folder)
+                if alone:
+                    flat, first, second = self._chained(group, (flat, first, second), epoch * batches, {k: rates[k] for k in steps})
+                    continue
+                for k in steps:
+                    gradient, _, n = self._gradient(group.where(F.col("step") == k), flat)
+                    if n:
+                        flat, first, second = stepped(epoch * batches + k, gradient / n, (flat, first, second), rates[k], self.decay)
+            self._delete(spark, f"{path}/epoch-{epoch}")
             epoch += 1
             if held:
-                _, loss, n = self._gradient(data.where(F.col("slice") == -1), flat, loss_only=True)
+                _, loss, n = self._gradient(data.where("hold"), flat, loss_only=True)
                 self.losses.append(loss / n)
                 if self.losses[-1] < best_loss - 1e-7:
                     best, best_loss, bad = flat, self.losses[-1], 0
@@ -218,9 +241,61 @@ class Recurrent:
                 row = [(epoch, bad, float(best_loss), flat.tolist(), first.tolist(), second.tolist(), best.tolist(), self.losses)]
                 spark.createDataFrame(row, "epoch int, bad int, best_loss double, flat array<double>, first array<double>, second array<double>, best array<double>, losses array<double>").write.mode("overwrite").parquet(f"{self.folder}/epoch-{epoch:04d}")
         self.weights = best
+        self._delete(spark, path)
+        return self
+
+    def _delete(self, spark, path: str) -> None:
         files = spark._jvm.org.apache.hadoop.fs.Path(path)
         files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
-        return self
+
+    def _exists(self, spark, path: str) -> bool:
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+
+    def _ordered(self, data: DataFrame, batches: int, epoch: int, together: int, path: str) -> None:
+        """Writes the training rows in the order of the epoch's steps, a folder for every ``together`` of them."""
+        order = np.random.default_rng([self.seed, epoch]).permutation(batches).astype(np.int32)
+        steps = data.sparkSession.createDataFrame(pa.table({"slice": order, "step": np.arange(batches, dtype=np.int32)}))
+        rows = data.where("not hold").join(F.broadcast(steps), "slice").select("x", "y", "step", F.expr(f"step div {together}").cast("int").alias("group"))
+        groups = -(-batches // together)
+        rows.repartitionByRange(groups, "group").sortWithinPartitions("group", "step").write.partitionBy("group").parquet(path)
+
+    def _chained(self, group: DataFrame, state: tuple[np.ndarray, np.ndarray, np.ndarray], before: int, rates: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state after a group's steps, taken one after the other in one task, which holds one step's rows."""
+        held = group.sparkSession.sparkContext.broadcast((np.stack(state), rates))
+        kind, shape, length, inputs, truncate, decay = self.kind, shapes(self.kind, len(self.features), self.hidden), self.length, len(self.features), self.truncate, self.decay
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, rates = held.value
+            now, step, parts = tuple(now), None, []
+
+            def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                p, total, n = split(now[0], shape), 0.0, 0
+                rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                for at in range(0, len(rows[1]), 4096):
+                    x, y = rows[0][at : at + 4096], rows[1][at : at + 4096]
+                    out, kept = forward(kind, p, x)
+                    total, n = total + backward(kind, p, x, kept, np.clip(out - y, -1, 1), truncate), n + len(y)
+                return stepped(before + step, total / n, now, rates[step], decay)
+
+            for batch in batches:
+                x, y = _arrays(batch, length, inputs)
+                steps = batch.column(2).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(steps)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if a == b:
+                        continue
+                    if parts and steps[a] != step:
+                        now, parts = taken(), []
+                    step = int(steps[a])
+                    parts.append((x[a:b], y[a:b]))
+            if parts:
+                now = taken()
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack(now).tobytes()], pa.binary())], names=["state"])
+
+        found = np.frombuffer(group.select("x", "y", "step").coalesce(1).sortWithinPartitions("step").mapInArrow(run, "state binary").first()["state"]).reshape(3, -1)
+        held.unpersist()
+        return found[0], found[1], found[2]
 
     def _state(self, spark) -> dict | None:
         path = spark._jvm.org.apache.hadoop.fs.Path
@@ -271,7 +346,7 @@ class Recurrent:
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
-                    x = np.array(part.column(len(columns)).to_pylist(), float).reshape(-1, length, inputs)
+                    x = part.column(len(columns)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length, inputs)
                     yield part.select(columns).append_column(name, pa.array(forward(kind, p, x)[0] * scale))
 
         sequenced = self.with_sequences(rows).select(*columns, F.flatten("sequence").alias("_x"))

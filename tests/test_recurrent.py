@@ -82,3 +82,19 @@ def test_gradients_of_tasks_add_up(spark):
     np.testing.assert_allclose(got, recurrent.backward("lstm", p, x, state, np.clip(out - y, -1, 1)), rtol=1e-9)
     assert n == 60 and math.isclose(model._gradient(data, flat, True)[1], ((out - y) ** 2).sum(), rel_tol=1e-9) and loss > 0
     assert [round(recurrent.cycle(s, 10), 3) for s in (0, 2, 9)] == [0.04, 1.0, 0.0]
+
+
+def test_jobs_grow_with_bytes_not_with_steps(spark, monkeypatch):
+    """400 steps of small batches: a group of steps is one job, and the weights are those of a job a step."""
+    rows = spark.createDataFrame(panel(60)).repartition(4).cache()
+    build = lambda: models.build("gru", ["a"], length=3, hidden=6, batch=8, epochs=2, rate=0.05, patience=9)
+    spark.sparkContext.setJobGroup("chained", "")
+    whole = build().fit(rows, "y")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chained")) < 60
+    small = lambda: models.build("gru", ["a"], length=3, hidden=6, batch=200, epochs=2, rate=0.05, patience=9)
+    alone = small().fit(rows, "y")
+    monkeypatch.setattr(recurrent, "ALONE", 0)
+    monkeypatch.setattr(recurrent, "GROUP", 10000)
+    summed = small().fit(rows, "y")
+    assert np.allclose(alone.weights, summed.weights, atol=1e-9) and len(whole.weights) == len(alone.weights)
