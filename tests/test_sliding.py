@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 
 from quantloom.operators import factors
+from quantloom.plans import catalog
+from quantloom.sources import panel
 
 
 def test_moments_and_market_over_batches(spark):
@@ -39,3 +41,13 @@ def test_moments_and_market_over_batches(spark):
         e = x - beta * m - alpha
         for name, want in (("beta_26", beta), ("alpha_26", alpha), ("idio_vol_26", roll(e, 20).std())):
             np.testing.assert_allclose(out[name], want, rtol=1e-6, atol=1e-7, err_msg=name)
+
+
+def test_partitions_follow_the_bytes(spark, tmp_path):
+    """What a task sorts is bounded by the panel's partitions, whatever number of shuffle partitions the session has."""
+    names = spark.range(200).selectExpr("id as ticker", "'s' as sector", "date'2021-01-04' as date", "1.0 as close")
+    assert panel.dense(names, 37).rdd.getNumPartitions() == 37
+    spark.range(3 << 17).selectExpr("uuid() as x").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    few, many = (panel.parts(spark, str(tmp_path), size=n) for n in (8 << 20, 1 << 20))
+    assert many > few >= 1
+    assert catalog.QUERIES["rank_ensemble"](spark, "/root/testdata/sf0.001").count() > 0
