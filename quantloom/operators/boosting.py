@@ -1,7 +1,8 @@
 """Leaf-wise boosted trees with Huber loss and early stopping, and exact Shapley attributions of their predictions.
 
-A fit bins the features once.  Each level of a tree is one aggregate: tasks add up gradients and counts by (node, feature,
-bin) in numpy and Spark sums these small tables.  Whether a node's best split is taken does not
+A fit bins the features once and keeps rows in blocks (a row of Spark's for some thousand of them, their columns as bytes), since the
+passes over single rows cost more than the work on them.  Each level of a tree is one aggregate: tasks add up gradients and counts by
+(node, feature, bin) in numpy and Spark sums these small tables.  Whether a node's best split is taken does not
 depend on the order of splitting, so all levels are made first and a best-first queue then takes the splits with the highest gains.
 Rows carry their score as of the last checkpoint and tasks add the trees since, so a fit is as many small jobs as levels,
 whatever the number of rows.  The driver holds histograms of at most 2 ** depth x features x bins.
@@ -66,50 +67,104 @@ def matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.nan_to_num(np.column_stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in names]), nan=0.0)
 
 
-def _binned(batches: Iterator[pa.RecordBatch], features: list[str], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+#: A block: its columns' bytes, bins feature by feature.
+BLOCK = {"id": np.dtype(np.int64), "y": np.dtype(np.float64), "hold": np.dtype(np.bool_), "bins": np.dtype(np.uint8), "score": np.dtype(np.float64)}
+
+
+class Leaves:
+    """The leaf of each row of a tree, from a table a feature: the leaves (bits) that a bin leaves open; the lowest open one of all features is the row's.
+
+    A row that goes right at a node closes the leaves on its left.  Trees of over 64 leaves are walked node by node.
+    """
+
+    def __init__(self, tree: Tree, size: int):
+        self.tree, order, stack = tree, [], [1]
+        below: dict[int, int] = {}
+        while stack:  # leaves from left to right
+            node = stack.pop()
+            if tree.feature[node] < 0:
+                order.append(node)
+            else:
+                stack += [2 * node + 1, 2 * node]
+        self.nodes, self.tables = np.array(order), None
+        if len(order) > 64:
+            return
+        for k, leaf in enumerate(order):
+            node = leaf
+            while node:
+                below[node] = below.get(node, 0) | 1 << k
+                node //= 2
+        every = (1 << len(order)) - 1
+        self.tables = {}
+        for node in below:
+            f = int(tree.feature[node])
+            if f >= 0:
+                table = self.tables.setdefault(f, np.full(size, every, np.uint64))
+                table[tree.bin[node] + 1 :] &= np.uint64(every & ~below[2 * node])
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        """Nodes of the rows of ``bins`` (features by rows)."""
+        if self.tables is None:
+            return self.tree.leaf(bins.T, self.tree.bin)
+        if not self.tables:
+            return np.full(bins.shape[1], self.nodes[0])
+        left = None
+        for f, table in self.tables.items():
+            own = table[bins[f]]
+            left = own if left is None else left & own
+        lowest = left & (~left + np.uint64(1))
+        return self.nodes[(lowest.astype(float).view(np.int64) >> 52) - 1023]
+
+
+def _binned(batches: Iterator[pa.RecordBatch], features: list[str], edges: list[np.ndarray], base: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = matrix(batch, features)
-        bins = np.column_stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)]).astype(np.uint8)
-        packed = pa.array([row.tobytes() for row in bins], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), packed, pa.array(np.zeros(len(x)))], names=["id", "y", "hold", "bins", "score"])
+        if batch.num_rows:
+            x = matrix(batch, features)
+            bins = np.stack([np.searchsorted(e, x[:, k], "left").astype(np.uint8) for k, e in enumerate(edges)])
+            ids, y, hold = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield _block([ids, y, hold, bins, np.full(len(x), base)])
 
 
-def _unpacked(batch: pa.RecordBatch, n: int, trees: list[Tree]) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, n)
-    score = batch.column(4).to_numpy().copy()
-    for tree in trees:
-        score += tree.value[tree.leaf(bins, tree.bin)]
-    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), bins, score
+def _block(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c.astype(t, copy=False).tobytes()], pa.binary()) for c, t in zip(columns, BLOCK.values(), strict=True)], names=list(BLOCK))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], n: int, trees: Broadcast) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch], n: int, trees: list[Tree]) -> Iterator[list[np.ndarray]]:
+    """Columns of each block, bins as features by rows, the score with the trees' outputs."""
+    known = [(tree.value, Leaves(tree, 256)) for tree in trees]
     for batch in batches:
-        yield batch.set_column(4, "score", pa.array(_unpacked(batch, n, trees.value)[4]))
+        for i in range(batch.num_rows):
+            ids, y, hold, bins, score = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in enumerate(BLOCK.values()))
+            bins = bins.reshape(n, -1)
+            for value, leaves in known:
+                score = score + value[leaves.of(bins)]
+            yield [ids, y, hold, bins, score]
+
 
+def _scored(batches: Iterator[pa.RecordBatch], n: int, trees: Broadcast) -> Iterator[pa.RecordBatch]:
+    yield from map(_block, _unpacked(batches, n, trees.value))
 
-def histogram(ids: np.ndarray, y: np.ndarray, hold: np.ndarray, bins: np.ndarray, score: np.ndarray, grown: Tree, level: int, chosen: list[int], size: int, seed: int, share: float, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of gradients and numbers of rows by (node of the level, chosen feature, bin)."""
-    use = ~hold & kept_rows(ids, seed, share)
-    x = bins[use]
-    node = grown.leaf(x, grown.bin) - (1 << level)
-    live = node >= 0
-    x, node, g = x[live], node[live], huber_gradient((score - y)[use][live], delta)
+
+def histogram(ids: np.ndarray, y: np.ndarray, hold: np.ndarray, bins: np.ndarray, score: np.ndarray, grown: Leaves, level: int, chosen: list[int], size: int, seed: int, share: float, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of gradients and numbers of rows by (node of the level, chosen feature, bin); bins are features by rows."""
+    node = grown.of(bins) - (1 << level)
+    live = np.flatnonzero(~hold & kept_rows(ids, seed, share) & (node >= 0))
+    at, g = node[live] * size, huber_gradient((score - y)[live], delta)
     shape = (1 << level, len(chosen), size)
     sums, counts = np.zeros(shape), np.zeros(shape, np.int64)
     for k, f in enumerate(chosen):
-        at = node * size + x[:, f]
-        sums[:, k] = np.bincount(at, g, shape[0] * size).reshape(shape[0], size)
-        counts[:, k] = np.bincount(at, minlength=shape[0] * size).reshape(shape[0], size)
+        cell = at + bins[f][live]
+        sums[:, k] = np.bincount(cell, g, shape[0] * size).reshape(shape[0], size)
+        counts[:, k] = np.bincount(cell, minlength=shape[0] * size).reshape(shape[0], size)
     return sums, counts
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], n: int, state: Broadcast) -> Iterator[pa.RecordBatch]:
     """(node, feature, bin, g, n) of a task's rows; node -1: squared error and number of the rows that are held out."""
     since, grown, level, chosen, size, seed, share, delta = state.value
-    total, error, held = None, 0.0, 0
-    for batch in batches:
-        ids, y, hold, bins, score = _unpacked(batch, n, since)
-        own = histogram(ids, y, hold, bins, score, grown, level, chosen, size, seed, share, delta)
+    total, error, held, leaves = None, 0.0, 0, Leaves(grown, 256)
+    for ids, y, hold, bins, score in _unpacked(batches, n, since):
+        own = histogram(ids, y, hold, bins, score, leaves, level, chosen, size, seed, share, delta)
         total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
         error, held = error + float(((score - y)[hold] ** 2).sum()), held + int(hold.sum())
     if total is None:
@@ -185,9 +240,8 @@ class LeafTrees:
             self.edges = self.edges or [np.zeros(1)] * n
             return self
         self.edges = self.edges or [np.unique(np.asarray(known[f"e{i}"], float)) for i in range(n)]
-        names, edges = self.features, self.edges
-        data = rows.mapInArrow(lambda it: _binned(it, names, edges), "id long, y double, hold boolean, bins binary, score double")
-        data = cut(data.withColumn("score", F.lit(self.base)))
+        names, edges, base = self.features, self.edges, self.base
+        data = cut(rows.mapInArrow(lambda it: _binned(it, names, edges, base), ", ".join(f"{c} binary" for c in BLOCK)))
         since: list[Tree] = []
         best = 0
         for round_no in range(self.rounds + 1):

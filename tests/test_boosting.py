@@ -148,3 +148,31 @@ def test_attributions(spark):
         assert np.allclose(phi[i], sum(v for v, _ in parts), atol=1e-12) and np.isclose(got["expected"][0], model.base + sum(e for _, e in parts))
     table = boosting.attribution_summary(model.attributions(rows), NAMES).toPandas().set_index("feature")
     assert np.allclose(table["mean_abs"], np.abs(phi).mean(axis=0)) and np.allclose(table["std"], phi.std(axis=0)) and np.isclose(table["share"].sum(), 1)
+
+
+@pytest.mark.parametrize("depth", [1, 4, 6, 8])
+def test_leaves_by_bits_equal_the_walk(depth):
+    """Over 64 leaves (depth 8) there are no bits: the tree is walked."""
+    rng = np.random.default_rng(depth)
+    size = 2 << depth
+    feature = np.where((np.arange(size) >= 1) & (np.arange(size) < 1 << depth) & (rng.random(size) < 0.9), rng.integers(0, 5, size), -1)
+    feature[1] = 2
+    tree = boosting.Tree(feature, rng.integers(0, 63, size), *(np.zeros(size) for _ in range(4)))
+    bins = rng.integers(0, 64, (5, 4000)).astype(np.uint8)
+    assert (boosting.Leaves(tree, 256).of(bins) == tree.leaf(bins.T, tree.bin)).all()
+    stump = boosting.Tree(np.full(size, -1), *(np.zeros(size) for _ in range(5)))
+    assert (boosting.Leaves(stump, 256).of(bins) == 1).all()
+
+
+def test_passes_read_blocks(spark, monkeypatch):
+    """What the passes of a fit read has a row for a batch of rows, not one a row."""
+    kept, cut = [], boosting.cut
+    monkeypatch.setattr(boosting, "cut", lambda rows: kept.append(cut(rows)) or kept[-1])
+    monkeypatch.setattr(boosting, "CUT", 2)
+    frame = panel()
+    model = boosting.LeafTrees(NAMES, rounds=4, rate=0.3, leaves=4, depth=2, least=60, bins=12).fit(spark.createDataFrame(frame).repartition(3), "y")
+    blocks = [rows for rows in kept if "bins" in rows.columns]
+    assert len(model.trees) == 4 and len(blocks) == 3
+    for rows in blocks:
+        assert rows.count() <= rows.rdd.getNumPartitions() <= 4
+        assert sum(len(r["bins"]) for r in rows.collect()) == 4 * len(frame)
