@@ -215,9 +215,15 @@ def simple_pnl(weights: DataFrame, returns: DataFrame) -> DataFrame:
     return weights.join(returns, ["date", "ticker"]).groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
 
 
-def turnover(weights: DataFrame) -> DataFrame:
-    """date and sum of absolute changes of weight from one rebalance to the next."""
-    dates = weights.select("date").distinct().withColumn("step", F.row_number().over(Window.orderBy("date")))
+def held_pnl(held: DataFrame, dates: DataFrame) -> DataFrame:
+    """date and gross of ``simple_pnl``, from the held names alone, which carry their return (ret), and the dates of the book."""
+    found = held.groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
+    return dates.join(found, "date", "left").select("date", F.coalesce("gross", F.lit(0.0)).alias("gross"))
+
+
+def turnover(weights: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """date and sum of absolute changes of weight from one rebalance to the next; ``dates`` are the rebalances, else those of the weights."""
+    dates = (weights if dates is None else dates).select("date").distinct().withColumn("step", F.row_number().over(Window.orderBy("date")))
     rows = weights.where("weight <> 0").join(F.broadcast(dates), "date").select("step", "ticker", "weight")
     moves = rows.union(rows.select(F.col("step") + 1, "ticker", -F.col("weight"))).groupBy("step", "ticker").agg(F.sum("weight").alias("change"))
     return moves.groupBy("step").agg(F.sum(F.abs("change")).alias("turnover")).join(dates, "step").select("date", "turnover")

@@ -24,6 +24,22 @@ def rank_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gros
     return live.withColumn("weight", weight).drop("_n", "_top", "_low")
 
 
+def held_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gross: float = 1.0, keys: tuple[str, ...] = DATE) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``rank_long_short`` whose weight is not 0, the keys of all its rows): tasks keep their best and worst names and only these are shuffled."""
+    live = rows.where(F.col(score).isNotNull())
+    least = max(n_long + n_short, 10)
+    most = max(n_long, n_short, (least - 1) // 4, 1)
+    sizes = live.groupBy(*keys).agg(F.count("*").alias("_n"))
+
+    def side(order: list, n: int, sign: int) -> DataFrame:
+        best = live.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most)
+        size = F.when(F.col("_n") < least, F.greatest(F.floor(F.col("_n") / 4), F.lit(1))).otherwise(n)
+        best = best.join(F.broadcast(sizes), list(keys)).where((F.col("_n") >= 4) & (F.col("_place") <= size))  # a row a date
+        return best.withColumn("weight", sign * gross / 2 / size).drop("_place", "_n")
+
+    return side([F.desc(score), "ticker"], n_long, 1).union(side([F.asc(score), F.desc("ticker")], n_short, -1)), sizes.drop("_n")
+
+
 def score_weighted(rows: DataFrame, score: str, gross: float = 1.0, cap: float | None = None, keys: tuple[str, ...] = DATE) -> DataFrame:
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("_z", (F.col(score) - F.avg(score).over(w)) / F.nullif(F.stddev_pop(score).over(w), F.lit(0.0)))

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 
-from quantloom.operators import factors
+from quantloom.operators import backtest, factors, portfolio
 from quantloom.plans import catalog
 from quantloom.sources import panel
 
@@ -51,3 +51,37 @@ def test_partitions_follow_the_bytes(spark, tmp_path):
     few, many = (panel.parts(spark, str(tmp_path), size=n) for n in (8 << 20, 1 << 20))
     assert many > few >= 1
     assert catalog.QUERIES["rank_ensemble"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_dense_has_every_cell_and_moves_rows_once(spark):
+    """Leading, inner and trailing gaps, a row twice, a row without a date, a name of one row; against a cross join."""
+    d = [datetime.date(2021, 1, 4) + datetime.timedelta(days=7 * i) for i in range(8)]
+    cells = [("a", 0), ("a", 3), ("a", 4), ("b", 2), ("b", 2), ("b", 7), ("c", 5), ("d", 1), ("d", 6)]
+    found = [(t, d[i], "x" if n % 2 else None, float(n)) for n, (t, i) in enumerate(cells)] + [("a", None, None, 99.0)]
+    rows = spark.createDataFrame(found, "ticker string, date date, sector string, close double")
+    names, days = rows.groupBy("ticker").agg({"sector": "max"}).toDF("ticker", "sector"), rows.select("date").distinct()
+    want = names.crossJoin(days).join(rows.drop("sector"), ["ticker", "date"], "left").select("ticker", "date", "sector", "close")
+    for made in (panel.dense(rows), panel.dense(rows, 3), panel.dense(rows, dates=days)):
+        assert made.columns == want.columns
+        assert sorted(made.collect(), key=str) == sorted(want.collect(), key=str)
+    data = "/root/testdata/sf0.001"
+    plan = panel.dense(panel.bars(spark, data, 5, sectors=False), dates=panel.weeks(spark, data))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(ticker") == 1 and "SortMergeJoin" not in plan
+
+
+def test_held_names_equal_the_weights_that_are_not_zero(spark):
+    """Dates of 1, 3, 4, 7, 19, 20 and 60 names, tied and missing scores; full rows are not shuffled for it."""
+    rng = np.random.default_rng(2)
+    frame = [(datetime.date(2021, 1, 4 + i), t, None if t % 11 == 10 else float(rng.integers(0, 9)), float(t)) for i, n in enumerate((1, 3, 4, 7, 19, 20, 60)) for t in range(n)]
+    rows = spark.createDataFrame(frame, "date date, ticker int, score double, ret double").repartition(3)
+    for n_long, n_short in ((10, 10), (1, 9), (3, 2)):
+        every = portfolio.rank_long_short(rows, "score", n_long, n_short).select("date", "ticker", "weight", "ret")
+        held, dates = portfolio.held_long_short(rows, "score", n_long, n_short)
+        assert sorted(held.select(*every.columns).collect()) == sorted(every.where("weight <> 0").collect())
+        assert sorted(dates.collect()) == sorted(every.select("date").distinct().collect())
+        want = {r["date"]: r["gross"] for r in backtest.simple_pnl(every.drop("ret"), rows.drop("score")).collect()}
+        got = {r["date"]: r["gross"] for r in backtest.held_pnl(held, dates).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+        moved, moves = (dict(map(tuple, x.collect())) for x in (backtest.turnover(held, dates), backtest.turnover(every)))
+        assert moved.keys() == moves.keys() and np.allclose([moved[k] for k in moves], list(moves.values()))
+        assert "WindowGroupLimit" in held._jdf.queryExecution().executedPlan().toString()
