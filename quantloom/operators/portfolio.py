@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 DATE = ("date",)
+#: Buckets of names whose best scores bound those of a date's best names.
+BUCKETS = 32
 
 
 def rank_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gross: float = 1.0, cap: float | None = None, keys: tuple[str, ...] = DATE) -> DataFrame:
@@ -24,20 +31,45 @@ def rank_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gros
     return live.withColumn("weight", weight).drop("_n", "_top", "_low")
 
 
-def held_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gross: float = 1.0, keys: tuple[str, ...] = DATE) -> tuple[DataFrame, DataFrame]:
-    """(the rows of ``rank_long_short`` whose weight is not 0, the keys of all its rows): tasks keep their best and worst names and only these are shuffled."""
-    live = rows.where(F.col(score).isNotNull())
+def extremes(rows: DataFrame, scores: list[str], n: int, keys: tuple[str, ...] = DATE, means: tuple[str, ...] = ()) -> DataFrame:
+    """The keys with n_<score> (rows that have it), top_<score> and low_<score>, which the n best and the n worst reach or pass, and means; from one pass, kept, as it has a row a date.
+
+    Names are dealt into buckets: the n-th of the buckets' best scores is passed or reached by n names. It is missing, so that all names count, where under n buckets have a score.
+    """
+    each = rows.groupBy(*keys, F.pmod(F.hash("ticker"), F.lit(BUCKETS)).alias("_bucket")).agg(
+        *[f(c).alias(f"{what}_{c}") for c in scores for what, f in (("n", F.count), ("top", F.max), ("low", F.min))], *[f(c).alias(f"{what}_{c}") for c in means for what, f in (("n", F.count), ("sum", F.sum))]
+    )
+    nth = lambda c, up: F.get(F.sort_array(F.collect_list(c), up), F.lit(n - 1)).alias(c)
+    total = lambda c: F.sum(f"n_{c}").alias(f"n_{c}")
+    return cut(each.groupBy(*keys).agg(
+        *[x for c in scores for x in (total(c), nth(f"top_{c}", False), nth(f"low_{c}", True))], *[F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(c) for c in means]
+    ))
+
+
+def held_books(rows: DataFrame, scores: list[str], n_long: int, n_short: int, gross: float = 1.0, keys: tuple[str, ...] = DATE, means: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(book, a score's name, and the rows of its ``rank_long_short`` whose weight is not 0; keys, n_<score> and means of all rows): one pass finds what the best and worst names of a date reach, one takes these, and only these are ranked."""
     least = max(n_long + n_short, 10)
     most = max(n_long, n_short, (least - 1) // 4, 1)
-    sizes = live.groupBy(*keys).agg(F.count("*").alias("_n"))
+    found = extremes(rows, scores, most, keys, means)
+    bounds = found.select(*keys, *[f"{what}_{c}" for c in scores for what in ("n", "top", "low")])
+    reaches = {c: F.col(c).isNotNull() & (F.coalesce(F.col(c) >= F.col(f"top_{c}"), F.lit(True)) | F.coalesce(F.col(c) <= F.col(f"low_{c}"), F.lit(True))) for c in scores}
+    near = rows.join(F.broadcast(bounds), list(keys)).where(reduce(or_, reaches.values()))  # the bounds have a row a date
+    books = F.array(*[F.when(reaches[c], F.struct(F.lit(c).alias("book"), F.col(c).alias("_score"), F.col(f"n_{c}").alias("_n"))) for c in scores])
+    near = cut(near.withColumn("_book", F.explode(books)).where("_book is not null").select("_book.*", *rows.columns).repartition(*keys))
 
     def side(order: list, n: int, sign: int) -> DataFrame:
-        best = live.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most)
+        best = near.withColumn("_place", F.row_number().over(Window.partitionBy("book", *keys).orderBy(*order))).where(F.col("_place") <= most)
         size = F.when(F.col("_n") < least, F.greatest(F.floor(F.col("_n") / 4), F.lit(1))).otherwise(n)
-        best = best.join(F.broadcast(sizes), list(keys)).where((F.col("_n") >= 4) & (F.col("_place") <= size))  # a row a date
-        return best.withColumn("weight", sign * gross / 2 / size).drop("_place", "_n")
+        return best.where((F.col("_n") >= 4) & (F.col("_place") <= size)).withColumn("weight", sign * gross / 2 / size).drop("_place", "_n", "_score")
+
+    held = side([F.desc("_score"), "ticker"], n_long, 1).union(side([F.asc("_score"), F.desc("ticker")], n_short, -1))
+    return held, found.drop(*[f"{what}_{c}" for c in scores for what in ("top", "low")])
 
-    return side([F.desc(score), "ticker"], n_long, 1).union(side([F.asc(score), F.desc("ticker")], n_short, -1)), sizes.drop("_n")
+
+def held_long_short(rows: DataFrame, score: str, n_long: int, n_short: int, gross: float = 1.0, keys: tuple[str, ...] = DATE) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``rank_long_short`` whose weight is not 0, the keys of all its rows): ``held_books`` of one score."""
+    held, found = held_books(rows, [score], n_long, n_short, gross, keys)
+    return held.drop("book"), found.where(F.col(f"n_{score}") > 0).select(*keys)
 
 
 def score_weighted(rows: DataFrame, score: str, gross: float = 1.0, cap: float | None = None, keys: tuple[str, ...] = DATE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Frames by array kernels against pandas: batches that end within a frame, gaps, constant stretches, names shorter than a frame."""
 
 import datetime
+import math
 
 import numpy as np
 import pandas as pd
@@ -85,3 +86,42 @@ def test_held_names_equal_the_weights_that_are_not_zero(spark):
         moved, moves = (dict(map(tuple, x.collect())) for x in (backtest.turnover(held, dates), backtest.turnover(every)))
         assert moved.keys() == moves.keys() and np.allclose([moved[k] for k in moves], list(moves.values()))
         assert "WindowGroupLimit" in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_books_of_several_scores_from_few_names(spark):
+    """Three scores, one with ties and one that most names lack: the books are those of each score alone, means are over all rows, and few names reach the bounds."""
+    rng = np.random.default_rng(5)
+    frame = [
+        (datetime.date(2021, 1, 4 + i), t, float(rng.normal()), float(rng.integers(0, 4)), float(rng.normal()) if t % 9 == 0 else None, float(t), float(rng.normal()) if t % 3 else None)
+        for i, n in enumerate((1, 4, 15, 400)) for t in range(n)
+    ]
+    rows = spark.createDataFrame(frame, "date date, ticker int, a double, b double, c double, ret double, r double").repartition(3)
+    for n_long, n_short in ((10, 10), (2, 12)):
+        held, days = portfolio.held_books(rows, ["a", "b", "c"], n_long, n_short, means=("r",))
+        for score in "abc":
+            every = portfolio.rank_long_short(rows, score, n_long, n_short).select("date", "ticker", "weight", "ret")
+            assert sorted(held.where(f"book = '{score}'").select(*every.columns).collect()) == sorted(every.where("weight <> 0").collect())
+            assert sorted(days.where(f"n_{score} > 0").select("date", f"n_{score}").collect()) == sorted(every.groupBy("date").count().collect())
+        want = dict(map(tuple, rows.groupBy("date").agg({"r": "avg"}).collect()))
+        got = {d["date"]: d["r"] for d in days.collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    near = rows.join(portfolio.extremes(rows, ["a"], 10), "date").where("n_a = 400").selectExpr("count_if(a >= top_a)", "count_if(a <= low_a)").first()
+    assert all(10 <= n <= 25 for n in near)
+
+
+def test_attribution_reads_the_panel_twice(spark, monkeypatch):
+    """Once for the bounds, sizes and the market, once for the names within the bounds; it was thirteen times."""
+    rng = np.random.default_rng(6)
+    frame = [(datetime.date(2021, 1, 4) + datetime.timedelta(days=7 * i), t, *map(float, rng.normal(size=5))) for i in range(110) for t in range(60)]
+    rows = spark.createDataFrame(frame, "date date, ticker int, mom double, rev double, vol double, ret double, r double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(catalog, "book_panel", lambda *a, **k: rows.mapInArrow(counted, rows.schema))
+    found = catalog.factor_attribution(spark, "").first()
+    assert found["n"] == 110 and all(math.isfinite(v) for v in found)
+    assert seen.value == 2 * len(frame)
