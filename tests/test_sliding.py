@@ -125,3 +125,16 @@ def test_attribution_reads_the_panel_twice(spark, monkeypatch):
     found = catalog.factor_attribution(spark, "").first()
     assert found["n"] == 110 and all(math.isfinite(v) for v in found)
     assert seen.value == 2 * len(frame)
+
+
+def test_filled_returns_take_one_window(spark):
+    """Leading and inner gaps, a price of 0, a name of one row; against a forward fill."""
+    closes = {"a": [None, 2.0, None, None, 3.0, 6.0], "b": [4.0, 0.0, None, 5.0], "c": [7.0], "d": [None, None]}
+    frame = [(t, datetime.date(2021, 1, 4 + i), c) for t, v in closes.items() for i, c in enumerate(v)]
+    found = panel.filled_returns(spark.createDataFrame(frame, "ticker string, date date, close double"))
+    got = {(x["ticker"], x["date"]): x["r"] for x in found.collect()}
+    for t, v in closes.items():
+        filled = pd.Series(v, dtype=float).ffill()
+        want = (filled / filled.shift().replace(0.0, np.nan) - 1).tolist()
+        assert all((g is None and math.isnan(w)) or g == w for g, w in zip([got[t, datetime.date(2021, 1, 4 + i)] for i in range(len(v))], want, strict=True))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
