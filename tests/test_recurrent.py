@@ -98,3 +98,35 @@ def test_jobs_grow_with_bytes_not_with_steps(spark, monkeypatch):
     monkeypatch.setattr(recurrent, "GROUP", 10000)
     summed = small().fit(rows, "y")
     assert np.allclose(alone.weights, summed.weights, atol=1e-9) and len(whole.weights) == len(alone.weights)
+
+
+def test_sequences_take_one_shuffle_by_name(spark):
+    """Rows and their source meet in one shuffle by name: no grid of all cells, no join of sequences back to the rows; days before those reached back to stay out."""
+    frame = panel(60)
+    rows = spark.createDataFrame(frame).repartition(4).cache()
+    days = sorted(frame["date"].unique())
+    wide = frame.pivot(index="date", columns="ticker", values="a").fillna(0.0)
+    model = models.build("gru", ["a"], length=4, panel=rows)
+    for first in (0, 50):
+        got = model.with_sequences(rows.where(rows["date"] >= days[first]).select("y", "date", "ticker"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Window" not in plan
+        assert got.columns == ["y", "date", "ticker", "x"]
+        found = got.toPandas()
+        assert len(found) == (frame["date"] >= days[first]).sum()
+        for r in found.itertuples():
+            at = days.index(r.date)
+            assert np.array_equal(np.frombuffer(r.x), [wide[r.ticker].iloc[max(0, at - 3 + k)] for k in range(4)])
+
+
+def test_names_run_on_over_batches(spark):
+    """A name's rows may come in many Arrow batches."""
+    rows = spark.createDataFrame(panel(60, 4)).cache()
+    model = models.build("gru", ["a"], length=3, panel=rows)
+    take = lambda: {(r["date"], r["ticker"]): bytes(r["x"]) for r in model.with_sequences(rows.select("date", "ticker")).collect()}
+    whole, before = take(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert take() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
