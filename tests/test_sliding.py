@@ -5,9 +5,12 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, factors, portfolio
+from quantloom.functions.windows import by_ticker
+from quantloom.operators import backtest, evaluation, factors, portfolio
 from quantloom.plans import catalog
+from quantloom.session import cut
 from quantloom.sources import panel
 
 
@@ -138,3 +141,43 @@ def test_filled_returns_take_one_window(spark):
         want = (filled / filled.shift().replace(0.0, np.nan) - 1).tolist()
         assert all((g is None and math.isnan(w)) or g == w for g, w in zip([got[t, datetime.date(2021, 1, 4 + i)] for i in range(len(v))], want, strict=True))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_pairs_share_one_shuffle_by_date(spark):
+    """Ties, missing values, a constant column and small dates: the ICs of all pairs are those of each alone, and rows are not copied by pair and shuffled by rank."""
+    rng = np.random.default_rng(8)
+    gap = lambda v, share: None if rng.random() < share else float(v)
+    frame = [(datetime.date(2021, 1, 4 + i), gap(rng.integers(0, 5), 0.2), gap(rng.normal(), 0.1), 2.0, gap(rng.normal(), 0.3), gap(rng.integers(0, 3), 0.0)) for i, n in enumerate((3, 5, 8, 60, 200)) for _ in range(n)]
+    rows = spark.createDataFrame(frame, "date date, a double, b double, c double, y double, z double").repartition(3)
+    found = evaluation.rank_ics(rows, ["a", "b", "c"], ["y", "z"])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(date") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    got = {(r["target"], r["feature"], r["date"]): (r["names"], r["ic"]) for r in found.collect()}
+    want = {(t, f, r["date"]): (r["names"], r["ic"]) for t in "yz" for f in "abc" for r in evaluation.daily_ic(rows, f, t).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-12) for k in want)
+
+
+def test_diagnostics_move_rows_by_name_and_by_date(spark, monkeypatch):
+    """Two shuffles of rows for all horizons, targets and signals, checkpoints have a row a date and pair."""
+    kept = []
+    monkeypatch.setattr(panel, "parts", lambda *a, **k: 5)
+    monkeypatch.setattr(evaluation, "cut", lambda df: kept.append(df) or cut(df))
+    monkeypatch.setattr(catalog, "cut", lambda df: kept.append(df) or cut(df))
+    catalog.factor_diagnostics(spark, "/root/testdata/sf0.001")
+    (ic,) = kept
+    plan = ic._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    made = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert sum("(ticker" in line for line in made) == 1 and "Expand" not in plan  # the market reuses it
+    assert sum("(date" in line for line in made) == len(made) - 1 <= 3  # of the calendar, of the market's sums, of the rows
+    assert ic.columns == ["date", "target", "feature", "names", "ic"] and ic.count() <= 357 * 18
+
+
+def test_frames_leave_rows_that_are_dealt_by_name(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(f"T{t}", datetime.date(2021, 1, 4) + datetime.timedelta(days=i), float(rng.normal())) for t in range(7) for i in range(50)], "ticker string, date date, lr double").repartition(4)
+    own = rows.withColumn("before", F.lag("lr").over(by_ticker()))
+    made = factors.higher_moments(own, factors.WEEKLY)
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    want = {(r["ticker"], r["date"]): r["ret_skew"] for r in factors.higher_moments(rows, factors.WEEKLY).collect()}
+    got = {(r["ticker"], r["date"]): r["ret_skew"] for r in made.collect()}
+    assert got == want and sum(v is not None for v in got.values()) > 200
