@@ -33,8 +33,10 @@ def quality_filter(panel: DataFrame, rules: QualityRules = QualityRules()) -> tu
     return clean.join(facts.where("reason = 'kept'").select("ticker"), "ticker", "left_semi"), counters
 
 
-def thin_dates(panel: DataFrame, min_names: int) -> DataFrame:
-    """Rows of dates with at least so many names."""
+def thin_dates(panel: DataFrame, min_names: int, stored: bool = False) -> DataFrame:
+    """Rows of dates with at least so many names.  ``stored`` rows are read a second time for the counts and not shuffled."""
+    if stored:
+        return panel.join(F.broadcast(panel.groupBy("date").count().where(F.col("count") >= min_names).select("date")), "date", "left_semi")  # a row a date
     return panel.withColumn("names", F.count("*").over(Window.partitionBy("date"))).where(F.col("names") >= min_names).drop("names")
 
 

@@ -296,3 +296,36 @@ def test_books_check_their_input(spark):
     scores = spark.createDataFrame([(day, "A", 1.0), (day, "A", 3.0), (day, "B", 2.5)], "date date, ticker string, s double")
     top = lambda due, name: due.withColumn("weight", F.when(F.col(name) > 2.2, 1.0).otherwise(0.0))
     assert [r["n_long"] for r in backtest.run_backtest(scores, rets, ["s"], top).collect()] == [1, 1]  # A's mean is 2
+
+
+def test_date_stats_are_exact_and_shuffle_tails(spark, monkeypatch):
+    """Against numpy: ties at the bounds, constant, missing and tiny dates, names dealt by value, many chunks; rows are not copied by column."""
+    rng = np.random.default_rng(12)
+    found = []
+    for i, n in enumerate((1, 2, 5, 40, 700)):
+        a, b = np.sort(rng.normal(size=n)), np.minimum(rng.normal(size=n), 0.3)  # b: many ties at its highest value
+        found += [(datetime.date(2021, 1, 4 + i), k, float(a[k]), float(b[k]), 0.1, float(rng.integers(0, 3)) if i != 2 else None, float(k) if k % 3 else None) for k in range(n)]
+    rows = spark.createDataFrame(found, "date date, k int, a double, b double, c double, d double, e double").repartitionByRange(6, "k")
+    frame = pd.DataFrame(found, columns=["date", "k", "a", "b", "c", "d", "e"])
+    for chunk, q in ((1 << 26, 0.01), (1, 0.05), (1 << 26, 0.3), (1 << 26, 0.0)):
+        monkeypatch.setattr(xsec, "CHUNK", chunk)
+        got = {r["date"]: r for r in xsec.date_stats(rows, ["a", "b", "c", "d"], q, ("e",)).collect()}
+        assert got.keys() == set(frame["date"])
+        for day, g in frame.groupby("date"):
+            for k, c in enumerate("abcde"):
+                x, r = g[c].dropna().to_numpy(float), got[day]
+                assert r["n"][k] == len(x)
+                if not len(x):
+                    assert r["mean"][k] is None and r["deviation"][k] is None
+                    continue
+                if q and c != "e":
+                    np.testing.assert_allclose([r["low"][k], r["high"][k]], np.quantile(x, [q, 1 - q]), rtol=1e-13, atol=1e-15)
+                    x = np.clip(x, r["low"][k], r["high"][k])
+                np.testing.assert_allclose(r["mean"][k], x.mean(), rtol=1e-12, atol=1e-15)
+                if len(x) > 1:
+                    np.testing.assert_allclose(r["deviation"][k], x.std(ddof=1), rtol=1e-11, atol=1e-15)
+                    assert c != "c" or r["deviation"][k] == 0
+                else:
+                    assert r["deviation"][k] is None
+    plan = xsec.normalise(rows, list("abcd"))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
