@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,13 +33,16 @@ def quality_filter(panel: DataFrame, rules: QualityRules = QualityRules()) -> tu
     return clean.join(facts.where("reason = 'kept'").select("ticker"), "ticker", "left_semi"), counters
 
 
-def thin_dates(panel: DataFrame, min_names: int, stored: bool = False) -> DataFrame:
-    """Rows of dates with at least so many names.  ``stored`` rows are read a second time for the counts and not shuffled."""
-    if stored:
-        return panel.join(F.broadcast(panel.groupBy("date").count().where(F.col("count") >= min_names).select("date")), "date", "left_semi")  # a row a date
+def thin_dates(panel: DataFrame, min_names: int) -> DataFrame:
+    """Rows of dates with at least so many names."""
     return panel.withColumn("names", F.count("*").over(Window.partitionBy("date"))).where(F.col("names") >= min_names).drop("names")
 
 
+def thick_dates(panel: DataFrame, min_names: int) -> DataFrame:
+    """The dates with at least so many names."""
+    return panel.groupBy("date").count().where(F.col("count") >= min_names).select("date")
+
+
 def names_mask(rows: DataFrame, column: str, least: int) -> DataFrame:
     """date and enough: whether so many names have a value of the column."""
     return rows.groupBy("date").agg((F.count(column) >= least).alias("enough"))
@@ -51,10 +54,14 @@ def feature_summary(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.lit(len(features)).alias("n_features"), F.countDistinct("ticker").alias("tickers"), F.min("date").alias("first"), F.max("date").alias("last")).crossJoin(size)  # one row each
 
 
+def features_known(features: list[str], share: float = 0.8, more: int = 0) -> Column:
+    """Whether a row has so many of the features, and so many more."""
+    return sum((F.col(c).isNotNull().cast("int") for c in features), F.lit(0)) >= int(share * len(features)) + more
+
+
 def feature_mask(rows: DataFrame, features: list[str], target: str = "target", share: float = 0.8) -> DataFrame:
     """Rows with a target and enough features, the missing ones then 0."""
-    have = sum((F.col(c).isNotNull().cast("int") for c in features), F.lit(0))
-    return rows.where(F.col(target).isNotNull() & (have >= int(share * len(features)))).na.fill(0.0, features)
+    return rows.where(F.col(target).isNotNull() & features_known(features, share)).na.fill(0.0, features)
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:

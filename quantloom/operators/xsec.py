@@ -69,7 +69,7 @@ def date_stats(rows: DataFrame, columns: list[str], q: float = 0.01, plain: tupl
 
     Plain columns are not clipped.  The quantiles are exact, and only tails are shuffled: every task sends the lowest and highest values of its rows, as many as their share of the tails
     and some; the last of them that the quantiles need is a bound beyond which no more are needed.  A second pass sends all values outside these bounds, ties as counts, and the moments of those between.
-    The rows are read twice, so they should be stored.
+    The rows are read twice.
     """
     spark, names = rows.sparkSession, [*columns, *plain]
     values, n_columns = rows.select("date", *[F.col(c).cast("double").alias(c) for c in names]).where("date is not null"), len(columns)

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import by_ticker
+from quantloom.functions.windows import by_ticker, exponential_means
 from quantloom.operators import backtest, evaluation, factors, portfolio
 from quantloom.plans import catalog
 from quantloom.session import cut
@@ -181,3 +181,35 @@ def test_frames_leave_rows_that_are_dealt_by_name(spark):
     want = {(r["ticker"], r["date"]): r["ret_skew"] for r in factors.higher_moments(rows, factors.WEEKLY).collect()}
     got = {(r["ticker"], r["date"]): r["ret_skew"] for r in made.collect()}
     assert got == want and sum(v is not None for v in got.values()) > 200
+
+
+def test_oscillators_over_batches_equal_the_windows(spark):
+    """Means carried on over batches that end within a name, with gaps, against the windows of ``exponential_means``."""
+    rng, w = np.random.default_rng(11), factors.WEEKLY
+    frame = [(t, datetime.date(2021, 1, 4) + datetime.timedelta(days=7 * i), None if rng.random() < 0.2 else float(np.exp(rng.normal() / 9))) for t, n in (("a", 90), ("b", 3), ("c", 70), ("d", 41)) for i in range(n)]
+    rows = spark.createDataFrame(frame, "ticker string, date date, close double").repartition(2)
+    change = F.col("close") - F.lag("close").over(by_ticker())
+    gain, loss = (F.when(F.col("change").isNotNull(), F.greatest(F.col("change") * s, F.lit(0.0))) for s in (1, -1))
+    want = exponential_means(rows.withColumn("change", change), {"up": (gain, 1 / 14, 14), "down": (loss, 1 / 14, 14), "fast": (F.col("close"), 2 / 13, 12), "slow": (F.col("close"), 2 / 27, 26)})
+    want = exponential_means(want.withColumn("macd", F.col("fast") - F.col("slow")), {"line": (F.col("macd"), 2 / 10, 9)})
+    want = want.select("ticker", "date", ((100 - 100 / (1 + F.col("up") / F.col("down"))) / 100 - 0.5).alias("rsi"), (F.col("macd") / F.col("close")).alias("norm"), ((F.col("macd") - F.col("line")) / F.col("close")).alias("hist"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = factors.oscillators(rows, w).select("ticker", "date", *factors.OSCILLATORS).toPandas().sort_values(["ticker", "date"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = want.toPandas().sort_values(["ticker", "date"])
+    np.testing.assert_allclose(got.iloc[:, 2:].to_numpy(float), want.iloc[:, 2:].to_numpy(float), rtol=1e-9, atol=1e-12)
+    assert got["rsi_14"].notna().sum() > 60 and got["macd_hist"].notna().sum() > 20
+
+
+def test_stored_bars_stay_dealt_by_name(spark):
+    """The factors are computed more than once from stored bars; no pass over them moves rows by name."""
+    data = "/root/testdata/sf0.001"
+    stored = cut(panel.bars(spark, data, 5).drop("open"), dealt=True)
+    assert stored.rdd.getNumPartitions() == 5 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    dense = panel.dense(stored, dates=panel.weeks(spark, data))
+    made = factors.factor_table(dense, cut(panel.market_returns(dense)), factors.WEEKLY)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(ticker" not in plan and "SortMergeJoin" not in plan and plan.count("MapInArrow") == 1
