@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quantloom.functions import sliding
 from quantloom.functions.windows import by_ticker, exponential_means
 from quantloom.operators import backtest, evaluation, factors, portfolio
 from quantloom.plans import catalog
@@ -213,3 +214,16 @@ def test_stored_bars_stay_dealt_by_name(spark):
     made = factors.factor_table(dense, cut(panel.market_returns(dense)), factors.WEEKLY)
     plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Exchange hashpartitioning(ticker" not in plan and "SortMergeJoin" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_volatilities_of_the_table_equal_the_windows(spark):
+    """Gaps, a low of 0 and a stretch of equal returns, which have no deviation."""
+    rng, w = np.random.default_rng(13), factors.WEEKLY
+    gap = lambda v: None if rng.random() < 0.15 else float(v)
+    frame = [(t, datetime.date(2021, 1, 4) + datetime.timedelta(days=7 * i), gap(2 + rng.random()), gap(0 if i == 9 else 1 + rng.random()), 0.125 if t == "b" and i > 30 else gap(rng.normal())) for t in "ab" for i in range(80)]
+    rows = spark.createDataFrame(frame, "ticker string, date date, high double, low double, lr double")
+    names = [*[f"vol_{n}" for n in w.vols], "parkinson_vol", "downside_vol", "vol_ratio"]
+    want = factors.volatility(rows, w, moments=False).select("ticker", "date", *names).toPandas().sort_values(["ticker", "date"])
+    made = sliding.by_frames(rows, ["high", "low", "lr"], names, max(w.long, *w.vols) - 1, factors.volatility_kernel(w))
+    got = made.select("ticker", "date", *names).toPandas().sort_values(["ticker", "date"])
+    np.testing.assert_allclose(got.iloc[:, 2:].to_numpy(float), want.iloc[:, 2:].to_numpy(float), rtol=1e-9, atol=1e-12)
